@@ -19,29 +19,42 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Shapes that a string must have for Spark's cast to accept it. Text that does
+# not match can only give null, so it skips `try_cast`, whose failure path
+# throws and catches one exception per row (`""` is the commonest value).
+_WS = r"[\s\p{Cntrl}\p{Z}]*"
+INT_SHAPE = f"^{_WS}[+-]?[0-9]+{_WS}$"
+NUMBER_HINT = r"(?i)[0-9]|nan|inf"
+
+
 def to_int(c) -> Column:
     """Integer text -> int; `""`, decimals and junk -> null (PRJ6)."""
-    return _col(c).try_cast("int")
+    x = _col(c)
+    return F.when(x.rlike(INT_SHAPE), x.try_cast("int"))
 
 
 def to_double(c) -> Column:
     """Numeric text -> double; `""` and junk -> null (PRJ7)."""
-    return _col(c).try_cast("double")
+    x = _col(c)
+    return F.when(x.rlike(NUMBER_HINT), x.try_cast("double"))
 
 
 def to_int_truncated(c) -> Column:
     """Decimal text -> int by truncation, `"60.74"` -> 60 (PRJ8)."""
-    return _col(c).try_cast("double").try_cast("int")
+    return to_double(c).try_cast("int")
 
 
 def parse_timestamp(c, fmt: str = TIMESTAMP_FORMAT) -> Column:
     """`yyyy-MM-dd HH:mm:ss` text -> timestamp, bad text -> null (PRJ9)."""
-    return F.try_to_timestamp(_col(c), F.lit(fmt))
+    x = _col(c)
+    # day and year fields need digits: text without any cannot parse
+    return F.when(x.rlike("[0-9]"), F.try_to_timestamp(x, F.lit(fmt)))
 
 
 def parse_match_date(c, fmt: str = MATCH_DATE_FORMAT) -> Column:
     """`Sep 29, 2025` -> date, so dates sort chronologically, not as text (SC11, Q1)."""
-    return F.try_to_date(_col(c), fmt)
+    x = _col(c)
+    return F.when(x.rlike("[0-9]"), F.try_to_date(x, fmt))
 
 
 def format_match_date(c, fmt: str = MATCH_DATE_FORMAT) -> Column:

@@ -9,15 +9,23 @@ executors in batches; callers prune candidates with native expressions first
 from __future__ import annotations
 
 import difflib
+import sys
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .casts import _col
 
+# Ship this module's UDF bodies by value, so executors need no copy of the package.
+try:
+    from pyspark import cloudpickle as _cp
+    _cp.register_pickle_by_value(sys.modules[__name__])
+except Exception:  # pragma: no cover - older cloudpickle
+    pass
+
 
 def clean_name_py(name) -> str:
     """Case fold, trim, NFKD, drop non-ASCII. Non-strings give `""`."""
@@ -33,10 +41,33 @@ def _clean_name_udf(s: pd.Series) -> pd.Series:
 
 
 def clean_name(c) -> Column:
-    """Join key for names: `  Martin Ødegaard ` -> `martin odegaard` (SC5, FZ1)."""
+    """Join key for names: `  Martin Ødegaard ` -> `martin odegaard` (SC5, FZ1). Always the UDF."""
     return _clean_name_udf(_col(c))
 
 
+# Python's str.strip() whitespace within ASCII: \t \n \x0b \x0c \r, \x1c-\x1f and space.
+_ASCII_WS = r"[\t\n\x0b\x0c\r\x1c-\x1f ]"
+
+
+def is_ascii(c) -> Column:
+    return _col(c).rlike(r"^[\x00-\x7f]*$")
+
+
+def clean_name_ascii(c) -> Column:
+    """`clean_name` for ASCII-only text as a native expression: NFKD and the
+    ASCII filter are identities there, and case folding is `lower`."""
+    x = _col(c)
+    stripped = F.regexp_replace(x, f"^{_ASCII_WS}+|{_ASCII_WS}+$", "")
+    return F.when(x.isNull(), F.lit("")).otherwise(F.lower(stripped))
+
+
+def clean_names(df: DataFrame, src: str, alias: str) -> DataFrame:
+    """Add `alias = clean_name(src)`; only non-ASCII rows go through the Python UDF."""
+    native = df.filter(is_ascii(src) | F.col(src).isNull()).withColumn(alias, clean_name_ascii(src))
+    other = df.filter(~is_ascii(src)).withColumn(alias, clean_name(src))
+    return native.unionByName(other)
+
+
 def similarity_py(choice: str, name: str) -> float:
     """Ratcliff/Obershelp ratio as `difflib.get_close_matches` scores it:
     sequence a is the candidate, sequence b the word being matched."""

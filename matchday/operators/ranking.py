@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,30 +77,33 @@ def global_row_number(df: DataFrame, order, alias: str = "rank",
                       num_partitions: int | None = None, total_alias: str | None = None) -> DataFrame:
     """1-based position of every row under a total `order`, computed without one-task sorts.
 
-    Plan: range exchange on the order key (one shuffle, reused by both
-    branches) -> per-partition row counts (one row per partition, broadcast)
-    -> running offset + record number inside the sorted partition.
+    Plan: range exchange on the order key -> sort inside each partition ->
+    record number inside the partition; per-partition row counts (one row per
+    partition, broadcast) give each partition's offset. The numbered rows are
+    persisted so the count branch and the output read the very same
+    partitions (a recomputation after a lost executor is identical: the range
+    bounds live in the shuffle dependency and the order is total).
+    The cache is released with the session or by `spark.catalog.clearCache()`.
     """
     order = _cols(order)
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parted = df.repartitionByRange(n, *order)
-    counts = (parted.select(F.spark_partition_id().alias("_pid"))
-              .groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")))
-    # One row per partition: the only unpartitioned window here holds n rows.
+    numbered = (df.repartitionByRange(n, *order)
+                .sortWithinPartitions(*order)
+                .withColumn("_pid", F.spark_partition_id())
+                .withColumn("_local", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_BITS)))
+                .persist(StorageLevel.MEMORY_AND_DISK))
+    counts = numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    # One row per partition: the only unpartitioned windows here hold n rows.
     offsets = counts.select(
         "_pid",
-        (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
-        .alias("_off"),
+        F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)).alias("_off"),
         F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("_total"))
-    numbered = (parted.sortWithinPartitions(*order)
-                .withColumn("_pid", F.spark_partition_id())
-                .withColumn("_local", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_BITS))))
-    # `offsets` has one row per partition: bounded by the partition count, not the data.
-    return (numbered.join(F.broadcast(offsets), "_pid")
-            .withColumn(alias, (F.coalesce(F.col("_off"), F.lit(0)) + F.col("_local") + 1).cast("long"))
-            .withColumnRenamed("_total", total_alias or "_total")
-            .drop("_pid", "_local", "_off", *([] if total_alias else ["_total"])))
+    out = (numbered.join(F.broadcast(offsets), "_pid")
+           .withColumn(alias, (F.coalesce(F.col("_off"), F.lit(0)) + F.col("_local") + 1).cast("long")))
+    if total_alias:
+        out = out.withColumnRenamed("_total", total_alias)
+    return out.drop("_pid", "_local", "_off", "_total")
 
 
 def top_k(df: DataFrame, order, k: int) -> DataFrame:

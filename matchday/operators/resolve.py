@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import clean_name, similarity
+from ..functions.names import clean_names, similarity
 
 Q = 3
 RATIO_CUTOFF = 0.7  # fixed value: `get_close_matches(..., n=1, cutoff=0.7)`
@@ -152,10 +152,10 @@ def enrich(left: DataFrame, left_name: str, right: DataFrame, right_name: str,
     from .joins import assert_unique
     from .nested import suffix_collisions
 
-    r = right.withColumn("_pos", F.monotonically_increasing_id()).withColumn("_key", clean_name(F.col(right_name)))
+    r = clean_names(right.withColumn("_pos", F.monotonically_increasing_id()), right_name, "_key")
     if unique == "first":
         r = r.withColumn("_k", F.row_number().over(Window.partitionBy("_key").orderBy("_pos"))).filter("_k = 1").drop("_k")
-    l = left.withColumn("_name", clean_name(F.col(left_name)))
+    l = clean_names(left, left_name, "_name")
     keys = resolve_keys(l.select(F.col("_name").alias("name")),
                         r.select(F.col("_key").alias("choice"), F.col("_pos").alias("position")))
     l = l.join(keys.select(F.col("name").alias("_name"), F.col("resolved").alias("_key")), "_name", "left")

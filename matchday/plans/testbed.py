@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import casts, metrics, text
+from ..functions.names import clean_names
 from ..operators import aggregates, joins, nested, ranking, reshape, resolve, upsert
 from ..operators.export import export_json, read_export
 from ..session import shared_dir
@@ -387,22 +388,20 @@ def _resolution_inputs(spark, d):
 
 
 def q_name_resolution_contains(spark, d):
-    from ..functions.names import clean_name
     names, choices = _resolution_inputs(spark, d)
-    keys = resolve.resolve_keys(names.select(clean_name("n").alias("name")),
-                                choices.select(clean_name("p_name").alias("choice"), "position"),
+    keys = resolve.resolve_keys(clean_names(names.distinct(), "n", "name").select("name"),
+                                clean_names(choices, "p_name", "choice").select("choice", "position"),
                                 cutoff=None)
     return keys.select("name", "resolved", "rule")
 
 
 def q_name_resolution_ratio(spark, d):
-    from ..functions.names import clean_name
     p = read_table(spark, d, "part")
     # names = product names with their second letter dropped
-    names = p.select(F.concat(F.substring("p_name", 1, 1), F.substring("p_name", 3, 1000)).alias("n"))
+    names = p.select(F.concat(F.substring("p_name", 1, 1), F.substring("p_name", 3, 1000)).alias("n")).distinct()
     choices = p.groupBy("p_name").agg(F.min("p_partkey").alias("position"))
-    keys = resolve.resolve_keys(names.select(clean_name("n").alias("name")),
-                                choices.select(clean_name("p_name").alias("choice"), "position"))
+    keys = resolve.resolve_keys(clean_names(names, "n", "name").select("name"),
+                                clean_names(choices, "p_name", "choice").select("choice", "position"))
     return keys.select("name", "resolved", "rule", "score")
 
 
