@@ -29,7 +29,10 @@ def scoring_totals(df: DataFrame, key: str, date_col: str, minutes: str, goals:
 
 def top_by(df: DataFrame, key: Sequence[str] | str, value: str, measure: Column | str,
            tiebreak: str, alias: str) -> DataFrame:
-    """Per key, the `value` of the row with the highest measure (ties: smaller tiebreak) (AGG7)."""
+    """Per key, the `value` of the row with the highest numeric measure; ties go to
+    the smallest `tiebreak`, null measures last (AGG7). A partial aggregate: a hot
+    key ships one candidate per map task."""
     keys = [key] if isinstance(key, str) else list(key)
     m = F.col(measure) if isinstance(measure, str) else measure
-    return df.groupBy(*keys).agg(F.max_by(F.col(value), F.struct(m, -F.col(tiebreak))).alias(alias))
+    rank_key = F.struct(F.when(m.isNull(), 1).otherwise(0), -m, F.col(tiebreak))
+    return df.groupBy(*keys).agg(F.min_by(F.col(value), rank_key).alias(alias))

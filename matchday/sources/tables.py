@@ -19,9 +19,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def optional_table(loader: Callable[[], DataFrame]) -> DataFrame | None:
     """Run `loader`; a missing path gives None instead of an error (SRC7)."""
+    from ..errors import NoSnapshotError
     try:
         return loader()
-    except AnalysisException:
+    except (AnalysisException, NoSnapshotError):
         return None
 
 
