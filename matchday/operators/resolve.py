@@ -12,7 +12,8 @@ exact filters expressed as equi-joins:
 
 * containment, q-gram blocking: if s is inside t and |s| >= q, every q-gram of
   s occurs in t; s is keyed on its rarest q-gram, t on all of its q-grams
-  (and on its 1- and 2-grams, for strings shorter than q). Each candidate is
+  (and on its 1- and 2-grams, for strings shorter than q). Names and choices
+  share one gram index, so both directions cost one join. Each candidate is
   then checked with `instr`.
 * ratio, prefix filtering: ratio = 2M/(|a|+|b|) and M <= |multiset overlap|.
   With the length filter 2*min/(|a|+|b|) >= t, any qualifying pair overlaps
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import clean_names, similarity
+from ..session import materialize
 
 Q = 3
 RATIO_CUTOFF = 0.7  # fixed value: `get_close_matches(..., n=1, cutoff=0.7)`
@@ -39,40 +41,41 @@ def _grams(s, n: int):
                        lambda i: F.substring(s, i, n))
 
 
-def _container_grams(df: DataFrame, key: str) -> DataFrame:
-    """(key, gram) for every distinct 1-, 2- and q-gram of each string."""
-    s = F.col(key)
-    allg = F.array_distinct(F.flatten(F.array(_grams(s, 1), _grams(s, 2), _grams(s, Q))))
-    return df.select(key, F.explode(F.filter(allg, lambda g: F.length(g) > 0)).alias("gram"))
-
-
-def _pattern_key(df: DataFrame, key: str, gram_freq: DataFrame) -> DataFrame:
-    """(key, gram): the string itself if shorter than q, else its rarest q-gram."""
-    s = F.col(key)
-    short = df.filter(F.length(s) < Q).select(key, s.alias("gram"))
-    longg = (df.filter(F.length(s) >= Q)
-             .select(key, F.explode(F.array_distinct(_grams(s, Q))).alias("gram"))
-             .join(gram_freq, "gram", "left")
-             .groupBy(key)
-             .agg(F.min_by("gram", F.struct(F.coalesce(F.col("freq"), F.lit(0)), F.col("gram"))).alias("gram")))
-    return short.unionByName(longg)
-
-
 def containment_candidates(names: DataFrame, choices: DataFrame) -> DataFrame:
-    """(name, choice) pairs where one contains the other. Inputs hold distinct
-    non-empty strings in columns `name` and `choice`."""
-    name_grams = _container_grams(names, "name")
-    choice_grams = _container_grams(choices, "choice")
-    # name inside choice: name is the pattern, choices are the containers
-    f_choice = choice_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("freq"))
-    p_name = _pattern_key(names, "name", f_choice)
-    a = p_name.join(choice_grams, "gram").select("name", "choice")
-    # choice inside name
-    f_name = name_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("freq"))
-    p_choice = _pattern_key(choices, "choice", f_name)
-    b = p_choice.join(name_grams, "gram").select("name", "choice")
-    pairs = a.unionByName(b).distinct()
-    return pairs.filter((F.instr("choice", F.col("name")) > 0) | (F.instr("name", F.col("choice")) > 0))
+    """(name, choice, position) where one string contains the other.
+
+    Inputs hold distinct non-empty strings: `names.name`, `choices.choice`
+    (+ `position`). Both directions come out of one gram index over the union
+    of the two sides: every string is a container of all its 1-, 2- and
+    q-grams, and a pattern keyed by its rarest q-gram (itself when shorter
+    than q). One equi-join on the gram gives every containing pair.
+    """
+    strings = (names.select(F.col("name").alias("s"), F.lit(0).alias("side"),
+                            F.lit(None).cast("long").alias("position"))
+               .unionByName(choices.select(F.col("choice").alias("s"), F.lit(1).alias("side"), "position")))
+    s = F.col("s")
+    allg = F.array_distinct(F.flatten(F.array(_grams(s, 1), _grams(s, 2), _grams(s, Q))))
+    containers = strings.select("s", "side", "position",
+                                F.explode(F.filter(allg, lambda g: F.length(g) > 0)).alias("gram"))
+    freq = containers.groupBy("gram").agg(F.count(F.lit(1)).alias("freq"))
+    short = strings.filter(F.length(s) < Q).select("s", "side", "position", s.alias("gram"))
+    longp = (strings.filter(F.length(s) >= Q)
+             .select("s", "side", "position", F.explode(F.array_distinct(_grams(s, Q))).alias("gram"))
+             .join(freq, "gram")
+             .groupBy("s", "side", "position")
+             .agg(F.min_by("gram", F.struct("freq", "gram")).alias("gram")))
+    patterns = short.unionByName(longp)
+    p = patterns.select(F.col("s").alias("ps"), F.col("side").alias("pside"),
+                        F.col("position").alias("ppos"), "gram")
+    c = containers.select(F.col("s").alias("cs"), F.col("side").alias("cside"),
+                          F.col("position").alias("cpos"), "gram")
+    pairs = (p.join(c, "gram").filter(F.col("pside") != F.col("cside"))
+             .filter(F.instr("cs", F.col("ps")) > 0))
+    name_is_pattern = F.col("pside") == 0
+    return (pairs.select(F.when(name_is_pattern, F.col("ps")).otherwise(F.col("cs")).alias("name"),
+                         F.when(name_is_pattern, F.col("cs")).otherwise(F.col("ps")).alias("choice"),
+                         F.when(name_is_pattern, F.col("cpos")).otherwise(F.col("ppos")).alias("position"))
+            .distinct())
 
 
 def _tokens(s):
@@ -113,14 +116,14 @@ def resolve_keys(names: DataFrame, choices: DataFrame, cutoff: float | None = RA
     returns: name, resolved, rule (`contains` | `ratio` | `none`), score
     `cutoff=None` applies rule 1 and rule 3 only.
     """
-    nm = names.select("name").distinct()
+    # the distinct name and choice sets feed every branch below: compute them once
+    nm = materialize(names.select("name").distinct())
     nonempty = nm.filter(F.length("name") > 0)
-    ch = (choices.filter(F.length("choice") > 0)
-          .groupBy("choice").agg(F.min("position").alias("position")))
+    ch = materialize(choices.filter(F.length("choice") > 0)
+                     .groupBy("choice").agg(F.min("position").alias("position")))
     # rule 1: first containing choice in file order
-    r1 = (containment_candidates(nonempty, ch.select("choice"))
-          .join(ch, "choice")
-          .groupBy("name").agg(F.min_by("choice", F.col("position")).alias("resolved"))
+    r1 = (containment_candidates(nonempty, ch)
+          .groupBy("name").agg(F.min_by("choice", F.struct("position", "choice")).alias("resolved"))
           .withColumn("rule", F.lit("contains")).withColumn("score", F.lit(None).cast("double")))
     if cutoff is None:
         return (nm.join(r1, "name", "left")

@@ -59,3 +59,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 def bench_cpus() -> int:
     return int(os.environ.get("BENCH_CPUS", "8"))
+
+
+def materialize(df):
+    """Write `df` to the shared checkpoint dir and read it back (eager `checkpoint`).
+
+    Used where one intermediate feeds many branches of a plan: it is computed
+    once, and a lost executor does not force recomputing its lineage.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
