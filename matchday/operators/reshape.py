@@ -75,6 +75,13 @@ def drop_blank_rows(arr, field: str) -> Column:
     return F.filter(c, lambda r: F.coalesce(r[field], F.lit("x")) != "")
 
 
+def first_k(arr, k: int) -> Column:
+    """The first k entries of an array, in source order (ORD7: a season page lists
+    at most `k` matches; the source keeps the first 38)."""
+    c = F.col(arr) if isinstance(arr, str) else arr
+    return F.slice(c, 1, k)
+
+
 def document_key(c) -> Column:
     """File key from a name (ING8)."""
     return file_key(c)

@@ -34,6 +34,11 @@ def for_team(df: DataFrame, team: str, col: str = "team_name") -> DataFrame:
     return df.filter(c.isNotNull() & (F.lower(c) == team.lower()))
 
 
+def default_row(df: DataFrame, order_col: str = "rank", tiebreak: str = "team_name") -> DataFrame:
+    """ORD8: the first row by rank (the team selected when none is chosen)."""
+    return ranking.top_k(df, [F.col(order_col).asc_nulls_last(), F.col(tiebreak).asc()], 1)
+
+
 def player_profile(players: DataFrame, slug: str) -> DataFrame:
     """Q-API3: the player whose lower-cased name equals the slug with `-` as space (FLT8)."""
     hit = players.filter(F.lower("player_name") == text.slug_to_name(slug))

@@ -116,6 +116,7 @@ def test_enrich_and_serve(spark, lake):
 
     assert serve.for_team(read_latest(spark, f"{g}/team_summary"), "NORTHSIDE").count() == 1
     assert serve.for_team(read_latest(spark, f"{g}/team_summary"), "nobody").isEmpty()
+    assert serve.default_row(read_latest(spark, f"{g}/team_summary")).first().team_name == "Northside"
     assert serve.player_profile(enriched, "ayo-ràmos").first().player_name == "Ayo Ràmos"
     lead = serve.leaders(enriched, "total_goals").collect()
     assert [r.position for r in lead] == list(range(1, len(lead) + 1))

@@ -66,3 +66,20 @@ def test_bronze_stamp_partitioned(spark, tmp_path):
     stamped = export.stamp(df, "2026-03-21 09:00:00", "2026-03-21", "test").withColumn("load_date", F.lit("2026-03-21"))
     export.write_bronze(stamped, str(tmp_path / "b"))
     assert os.path.isdir(str(tmp_path / "b" / "load_date=2026-03-21"))
+
+
+def test_first_k_and_json_array_file(spark, tmp_path):
+    df = spark.createDataFrame([(list(range(50)),)], "a array<int>")
+    assert df.select(reshape.first_k("a", 38).alias("a")).first().a == list(range(38))
+    # SRC8: a file holding one JSON array of objects reads as one row per object
+    p = tmp_path / "badges.json"
+    p.write_text(json.dumps([{"team": "A", "badge_url": "a.png"}, {"team": "B", "badge_url": "b.png"}]))
+    from matchday import schemas
+    from matchday.sources.documents import read_documents
+    rows = read_documents(spark, str(p), schemas.BADGES, glob=None).collect()
+    assert [(r.team, r.badge_url) for r in rows] == [("A", "a.png"), ("B", "b.png")]
+
+
+def test_case_insensitive_field_access(spark):
+    df = spark.createDataFrame([(("X", "u"),)], "t struct<Team:string, URL:string>")
+    assert df.select(F.col("t.url")).first()[0] == "u"  # PRJ3
