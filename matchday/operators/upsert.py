@@ -80,8 +80,12 @@ def table_exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_snapshot(df: DataFrame, path: str, version: int) -> None:
-    """Write one immutable snapshot (SNK1 full overwrite = a new snapshot)."""
-    df.write.mode("errorifexists").parquet(f"{path.rstrip('/')}/{SNAPSHOT_COL}={version}")
+    """Write one immutable snapshot (SNK1 full overwrite = a new snapshot).
+
+    The target directory is new: no reader uses a version until it holds
+    data, so a retried job may overwrite what a failed attempt left there.
+    """
+    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{SNAPSHOT_COL}={version}")
 
 
 def overwrite(spark: SparkSession, df: DataFrame, path: str) -> int:

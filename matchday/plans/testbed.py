@@ -417,6 +417,20 @@ def q_summary_for_team(spark, d):
     return s.filter(F.lower("team_name") == SELECTED_TEAM.lower())
 
 
+def q_top_scorer_per_team(spark, d):
+    pm = player_matches(spark, d).filter(
+        (F.col("match_date") >= F.lit(SEASON_START).cast("date")) & (F.col("match_date") < F.lit(AS_OF).cast("date")))
+    per_player = pm.groupBy("team_key", "player_key").agg(F.sum("goals").cast("long").alias("goals"))
+    return aggregates.top_by(per_player, "team_key", "player_key", "goals", "player_key", "top_scorer")
+
+
+def q_text_functions(spark, d):
+    p = read_table(spark, d, "part")
+    return p.select("p_partkey", text.file_key("p_name").alias("name_key"),
+                    text.initials("p_name").alias("initials"), text.code3("p_type").alias("type_code"),
+                    text.first_part("p_brand", "#").alias("brand_label"))
+
+
 QUERIES: dict[str, Query] = {
     "player_scoring_stats": q_player_scoring_stats,
     "team_form_last5": q_team_form_last5,
@@ -450,6 +464,8 @@ QUERIES: dict[str, Query] = {
     "name_resolution_ratio": q_name_resolution_ratio,
     "export_roundtrip": q_export_roundtrip,
     "summary_for_team": q_summary_for_team,
+    "top_scorer_per_team": q_top_scorer_per_team,
+    "text_functions": q_text_functions,
 }
 
 
@@ -668,4 +684,16 @@ ORACLE_SQL: dict[str, str] = {
     "export_roundtrip": "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer",
     "summary_for_team": _with(_TM, _FORM, _NEXT, _SUMMARY)
     + f"SELECT * FROM summary WHERE lower(team_name) = '{SELECTED_TEAM.lower()}'",
+    "top_scorer_per_team": _with(_PM) + f"""SELECT team_key, player_key AS top_scorer FROM (
+        SELECT team_key, player_key, row_number() OVER (PARTITION BY team_key ORDER BY goals DESC NULLS LAST,
+               player_key) AS rn
+        FROM (SELECT team_key, player_key, CAST(sum(goals) AS BIGINT) AS goals FROM player_matches
+              WHERE match_date >= DATE '{SEASON_START}' AND match_date < DATE '{AS_OF}'
+              GROUP BY team_key, player_key) g) t
+      WHERE rn = 1""",
+    "text_functions": """SELECT p_partkey, lower(regexp_replace(trim(p_name), ' ', '_', 'g')) AS name_key,
+        upper(concat(substr(string_split(trim(p_name), ' ')[1], 1, 1), substr(string_split(trim(p_name), ' ')[2], 1, 1)))
+          AS initials,
+        upper(substr(p_type, 1, 3)) AS type_code, string_split(p_brand, '#')[1] AS brand_label
+      FROM part""",
 }

@@ -40,6 +40,27 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
+def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int,
+                 target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Partition settings for a cluster run, sized from the input volume.
+
+    Scan splits and post-shuffle partitions aim at `target_partition_bytes`
+    (256 MB: fits executor memory with room for sort/aggregation buffers);
+    the initial shuffle partition count is a multiple of the total cores so
+    every wave is full, and AQE coalesces or splits from there at runtime.
+    """
+    cores = max(1, executors * cores_per_executor)
+    by_size = -(-input_bytes // target_partition_bytes)
+    shuffle = max(cores, -(-by_size // cores) * cores)
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    }
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's checkpoint dir; set a local one only when unset (tests)."""
     current = spark.conf.get("spark.checkpoint.dir", None)

@@ -137,3 +137,21 @@ def test_enrich_and_serve(spark, lake):
     assert {r.team_name: r.zone for r in table}["Northside"] == "top"
     tp = serve.tactics_performance(read_latest(spark, f"{g}/team_tactics")).collect()
     assert all(r.flag in ("over", "under", "par") for r in tp)
+
+
+def test_cli_runs_silver_and_gold(spark, tmp_path, capsys):
+    from matchday.__main__ import main
+    root = str(tmp_path / "lake")
+    fixtures.write_bronze(root, two_loads=False)
+    main(["silver", "--root", root])
+    main(["gold", "--root", root, "--as-of", "2026-03-21"])
+    out = capsys.readouterr().out
+    assert '"team_matches": 0' in out and '"team_summary": 0' in out
+    assert read_latest(spark, f"{root}/gold/team_summary").count() == 4
+
+
+def test_cluster_conf_sizes_partitions():
+    from matchday.session import cluster_conf
+    conf = cluster_conf(100 << 40, executors=1000, cores_per_executor=8)
+    n = int(conf["spark.sql.shuffle.partitions"])
+    assert n % 8000 == 0 and n * (256 << 20) >= (100 << 40)
