@@ -302,7 +302,8 @@ def q_safe_casts(spark, d):
         casts.to_int(vtext).alias("value_as_int"),
         casts.to_int_truncated(vtext).alias("value_trunc"),
         casts.to_double(vtext).alias("value_back"),
-        F.unix_timestamp(casts.parse_timestamp(ts_text)).alias("ts_seconds"),
+        # parse, then back to wall-clock time: independent of the session time zone
+        casts.parse_timestamp(ts_text).cast("timestamp_ntz").alias("ts_parsed"),
         casts.parse_match_date(casts.format_match_date(F.col("ts").cast("date"))).alias("date_roundtrip"),
         casts.parse_match_date("event_type").alias("bad_date"))
 
@@ -640,7 +641,7 @@ ORACLE_SQL: dict[str, str] = {
         {_int_text("CAST(value AS VARCHAR)")} AS value_as_int,
         CAST(trunc(TRY_CAST(CAST(value AS VARCHAR) AS DOUBLE)) AS INTEGER) AS value_trunc,
         TRY_CAST(CAST(value AS VARCHAR) AS DOUBLE) AS value_back,
-        CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS ts_seconds,
+        date_trunc('second', ts) AS ts_parsed,
         CAST(ts AS DATE) AS date_roundtrip,
         CAST(TRY_STRPTIME(event_type, '%b %d, %Y') AS DATE) AS bad_date
       FROM events""",
