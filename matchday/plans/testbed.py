@@ -4,7 +4,7 @@ The football data model is mapped onto the TPC-H-style tables:
 
 * a *team* is a customer; a *team match* is an order (`team_matches`): the
   date is `o_orderdate`, the opponent label is `o_orderpriority`, the side is
-  the order key's parity, the result comes from `o_orderstatus`
+  home for the three highest priorities, the result comes from `o_orderstatus`
   (F win, O draw, P loss, anything else unknown), goals scored are the
   priority digit and goals conceded follow from the result;
 * a *player* is a supplier; a *player match* is a line item
@@ -41,6 +41,7 @@ SELECTED_TEAM = "CUSTOMER#000000007"
 SELECTED_SLUG = "CUSTOMER-000000042"
 SELECTED_NATION = "nation_7"
 SELECTED_PART = 42
+HOME_PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM")  # these orders are "home" matches
 FORM_LENGTH = 5
 RECENT_LIMIT = 20
 LEADERS_LIMIT = 10
@@ -66,7 +67,7 @@ def team_matches(spark: SparkSession, d: str) -> DataFrame:
         F.col("o_orderdate").cast("date").alias("match_date"),
         F.date_format("o_orderdate", "HH:mm").alias("kickoff"),
         F.col("o_orderpriority").alias("opponent"),
-        F.when(F.col("o_orderkey") % 2 == 0, "h").otherwise("a").alias("home_away"),
+        F.when(F.col("o_orderpriority").isin(*HOME_PRIORITIES), "h").otherwise("a").alias("home_away"),
         result.alias("result_status"),
         scored.alias("goals_scored"),
         (F.col("o_totalprice") / 100000).alias("xg_for"),
@@ -245,7 +246,7 @@ def q_outcome_labels(spark, d):
         "team_key", "match_key",
         metrics.outcome("goals_scored", "goals_conceded").alias("outcome"),
         metrics.side_label("home_away").alias("side"),
-        text.code3(F.substring("opponent", 3, 100)).alias("code"),
+        text.code3(F.substr("opponent", F.lit(3))).alias("code"),
         text.first_part(casts.format_match_date("match_date")).alias("date_label"))
 
 
@@ -399,7 +400,7 @@ def q_name_resolution_contains(spark, d):
 def q_name_resolution_ratio(spark, d):
     p = read_table(spark, d, "part")
     # names = product names with their second letter dropped
-    names = p.select(F.concat(F.substring("p_name", 1, 1), F.substring("p_name", 3, 1000)).alias("n")).distinct()
+    names = p.select(F.concat(F.substring("p_name", 1, 1), F.substr("p_name", F.lit(3))).alias("n")).distinct()
     choices = p.groupBy("p_name").agg(F.min("p_partkey").alias("position"))
     keys = resolve.resolve_keys(clean_names(names, "n", "name").select("name"),
                                 clean_names(choices, "p_name", "choice").select("choice", "position"))
@@ -490,7 +491,8 @@ _TM = f"""team_matches AS (
                                WHEN 'w' THEN goals_scored - 1 END AS goals_conceded
   FROM (SELECT o_custkey AS team_key, o_orderkey AS match_key, CAST(o_orderdate AS DATE) AS match_date,
                strftime(o_orderdate, '%H:%M') AS kickoff, o_orderpriority AS opponent,
-               CASE WHEN o_orderkey % 2 = 0 THEN 'h' ELSE 'a' END AS home_away,
+               CASE WHEN o_orderpriority IN ({", ".join(repr(p) for p in HOME_PRIORITIES)}) THEN 'h' ELSE 'a' END
+                 AS home_away,
                CASE o_orderstatus WHEN 'F' THEN 'w' WHEN 'O' THEN 'd' WHEN 'P' THEN 'l' END AS result_status,
                {_int_text("substr(o_orderpriority, 1, 1)")} AS goals_scored,
                o_totalprice / 100000 AS xg_for, o_totalprice / 200000 AS xg_against
@@ -608,7 +610,7 @@ ORACLE_SQL: dict[str, str] = {
         CASE WHEN goals_scored > goals_conceded THEN 'W' WHEN goals_scored < goals_conceded THEN 'L' ELSE 'D' END
           AS outcome,
         CASE WHEN home_away = 'h' THEN 'HOME' ELSE 'AWAY' END AS side,
-        upper(substr(substr(opponent, 3, 100), 1, 3)) AS code,
+        upper(substr(substr(opponent, 3), 1, 3)) AS code,
         split_part(strftime(match_date, '%b %-d, %Y'), ',', 1) AS date_label
       FROM team_matches""",
     "similar_items": f"""WITH sel AS (SELECT p_type FROM part WHERE p_partkey = {SELECTED_PART}),
