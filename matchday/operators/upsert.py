@@ -39,12 +39,26 @@ def dedupe_latest(df: DataFrame, keys: Sequence[str], order_col: str = "updated_
     return first_per_key(df, list(keys), order)
 
 
+def merge_source(source: DataFrame, keys: Sequence[str], order_col: str = "updated_at",
+                 tiebreak: Sequence[str] = ()) -> DataFrame:
+    """Latest row per key (SNK4), except rows with a null key: those can never
+    match under `=`, so each one is kept as its own insert, as MERGE does."""
+    keys = list(keys)
+    any_null = F.lit(False)
+    for k in keys:
+        any_null = any_null | F.col(k).isNull()
+    # a null-key row gets a group of its own; other rows group by key
+    solo = F.when(any_null, F.monotonically_increasing_id())
+    order = [F.col(order_col).desc_nulls_last()] + [F.col(t).desc_nulls_last() for t in tiebreak]
+    return first_per_key(source.withColumn("_solo", solo), keys + ["_solo"], order).drop("_solo")
+
+
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
            order_col: str = "updated_at", tiebreak: Sequence[str] = (),
            dedupe: bool = True) -> DataFrame:
     """Update-all / insert-all merge of `source` into `target` on `keys` (SNK2, JN6, JN7, SET3)."""
     keys = list(keys)
-    src = dedupe_latest(source, keys, order_col, tiebreak) if dedupe else source
+    src = merge_source(source, keys, order_col, tiebreak) if dedupe else source
     kept = target.join(src.select(*keys), on=keys, how="left_anti")
     return src.unionByName(kept, allowMissingColumns=True)
 
@@ -102,7 +116,7 @@ def merge_into(spark: SparkSession, path: str, source: DataFrame, keys: Sequence
     loads upsert into the current snapshot. Returns the version written."""
     v = latest_version(spark, path)
     if v is None:
-        out = dedupe_latest(source, keys, order_col, tiebreak)
+        out = merge_source(source, keys, order_col, tiebreak)
         nv = 0
     else:
         target = spark.read.parquet(path).filter(F.col(SNAPSHOT_COL) == v).drop(SNAPSHOT_COL)

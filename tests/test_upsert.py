@@ -57,3 +57,9 @@ def test_dedupe_latest_defined_row(spark):
     df = spark.createDataFrame([("a", 1, T1), ("a", 2, T2), ("a", 3, T2)], SCHEMA)
     out = upsert.dedupe_latest(df, ["team"], "updated_at", ["v"]).collect()
     assert [(r.team, r.v) for r in out] == [("a", 3)]
+
+
+def test_null_key_source_rows_all_insert(spark):
+    target = spark.createDataFrame([("a", 1, T1)], SCHEMA)
+    source = spark.createDataFrame([(None, 5, T2), (None, 6, T2), ("a", 2, T2), ("a", 3, T1)], SCHEMA)
+    assert _rows(upsert.upsert(target, source, ["team"])) == [(None, 5), (None, 6), ("a", 2)]
