@@ -74,11 +74,12 @@ def _read_all(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame
 
 def latest_version(spark: SparkSession, path: str) -> int | None:
     """Highest snapshot number, from the partition directory listing (no data scan)."""
+    from ..sources.snapshots import partition_values
     df = _read_all(spark, path)
     if df is None or SNAPSHOT_COL not in df.columns:
         return None
-    row = df.agg(F.max(SNAPSHOT_COL).alias("v")).first()
-    return None if row is None or row["v"] is None else int(row["v"])
+    vals = [int(v) for v in partition_values(df, SNAPSHOT_COL)]
+    return max(vals) if vals else None
 
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame:

@@ -8,20 +8,52 @@ is a partition filter: only the newest folder is read.
 
 from __future__ import annotations
 
+import datetime as dt
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import NoSnapshotError
 
 
+def partition_values(df: DataFrame, col: str) -> set[str]:
+    """Values of a Hive-style partition column, from the file listing only.
+
+    `max(partition_col)` as a query would read every file of every load
+    (Spark's metadata-only answer is off by default); the listing is metadata
+    the driver holds for planning anyway.
+    """
+    pat = re.compile(rf"/{re.escape(col)}=([^/]+)/")
+    return {unquote(m.group(1)) for f in df.inputFiles() for m in [pat.search(f)] if m}
+
+
+def _typed(v: str, dtype: T.DataType):
+    if isinstance(dtype, T.DateType):
+        return dt.date.fromisoformat(v)
+    if isinstance(dtype, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
+        return int(v)
+    return v
+
+
 def latest_value(df: DataFrame, col: str = "load_date"):
-    """Largest value of a (partition) column, or None when there is no data."""
+    """Largest value of a partition column (from the listing), else of a data column."""
+    vals = partition_values(df, col)
+    if vals:
+        dtype = df.schema[col].dataType
+        return max(_typed(v, dtype) for v in vals)
     row = df.agg(F.max(col).alias("m")).first()
     return None if row is None else row["m"]
 
 
 def latest_snapshot(df: DataFrame, col: str = "load_date") -> DataFrame:
-    """Rows of the newest load only; raises `NoSnapshotError` on an empty source (SRC5)."""
+    """Rows of the newest load folder only; raises `NoSnapshotError` on an empty source (SRC5).
+
+    "Newest" is taken over the source's folders (as the folder glob did), so
+    call this on the scanned source, before filters on data columns.
+    """
     v = latest_value(df, col)
     if v is None:
         raise NoSnapshotError(f"no `{col}` load found")
