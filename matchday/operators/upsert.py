@@ -87,7 +87,12 @@ def read_latest(spark: SparkSession, path: str) -> DataFrame:
     v = latest_version(spark, path)
     if v is None:
         raise NoSnapshotError(f"no snapshot under {path}")
-    return spark.read.parquet(path).filter(F.col(SNAPSHOT_COL) == v).drop(SNAPSHOT_COL)
+    return read_version(spark, path, v)
+
+
+def read_version(spark: SparkSession, path: str, version: int) -> DataFrame:
+    """One snapshot, read from its own directory (its own schema; no other version listed)."""
+    return spark.read.parquet(f"{path.rstrip('/')}/{SNAPSHOT_COL}={version}")
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
@@ -120,7 +125,7 @@ def merge_into(spark: SparkSession, path: str, source: DataFrame, keys: Sequence
         out = merge_source(source, keys, order_col, tiebreak)
         nv = 0
     else:
-        target = spark.read.parquet(path).filter(F.col(SNAPSHOT_COL) == v).drop(SNAPSHOT_COL)
+        target = read_version(spark, path, v)
         out = upsert(target, source, keys, order_col, tiebreak)
         nv = v + 1
     write_snapshot(out, path, nv)
