@@ -2,8 +2,9 @@
 
 Join strategy is left to Catalyst and AQE: with adaptive execution on, a side
 that turns out small at runtime becomes a broadcast, a big one stays a
-sort-merge join, and skewed partitions are split. `lookup` broadcasts a
-dimension only after proving it has at most `max_rows` rows.
+sort-merge join, and skewed partitions are split. An explicit broadcast hint
+is given only for a side with a bound known from the domain, or after
+`has_at_most` has counted it.
 """
 
 from __future__ import annotations
@@ -55,10 +56,13 @@ def lookup(df: DataFrame, dim: DataFrame, left_key: str, dim_key: str, prefix: s
 
     Call twice with different keys/prefixes for a dimension used in two roles
     (badge of the team and badge of the opponent). `dim_small=True` states a
-    bound known from the domain (a league has 20 clubs); `None` checks it.
+    bound known from the domain (25 nations, a league's clubs) and broadcasts;
+    `None` leaves the choice to Spark's size checks (the planner's estimate
+    against `autoBroadcastJoinThreshold`, then AQE's runtime statistics);
+    `"check"` counts at most `BROADCAST_MAX_ROWS + 1` rows first.
     """
     d = dim.select(F.col(dim_key).alias(f"{prefix}_key"), *[F.col(c).alias(prefix + c) for c in columns])
-    if dim_small is None:
+    if dim_small == "check":
         d = maybe_broadcast(d)
     elif dim_small:
         d = F.broadcast(d)

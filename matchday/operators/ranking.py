@@ -90,8 +90,8 @@ def global_row_number(df: DataFrame, order, alias: str = "rank",
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     numbered = (df.repartitionByRange(n, *order)
                 .sortWithinPartitions(*order)
-                .withColumn("_pid", F.spark_partition_id())
-                .withColumn("_local", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_BITS)))
+                .withColumns({"_pid": F.spark_partition_id(),
+                              "_local": F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_BITS))})
                 .persist(StorageLevel.MEMORY_AND_DISK))
     counts = numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # One row per partition: the only unpartitioned windows here hold n rows.
@@ -99,11 +99,10 @@ def global_row_number(df: DataFrame, order, alias: str = "rank",
         "_pid",
         F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)).alias("_off"),
         F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("_total"))
-    out = (numbered.join(F.broadcast(offsets), "_pid")
-           .withColumn(alias, (F.coalesce(F.col("_off"), F.lit(0)) + F.col("_local") + 1).cast("long")))
-    if total_alias:
-        out = out.withColumnRenamed("_total", total_alias)
-    return out.drop("_pid", "_local", "_off", "_total")
+    j = numbered.join(F.broadcast(offsets), "_pid")
+    rank = (F.coalesce(F.col("_off"), F.lit(0)) + F.col("_local") + 1).cast("long").alias(alias)
+    extra = [F.col("_total").alias(total_alias)] if total_alias else []
+    return j.select(*[F.col(f"`{c}`") for c in df.columns], rank, *extra)
 
 
 def top_k(df: DataFrame, order, k: int) -> DataFrame:

@@ -56,9 +56,9 @@ def league_table(summary: DataFrame, badges: DataFrame | None = None) -> DataFra
     out = (summary.withColumn("zone", metrics.zone("rank", F.lit(n_teams)))
            .withColumn("code", text.code3("team_name")))
     if badges is not None:
-        # a league has a few dozen clubs: the badge list is small by domain, and checked
-        out = joins.lookup(out, badges, "team_name", "team", "team_", ["badge_url"], dim_small=None)
-        out = joins.lookup(out, badges, "next_opponent", "team", "opponent_", ["badge_url"], dim_small=None)
+        # one badge per club of the league: small by domain, counted before broadcasting
+        out = joins.lookup(out, badges, "team_name", "team", "team_", ["badge_url"], dim_small="check")
+        out = joins.lookup(out, badges, "next_opponent", "team", "opponent_", ["badge_url"], dim_small="check")
     return out
 
 

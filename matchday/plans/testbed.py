@@ -141,11 +141,11 @@ def standings(spark, d) -> DataFrame:
     cust = read_table(spark, d, "customer").select(F.col("c_custkey").alias("team_key"),
                                                    F.col("c_name").alias("team_name"))
     zero = ["matches_played", "wins", "draws", "losses", "goals_for", "goals_against"]
-    base = cust.join(st, "team_key", "left")
-    for c in zero:
-        base = base.withColumn(c, F.coalesce(F.col(c), F.lit(0)))
-    return (base.withColumn("points", (F.col("wins") * 3 + F.col("draws")).cast("int"))
-            .withColumn("goal_difference", metrics.difference("goals_for", "goals_against", None)))
+    base = cust.join(st, "team_key", "left").select(
+        "team_key", "team_name", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in zero])
+    return base.withColumns({
+        "points": (F.col("wins") * 3 + F.col("draws")).cast("int"),
+        "goal_difference": metrics.difference("goals_for", "goals_against", None)})
 
 
 def q_team_summary(spark, d):
