@@ -15,7 +15,6 @@ Scale notes
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
@@ -86,9 +85,10 @@ def global_row_number(df: DataFrame, order, alias: str = "rank",
     The cache is released with the session or by `spark.catalog.clearCache()`.
     """
     order = _cols(order)
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    numbered = (df.repartitionByRange(n, *order)
+    # Without a fixed count AQE may merge neighbouring range partitions; they stay
+    # contiguous and in order, and both branches read the persisted result.
+    parted = df.repartitionByRange(num_partitions, *order) if num_partitions else df.repartitionByRange(*order)
+    numbered = (parted
                 .sortWithinPartitions(*order)
                 .withColumns({"_pid": F.spark_partition_id(),
                               "_local": F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_BITS))})
