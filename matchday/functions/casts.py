@@ -10,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed formats of the source pages.
+# Fixed formats of the source pages: team pages write `Sep 29, 2025`,
+# player match tables `2025-09-29`.
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
 MATCH_DATE_FORMAT = "MMM d, yyyy"
+ISO_DATE_FORMAT = "yyyy-MM-dd"
 
 
 def _col(c) -> Column:
@@ -51,10 +53,15 @@ def parse_timestamp(c, fmt: str = TIMESTAMP_FORMAT) -> Column:
     return F.when(x.rlike("[0-9]"), F.try_to_timestamp(x, F.lit(fmt)))
 
 
-def parse_match_date(c, fmt: str = MATCH_DATE_FORMAT) -> Column:
-    """`Sep 29, 2025` -> date, so dates sort chronologically, not as text (SC11, Q1)."""
+def parse_match_date(c, fmt: str | None = None) -> Column:
+    """`Sep 29, 2025` or `2025-09-29` -> date, so dates sort chronologically, not
+    as text (SC11, Q1). With `fmt`, only that format is accepted."""
     x = _col(c)
-    return F.when(x.rlike("[0-9]"), F.try_to_date(x, fmt))
+    if fmt:
+        return F.when(x.rlike("[0-9]"), F.try_to_date(x, fmt))
+    # each format is tried only on text of its shape (no parse-failure path)
+    return (F.when(x.rlike(r"^\s*[0-9]{4}-"), F.try_to_date(x, ISO_DATE_FORMAT))
+            .when(x.rlike("[A-Za-z]") & x.rlike("[0-9]"), F.try_to_date(x, MATCH_DATE_FORMAT)))
 
 
 def format_match_date(c, fmt: str = MATCH_DATE_FORMAT) -> Column:

@@ -6,6 +6,8 @@ bronze folders and merges each result into its snapshot table.
 Decisions on the source's quirks (see SURVEY quirks):
 * dates are parsed to `DateType`, so "recent" means chronological (Q1);
 * every merge source is de-duplicated latest-wins on its merge key (Q2, Q3);
+  a row whose key did not type (a date that does not parse) is kept as its own
+  row rather than merged with others on a null key;
 * standings keep expected goals as double; `truncate_xg=True` gives the
   source's integer truncation instead (Q4).
 """
@@ -19,7 +21,7 @@ from .. import schemas
 from ..functions.casts import parse_match_date, parse_timestamp, to_double, to_int, to_int_truncated
 from ..operators.nested import cell, expand_struct, explode_records
 from ..operators.reshape import flatten_roster
-from ..operators.upsert import dedupe_latest, merge_into, overwrite
+from ..operators.upsert import merge_into, merge_source, overwrite
 from ..sources.documents import read_documents
 from ..sources.snapshots import latest_snapshot
 
@@ -50,7 +52,7 @@ def league_standings(bronze: DataFrame, truncate_xg: bool = False) -> DataFrame:
         xg(cell(d, 11)).alias("xG_against"),
         parse_timestamp("_ts").alias("updated_at"),
         F.col("load_date"))
-    return dedupe_latest(typed, schemas.KEYS["league_standings"], "load_date", ["updated_at"])
+    return merge_source(typed, schemas.KEYS["league_standings"], "load_date", ["updated_at"])
 
 
 def team_matches(docs: DataFrame) -> DataFrame:
@@ -67,7 +69,7 @@ def team_matches(docs: DataFrame) -> DataFrame:
         to_double("m.team_xg").alias("xg_for"),
         to_double("m.opponent_xg").alias("xg_against"),
         *_stamp_cols())
-    return dedupe_latest(typed, schemas.KEYS["team_matches"], "load_date", ["updated_at"])
+    return merge_source(typed, schemas.KEYS["team_matches"], "load_date", ["updated_at"])
 
 
 def team_statistics(docs: DataFrame) -> DataFrame:
@@ -76,7 +78,7 @@ def team_statistics(docs: DataFrame) -> DataFrame:
     rows = explode_records(docs, "statistics", "stat", keep=["team_name", "meta", "load_date"])
     flat = expand_struct(rows, "stat", known=schemas.STAT_FIELDS, rest_alias="extra")
     typed = flat.select("team_name", *schemas.STAT_FIELDS, "extra", *_stamp_cols())
-    return dedupe_latest(typed, schemas.KEYS["team_statistics"], "updated_at")
+    return merge_source(typed, schemas.KEYS["team_statistics"], "updated_at")
 
 
 def team_fixtures(docs: DataFrame) -> DataFrame:
@@ -89,7 +91,7 @@ def team_fixtures(docs: DataFrame) -> DataFrame:
         F.col("f.opponent").alias("opponent"),
         F.col("f.side").alias("home_away"),
         *_stamp_cols())
-    return dedupe_latest(typed, schemas.KEYS["team_fixtures"], "load_date", ["updated_at"])
+    return merge_source(typed, schemas.KEYS["team_fixtures"], "load_date", ["updated_at"])
 
 
 def team_rosters(docs: DataFrame) -> DataFrame:
@@ -114,7 +116,7 @@ def player_seasons(docs: DataFrame) -> DataFrame:
         to_double("s.xG").alias("xg"),
         to_double("s.xA").alias("xa"),
         *_stamp_cols())
-    return dedupe_latest(typed, schemas.KEYS["player_seasons"], "load_date", ["updated_at"])
+    return merge_source(typed, schemas.KEYS["player_seasons"], "load_date", ["updated_at"])
 
 
 def player_matches(docs: DataFrame) -> DataFrame:
@@ -136,7 +138,7 @@ def player_matches(docs: DataFrame) -> DataFrame:
         to_double("m.xG").alias("xg"),
         to_double("m.xA").alias("xa"),
         *_stamp_cols())
-    return dedupe_latest(typed, schemas.KEYS["player_matches"], "load_date", ["updated_at", "player_url"])
+    return merge_source(typed, schemas.KEYS["player_matches"], "load_date", ["updated_at", "player_url"])
 
 
 def run_silver(spark: SparkSession, bronze_root: str, silver_root: str) -> dict[str, int]:

@@ -306,6 +306,7 @@ def q_safe_casts(spark, d):
         # parse, then back to wall-clock time: independent of the session time zone
         casts.parse_timestamp(ts_text).cast("timestamp_ntz").alias("ts_parsed"),
         casts.parse_match_date(casts.format_match_date(F.col("ts").cast("date"))).alias("date_roundtrip"),
+        casts.parse_match_date(F.date_format("ts", "yyyy-MM-dd")).alias("iso_roundtrip"),
         casts.parse_match_date("event_type").alias("bad_date"))
 
 
@@ -645,6 +646,7 @@ ORACLE_SQL: dict[str, str] = {
         TRY_CAST(CAST(value AS VARCHAR) AS DOUBLE) AS value_back,
         date_trunc('second', ts) AS ts_parsed,
         CAST(ts AS DATE) AS date_roundtrip,
+        CAST(ts AS DATE) AS iso_roundtrip,
         CAST(TRY_STRPTIME(event_type, '%b %d, %Y') AS DATE) AS bad_date
       FROM events""",
     "upsert_latest": f"""WITH t AS ({_EV_LATEST.format(where=f"WHERE ts < TIMESTAMP '{UPSERT_SPLIT}'")}),

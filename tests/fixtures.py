@@ -103,10 +103,10 @@ PLAYERS = {
             _season("", "", "", "13", "945", "7", "2", "", "", "6.20", "1.90"),
         ],
         "match_performance": [
-            _pmatch("Sep 29, 2025", "Northside", "2-1", "Harbour City", "FW", "90", "4", "2", "1", "0", "1.50", "0.20"),
-            _pmatch("Mar 1, 2026", "Brighton", "1-1", "Northside", "FW", "80", "3", "1", "2", "0", "0.70", "0.10"),
-            _pmatch("Mar 1, 2026", "Brighton", "1-1", "Northside", "FW", "80", "3", "1", "2", "0", "0.70", "0.10"),
-            _pmatch("May 3, 2025", "Harbour City", "1-0", "Northside", "FW", "60", "1", "0", "0", "0", "", ""),
+            _pmatch("2025-09-29", "Northside", "2-1", "Harbour City", "FW", "90", "4", "2", "1", "0", "1.50", "0.20"),
+            _pmatch("2026-03-01", "Brighton", "1-1", "Northside", "FW", "80", "3", "1", "2", "0", "0.70", "0.10"),
+            _pmatch("2026-03-01", "Brighton", "1-1", "Northside", "FW", "80", "3", "1", "2", "0", "0.70", "0.10"),
+            _pmatch("2025-05-03", "Harbour City", "1-0", "Northside", "FW", "60", "1", "0", "0", "0", "", ""),
             _pmatch("", "", "", "", "", "", "", "", "", "", "", ""),
         ],
     },
@@ -114,15 +114,15 @@ PLAYERS = {
         "player_name": "Ben Oduya", "player_url": "p/2",
         "seasonal_performance": [],
         "match_performance": [
-            _pmatch("Feb 9, 2026", "Northside", "4-0", "Ålesund Rovers", "DF", "90", "0", "0", "1", "1", "", "0.30"),
-            _pmatch("Jan 10, 2026", "Northside", "2-0", "Brighton", "DF", "12.5", "0", "0", "0", "0", "0.05", "0.00"),
+            _pmatch("2026-02-09", "Northside", "4-0", "Ålesund Rovers", "DF", "90", "0", "0", "1", "1", "", "0.30"),
+            _pmatch("2026-01-10", "Northside", "2-0", "Brighton", "DF", "12.5", "0", "0", "0", "0", "0.05", "0.00"),
         ],
     },
     "carl_sub": {
         "player_name": "Carl Sub", "player_url": "p/3",
         "seasonal_performance": [],
         "match_performance": [
-            _pmatch("Feb 9, 2026", "Northside", "4-0", "Ålesund Rovers", "MF", "0", "0", "0", "0", "0", "", ""),
+            _pmatch("2026-02-09", "Northside", "4-0", "Ålesund Rovers", "MF", "0", "0", "0", "0", "0", "", ""),
         ],
     },
 }

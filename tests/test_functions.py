@@ -75,3 +75,9 @@ def test_clean_name(spark):
     for n in names:
         assert via_udf[n] == clean_name_py(n) == via_split[n], n
     assert via_udf["Straße"] == "strasse" and via_udf["Ayo Ràmos"] == "ayo ramos"
+
+
+def test_both_date_formats(spark):
+    df = spark.createDataFrame([("2025-09-29",), ("Sep 29, 2025",), ("2025-13-01",), ("Sept 29",), ("",)], "s string")
+    got = [r.d for r in df.select(casts.parse_match_date("s").alias("d")).collect()]
+    assert got == [dt.date(2025, 9, 29), dt.date(2025, 9, 29), None, None, None]
