@@ -8,10 +8,14 @@ and colliding column names get a suffix.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions.names import clean_names
 from ..operators.nested import find_column
-from ..operators.resolve import enrich
+from ..operators.resolve import enrich, resolve_keys
 
 PLAYER_SUFFIX = "_add"
 BADGE_SUFFIX = "_badge"
@@ -27,3 +31,39 @@ def enrich_teams(summary: DataFrame, badges: DataFrame, on_duplicate: str = "fir
     left_col = find_column(summary, "team")
     right_col = find_column(badges, "team")
     return enrich(summary, left_col, badges, right_col, BADGE_SUFFIX, unique=on_duplicate)
+
+
+def alias_table(names: DataFrame, name_col: str, canonical: DataFrame, canonical_col: str,
+                position_col: str | None = None) -> DataFrame:
+    """(name, canonical) for every distinct name, resolved against the canonical
+    list in its order (Q7). Names that resolve to nothing keep their spelling."""
+    canon = canonical.select(F.col(canonical_col).alias("_canon"),
+                             (F.col(position_col) if position_col else F.monotonically_increasing_id())
+                             .alias("position"))
+    canon = clean_names(canon, "_canon", "choice")
+    first = canon.groupBy("choice").agg(F.min_by("_canon", "position").alias("canonical"),
+                                        F.min("position").alias("position"))
+    raw = names.select(F.col(name_col).alias("name_raw")).distinct()
+    raw = clean_names(raw, "name_raw", "name")
+    keys = resolve_keys(raw.select("name"), first.select("choice", "position"))
+    return (raw.join(keys, "name")
+            .join(first.select(F.col("choice").alias("resolved"), "canonical"), "resolved", "left")
+            .select(F.col("name_raw").alias("name"),
+                    F.when(F.col("rule") == "none", F.col("name_raw"))
+                    .otherwise(F.col("canonical")).alias("canonical")))
+
+
+def conform_names(df: DataFrame, cols: Sequence[str], canonical: DataFrame, canonical_col: str) -> DataFrame:
+    """Rewrite the team-name columns `cols` to the canonical spelling, once, before
+    any join on names (Q7: `Brighton` and `Brighton and Hove Albion` become one)."""
+    names = None
+    for c in cols:
+        part = df.select(F.col(c).alias("_n")).filter(F.col("_n").isNotNull())
+        names = part if names is None else names.unionByName(part)
+    aliases = alias_table(names, "_n", canonical, canonical_col)
+    out = df
+    for c in cols:
+        a = aliases.select(F.col("name").alias(c), F.col("canonical").alias(f"_{c}_canon"))
+        out = (out.join(a, c, "left")
+               .withColumn(c, F.coalesce(F.col(f"_{c}_canon"), F.col(c))).drop(f"_{c}_canon"))
+    return out.select(*df.columns)

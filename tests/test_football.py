@@ -155,3 +155,13 @@ def test_cluster_conf_sizes_partitions():
     conf = cluster_conf(100 << 40, executors=1000, cores_per_executor=8)
     n = int(conf["spark.sql.shuffle.partitions"])
     assert n % 8000 == 0 and n * (256 << 20) >= (100 << 40)
+
+
+def test_conform_names_once_in_silver(spark, lake):
+    matches = read_latest(spark, f"{lake['silver']}/team_matches")
+    badges = spark.createDataFrame(fixtures.BADGES, schemas.BADGES)
+    out = enrich.conform_names(matches, ["team_name", "opponent"], badges, "team")
+    names = {r.team_name for r in out.collect()} | {r.opponent for r in out.collect()}
+    assert "Brighton and Hove Albion" in names and "Brighton" not in names
+    assert "Northside FC" in names and "Alesund Rovers" in names
+    assert out.count() == matches.count()
