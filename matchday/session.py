@@ -64,9 +64,16 @@ def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint dir; set a local one only when unset (tests)."""
+    """Return the cluster's shared checkpoint dir (`spark.checkpoint.dir`).
+
+    Only a local-mode session (tests, one machine) without one gets a
+    temporary folder; on a cluster a machine-local folder would not be seen
+    by the executors, so a missing setting is an error.
+    """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...) for this cluster")
         current = tempfile.mkdtemp(prefix="matchday-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if spark.sparkContext.getCheckpointDir() is None:
