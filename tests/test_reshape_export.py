@@ -83,3 +83,13 @@ def test_first_k_and_json_array_file(spark, tmp_path):
 def test_case_insensitive_field_access(spark):
     df = spark.createDataFrame([(("X", "u"),)], "t struct<Team:string, URL:string>")
     assert df.select(F.col("t.url")).first()[0] == "u"  # PRJ3
+
+
+def test_view_and_optional_source(spark, tmp_path):
+    from matchday.operators.upsert import read_latest
+    from matchday.sources.tables import optional_table, register_view
+    register_view(spark.createDataFrame([(1, "a")], "k int, v string"), "tiny_view")
+    assert spark.sql("SELECT v FROM tiny_view WHERE k = 1").first().v == "a"  # SRC9
+    missing = str(tmp_path / "nothing_here")
+    assert optional_table(lambda: read_latest(spark, missing)) is None  # SRC7
+    assert optional_table(lambda: spark.read.parquet(missing)) is None
