@@ -130,3 +130,33 @@ def merge_into(spark: SparkSession, path: str, source: DataFrame, keys: Sequence
         nv = v + 1
     write_snapshot(out, path, nv)
     return nv
+
+
+# --- Delta tables (optional) -----------------------------------------------------------------
+
+def delta_available() -> bool:
+    try:
+        import delta.tables  # noqa: F401
+    except ImportError:
+        return False
+    return True
+
+
+def merge_into_delta(spark: SparkSession, path: str, source: DataFrame, keys: Sequence[str],
+                     order_col: str = "updated_at", tiebreak: Sequence[str] = ()) -> None:
+    """Create-or-merge into a Delta table with Delta's own MERGE (SNK2, SNK3).
+
+    Needs the `delta-spark` package and its session extensions; the source is
+    made unique per key first (SNK4), so MERGE never sees two matches.
+    """
+    try:
+        from delta.tables import DeltaTable
+    except ImportError as e:  # pragma: no cover - delta is not installed here
+        raise RuntimeError("delta-spark is not installed; use merge_into (parquet snapshots)") from e
+    src = merge_source(source, keys, order_col, tiebreak)
+    if not DeltaTable.isDeltaTable(spark, path):
+        src.write.format("delta").mode("overwrite").save(path)
+        return
+    cond = " AND ".join(f"t.`{k}` = s.`{k}`" for k in keys)
+    (DeltaTable.forPath(spark, path).alias("t").merge(src.alias("s"), cond)
+     .whenMatchedUpdateAll().whenNotMatchedInsertAll().execute())

@@ -30,3 +30,11 @@ def register_view(df: DataFrame, name: str) -> DataFrame:
     """Expose a DataFrame to `spark.sql` (SRC9)."""
     df.createOrReplaceTempView(name)
     return df
+
+
+def read_delta(spark: SparkSession, path: str) -> DataFrame:
+    """Current version of a Delta table (needs `delta-spark` on the session)."""
+    from ..operators.upsert import delta_available
+    if not delta_available():
+        raise RuntimeError("delta-spark is not installed; read parquet snapshots with upsert.read_latest")
+    return spark.read.format("delta").load(path)
