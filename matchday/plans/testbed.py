@@ -472,6 +472,45 @@ QUERIES: dict[str, Query] = {
 }
 
 
+# SURVEY §2 operator IDs each registered query exercises.
+COVERS: dict[str, str] = {
+    "player_scoring_stats": "SRC6 JN7 FLT3 AGG1 AGG2 AGG3 AGG4 AGG5 FLT5 PRJ6 PRJ7",
+    "team_form_last5": "WIN2 FLT6 AGG6 SC1 FLT2",
+    "next_fixture": "WIN1 FLT6 ING2",
+    "team_summary": "Q-SUM JN1 JN2 PRJ11 ORD1 WIN1 WIN2 AGG6 (rank: distributed row number)",
+    "match_trends": "Q-TREND PRJ12 ORD2",
+    "tactics": "Q-TAC FLT2 PRJ11 SC16 AGG1 SC3",
+    "recent_top20": "Q-REC FLT4 ORD3",
+    "upcoming_top20": "Q-UP FLT4 ORD3",
+    "leaders_total_goals": "Q-API4 ORD4 WIN3 FLT9",
+    "leaders_xg_performance": "Q-API4 ORD4 WIN3 FLT9",
+    "squad_sorted": "Q-UI2 FLT7 ORD5",
+    "profile_lookup": "Q-API3 FLT8 SC8 FLT11",
+    "per90_metrics": "Q-UI3 SC12 SC13 SC3",
+    "zones": "Q-UI1 SC14 WIN3",
+    "outcome_labels": "Q-UI2 Q-UI6 SC15 SC18 SC9 SC10 SC11",
+    "similar_items": "Q-UI4 FLT10 SET2",
+    "last3_chronological": "Q-UI2 WIN4 ORD6",
+    "opponent_lookup": "Q-UI1 JN4",
+    "json_flatten": "SC20 PRJ2 PRJ6 SNK6",
+    "explode_tokens": "PRJ1 PRJ4 SC19",
+    "safe_casts": "PRJ6 PRJ7 PRJ8 PRJ9 SC11",
+    "upsert_latest": "SNK2 SNK4 SET1 SET3 JN6 JN7",
+    "dedupe_latest": "SET1 SNK4",
+    "optional_source_default": "SRC7 SC17 JN2",
+    "in_team": "JN8",
+    "orient_sides": "ING1 ING2",
+    "header_zip": "ING3 PRJ6 PRJ7",
+    "package_nested": "ING5 ING6 PRJ1",
+    "name_resolution_contains": "FZ1 FZ2 FZ4 FZ5 JN5 SC5 SC22",
+    "name_resolution_ratio": "FZ1 FZ3 FZ5 UDF1 SC5",
+    "export_roundtrip": "SNK5 SNK6 SNK8 SRC8",
+    "summary_for_team": "Q-API2 FLT7 FLT11",
+    "top_scorer_per_team": "AGG7",
+    "text_functions": "SC2 SC8 SC9 SC10 ING8",
+}
+
+
 # ---------------------------------------------------------------------------------------------
 # DuckDB oracles
 # ---------------------------------------------------------------------------------------------

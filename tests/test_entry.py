@@ -97,3 +97,8 @@ def test_ratio_resolution_against_difflib(spark, duck):
 
     got = {r.name: (r.resolved, r.rule) for r in entry.queries()["name_resolution_ratio"](spark, SF).collect()}
     assert got == {n: brute(n) for n in names}
+
+
+def test_every_query_documents_its_coverage():
+    from matchday.plans import testbed
+    assert set(testbed.COVERS) == set(entry.queries())
