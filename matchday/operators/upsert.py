@@ -99,13 +99,17 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return latest_version(spark, path) is not None
 
 
-def write_snapshot(df: DataFrame, path: str, version: int) -> None:
+def write_snapshot(df: DataFrame, path: str, version: int, keys: Sequence[str] | None = None) -> None:
     """Write one immutable snapshot (SNK1 full overwrite = a new snapshot).
 
+    The rows go through a `REBALANCE` on the merge keys: AQE then writes files
+    of the advisory size (no swarm of small files after a merge of a small
+    load into a big table, and a hot key's partition is split).
     The target directory is new: no reader uses a version until it holds
     data, so a retried job may overwrite what a failed attempt left there.
     """
-    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{SNAPSHOT_COL}={version}")
+    out = df.hint("rebalance", *keys) if keys else df.hint("rebalance")
+    out.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{SNAPSHOT_COL}={version}")
 
 
 def overwrite(spark: SparkSession, df: DataFrame, path: str) -> int:
@@ -128,7 +132,7 @@ def merge_into(spark: SparkSession, path: str, source: DataFrame, keys: Sequence
         target = read_version(spark, path, v)
         out = upsert(target, source, keys, order_col, tiebreak)
         nv = v + 1
-    write_snapshot(out, path, nv)
+    write_snapshot(out, path, nv, list(keys))
     return nv
 
 
