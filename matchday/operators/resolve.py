@@ -155,7 +155,8 @@ def enrich(left: DataFrame, left_name: str, right: DataFrame, right_name: str,
     from .joins import assert_unique
     from .nested import suffix_collisions
 
-    r = clean_names(right.withColumn("_pos", F.monotonically_increasing_id()), right_name, "_key")
+    # number the right side in its order once: every branch below must see the same positions
+    r = materialize(clean_names(right.withColumn("_pos", F.monotonically_increasing_id()), right_name, "_key"))
     if unique == "first":
         r = r.withColumn("_k", F.row_number().over(Window.partitionBy("_key").orderBy("_pos"))).filter("_k = 1").drop("_k")
     l = clean_names(left, left_name, "_name")
