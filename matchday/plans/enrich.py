@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.names import clean_names
 from ..operators.nested import find_column
 from ..operators.resolve import enrich, resolve_keys
+from ..session import materialize
 
 PLAYER_SUFFIX = "_add"
 BADGE_SUFFIX = "_badge"
@@ -41,8 +42,9 @@ def alias_table(names: DataFrame, name_col: str, canonical: DataFrame, canonical
                              (F.col(position_col) if position_col else F.monotonically_increasing_id())
                              .alias("position"))
     canon = clean_names(canon, "_canon", "choice")
-    first = canon.groupBy("choice").agg(F.min_by("_canon", "position").alias("canonical"),
-                                        F.min("position").alias("position"))
+    # positions are drawn once: the resolver and the join back must agree on them
+    first = materialize(canon.groupBy("choice").agg(F.min_by("_canon", "position").alias("canonical"),
+                                                    F.min("position").alias("position")))
     raw = names.select(F.col(name_col).alias("name_raw")).distinct()
     raw = clean_names(raw, "name_raw", "name")
     keys = resolve_keys(raw.select("name"), first.select("choice", "position"))
