@@ -4,7 +4,8 @@ Parquet has no MERGE. A merge is the DataFrame composition
 
     result = latest(source) UNION ALL (target LEFT ANTI JOIN latest(source) ON keys)
 
-which is `whenMatchedUpdateAll + whenNotMatchedInsertAll`: matched target rows
+(computed as one keyed pass over both; see `upsert`), which is
+`whenMatchedUpdateAll + whenNotMatchedInsertAll`: matched target rows
 are replaced by the source row, unmatched source rows are inserted, other
 target rows are kept. Null keys never compare equal, so a null-key source
 row is always inserted and a null-key target row always kept, as with MERGE.
@@ -20,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import NoSnapshotError
@@ -39,28 +40,43 @@ def dedupe_latest(df: DataFrame, keys: Sequence[str], order_col: str = "updated_
     return first_per_key(df, list(keys), order)
 
 
+def _null_key_solo(keys: Sequence[str]):
+    """A group id of its own for rows with a null key (they never match under `=`)."""
+    any_null = F.lit(False)
+    for k in keys:
+        any_null = any_null | F.col(k).isNull()
+    return F.when(any_null, F.monotonically_increasing_id())
+
+
 def merge_source(source: DataFrame, keys: Sequence[str], order_col: str = "updated_at",
                  tiebreak: Sequence[str] = ()) -> DataFrame:
     """Latest row per key (SNK4), except rows with a null key: those can never
-    match under `=`, so each one is kept as its own insert, as MERGE does."""
+    match under `=`, so each one is kept as its own insert, as MERGE does.
+    A per-key top-1: a key with a third of the rows ships one row per map task."""
     keys = list(keys)
-    any_null = F.lit(False)
-    for k in keys:
-        any_null = any_null | F.col(k).isNull()
-    # a null-key row gets a group of its own; other rows group by key
-    solo = F.when(any_null, F.monotonically_increasing_id())
     order = [F.col(order_col).desc_nulls_last()] + [F.col(t).desc_nulls_last() for t in tiebreak]
-    return first_per_key(source.withColumn("_solo", solo), keys + ["_solo"], order).drop("_solo")
+    return (first_per_key(source.withColumn("_solo", _null_key_solo(keys)), keys + ["_solo"], order)
+            .drop("_solo"))
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
            order_col: str = "updated_at", tiebreak: Sequence[str] = (),
            dedupe: bool = True) -> DataFrame:
-    """Update-all / insert-all merge of `source` into `target` on `keys` (SNK2, JN6, JN7, SET3)."""
+    """Update-all / insert-all merge of `source` into `target` on `keys` (SNK2, JN6, JN7, SET3).
+
+    One pass over `target UNION ALL source`, grouped by key: every source row
+    is kept (after the latest-wins de-duplication), a target row only when no
+    source row has its key (the anti-join). The target is shuffled once.
+    """
     keys = list(keys)
     src = merge_source(source, keys, order_col, tiebreak) if dedupe else source
-    kept = target.join(src.select(*keys), on=keys, how="left_anti")
-    return src.unionByName(kept, allowMissingColumns=True)
+    both = (src.withColumn("_src", F.lit(1))
+            .unionByName(target.withColumn("_src", F.lit(0)), allowMissingColumns=True)
+            .withColumn("_solo", _null_key_solo(keys)))
+    has_src = F.max("_src").over(Window.partitionBy(*keys, "_solo"))
+    return (both.withColumn("_has_src", has_src)
+            .filter((F.col("_src") == 1) | (F.col("_has_src") == 0))
+            .drop("_src", "_solo", "_has_src"))
 
 
 # --- snapshot tables -------------------------------------------------------------------------

@@ -264,15 +264,21 @@ def q_last3_chronological(spark, d):
 
 
 def q_opponent_lookup(spark, d):
-    pm = player_matches(spark, d).select("match_key", "line_no", "team_key", "player_key")
     nation = read_table(spark, d, "nation").select("n_nationkey", "n_name")
+    # 25 nations: broadcast by a bound of the schema
     cust = joins.lookup(read_table(spark, d, "customer"), nation, "c_nationkey", "n_nationkey", "badge_",
                         ["n_name"], dim_small=True).select("c_custkey", "badge_n_name")
     supp = joins.lookup(read_table(spark, d, "supplier"), nation, "s_nationkey", "n_nationkey", "badge_",
                         ["n_name"], dim_small=True).select("s_suppkey", "badge_n_name")
-    out = joins.lookup(pm, cust, "team_key", "c_custkey", "team_", ["badge_n_name"])
-    out = joins.lookup(out, supp, "player_key", "s_suppkey", "opponent_", ["badge_n_name"])
-    return out.select("match_key", "line_no", "team_key", "player_key",
+    # The team badge is attached on the orders side (a quarter of the line items),
+    # so the line items are shuffled twice (order key, supplier key), not three times.
+    orders = joins.lookup(read_table(spark, d, "orders").select("o_orderkey", "o_custkey"), cust,
+                          "o_custkey", "c_custkey", "team_", ["badge_n_name"])
+    li = read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    pm = li.join(orders, li["l_orderkey"] == orders["o_orderkey"])
+    out = joins.lookup(pm, supp, "l_suppkey", "s_suppkey", "opponent_", ["badge_n_name"])
+    return out.select(F.col("l_orderkey").alias("match_key"), F.col("l_linenumber").alias("line_no"),
+                      F.col("o_custkey").alias("team_key"), F.col("l_suppkey").alias("player_key"),
                       F.col("team_badge_n_name").alias("team_badge"),
                       F.col("opponent_badge_n_name").alias("opponent_badge"))
 
