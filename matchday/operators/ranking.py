@@ -16,12 +16,12 @@ Scale notes
 from __future__ import annotations
 
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import UnknownColumnError
+from ..session import materialize
 
 _LOW_BITS = (1 << 33) - 1  # monotonically_increasing_id: record number in the low 33 bits
 
@@ -79,20 +79,17 @@ def global_row_number(df: DataFrame, order, alias: str = "rank",
     Plan: range exchange on the order key -> sort inside each partition ->
     record number inside the partition; per-partition row counts (one row per
     partition, broadcast) give each partition's offset. The numbered rows are
-    persisted so the count branch and the output read the very same
-    partitions (a recomputation after a lost executor is identical: the range
-    bounds live in the shuffle dependency and the order is total).
-    The cache is released with the session or by `spark.catalog.clearCache()`.
+    checkpointed to the shared checkpoint dir, so the count branch and the
+    output read the very same rows, and a lost executor costs no recomputation.
     """
     order = _cols(order)
     # Without a fixed count AQE may merge neighbouring range partitions; they stay
-    # contiguous and in order, and both branches read the persisted result.
+    # contiguous and in order, and both branches read the checkpointed result.
     parted = df.repartitionByRange(num_partitions, *order) if num_partitions else df.repartitionByRange(*order)
-    numbered = (parted
-                .sortWithinPartitions(*order)
-                .withColumns({"_pid": F.spark_partition_id(),
-                              "_local": F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_BITS))})
-                .persist(StorageLevel.MEMORY_AND_DISK))
+    numbered = materialize(parted
+                           .sortWithinPartitions(*order)
+                           .withColumns({"_pid": F.spark_partition_id(),
+                                         "_local": F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_BITS))}))
     counts = numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # One row per partition: the only unpartitioned windows here hold n rows.
     offsets = counts.select(
