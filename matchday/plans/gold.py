@@ -33,7 +33,9 @@ NO_FIXTURE_SIDE = "h"
 def player_scoring_stats(player_matches: DataFrame, season_start: str = SEASON_START) -> DataFrame:
     """Per player, current season: matches, minutes, goals, assists, xG, xA, goals - xG."""
     season = player_matches.filter(F.col("match_date") >= F.lit(season_start).cast("date"))
-    return scoring_totals(season, "player_name", "match_date", "minutes_played", "goals", "assists", "xg", "xa")
+    totals = scoring_totals(season, "player_name", "match_date", "minutes_played", "goals", "assists", "xg", "xa")
+    # one row per player: the range sort is over the aggregate, not the matches (ORD1)
+    return totals.orderBy(F.col("total_goals").desc_nulls_last(), F.col("player_name").asc())
 
 
 def team_form(matches: DataFrame, k: int = FORM_LENGTH) -> DataFrame:
