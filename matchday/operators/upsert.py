@@ -118,13 +118,15 @@ def table_exists(spark: SparkSession, path: str) -> bool:
 def write_snapshot(df: DataFrame, path: str, version: int, keys: Sequence[str] | None = None) -> None:
     """Write one immutable snapshot (SNK1 full overwrite = a new snapshot).
 
-    The rows go through a `REBALANCE` on the merge keys: AQE then writes files
-    of the advisory size (no swarm of small files after a merge of a small
-    load into a big table, and a hot key's partition is split).
+    With `keys` (a merge result) the rows go through a `REBALANCE` on the keys:
+    AQE then writes files of the advisory size (no swarm of small files after
+    merging a small load into a big table; a hot key's partition is split).
+    Without keys the plan's own partitioning is written as is, so an ordered
+    mart keeps its range-partitioned order.
     The target directory is new: no reader uses a version until it holds
     data, so a retried job may overwrite what a failed attempt left there.
     """
-    out = df.hint("rebalance", *keys) if keys else df.hint("rebalance")
+    out = df.hint("rebalance", *keys) if keys else df
     out.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{SNAPSHOT_COL}={version}")
 
 

@@ -165,3 +165,10 @@ def test_conform_names_once_in_silver(spark, lake):
     assert "Brighton and Hove Albion" in names and "Brighton" not in names
     assert "Northside FC" in names and "Alesund Rovers" in names
     assert out.count() == matches.count()
+
+
+def test_ordered_marts_keep_their_order(spark, lake):
+    ranks = [r["rank"] for r in read_latest(spark, f"{lake['gold']}/team_summary").collect()]
+    assert ranks == sorted(ranks)
+    goals = [r.total_goals for r in read_latest(spark, f"{lake['gold']}/player_scoring_stats").collect()]
+    assert goals == sorted(goals, reverse=True)
