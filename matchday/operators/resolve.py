@@ -116,11 +116,16 @@ def resolve_keys(names: DataFrame, choices: DataFrame, cutoff: float | None = RA
     returns: name, resolved, rule (`contains` | `ratio` | `none`), score
     `cutoff=None` applies rule 1 and rule 3 only.
     """
-    # the distinct name and choice sets feed every branch below: compute them once
-    nm = materialize(names.select("name").distinct())
+    # the distinct name and choice sets feed every branch below: compute them once (one job)
+    both = materialize(
+        names.select(F.col("name").alias("s"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("position"))
+        .distinct()
+        .unionByName(choices.filter(F.length("choice") > 0)
+                     .groupBy("choice").agg(F.min("position").alias("position"))
+                     .select(F.col("choice").alias("s"), F.lit(1).alias("side"), "position")))
+    nm = both.filter(F.col("side") == 0).select(F.col("s").alias("name"))
     nonempty = nm.filter(F.length("name") > 0)
-    ch = materialize(choices.filter(F.length("choice") > 0)
-                     .groupBy("choice").agg(F.min("position").alias("position")))
+    ch = both.filter(F.col("side") == 1).select(F.col("s").alias("choice"), "position")
     # rule 1: first containing choice in file order
     r1 = (containment_candidates(nonempty, ch)
           .groupBy("name").agg(F.min_by("choice", F.struct("position", "choice")).alias("resolved"))
