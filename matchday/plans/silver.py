@@ -23,6 +23,7 @@ from ..operators.nested import cell, expand_struct, explode_records
 from ..operators.reshape import flatten_roster
 from ..operators.upsert import merge_into, merge_source, overwrite
 from ..sources.documents import read_documents
+from ..session import materialize
 from ..sources.snapshots import latest_snapshot
 
 STAMP = "meta.extraction_timestamp"
@@ -152,14 +153,15 @@ def run_silver(spark: SparkSession, bronze_root: str, silver_root: str) -> dict[
     league = read_documents(spark, f"{b}/league", schemas.LEAGUE_DOC)
     out["league_standings"] = merge_into(spark, f"{s}/league_standings", league_standings(league),
                                          schemas.KEYS["league_standings"], "load_date", ["updated_at"])
-    teams = latest_snapshot(read_documents(spark, f"{b}/teams", schemas.TEAM_DOC))
+    # each load's documents feed several tables: parse the JSON once, keep the rows
+    teams = materialize(latest_snapshot(read_documents(spark, f"{b}/teams", schemas.TEAM_DOC)))
     out["team_matches"] = merge_into(spark, f"{s}/team_matches", team_matches(teams),
                                      schemas.KEYS["team_matches"], "load_date", ["updated_at"])
     out["team_statistics"] = merge_into(spark, f"{s}/team_statistics", team_statistics(teams),
                                         schemas.KEYS["team_statistics"], "updated_at")
     # fixtures move between loads: replace the schedule instead of merging it
     out["team_fixtures"] = overwrite(spark, team_fixtures(teams), f"{s}/team_fixtures")
-    players = latest_snapshot(read_documents(spark, f"{b}/players", schemas.PLAYER_DOC))
+    players = materialize(latest_snapshot(read_documents(spark, f"{b}/players", schemas.PLAYER_DOC)))
     out["player_seasons"] = merge_into(spark, f"{s}/player_seasons", player_seasons(players),
                                        schemas.KEYS["player_seasons"], "load_date", ["updated_at"])
     out["player_matches"] = merge_into(spark, f"{s}/player_matches", player_matches(players),
