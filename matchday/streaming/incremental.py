@@ -37,8 +37,13 @@ def merge_new_loads(spark: SparkSession, bronze_path: str, schema: T.StructType,
                     checkpoint: str, order_col: str = "updated_at", tiebreak: Sequence[str] = ()) -> None:
     """Merge every not-yet-seen bronze file into `table_path`, then return."""
     def merge_batch(batch: DataFrame, epoch_id: int) -> None:
-        if not batch.isEmpty():
-            merge_into(spark, table_path, build(batch), keys, order_col, tiebreak)
+        # the batch is read twice (emptiness, merge): keep it for the duration of the batch
+        batch.persist()
+        try:
+            if not batch.isEmpty():
+                merge_into(spark, table_path, build(batch), keys, order_col, tiebreak)
+        finally:
+            batch.unpersist()
 
     q = (stream_documents(spark, bronze_path, schema).writeStream
          .foreachBatch(merge_batch)
