@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import file_key
 
-OVERFLOW_PREFIX = "Column_"  # name of a cell without a header: Column_<1-based index>
+# Names of cells without a header, `<prefix><0-based cell index>`;
+# the team tables use "Column_", the player tables "Col_".
+OVERFLOW_PREFIX = "Column_"
+SHORT_OVERFLOW_PREFIX = "Col_"
 
 
 def orient_sides(df: DataFrame, home: str, away: str, home_goals: str, away_goals: str,
@@ -36,12 +39,13 @@ def split_played(df: DataFrame, result_col: str) -> tuple[DataFrame, DataFrame]:
     return df.filter(has), df.filter(~has | F.col(result_col).isNull())
 
 
-def zip_headers(headers, cells) -> Column:
-    """Map header -> cell; cells beyond the headers get `Column_<i>` (ING3)."""
+def zip_headers(headers, cells, overflow_prefix: str = OVERFLOW_PREFIX) -> Column:
+    """Map header -> cell; a cell beyond the headers gets `<overflow_prefix><i>`,
+    i its 0-based position in the row (ING3)."""
     h = F.col(headers) if isinstance(headers, str) else headers
     c = F.col(cells) if isinstance(cells, str) else cells
     names = F.transform(F.sequence(F.lit(1), F.greatest(F.size(c), F.lit(1))),
-                        lambda i: F.coalesce(F.get(h, i - 1), F.concat(F.lit(OVERFLOW_PREFIX), i.cast("string"))))
+                        lambda i: F.coalesce(F.get(h, i - 1), F.concat(F.lit(overflow_prefix), (i - 1).cast("string"))))
     return F.map_from_arrays(F.slice(names, 1, F.size(c)), c)
 
 

@@ -373,7 +373,7 @@ def q_header_zip(spark, d):
     m = p.select("p_partkey", reshape.zip_headers(headers, cells).alias("m"))
     return m.select("p_partkey", F.col("m")["Brand"].alias("brand"), F.col("m")["Type"].alias("type"),
                     casts.to_int(F.col("m")["Size"]).alias("size"),
-                    casts.to_double(F.col("m")["Column_4"]).alias("price"))
+                    casts.to_double(F.col("m")["Column_3"]).alias("price"))
 
 
 def q_package_nested(spark, d):

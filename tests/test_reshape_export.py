@@ -20,7 +20,9 @@ def test_orient_and_split(spark):
 def test_zip_headers_overflow(spark):
     df = spark.createDataFrame([(["Player", "Apps"], ["X", "3", "extra", "more"])], "h array<string>, c array<string>")
     m = df.select(reshape.zip_headers("h", "c").alias("m")).first().m
-    assert m == {"Player": "X", "Apps": "3", "Column_3": "extra", "Column_4": "more"}
+    assert m == {"Player": "X", "Apps": "3", "Column_2": "extra", "Column_3": "more"}
+    short = df.select(reshape.zip_headers("h", "c", reshape.SHORT_OVERFLOW_PREFIX).alias("m")).first().m
+    assert short["Col_2"] == "extra"
 
 
 def test_row_record_nest_flatten(spark):
