@@ -33,6 +33,21 @@ def orient_sides(df: DataFrame, home: str, away: str, home_goals: str, away_goal
     return df.select(*keep, F.explode(both).alias("_s")).select(*keep, "_s.*")
 
 
+def orient_by_side(df: DataFrame, side_col: str, pairs: dict[str, tuple[str, str]],
+                   home_value: str = "h") -> DataFrame:
+    """Team / opponent values from a home / away row, by the row's own side (ING1).
+
+    `pairs` maps an output prefix to (home column, away column); each gives
+    `team_<prefix>` and `opponent_<prefix>`.
+    """
+    is_home = F.col(side_col) == home_value
+    cols = []
+    for name, (home, away) in pairs.items():
+        cols.append(F.when(is_home, F.col(home)).otherwise(F.col(away)).alias(f"team_{name}"))
+        cols.append(F.when(is_home, F.col(away)).otherwise(F.col(home)).alias(f"opponent_{name}"))
+    return df.select("*", *cols)
+
+
 def split_played(df: DataFrame, result_col: str) -> tuple[DataFrame, DataFrame]:
     """(played, upcoming) by whether a result is present (ING2)."""
     has = F.col(result_col).isNotNull() & (F.trim(F.col(result_col)) != "")

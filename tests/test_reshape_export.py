@@ -95,3 +95,11 @@ def test_view_and_optional_source(spark, tmp_path):
     missing = str(tmp_path / "nothing_here")
     assert optional_table(lambda: read_latest(spark, missing)) is None  # SRC7
     assert optional_table(lambda: spark.read.parquet(missing)) is None
+
+
+def test_orient_by_side(spark):
+    df = spark.createDataFrame([("h", "2", "1", "1.5", "0.5"), ("a", "2", "1", "1.5", "0.5")],
+                               "side string, hs string, aw string, hx string, ax string")
+    out = reshape.orient_by_side(df, "side", {"score": ("hs", "aw"), "xg": ("hx", "ax")}).collect()
+    assert [(r.team_score, r.opponent_score, r.team_xg, r.opponent_xg) for r in out] == [
+        ("2", "1", "1.5", "0.5"), ("1", "2", "0.5", "1.5")]
