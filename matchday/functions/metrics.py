@@ -38,9 +38,10 @@ def outcome(goals_for, goals_against) -> Column:
 
 
 def sign_flag(diff) -> Column:
-    """`over` / `under` / `par` for a performance difference (SC16)."""
+    """`over` when the performance difference is above zero, else `under`
+    (zero and missing count as not over-performing) (SC16)."""
     d = _col(diff)
-    return F.when(d > 0, "over").when(d < 0, "under").otherwise("par")
+    return F.when(d > 0, "over").otherwise("under")
 
 
 def side_label(side) -> Column:

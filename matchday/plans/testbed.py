@@ -614,8 +614,7 @@ ORACLE_SQL: dict[str, str] = {
         ORDER BY team_key, match_date DESC, match_key DESC""",
     "tactics": f"""SELECT team_key, play_type, goals_scored, expected_goals, total_shots,
         {_r("expected_goals / total_shots", 3)} AS xg_per_shot, {_r("goals_scored - expected_goals")} AS performance,
-        CASE WHEN {_r("goals_scored - expected_goals")} > 0 THEN 'over'
-             WHEN {_r("goals_scored - expected_goals")} < 0 THEN 'under' ELSE 'par' END AS flag
+        CASE WHEN {_r("goals_scored - expected_goals")} > 0 THEN 'over' ELSE 'under' END AS flag
       FROM (SELECT l_suppkey AS team_key,
                    CASE l_returnflag WHEN 'A' THEN 'Open Play' WHEN 'N' THEN 'Set Piece' WHEN 'R' THEN 'Corner' END
                      AS play_type,

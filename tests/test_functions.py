@@ -63,6 +63,9 @@ def test_metrics(spark):
                   metrics.first_present("x", "e", default="Unknown Club").alias("fp")).first()
     assert r.p == 270.0 and r.c == 100.0 and r.z == "top" and r.o == "W" and r.f == "over" and r.sl == "HOME"
     assert r.fp == "Unknown Club"
+    flags = spark.createDataFrame([(0.0,), (-1.0,), (None,), (0.01,)], "d double").select(
+        metrics.sign_flag("d").alias("f")).collect()
+    assert [f.f for f in flags] == ["under", "under", "under", "over"]
     zones = spark.range(1, 21).select(metrics.zone("id", F.lit(20)).alias("z")).collect()
     assert [z.z for z in zones].count("top") == 4 and [z.z for z in zones].count("bottom") == 3
 
