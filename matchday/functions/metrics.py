@@ -10,7 +10,8 @@ from .casts import _col
 # Fixed values of the display rules.
 PERCENT_SCALE_MAX = 15  # a bar is full at 15 goals / assists / xG / xA
 TOP_ZONE_LAST_RANK = 4  # ranks 1-4: top zone
-BOTTOM_ZONE_SIZE = 3  # last three ranks: bottom zone (18-20 of 20)
+BOTTOM_ZONE_FIRST_RANK = 18  # ranks 18 and below: bottom zone (a 20-team league)
+BOTTOM_ZONE_SIZE = 3  # the same zone for a league of any size: the last three ranks
 
 
 def per90(value, minutes, digits: int = 2) -> Column:
@@ -23,12 +24,14 @@ def capped_percent(value, scale_max: float = PERCENT_SCALE_MAX) -> Column:
     return F.least(_col(value) / F.lit(float(scale_max)) * 100, F.lit(100.0))
 
 
-def zone(rank, n_teams) -> Column:
-    """`top` for rank <= 4, `bottom` for the last three, else `mid` (SC14)."""
+def zone(rank, n_teams=None) -> Column:
+    """`top` for rank <= 4, `bottom` for rank >= 18, else `mid` (SC14).
+
+    With `n_teams` the bottom zone is the last three ranks of a league of that size.
+    """
     r = _col(rank)
-    return (F.when(r <= TOP_ZONE_LAST_RANK, "top")
-            .when(r > _col(n_teams) - BOTTOM_ZONE_SIZE, "bottom")
-            .otherwise("mid"))
+    bottom = r >= BOTTOM_ZONE_FIRST_RANK if n_teams is None else r > _col(n_teams) - BOTTOM_ZONE_SIZE
+    return F.when(r <= TOP_ZONE_LAST_RANK, "top").when(bottom, "bottom").otherwise("mid")
 
 
 def outcome(goals_for, goals_against) -> Column:

@@ -68,6 +68,8 @@ def test_metrics(spark):
     assert [f.f for f in flags] == ["under", "under", "under", "over"]
     zones = spark.range(1, 21).select(metrics.zone("id", F.lit(20)).alias("z")).collect()
     assert [z.z for z in zones].count("top") == 4 and [z.z for z in zones].count("bottom") == 3
+    fixed = spark.range(1, 25).select(metrics.zone("id").alias("z")).collect()
+    assert [z.z for z in fixed].count("bottom") == 7  # ranks 18..24
 
 
 def test_clean_name(spark):
