@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from .casts import _col
 
 
-def strip_suffix(c, suffix_pattern: str = r"[+-]\d+(\.\d+)?$") -> Column:
-    """Drop a trailing superscript delta such as `0.54-0.12` -> `0.54`, then trim (SC6)."""
+def strip_suffix(c, suffix_pattern: str = r"(?<=\d)\s*[+-]\d+(\.\d+)?$") -> Column:
+    """Drop a superscript delta glued to a value, `0.54-0.12` -> `0.54`, then trim (SC6).
+    A plain signed value such as `-0.54` has nothing before its sign and is kept."""
     return F.trim(F.regexp_replace(_col(c), suffix_pattern, ""))
 
 

@@ -53,6 +53,8 @@ def test_text_functions(spark):
     assert (r.k, r.v, r.nl, r.c, r.i, r.d, r.u, r.ce) == ("ayden_heaven", "0.54", "ab", "AYD", "AH", "Apr 11",
                                                           "img/250x250/x.png", True)
     assert text.slug_to_name("Bukayo-Saka") == "bukayo saka"
+    vals = spark.createDataFrame([("-0.54",), ("12+3",), ("1.20 -0.35",), ("7",)], "v string")
+    assert [r.v for r in vals.select(text.strip_suffix("v").alias("v")).collect()] == ["-0.54", "12", "1.20", "7"]
 
 
 def test_metrics(spark):
