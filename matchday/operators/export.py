@@ -38,6 +38,14 @@ def stamp(df: DataFrame, extraction_timestamp: str, load_date: str, source: str)
                                                  F.lit(source).alias("source")))
 
 
+def wrap_rows(df: DataFrame, field: str = "data", max_rows: int = SINGLE_FILE_MAX_ROWS) -> DataFrame:
+    """All rows as one document `{<field>: [row, ...]}` (SNK7's list payloads,
+    e.g. a league table). Refused above `max_rows`: one document is one row."""
+    if not has_at_most(df, max_rows):
+        raise ValueError("wrap_rows is for bounded lists only")
+    return df.agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias(field))
+
+
 def write_bronze(df: DataFrame, path: str) -> None:
     """Partitioned bronze write: `<path>/load_date=<d>/part-*.json` (SNK7)."""
     df.write.mode("append").partitionBy("load_date").json(path)

@@ -103,3 +103,15 @@ def test_orient_by_side(spark):
     out = reshape.orient_by_side(df, "side", {"score": ("hs", "aw"), "xg": ("hx", "ax")}).collect()
     assert [(r.team_score, r.opponent_score, r.team_xg, r.opponent_xg) for r in out] == [
         ("2", "1", "1.5", "0.5"), ("1", "2", "0.5", "1.5")]
+
+
+def test_wrap_rows_into_one_document(spark, tmp_path):
+    rows = spark.createDataFrame([("Arsenal", "u1"), ("Chelsea", "u2")], "Team string, URL string")
+    doc = export.wrap_rows(rows)
+    stamped = export.stamp(doc, "2026-03-21 09:00:00", "2026-03-21", "test").withColumn("load_date", F.lit("2026-03-21"))
+    export.write_bronze(stamped, str(tmp_path / "league"))
+    back = spark.read.json(str(tmp_path / "league")).first()
+    assert sorted(r.Team for r in back.data) == ["Arsenal", "Chelsea"] and back._metadata.source == "test"
+    import pytest
+    with pytest.raises(ValueError):
+        export.wrap_rows(spark.range(20), max_rows=10)
