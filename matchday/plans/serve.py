@@ -39,6 +39,11 @@ def default_row(df: DataFrame, order_col: str = "rank", tiebreak: str = "team_na
     return ranking.top_k(df, [F.col(order_col).asc_nulls_last(), F.col(tiebreak).asc()], 1)
 
 
+def team_players(players: DataFrame, team: str) -> DataFrame:
+    """Q-API2: the players whose club equals `team`, case-insensitive (FLT7)."""
+    return for_team(players, team, "club")
+
+
 def player_profile(players: DataFrame, slug: str) -> DataFrame:
     """Q-API3: the player whose lower-cased name equals the slug with `-` as space (FLT8)."""
     hit = players.filter(F.lower("player_name") == text.slug_to_name(slug))
@@ -79,7 +84,7 @@ def timeline(trends: DataFrame, team: str) -> DataFrame:
 def squad(players: DataFrame, team: str, sort_key: str = "total_goals", direction: str = "desc",
           k: int = SQUAD_LIMIT) -> DataFrame:
     """Q-UI2: a club's players sorted by a chosen column, first k (FLT7, ORD5)."""
-    return ranking.sort_by_choice(for_team(players, team, "club"), sort_key, direction, "player_name", k)
+    return ranking.sort_by_choice(team_players(players, team), sort_key, direction, "player_name", k)
 
 
 def player_metrics(players: DataFrame) -> DataFrame:

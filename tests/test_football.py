@@ -123,6 +123,7 @@ def test_enrich_and_serve(spark, lake):
     squad = serve.squad(enriched, "northside", "XGP", "desc").collect()
     assert [r.player_name for r in squad][0] == "Ayo Ràmos"
     assert serve.is_member(enriched, "Northside", "Ben Oduya")
+    assert {r.player_name for r in serve.team_players(enriched, "NORTHSIDE").collect()} == {"Ayo Ràmos", "Ben Oduya"}
     assert serve.top_scorer(enriched).first().top_scorer == "Ayo Ràmos"
     metrics = serve.player_metrics(enriched).filter(F.col("player_name") == "Ayo Ràmos").first()
     assert metrics.goals_pct == pytest.approx(20.0)
