@@ -30,10 +30,13 @@ NO_FIXTURE_OPPONENT = "TBD"
 NO_FIXTURE_SIDE = "h"
 
 
-def player_scoring_stats(player_matches: DataFrame, season_start: str = SEASON_START) -> DataFrame:
-    """Per player, current season: matches, minutes, goals, assists, xG, xA, goals - xG."""
+def player_scoring_stats(player_matches: DataFrame, season_start: str = SEASON_START,
+                         min_minutes: int = 0) -> DataFrame:
+    """Per player, current season: matches, minutes, goals, assists, xG, xA, goals - xG.
+    Players with `min_minutes` minutes or fewer are left out (the source: 0; Q8)."""
     season = player_matches.filter(F.col("match_date") >= F.lit(season_start).cast("date"))
-    totals = scoring_totals(season, "player_name", "match_date", "minutes_played", "goals", "assists", "xg", "xa")
+    totals = scoring_totals(season, "player_name", "match_date", "minutes_played", "goals", "assists", "xg", "xa",
+                            min_total_minutes=min_minutes)
     # one row per player: the range sort is over the aggregate, not the matches (ORD1)
     return totals.orderBy(F.col("total_goals").desc_nulls_last(), F.col("player_name").asc())
 

@@ -119,6 +119,14 @@ def is_member(players: DataFrame, team: str, player: str) -> bool:
     return not for_team(players, team, "club").filter(F.col("player_name") == player).limit(1).isEmpty()
 
 
+def season_rates(seasons: DataFrame, min_minutes: int = 0) -> DataFrame:
+    """Season rows with their per-90 rates, optionally only above a minute floor:
+    the rates are kept as scraped, and a 2-minute cameo shows 45 shots per 90 (Q8)."""
+    return seasons.filter(F.col("minutes_played") >= min_minutes).select(
+        "player_name", "season_year", "team_name", "minutes_played", "shots_per_90", "key_passes_per_90",
+        metrics.per90("goals", "minutes_played").alias("goals_per90"))
+
+
 def tactics_performance(tactics: DataFrame) -> DataFrame:
     """Q-UI5: goals - xG per play type and its sign (PRJ11, SC16)."""
     return (tactics.withColumn("performance", metrics.difference("goals_scored", "expected_goals", 2))

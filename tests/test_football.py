@@ -124,6 +124,11 @@ def test_enrich_and_serve(spark, lake):
     assert [r.player_name for r in squad][0] == "Ayo Ràmos"
     assert serve.is_member(enriched, "Northside", "Ben Oduya")
     assert {r.player_name for r in serve.team_players(enriched, "NORTHSIDE").collect()} == {"Ayo Ràmos", "Ben Oduya"}
+    seasons = read_latest(spark, f"{lake['silver']}/player_seasons")
+    assert seasons.filter("shots_per_90 = 180.0").count() == 1  # kept as scraped (Q8)
+    assert serve.season_rates(seasons, min_minutes=90).filter("shots_per_90 = 180.0").isEmpty()
+    pm = read_latest(spark, f"{lake['silver']}/player_matches")
+    assert gold.player_scoring_stats(pm, min_minutes=100).count() == 1
     assert serve.top_scorer(enriched).first().top_scorer == "Ayo Ràmos"
     metrics = serve.player_metrics(enriched).filter(F.col("player_name") == "Ayo Ràmos").first()
     assert metrics.goals_pct == pytest.approx(20.0)
