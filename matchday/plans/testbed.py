@@ -15,8 +15,9 @@ The football data model is mapped onto the TPC-H-style tables:
 
 Each query takes `(spark, sf_dir)` and returns a DataFrame over the whole
 tables; `ORACLE_SQL` holds the same query in DuckDB SQL. Oracle SQL follows
-Spark's semantics where engines differ: rounding is half-up on the decimal
-value (`_r`), `try_cast` of text to int accepts integers only (`_int_text`).
+Spark's semantics where engines differ: rounding is half-up on the double's
+shortest decimal text (`_r`), `try_cast` of text to int accepts integers only
+(`_int_text`).
 """
 
 from __future__ import annotations
@@ -522,8 +523,9 @@ COVERS: dict[str, str] = {
 # ---------------------------------------------------------------------------------------------
 
 def _r(expr: str, digits: int = 2) -> str:
-    """Half-up rounding on the decimal value, as Spark's `round` on a double."""
-    return f"CAST(ROUND(CAST({expr} AS DECIMAL(38,10)), {digits}) AS DOUBLE)"
+    """Spark's `round` on a double: half-up on the double's shortest decimal text
+    (2.5894999999999997 -> 2.589, 1.005 -> 1.01), not on its exact binary value."""
+    return f"CAST(ROUND(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38,18)), {digits}) AS DOUBLE)"
 
 
 def _int_text(expr: str) -> str:
