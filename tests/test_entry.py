@@ -102,3 +102,19 @@ def test_ratio_resolution_against_difflib(spark, duck):
 def test_every_query_documents_its_coverage():
     from matchday.plans import testbed
     assert set(testbed.COVERS) == set(entry.queries())
+
+
+def test_oracle_rounding_matches_spark(spark):
+    from matchday.plans.testbed import _r
+    vals = [517.9 / 200, 1.005, 0.125, -2.675, 1234.5675, 2.5, 1 / 3, 0.0]
+    con = duckdb.connect()
+    for digits in (2, 3):
+        duck = [con.execute(f"SELECT {_r(f'{v!r}::DOUBLE', digits)}").fetchone()[0] for v in vals]
+        df = spark.createDataFrame([(v,) for v in vals], "v double")
+        sp = [r[0] for r in df.select(pyspark_round("v", digits)).collect()]
+        assert duck == sp, (digits, duck, sp)
+
+
+def pyspark_round(c, digits):
+    from pyspark.sql import functions as F
+    return F.round(F.col(c), digits)
