@@ -45,3 +45,16 @@ def test_upsert_is_one_keyed_pass(no_broadcast):
 def test_scoring_mart_shuffles(no_broadcast):
     # join both sides on the order key, then the partial aggregate's exchange
     assert len(_hash_keys("player_scoring_stats", no_broadcast)) == 3
+
+
+def test_summary_joins_are_co_partitioned(no_broadcast):
+    from matchday.operators import joins
+    from matchday.plans import testbed as tb
+    spark = no_broadcast
+    st = tb.standings(spark, SF)
+    form = tb.q_team_form_last5(spark, SF)
+    nxt = tb.q_next_fixture(spark, SF).drop("next_date")
+    joined = joins.left_enrich(joins.left_enrich(st, form, ["team_key"]), nxt, ["team_key"])
+    keys = re.findall(r"Arguments: hashpartitioning\(([^)]*)\)", plan_text(joined))
+    # customers, standings aggregate, form window, next-fixture window: the joins add none
+    assert len(keys) == 4 and all(k.startswith("team_key") for k in keys)
