@@ -21,17 +21,20 @@ def main(argv=None) -> None:
     ap.add_argument("--root", required=True, help="lake root holding bronze/ silver/ gold/")
     ap.add_argument("--season-start", default=gold.SEASON_START)
     ap.add_argument("--as-of", default=None, help="run date; fixtures before it are ignored")
+    ap.add_argument("--parts", default=None,
+                    help="comma list: silver parts (league,teams,players) or gold marts (default: all)")
     args = ap.parse_args(argv)
     spark = SparkSession.getActiveSession()
     if spark is None:
         from .session import build_session
         spark = build_session(master="local[*]")
     root = args.root.rstrip("/")
+    parts = tuple(p for p in (args.parts or "").split(",") if p)
     if args.step == "silver":
-        out = silver.run_silver(spark, f"{root}/bronze", f"{root}/silver")
+        out = silver.run_silver(spark, f"{root}/bronze", f"{root}/silver", parts or silver.PARTS)
     else:
         out = gold.run_gold(spark, f"{root}/silver", f"{root}/gold", f"{root}/export",
-                            season_start=args.season_start, as_of=args.as_of)
+                            season_start=args.season_start, as_of=args.as_of, marts=parts or gold.MARTS)
     print(json.dumps(out))
 
 

@@ -142,28 +142,37 @@ def player_matches(docs: DataFrame) -> DataFrame:
     return merge_source(typed, schemas.KEYS["player_matches"], "load_date", ["updated_at", "player_url"])
 
 
-def run_silver(spark: SparkSession, bronze_root: str, silver_root: str) -> dict[str, int]:
-    """Read bronze, build every silver table and merge it into `<silver_root>/<table>`.
+PARTS = ("league", "teams", "players")
 
-    Returns the snapshot version written per table. Teams and players use the
-    newest load only; standings read every load and keep the newest per team.
+
+def run_silver(spark: SparkSession, bronze_root: str, silver_root: str,
+               parts: tuple[str, ...] = PARTS) -> dict[str, int]:
+    """Read bronze, build the silver tables of `parts` and merge each into
+    `<silver_root>/<table>`. Returns the snapshot version written per table.
+
+    Teams and players use the newest load only; standings read every load and
+    keep the newest per team. A requested part whose source is missing raises
+    `NoSnapshotError` (nothing is skipped silently).
     """
     b, s = bronze_root.rstrip("/"), silver_root.rstrip("/")
     out: dict[str, int] = {}
-    league = read_documents(spark, f"{b}/league", schemas.LEAGUE_DOC)
-    out["league_standings"] = merge_into(spark, f"{s}/league_standings", league_standings(league),
-                                         schemas.KEYS["league_standings"], "load_date", ["updated_at"])
-    # each load's documents feed several tables: parse the JSON once, keep the rows
-    teams = materialize(latest_snapshot(read_documents(spark, f"{b}/teams", schemas.TEAM_DOC)))
-    out["team_matches"] = merge_into(spark, f"{s}/team_matches", team_matches(teams),
-                                     schemas.KEYS["team_matches"], "load_date", ["updated_at"])
-    out["team_statistics"] = merge_into(spark, f"{s}/team_statistics", team_statistics(teams),
-                                        schemas.KEYS["team_statistics"], "updated_at")
-    # fixtures move between loads: replace the schedule instead of merging it
-    out["team_fixtures"] = overwrite(spark, team_fixtures(teams), f"{s}/team_fixtures")
-    players = materialize(latest_snapshot(read_documents(spark, f"{b}/players", schemas.PLAYER_DOC)))
-    out["player_seasons"] = merge_into(spark, f"{s}/player_seasons", player_seasons(players),
-                                       schemas.KEYS["player_seasons"], "load_date", ["updated_at"])
-    out["player_matches"] = merge_into(spark, f"{s}/player_matches", player_matches(players),
-                                       schemas.KEYS["player_matches"], "load_date", ["updated_at", "player_url"])
+    if "league" in parts:
+        league = read_documents(spark, f"{b}/league", schemas.LEAGUE_DOC)
+        out["league_standings"] = merge_into(spark, f"{s}/league_standings", league_standings(league),
+                                             schemas.KEYS["league_standings"], "load_date", ["updated_at"])
+    if "teams" in parts:
+        # each load's documents feed several tables: parse the JSON once, keep the rows
+        teams = materialize(latest_snapshot(read_documents(spark, f"{b}/teams", schemas.TEAM_DOC)))
+        out["team_matches"] = merge_into(spark, f"{s}/team_matches", team_matches(teams),
+                                         schemas.KEYS["team_matches"], "load_date", ["updated_at"])
+        out["team_statistics"] = merge_into(spark, f"{s}/team_statistics", team_statistics(teams),
+                                            schemas.KEYS["team_statistics"], "updated_at")
+        # fixtures move between loads: replace the schedule instead of merging it
+        out["team_fixtures"] = overwrite(spark, team_fixtures(teams), f"{s}/team_fixtures")
+    if "players" in parts:
+        players = materialize(latest_snapshot(read_documents(spark, f"{b}/players", schemas.PLAYER_DOC)))
+        out["player_seasons"] = merge_into(spark, f"{s}/player_seasons", player_seasons(players),
+                                           schemas.KEYS["player_seasons"], "load_date", ["updated_at"])
+        out["player_matches"] = merge_into(spark, f"{s}/player_matches", player_matches(players),
+                                           schemas.KEYS["player_matches"], "load_date", ["updated_at", "player_url"])
     return out

@@ -178,3 +178,14 @@ def test_ordered_marts_keep_their_order(spark, lake):
     assert ranks == sorted(ranks)
     goals = [r.total_goals for r in read_latest(spark, f"{lake['gold']}/player_scoring_stats").collect()]
     assert goals == sorted(goals, reverse=True)
+
+
+def test_parts_run_independently(spark, tmp_path):
+    root = str(tmp_path / "lake")
+    b = fixtures.write_bronze(root, two_loads=False)
+    out = silver.run_silver(spark, b, f"{root}/silver", parts=("league", "players"))
+    assert set(out) == {"league_standings", "player_seasons", "player_matches"}
+    g = gold.run_gold(spark, f"{root}/silver", f"{root}/gold", marts=("player_scoring_stats",))
+    assert set(g) == {"player_scoring_stats"}
+    with pytest.raises(NoSnapshotError):
+        gold.run_gold(spark, f"{root}/silver", f"{root}/gold", marts=("team_tactics",))
