@@ -26,6 +26,20 @@ def export_json(df: DataFrame, path: str, drop_nulls: bool = True, single_file:
      .option("encoding", "UTF-8").json(path))
 
 
+def export_json_array(df: DataFrame, path: str, drop_nulls: bool = True,
+                      max_rows: int = SINGLE_FILE_MAX_ROWS) -> None:
+    """Write a bounded mart as one file holding one JSON array (SNK5's API files).
+
+    Row order is kept (`collect_list` over a single ordered partition); marts
+    above `max_rows` must use `export_json`.
+    """
+    if not has_at_most(df, max_rows):
+        raise ValueError("export_json_array is for bounded marts only")
+    rows = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    arr = F.to_json(F.collect_list(rows), {"ignoreNullFields": str(drop_nulls).lower()})
+    df.coalesce(1).agg(arr.alias("value")).write.mode("overwrite").text(path)
+
+
 def read_export(spark: SparkSession, path: str, schema) -> DataFrame:
     """Read an export back with its schema (missing fields come back as null)."""
     return spark.read.schema(schema).json(path)

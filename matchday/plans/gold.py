@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.casts import to_double, to_int
 from ..functions.metrics import difference
 from ..operators.aggregates import scoring_totals
-from ..operators.export import export_json
+from ..operators.export import export_json, export_json_array
 from ..operators.joins import left_enrich
 from ..operators.ranking import first_per_key, ordered_array, top_k
 from ..operators.upsert import overwrite, read_latest
@@ -119,6 +119,7 @@ def upcoming_fixtures(fixtures: DataFrame, k: int = LIST_LENGTH, as_of: str | No
 
 MARTS = ("player_scoring_stats", "team_summary", "team_match_trends", "team_tactics",
          "league_recent_results", "league_upcoming_fixtures")
+ARRAY_EXPORTS = ("league_recent_results", "league_upcoming_fixtures")
 
 
 def run_gold(spark: SparkSession, silver_root: str, gold_root: str, export_root: str | None = None,
@@ -152,5 +153,11 @@ def run_gold(spark: SparkSession, silver_root: str, gold_root: str, export_root:
         versions[name] = overwrite(spark, builders[name](), f"{g}/{name}")
     if export_root:
         for name in versions:
-            export_json(read_latest(spark, f"{g}/{name}"), f"{export_root.rstrip('/')}/{name}")
+            mart = read_latest(spark, f"{g}/{name}")
+            target = f"{export_root.rstrip('/')}/{name}"
+            # the league lists hold LIST_LENGTH rows by construction: one JSON array file each
+            if name in ARRAY_EXPORTS:
+                export_json_array(mart, target)
+            else:
+                export_json(mart, target)
     return versions

@@ -94,6 +94,14 @@ def test_gold_marts(spark, lake):
                                                                 ("Northside", dt.date(2026, 5, 10))]
 
 
+def test_list_exports_are_json_arrays(lake):
+    import glob
+    import json
+    f = glob.glob(f"{lake['root']}/export/league_upcoming_fixtures/part-*")[0]
+    doc = json.loads(open(f, encoding="utf-8").read())
+    assert [d["home_team"] for d in doc] == ["Harbour City", "Northside"]
+
+
 def test_summary_without_fixtures_defaults(spark, lake):
     st = read_latest(spark, f"{lake['silver']}/league_standings")
     m = read_latest(spark, f"{lake['silver']}/team_matches")

@@ -115,3 +115,12 @@ def test_wrap_rows_into_one_document(spark, tmp_path):
     import pytest
     with pytest.raises(ValueError):
         export.wrap_rows(spark.range(20), max_rows=10)
+
+
+def test_export_json_array(spark, tmp_path):
+    df = spark.createDataFrame([(1, "Ødegaard", None), (2, "Saka", 3)], "rank int, name string, goals int").orderBy("rank")
+    path = str(tmp_path / "arr")
+    export.export_json_array(df, path)
+    files = [f for f in os.listdir(path) if f.startswith("part-")]
+    doc = json.loads(open(os.path.join(path, files[0]), encoding="utf-8").read())
+    assert doc == [{"rank": 1, "name": "Ødegaard"}, {"rank": 2, "name": "Saka", "goals": 3}]
