@@ -427,6 +427,36 @@ def q_summary_for_team(spark, d):
     return s.filter(F.lower("team_name") == SELECTED_TEAM.lower())
 
 
+def q_silver_team_matches(spark, d):
+    """The silver builder for team results, run on bronze-style documents made from
+    the orders: one document per order, every leaf text in the page's format
+    (`Sep 29, 2025` dates, numbers as text, `""` for a missing value)."""
+    from .. import schemas
+    from . import silver
+    tm = team_matches(spark, d)
+    as_text = {
+        "date": casts.format_match_date("match_date"),
+        "opponent": F.col("match_key").cast("string"),
+        "side": F.col("home_away"),
+        "result": F.col("result_status"),
+        "team_score": F.col("goals_scored").cast("string"),
+        "opponent_score": F.col("goals_conceded").cast("string"),
+        "team_xg": F.col("xg_for").cast("string"),
+        "opponent_xg": F.lit(""),
+        "match_link": F.lit(""),
+    }
+    docs = tm.select(
+        F.col("team_key").cast("string").alias("team_name"),
+        F.array(F.struct(*[as_text[f].alias(f) for f in schemas.RESULT_FIELDS])).alias("results"),
+        F.struct(F.date_format("match_date", "yyyy-MM-dd 00:00:00").alias("extraction_timestamp"),
+                 F.date_format("match_date", "yyyy-MM-dd").alias("load_date"),
+                 F.lit("orders").alias("source")).alias("meta"),
+        F.col("match_date").alias("load_date"))
+    out = silver.team_matches(docs)
+    return out.select("team_name", "match_date", "opponent", "home_away", "result_status", "goals_scored",
+                      "goals_conceded", "xg_for", "xg_against", "load_date")
+
+
 def q_top_scorer_per_team(spark, d):
     pm = player_matches(spark, d).filter(
         (F.col("match_date") >= F.lit(SEASON_START).cast("date")) & (F.col("match_date") < F.lit(AS_OF).cast("date")))
@@ -475,6 +505,7 @@ QUERIES: dict[str, Query] = {
     "export_roundtrip": q_export_roundtrip,
     "summary_for_team": q_summary_for_team,
     "top_scorer_per_team": q_top_scorer_per_team,
+    "silver_team_matches": q_silver_team_matches,
     "text_functions": q_text_functions,
 }
 
@@ -514,6 +545,7 @@ COVERS: dict[str, str] = {
     "export_roundtrip": "SNK5 SNK6 SNK8 SRC8",
     "summary_for_team": "Q-API2 FLT7 FLT11",
     "top_scorer_per_team": "AGG7",
+    "silver_team_matches": "Q-MATCH PRJ1 PRJ2 PRJ6 PRJ7 SC11 SNK4 SC20",
     "text_functions": "SC2 SC8 SC9 SC10 ING8",
 }
 
@@ -742,6 +774,10 @@ ORACLE_SQL: dict[str, str] = {
               WHERE match_date >= DATE '{SEASON_START}' AND match_date < DATE '{AS_OF}'
               GROUP BY team_key, player_key) g) t
       WHERE rn = 1""",
+    "silver_team_matches": _with(_TM) + """SELECT CAST(team_key AS VARCHAR) AS team_name, match_date,
+        CAST(match_key AS VARCHAR) AS opponent, home_away, result_status, goals_scored, goals_conceded,
+        xg_for, CAST(NULL AS DOUBLE) AS xg_against, match_date AS load_date
+      FROM team_matches""",
     "text_functions": """SELECT p_partkey, lower(regexp_replace(trim(p_name), ' ', '_', 'g')) AS name_key,
         upper(concat(substr(string_split(trim(p_name), ' ')[1], 1, 1), substr(string_split(trim(p_name), ' ')[2], 1, 1)))
           AS initials,
