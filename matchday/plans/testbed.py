@@ -457,6 +457,50 @@ def q_silver_team_matches(spark, d):
                       "goals_conceded", "xg_for", "xg_against", "load_date")
 
 
+def _match_documents(tm: DataFrame, part: str, fields: dict) -> DataFrame:
+    """One bronze-style team document per match: `{team_name, <part>: [one struct], meta, load_date}`."""
+    from .. import schemas
+    names = schemas.RESULT_FIELDS if part == "results" else schemas.FIXTURE_FIELDS
+    return tm.select(
+        F.col("team_key").cast("string").alias("team_name"),
+        F.array(F.struct(*[fields[f].alias(f) for f in names])).alias(part),
+        F.struct(F.lit(f"{AS_OF} 00:00:00").alias("extraction_timestamp"), F.lit(AS_OF).alias("load_date"),
+                 F.lit("orders").alias("source")).alias("meta"),
+        F.lit(AS_OF).cast("date").alias("load_date"))
+
+
+def q_gold_team_summary(spark, d):
+    """The gold team summary builder over silver tables built from bronze-style
+    documents: one league document per team (cells as text, rank from the
+    distributed league rank), one result / fixture document per order."""
+    from . import gold, silver
+    st = ranking.global_row_number(
+        standings(spark, d), [F.col("points").desc(), F.col("goal_difference").desc(),
+                              F.col("goals_for").desc(), F.col("team_key").asc()], "rank")
+    txt = lambda c: F.col(c).cast("string")
+    cells = F.array(txt("rank"), txt("team_key"), F.lit(""), txt("matches_played"), txt("wins"), txt("draws"),
+                    txt("losses"), txt("goals_for"), txt("goals_against"), txt("points"), F.lit(""), F.lit(""),
+                    F.lit(""))
+    league = st.select(
+        F.array(F.struct(txt("team_key").alias("Team"), F.lit("").alias("URL"), cells.alias("Data"))).alias("data"),
+        F.struct(F.lit(f"{AS_OF} 00:00:00").alias("extraction_timestamp"), F.lit(AS_OF).alias("load_date"),
+                 F.lit("orders").alias("source")).alias("meta"),
+        F.lit(AS_OF).cast("date").alias("load_date"))
+    res = results(spark, d)
+    res_docs = _match_documents(res, "results", {
+        "date": casts.format_match_date("match_date"), "opponent": txt("match_key"), "side": F.col("home_away"),
+        "result": F.col("result_status"), "team_score": txt("goals_scored"), "opponent_score": txt("goals_conceded"),
+        "team_xg": txt("xg_for"), "opponent_xg": txt("xg_against"), "match_link": F.lit("")})
+    fix_docs = _match_documents(fixtures(spark, d), "fixtures", {
+        "date": casts.format_match_date("match_date"), "time": F.col("kickoff"), "opponent": txt("match_key"),
+        "side": F.col("home_away")})
+    summary = gold.team_summary(silver.league_standings(league), silver.team_matches(res_docs),
+                                silver.team_fixtures(fix_docs))
+    return summary.select("rank", "team_name", "matches_played", "wins", "draws", "losses", "points", "goals_for",
+                          "goals_against", "goal_difference", F.array_join("form_array", "").alias("form"),
+                          "next_opponent", "next_home_away")
+
+
 def q_top_scorer_per_team(spark, d):
     pm = player_matches(spark, d).filter(
         (F.col("match_date") >= F.lit(SEASON_START).cast("date")) & (F.col("match_date") < F.lit(AS_OF).cast("date")))
@@ -506,6 +550,7 @@ QUERIES: dict[str, Query] = {
     "summary_for_team": q_summary_for_team,
     "top_scorer_per_team": q_top_scorer_per_team,
     "silver_team_matches": q_silver_team_matches,
+    "gold_team_summary": q_gold_team_summary,
     "text_functions": q_text_functions,
 }
 
@@ -546,6 +591,7 @@ COVERS: dict[str, str] = {
     "summary_for_team": "Q-API2 FLT7 FLT11",
     "top_scorer_per_team": "AGG7",
     "silver_team_matches": "Q-MATCH PRJ1 PRJ2 PRJ6 PRJ7 SC11 SNK4 SC20",
+    "gold_team_summary": "Q-STAND Q-MATCH Q-FIX Q-SUM PRJ4 PRJ8 JN1 JN2 WIN1 WIN2 AGG6 ORD1",
     "text_functions": "SC2 SC8 SC9 SC10 ING8",
 }
 
@@ -778,6 +824,21 @@ ORACLE_SQL: dict[str, str] = {
         CAST(match_key AS VARCHAR) AS opponent, home_away, result_status, goals_scored, goals_conceded,
         xg_for, CAST(NULL AS DOUBLE) AS xg_against, match_date AS load_date
       FROM team_matches""",
+    "gold_team_summary": _with(_TM, _SUMMARY.split("summary AS (")[0].rstrip().rstrip(","), f"""ranked AS (
+  SELECT *, row_number() OVER (ORDER BY points DESC, goal_difference DESC, goals_for DESC, team_key) AS rnk
+  FROM (SELECT st.*, CAST(wins * 3 + draws AS INTEGER) AS points, goals_for - goals_against AS goal_difference
+        FROM standings st) s)""", f"""form_t AS (
+  SELECT team_key, string_agg(res, '' ORDER BY rn) AS form FROM (
+    SELECT team_key, upper(result_status) AS res,
+           row_number() OVER (PARTITION BY team_key ORDER BY match_date DESC, CAST(match_key AS VARCHAR)) AS rn
+    FROM results WHERE result_status IS NOT NULL) x
+  WHERE rn <= {FORM_LENGTH} GROUP BY team_key)""", """next_t AS (
+  SELECT team_key, CAST(match_key AS VARCHAR) AS next_opponent, home_away AS next_home_away FROM (
+    SELECT *, row_number() OVER (PARTITION BY team_key ORDER BY match_date, kickoff, CAST(match_key AS VARCHAR)) AS rn
+    FROM fixtures) x
+  WHERE rn = 1)""") + """SELECT CAST(rnk AS INTEGER) AS rank, CAST(r.team_key AS VARCHAR) AS team_name, matches_played, wins,
+        draws, losses, points, goals_for, goals_against, goal_difference, f.form, n.next_opponent, n.next_home_away
+      FROM ranked r LEFT JOIN form_t f USING (team_key) LEFT JOIN next_t n USING (team_key)""",
     "text_functions": """SELECT p_partkey, lower(regexp_replace(trim(p_name), ' ', '_', 'g')) AS name_key,
         upper(concat(substr(string_split(trim(p_name), ' ')[1], 1, 1), substr(string_split(trim(p_name), ' ')[2], 1, 1)))
           AS initials,
