@@ -501,6 +501,31 @@ def q_gold_team_summary(spark, d):
                           "next_opponent", "next_home_away")
 
 
+def q_gold_player_scoring(spark, d):
+    """The silver player-match builder and the gold scoring mart over player
+    documents made from line items (ISO dates, numbers as text, `""` for a
+    missing xG); several lines of one supplier on one day collapse to the
+    latest-wins row, as in the silver merge key (player, date)."""
+    from .. import schemas
+    from . import gold, silver
+    pm = player_matches(spark, d)
+    txt = lambda c: F.col(c).cast("string")
+    fields = {
+        "№": F.lit("1"), "Date": F.date_format("match_date", "yyyy-MM-dd"), "Home": txt("team_key"),
+        "Score": F.lit(""), "Away": F.lit(""), "Pos": F.col("position"), "Min": txt("minutes"), "Sh": F.lit(""),
+        "G": txt("goals"), "KP": F.lit(""), "A": txt("assists"), "xG": F.coalesce(txt("xg"), F.lit("")),
+        "xA": txt("xa")}
+    docs = pm.select(
+        txt("player_key").alias("player_name"),
+        F.concat(txt("match_key"), F.lit("-"), txt("line_no")).alias("player_url"),
+        F.lit(None).cast(schemas.PLAYER_DOC["seasonal_performance"].dataType).alias("seasonal_performance"),
+        F.array(F.struct(*[fields[f].alias(f) for f in schemas.MATCH_FIELDS])).alias("match_performance"),
+        F.struct(F.lit(f"{AS_OF} 00:00:00").alias("extraction_timestamp"), F.lit(AS_OF).alias("load_date"),
+                 F.lit("lineitem").alias("source")).alias("meta"),
+        F.lit(AS_OF).cast("date").alias("load_date"))
+    return gold.player_scoring_stats(silver.player_matches(docs), SEASON_START)
+
+
 def q_top_scorer_per_team(spark, d):
     pm = player_matches(spark, d).filter(
         (F.col("match_date") >= F.lit(SEASON_START).cast("date")) & (F.col("match_date") < F.lit(AS_OF).cast("date")))
@@ -551,6 +576,7 @@ QUERIES: dict[str, Query] = {
     "top_scorer_per_team": q_top_scorer_per_team,
     "silver_team_matches": q_silver_team_matches,
     "gold_team_summary": q_gold_team_summary,
+    "gold_player_scoring": q_gold_player_scoring,
     "text_functions": q_text_functions,
 }
 
@@ -592,6 +618,7 @@ COVERS: dict[str, str] = {
     "top_scorer_per_team": "AGG7",
     "silver_team_matches": "Q-MATCH PRJ1 PRJ2 PRJ6 PRJ7 SC11 SNK4 SC20",
     "gold_team_summary": "Q-STAND Q-MATCH Q-FIX Q-SUM PRJ4 PRJ8 JN1 JN2 WIN1 WIN2 AGG6 ORD1",
+    "gold_player_scoring": "Q-PM Q-PLAY FLT1 SET1 SNK4 PRJ6 PRJ7 AGG1 AGG2 AGG3 AGG4 AGG5 FLT3 FLT5 ORD1",
     "text_functions": "SC2 SC8 SC9 SC10 ING8",
 }
 
@@ -839,6 +866,18 @@ ORACLE_SQL: dict[str, str] = {
   WHERE rn = 1)""") + """SELECT CAST(rnk AS INTEGER) AS rank, CAST(r.team_key AS VARCHAR) AS team_name, matches_played, wins,
         draws, losses, points, goals_for, goals_against, goal_difference, f.form, n.next_opponent, n.next_home_away
       FROM ranked r LEFT JOIN form_t f USING (team_key) LEFT JOIN next_t n USING (team_key)""",
+    "gold_player_scoring": _with(_PM, """docs AS (
+  SELECT CAST(player_key AS VARCHAR) AS player_name,
+         CAST(match_key AS VARCHAR) || '-' || CAST(line_no AS VARCHAR) AS url,
+         match_date, minutes, goals, assists, xg, xa
+  FROM player_matches)""", """kept AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY player_name, match_date ORDER BY url DESC) AS rn
+                 FROM docs) x WHERE rn = 1)""", f"""totals AS (
+  SELECT player_name, count(match_date) AS matches_played, CAST(sum(minutes) AS BIGINT) AS total_minutes,
+         CAST(sum(goals) AS BIGINT) AS total_goals, CAST(sum(assists) AS BIGINT) AS total_assists,
+         {_r("sum(xg)")} AS total_xg, {_r("sum(xa)")} AS total_xa
+  FROM kept WHERE match_date >= DATE '{SEASON_START}' GROUP BY player_name)""")
+    + f"""SELECT *, {_r("total_goals - total_xg")} AS xg_performance FROM totals WHERE total_minutes > 0""",
     "text_functions": """SELECT p_partkey, lower(regexp_replace(trim(p_name), ' ', '_', 'g')) AS name_key,
         upper(concat(substr(string_split(trim(p_name), ' ')[1], 1, 1), substr(string_split(trim(p_name), ' ')[2], 1, 1)))
           AS initials,
