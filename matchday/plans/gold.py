@@ -114,7 +114,7 @@ def upcoming_fixtures(fixtures: DataFrame, k: int = LIST_LENGTH, as_of: str | No
     out = f.select("fixture_date", "fixture_time", F.col("team_name").alias("home_team"),
                    F.col("opponent").alias("away_team"))
     return top_k(out, [F.col("fixture_date").asc_nulls_last(), F.col("fixture_time").asc_nulls_last(),
-                       F.col("home_team").asc()], k)
+                       F.col("home_team").asc(), F.col("away_team").asc()], k)
 
 
 MARTS = ("player_scoring_stats", "team_summary", "team_match_trends", "team_tactics",

@@ -486,16 +486,8 @@ def q_gold_team_summary(spark, d):
         F.struct(F.lit(f"{AS_OF} 00:00:00").alias("extraction_timestamp"), F.lit(AS_OF).alias("load_date"),
                  F.lit("orders").alias("source")).alias("meta"),
         F.lit(AS_OF).cast("date").alias("load_date"))
-    res = results(spark, d)
-    res_docs = _match_documents(res, "results", {
-        "date": casts.format_match_date("match_date"), "opponent": txt("match_key"), "side": F.col("home_away"),
-        "result": F.col("result_status"), "team_score": txt("goals_scored"), "opponent_score": txt("goals_conceded"),
-        "team_xg": txt("xg_for"), "opponent_xg": txt("xg_against"), "match_link": F.lit("")})
-    fix_docs = _match_documents(fixtures(spark, d), "fixtures", {
-        "date": casts.format_match_date("match_date"), "time": F.col("kickoff"), "opponent": txt("match_key"),
-        "side": F.col("home_away")})
-    summary = gold.team_summary(silver.league_standings(league), silver.team_matches(res_docs),
-                                silver.team_fixtures(fix_docs))
+    silver_matches, silver_fixtures = _silver_from_orders(spark, d)
+    summary = gold.team_summary(silver.league_standings(league), silver_matches, silver_fixtures)
     return summary.select("rank", "team_name", "matches_played", "wins", "draws", "losses", "points", "goals_for",
                           "goals_against", "goal_difference", F.array_join("form_array", "").alias("form"),
                           "next_opponent", "next_home_away")
@@ -526,6 +518,49 @@ def q_gold_player_scoring(spark, d):
     return gold.player_scoring_stats(silver.player_matches(docs), SEASON_START)
 
 
+def _silver_from_orders(spark, d):
+    """Silver team results and fixtures built from per-order documents (see `_match_documents`)."""
+    from . import silver
+    txt = lambda c: F.col(c).cast("string")
+    res_docs = _match_documents(results(spark, d), "results", {
+        "date": casts.format_match_date("match_date"), "opponent": txt("match_key"), "side": F.col("home_away"),
+        "result": F.col("result_status"), "team_score": txt("goals_scored"), "opponent_score": txt("goals_conceded"),
+        "team_xg": txt("xg_for"), "opponent_xg": txt("xg_against"), "match_link": F.lit("")})
+    fix_docs = _match_documents(fixtures(spark, d), "fixtures", {
+        "date": casts.format_match_date("match_date"), "time": F.col("kickoff"), "opponent": txt("match_key"),
+        "side": F.col("home_away")})
+    return silver.team_matches(res_docs), silver.team_fixtures(fix_docs)
+
+
+def q_gold_recent_results(spark, d):
+    from . import gold
+    return gold.recent_results(_silver_from_orders(spark, d)[0])
+
+
+def q_gold_upcoming_fixtures(spark, d):
+    from . import gold
+    return gold.upcoming_fixtures(_silver_from_orders(spark, d)[1])
+
+
+def q_gold_team_tactics(spark, d):
+    """Statistics documents (one per team and play type, every figure as text)
+    through the silver statistics builder and the gold tactics mart."""
+    from .. import schemas
+    from . import gold, silver
+    t = q_tactics(spark, d)
+    txt = lambda c: F.col(c).cast("string")
+    fields = {"№": F.lit("1"), "Situation": F.col("play_type"), "Sh": txt("total_shots"), "G": txt("goals_scored"),
+              "ShA": F.lit(""), "GA": F.lit(""), "xG": txt("expected_goals"), "xGA": F.lit(""), "xGD": F.lit(""),
+              "xG/Sh": txt("xg_per_shot"), "xGA/Sh": F.lit("")}
+    docs = t.select(
+        txt("team_key").alias("team_name"),
+        F.array(F.struct(*[fields[f].alias(f) for f in schemas.STAT_FIELDS])).alias("statistics"),
+        F.struct(F.lit(f"{AS_OF} 00:00:00").alias("extraction_timestamp"), F.lit(AS_OF).alias("load_date"),
+                 F.lit("lineitem").alias("source")).alias("meta"),
+        F.lit(AS_OF).cast("date").alias("load_date"))
+    return gold.team_tactics(silver.team_statistics(docs))
+
+
 def q_top_scorer_per_team(spark, d):
     pm = player_matches(spark, d).filter(
         (F.col("match_date") >= F.lit(SEASON_START).cast("date")) & (F.col("match_date") < F.lit(AS_OF).cast("date")))
@@ -577,6 +612,9 @@ QUERIES: dict[str, Query] = {
     "silver_team_matches": q_silver_team_matches,
     "gold_team_summary": q_gold_team_summary,
     "gold_player_scoring": q_gold_player_scoring,
+    "gold_team_tactics": q_gold_team_tactics,
+    "gold_recent_results": q_gold_recent_results,
+    "gold_upcoming_fixtures": q_gold_upcoming_fixtures,
     "text_functions": q_text_functions,
 }
 
@@ -619,6 +657,9 @@ COVERS: dict[str, str] = {
     "silver_team_matches": "Q-MATCH PRJ1 PRJ2 PRJ6 PRJ7 SC11 SNK4 SC20",
     "gold_team_summary": "Q-STAND Q-MATCH Q-FIX Q-SUM PRJ4 PRJ8 JN1 JN2 WIN1 WIN2 AGG6 ORD1",
     "gold_player_scoring": "Q-PM Q-PLAY FLT1 SET1 SNK4 PRJ6 PRJ7 AGG1 AGG2 AGG3 AGG4 AGG5 FLT3 FLT5 ORD1",
+    "gold_team_tactics": "Q-STATS Q-TAC PRJ5 FLT2 PRJ6 PRJ7 ORD2",
+    "gold_recent_results": "Q-MATCH Q-REC FLT4 ORD3 SC11",
+    "gold_upcoming_fixtures": "Q-FIX Q-UP FLT4 ORD3 SC11",
     "text_functions": "SC2 SC8 SC9 SC10 ING8",
 }
 
@@ -878,6 +919,22 @@ ORACLE_SQL: dict[str, str] = {
          {_r("sum(xg)")} AS total_xg, {_r("sum(xa)")} AS total_xa
   FROM kept WHERE match_date >= DATE '{SEASON_START}' GROUP BY player_name)""")
     + f"""SELECT *, {_r("total_goals - total_xg")} AS xg_performance FROM totals WHERE total_minutes > 0""",
+    "gold_team_tactics": f"""SELECT CAST(team_key AS VARCHAR) AS team_name, play_type, goals_scored, expected_goals,
+        total_shots, {_r("expected_goals / total_shots", 3)} AS xg_per_shot
+      FROM (SELECT l_suppkey AS team_key,
+                   CASE l_returnflag WHEN 'A' THEN 'Open Play' WHEN 'N' THEN 'Set Piece' WHEN 'R' THEN 'Corner' END
+                     AS play_type,
+                   CAST(sum(CAST(round(l_tax * 100) AS INTEGER)) AS INTEGER) AS goals_scored,
+                   {_r("sum(l_quantity / 10)")} AS expected_goals, CAST(count(*) AS INTEGER) AS total_shots
+            FROM lineitem WHERE l_returnflag IN ('A', 'N', 'R') GROUP BY 1, 2) t""",
+    "gold_recent_results": _with(_TM) + f"""SELECT match_date, CAST(team_key AS VARCHAR) AS home_team,
+        goals_scored AS home_goals, goals_conceded AS away_goals, CAST(match_key AS VARCHAR) AS away_team
+      FROM results WHERE home_away = 'h'
+      ORDER BY match_date DESC, CAST(team_key AS VARCHAR), CAST(match_key AS VARCHAR) LIMIT {RECENT_LIMIT}""",
+    "gold_upcoming_fixtures": _with(_TM) + f"""SELECT match_date AS fixture_date, kickoff AS fixture_time,
+        CAST(team_key AS VARCHAR) AS home_team, CAST(match_key AS VARCHAR) AS away_team
+      FROM fixtures WHERE home_away = 'h'
+      ORDER BY match_date, kickoff, CAST(team_key AS VARCHAR), CAST(match_key AS VARCHAR) LIMIT {RECENT_LIMIT}""",
     "text_functions": """SELECT p_partkey, lower(regexp_replace(trim(p_name), ' ', '_', 'g')) AS name_key,
         upper(concat(substr(string_split(trim(p_name), ' ')[1], 1, 1), substr(string_split(trim(p_name), ' ')[2], 1, 1)))
           AS initials,
