@@ -542,6 +542,11 @@ def q_gold_upcoming_fixtures(spark, d):
     return gold.upcoming_fixtures(_silver_from_orders(spark, d)[1])
 
 
+def q_gold_team_match_trends(spark, d):
+    from . import gold
+    return gold.team_match_trends(_silver_from_orders(spark, d)[0])
+
+
 def q_gold_team_tactics(spark, d):
     """Statistics documents (one per team and play type, every figure as text)
     through the silver statistics builder and the gold tactics mart."""
@@ -613,12 +618,17 @@ QUERIES: dict[str, Query] = {
     "gold_team_summary": q_gold_team_summary,
     "gold_player_scoring": q_gold_player_scoring,
     "gold_team_tactics": q_gold_team_tactics,
+    "gold_team_match_trends": q_gold_team_match_trends,
     "gold_recent_results": q_gold_recent_results,
     "gold_upcoming_fixtures": q_gold_upcoming_fixtures,
     "text_functions": q_text_functions,
 }
 
 
+# The reference's six gold marts, as built by `plans/gold.py` (bench headline).
+GOLD_MARTS = ("gold_player_scoring", "gold_team_summary", "gold_team_match_trends", "gold_team_tactics",
+              "gold_recent_results", "gold_upcoming_fixtures")
+
 # SURVEY §2 operator IDs each registered query exercises.
 COVERS: dict[str, str] = {
     "player_scoring_stats": "SRC6 JN7 FLT3 AGG1 AGG2 AGG3 AGG4 AGG5 FLT5 PRJ6 PRJ7",
@@ -658,6 +668,7 @@ COVERS: dict[str, str] = {
     "gold_team_summary": "Q-STAND Q-MATCH Q-FIX Q-SUM PRJ4 PRJ8 JN1 JN2 WIN1 WIN2 AGG6 ORD1",
     "gold_player_scoring": "Q-PM Q-PLAY FLT1 SET1 SNK4 PRJ6 PRJ7 AGG1 AGG2 AGG3 AGG4 AGG5 FLT3 FLT5 ORD1",
     "gold_team_tactics": "Q-STATS Q-TAC PRJ5 FLT2 PRJ6 PRJ7 ORD2",
+    "gold_team_match_trends": "Q-MATCH Q-TREND PRJ12 ORD2 SC11",
     "gold_recent_results": "Q-MATCH Q-REC FLT4 ORD3 SC11",
     "gold_upcoming_fixtures": "Q-FIX Q-UP FLT4 ORD3 SC11",
     "text_functions": "SC2 SC8 SC9 SC10 ING8",
@@ -927,6 +938,10 @@ ORACLE_SQL: dict[str, str] = {
                    CAST(sum(CAST(round(l_tax * 100) AS INTEGER)) AS INTEGER) AS goals_scored,
                    {_r("sum(l_quantity / 10)")} AS expected_goals, CAST(count(*) AS INTEGER) AS total_shots
             FROM lineitem WHERE l_returnflag IN ('A', 'N', 'R') GROUP BY 1, 2) t""",
+    "gold_team_match_trends": _with(_TM) + """SELECT CAST(team_key AS VARCHAR) AS team_name, match_date,
+        CAST(match_key AS VARCHAR) AS opponent, home_away, result_status, goals_scored, goals_conceded,
+        xg_for, xg_against
+      FROM results""",
     "gold_recent_results": _with(_TM) + f"""SELECT match_date, CAST(team_key AS VARCHAR) AS home_team,
         goals_scored AS home_goals, goals_conceded AS away_goals, CAST(match_key AS VARCHAR) AS away_team
       FROM results WHERE home_away = 'h'
