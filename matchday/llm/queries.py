@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from .orc_tokens import op6_orc_tokens
 from .packing import op10_packing
+from .quality import op8_quality
+from .sharding import op9_sharding
 
 QUERIES = {
     "op6_orc_tokens": op6_orc_tokens,
+    "op8_quality": op8_quality,
+    "op9_sharding": op9_sharding,
     "op10_packing": op10_packing,
 }
 
