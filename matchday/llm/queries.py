@@ -6,9 +6,11 @@ from .orc_tokens import op6_orc_tokens
 from .packing import op10_packing
 from .quality import op8_quality
 from .sharding import op9_sharding
+from .vectors import op7_nearest
 
 QUERIES = {
     "op6_orc_tokens": op6_orc_tokens,
+    "op7_nearest": op7_nearest,
     "op8_quality": op8_quality,
     "op9_sharding": op9_sharding,
     "op10_packing": op10_packing,
