@@ -6,9 +6,11 @@ from .orc_tokens import op6_orc_tokens
 from .packing import op10_packing
 from .quality import op8_quality
 from .sharding import op9_sharding
+from .suffix_dedup import op1_suffix_dedup
 from .vectors import op7_nearest
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op6_orc_tokens": op6_orc_tokens,
     "op7_nearest": op7_nearest,
     "op8_quality": op8_quality,
