@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .fingerprints import op5_fingerprints
 from .jaccard_join import op3_jaccard_join
 from .orc_tokens import op6_orc_tokens
 from .packing import op10_packing
@@ -13,6 +14,7 @@ from .vectors import op7_nearest
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op3_jaccard_join": op3_jaccard_join,
+    "op5_fingerprints": op5_fingerprints,
     "op6_orc_tokens": op6_orc_tokens,
     "op7_nearest": op7_nearest,
     "op8_quality": op8_quality,
