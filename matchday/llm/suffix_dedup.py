@@ -43,7 +43,7 @@ from .common import U64, byte_table, run_hashes, text_buffer
 
 MIN_LENGTH = 200
 GRAM = 40                  # bytes of the strings whose least hash is a window's key
-BUCKET_BYTES = 1 << 20     # of a suffix array, about; keys with more go by window counts
+BUCKET_BYTES = 1 << 20     # of a suffix array, about; keys with more than twice as much go by window counts
 CHUNK = 1 << 20
 _NO_ID = -(1 << 63)
 _S64 = np.int64
@@ -218,7 +218,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
     for batch in batches:
         rows, size = [], 0
-        for did, rid, text, wants in zip(*(c.to_pylist() for c in batch.columns)):
+        for did, rid, text, wants in zip(*(batch.column(c).to_pylist() for c in ("_did", "_rid", "raw", "wants"))):
             raw = (text or "").encode()
             for want in wants:
                 if not want["hot"]:
@@ -238,7 +238,7 @@ def _window_hashes(min_length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held, size = [], 0
-            for did, rid, text, wants in zip(*(c.to_pylist() for c in batch.columns)):
+            for did, rid, text, wants in zip(*(batch.column(c).to_pylist() for c in ("_did", "_rid", "raw", "wants"))):
                 raw = np.frombuffer((text or "").encode(), np.uint8)
                 for want in (w for w in wants if w["hot"]):
                     for a in range(want["lo"], want["hi"] - min_length + 1, 100_000):
@@ -257,16 +257,17 @@ def _window_hashes(min_length: int):
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """`docs` with `did`, `rid`: a row's place in the order and a hash that names its text."""
+    """`docs` with columns c0, c1, ... (so that no name can clash), and `did`, `rid`: a row's place in the
+    order and a hash that names its text. `raw` is the text."""
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
-    return docs.withColumns({"_did": did, "_rid": F.xxhash64(did, F.coalesce(F.col("text"), F.lit("")))})
+    kept = [F.col(f"`{c}`").alias(f"c{i}" if c != "text" else "raw") for i, c in enumerate(docs.columns)]
+    return docs.select(*kept, did.alias("_did"), F.xxhash64(did, F.coalesce(F.col("text"), F.lit(""))).alias("_rid"))
 
 
 def repeated_spans(docs: DataFrame, min_length: int = MIN_LENGTH, keep: str = "none",
                    bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(_did, _rid, spans) of the rows of `keyed(docs)` with something to remove; spans may overlap."""
-    texts = docs.select("_did", "_rid", "text")
-    found = texts.mapInArrow(_fragment_rows(min_length), FRAGMENT)
+    """(_did, _rid, spans) of the rows of `keyed` documents with something to remove; spans may overlap."""
+    found = docs.select("_did", "_rid", "raw").mapInArrow(_fragment_rows(min_length), FRAGMENT)
     # 2. keys that occur more than once
     often = (found.groupBy("key").agg(F.sum(F.when(F.col("alone"), 1).otherwise(2)).alias("n"))
              .filter(F.col("n") > 1).select("key"))
@@ -277,7 +278,7 @@ def repeated_spans(docs: DataFrame, min_length: int = MIN_LENGTH, keep: str = "n
                                              F.min(F.struct("did", "rid", "lo", "hi")).alias("first"))
     by_key = equal.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum(length).alias("bytes"))
     kinds = common.stored(
-        equal.join(by_key, "key").select("key", "same", "n", "first", (F.col("bytes") > bucket_bytes).alias("hot"),
+        equal.join(by_key, "key").select("key", "same", "n", "first", (F.col("bytes") > 2 * bucket_bytes).alias("hot"),
                                          ((F.col("kinds") > 1) | ~F.col("alone")).alias("open")), "kinds")
     total = kinds.filter("open and not hot").agg(F.sum(length)).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
@@ -290,8 +291,9 @@ def repeated_spans(docs: DataFrame, min_length: int = MIN_LENGTH, keep: str = "n
         F.col("first.did").alias("_did"), F.col("first.rid").alias("_rid"),
         F.struct(F.col("first.lo").alias("lo"), F.col("first.hi").alias("hi"), "key", "hot",
                  F.pmod(F.col("key"), F.lit(buckets)).alias("bucket")).alias("want"))
-    wanted = (texts.join(ask.groupBy("_did", "_rid").agg(F.collect_list("want").alias("wants")), ["_did", "_rid"])
-              .select("_did", "_rid", "text", "wants"))
+    # all columns go along, so that the last join can use the same shuffle of the texts
+    ask = ask.groupBy("_did", "_rid").agg(F.collect_list("want").alias("wants"))
+    wanted = docs.join(ask, ["_did", "_rid"])
     # 4. suffix arrays
     inside = (wanted.mapInArrow(_cut_out, CUT).groupBy("bucket")
               .applyInArrow(_bucket_spans(min_length, keep), "did long, rid long, lo long, hi long"))
@@ -350,9 +352,10 @@ def with_spans(docs: DataFrame, min_length: int, keep: str, bucket_bytes: int) -
 def remove_repeats(docs: DataFrame, min_length: int = MIN_LENGTH, keep: str = "first",
                    bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """`docs` with the repeated passages taken out of `text` (in whole characters); same rows and columns."""
-    rows = with_spans(docs, min_length, keep, bucket_bytes).select(*docs.columns, "spans")
     names = list(docs.columns)
     at = names.index("text")
+    rows = with_spans(docs, min_length, keep, bucket_bytes).select(
+        *(f"c{i}" if c != "text" else "raw" for i, c in enumerate(names)), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -387,5 +390,5 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return with_spans(docs, MIN_LENGTH, "none", BUCKET_BYTES).select("doc_id", "text", "spans").mapInArrow(
+    return with_spans(docs, MIN_LENGTH, "none", BUCKET_BYTES).select("c0", "raw", "spans").mapInArrow(
         _digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
