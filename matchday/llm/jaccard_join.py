@@ -42,11 +42,11 @@ from .graph import components
 
 WORDS = 5
 PERCENT = 80
-SHARED = 5                    # shared shingles asked for in step 2
+SHARED = 12                   # shared shingles asked for in step 2
 SHORT_LIST = 32               # longer lists are tied, not paired
 HOT_LIST = 100                # shingles more frequent than this are put last in the order
 HOT_KEPT = 50_000             # as many of them, the most frequent (this bounds a broadcast, no result depends on it)
-BLOCK_SHINGLES = 2_000_000    # shingles of a block in a task
+BLOCK_SHINGLES = 3_000_000    # shingles of a block in a task
 PROBED = 3000                 # lists above this length are probed, not merged
 _NO_ID = -(1 << 63)
 _WS = np.zeros(256, bool)
@@ -89,6 +89,17 @@ def class_of(own: np.ndarray) -> int:
     return int(mix(h).view(np.int64)[0])
 
 
+def packed(own: np.ndarray) -> bytes:
+    """A set's hashes without their two lowest bytes, six bytes each."""
+    return own.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view(">u8").astype(U64)
+
+
 def least_overlap(size, percent: int = PERCENT):
     """T: shingles of a set of this size that a linked set must hold."""
     return -(-size * percent // 100)
@@ -189,7 +200,7 @@ def _pairs(short: int, percent: int):
         j = np.repeat(at[long], n[long])
         out.append((owner[i], owner[j], size[i], size[j], np.ones(len(i), bool)))
         a, b, na, nb, tied = (np.concatenate(c) for c in zip(*out))
-        flip = a < b
+        flip = (a < b) & ~tied
         return pa.RecordBatch.from_arrays(
             [pa.array(np.where(flip, b, a)), pa.array(np.where(flip, a, b)), pa.array(np.where(flip, nb, na), pa.int32()),
              pa.array(np.where(flip, na, nb), pa.int32()), pa.array(tied)], names)
@@ -262,7 +273,7 @@ def _search(percent: int):
         ids, side = table["class"].to_numpy(), table["side"].to_numpy()
         _, keep = np.unique(ids, return_index=True)      # rows that agree in id and text come twice
         raw = table["shingles"].combine_chunks().take(pa.array(keep))
-        sets = [np.frombuffer(b, U64) for b in raw.to_pylist()]
+        sets = [unpacked(b) for b in raw.to_pylist()]
         ids, side = ids[keep], side[keep]
         every = np.arange(len(ids))
         if (side == 2).any():        # two blocks meet
@@ -336,15 +347,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     # places of a class in long lists: shared shingles that weren't counted
     hidden = (hot_rows.select("class", F.lit(1).alias("n"))
               .union(ties.select(F.col("a").alias("class"), "n"))
-              .union(ties.filter("a != b").select(F.col("b").alias("class"), "n"))
               .groupBy("class").agg(F.sum("n").alias("n")))
     need = F.least(F.lit(shared), F.ceil(F.greatest("na", "nb") * percent / 100))
+    # a class that meets another in long lists alone must be in enough of them
+    bare = F.least(F.lit(shared), F.ceil(F.col("na") * percent / 100))
     paired = (met.filter("not tied")
               .join(hidden.select(F.col("class").alias("a"), F.col("n").alias("ha")), "a", "left")
               .join(hidden.select(F.col("class").alias("b"), F.col("n").alias("hb")), "b", "left")
               .filter(F.col("n") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))) >= need))
     ends = ["a", "b", "na", "nb"]
-    edges = common.checkpointed(paired.select(*ends).union(ties.select(*ends)).union(hot_ties.select(*ends)))
+    tied = (ties.select(*ends).union(hot_ties.select(*ends))
+            .join(hidden.select(F.col("class").alias("a"), F.col("n").alias("ha")), "a").filter(F.col("ha") >= bare))
+    edges = common.checkpointed(paired.select(*ends).union(tied.select(*ends)))
     sizes = (edges.select(F.col("a").alias("node"), F.col("na").alias("size"))
              .union(edges.select("b", "nb")).groupBy("node").agg(F.first("size").alias("size")))
     nodes = common.checkpointed(components(edges.select("a", "b")).join(sizes, "node")
@@ -362,7 +376,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
             for s, wants in zip(sets, batch.column(1).to_pylist()):
                 own = class_of(s) if len(s) else None
                 for want in (w for w in wants if w["class"] == own):
-                    raw = s.tobytes()
+                    raw = packed(s)
                     out.extend((t["task"], t["side"], own, raw) for t in want["tasks"])
                     size += len(raw) * len(want["tasks"])
                 if size > 4 << 20:
