@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .fingerprints import op5_fingerprints
+from .html_text import op2_html_text
 from .jaccard_join import op3_jaccard_join
+from .mixing import op4_mixing
 from .orc_tokens import op6_orc_tokens
 from .packing import op10_packing
 from .quality import op8_quality
@@ -13,7 +15,9 @@ from .vectors import op7_nearest
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_html_text": op2_html_text,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_mixing": op4_mixing,
     "op5_fingerprints": op5_fingerprints,
     "op6_orc_tokens": op6_orc_tokens,
     "op7_nearest": op7_nearest,

@@ -84,16 +84,18 @@ def fragments(buf: np.ndarray, offsets: np.ndarray, min_length: int = MIN_LENGTH
     return owner[start], start, end, key, alone
 
 
-def _fragment_rows(min_length: int):
+def _fragment_rows(min_length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offsets = text_buffer(batch.column(2))
             ids, rows = batch.column(0), batch.column(1)
             for a, b in common.row_chunks(offsets, CHUNK):
                 part, own = buf[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
-                text, start, end, key, alone = fragments(part, own, min_length)
+                text, start, end, key, alone = fragments(part, own, min_length, gram)
                 if not len(text):
                     continue
+                group = batch.column(3).to_numpy()[a + text].view(U64)
+                key = np.where(group == 0, key, common.mix(key ^ group))     # equal windows of two groups never meet
                 same = run_hashes(byte_table(22)[part], start, end)
                 row = pa.array(a + text)
                 yield pa.RecordBatch.from_arrays(
@@ -153,8 +155,12 @@ def suffix_order(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]
     return order, rank
 
 
-def repeated_windows(pieces: list[bytes], min_length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(piece, position, has an earlier match, has any match) of each window of the pieces, in order."""
+def repeated_windows(pieces: list[bytes], min_length: int, part: np.ndarray | None = None,
+                     page: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, position, has an earlier match, has any match) of each window of the pieces, in order.
+
+    With `part`, only pieces of equal parts match; with `page`, a match is any in a piece of another page.
+    """
     sizes = np.array([len(p) for p in pieces])
     text = np.frombuffer(b"".join(pieces), np.uint8)
     offsets = np.concatenate([[0], np.cumsum(sizes)])
@@ -163,6 +169,11 @@ def repeated_windows(pieces: list[bytes], min_length: int) -> tuple[np.ndarray,
     whole = np.arange(len(text)) + min_length <= offsets[1:][owner]
     order = order[whole[order]]
     r = rank[order]
+    if part is not None:
+        names = np.unique(part, return_inverse=True)[1]
+        r = r * U64(len(part)) + names[owner[order]].astype(U64)
+        again = np.argsort(r, kind="stable")
+        order, r = order[again], r[again]
     # longest previous factor, cut at min_length: the match at the previous or next smaller position
     # in suffix order counts as far as both lie in one run of suffixes that agree in min_length bytes
     before = _smaller_before(order)
@@ -173,6 +184,11 @@ def repeated_windows(pieces: list[bytes], min_length: int) -> tuple[np.ndarray,
     earlier[order[ok]] |= r[after[ok]] == r[ok]
     edge = np.concatenate([[True], r[1:] != r[:-1], [True]])
     several[order] = ~(edge[:-1] & edge[1:])
+    if page is not None and len(order):
+        run = np.flatnonzero(edge[:-1])
+        at = page[owner[order]]
+        several[order] = np.repeat(np.minimum.reduceat(at, run) != np.maximum.reduceat(at, run),
+                                   np.diff(np.append(run, len(order))))
     at = np.flatnonzero(whole)
     return owner[at], at - offsets[owner[at]], earlier[at], several[at]
 
@@ -187,7 +203,7 @@ def _spans(group: np.ndarray, position: np.ndarray, hit: np.ndarray, min_length:
     return g[new], p[new], p[last] + min_length
 
 
-def _bucket_spans(min_length: int, keep: str):
+def _bucket_spans(min_length: int, keep: str, across: bool):
     schema = pa.schema([("did", pa.int64()), ("rid", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
 
     def scan(table: pa.Table) -> pa.Table:
@@ -197,22 +213,23 @@ def _bucket_spans(min_length: int, keep: str):
         order = order[np.concatenate([[True], np.any([p[order][1:] != p[order][:-1] for p in place], axis=0)])]
         did, rid, lo = (p[order] for p in place)
         pieces = table["bytes"].take(pa.array(order)).to_pylist()
-        # keys of a bucket share no window, so all their fragments can stand in one text
-        piece, at, earlier, several = repeated_windows(pieces, min_length)
+        # keys of a bucket share no window (but in two groups), so all their fragments can stand in one text
+        key = table["key"].to_numpy()[order]
+        piece, at, earlier, several = repeated_windows(pieces, min_length, *((key, did) if across else ()))
         g, start, end = _spans(piece, at, several if keep == "none" else earlier, min_length)
         return pa.Table.from_arrays([pa.array(did[g]), pa.array(rid[g]), pa.array(lo[g] + start),
                                      pa.array(lo[g] + end)], schema=schema)
     return scan
 
 
-CUT = "bucket long, did long, rid long, lo long, bytes binary"
+CUT = "bucket long, key long, did long, rid long, lo long, bytes binary"
 WINDOW = "key long, window long, did long, rid long, lo long"
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bytes of the wanted fragments of each text."""
     names = [x.split()[0] for x in CUT.split(", ")]
-    kinds = [pa.int64()] * 4 + [pa.binary()]
+    kinds = [pa.int64()] * 5 + [pa.binary()]
 
     def batch_of(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
@@ -222,7 +239,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = (text or "").encode()
             for want in wants:
                 if not want["hot"]:
-                    rows.append((want["bucket"], did, rid, want["lo"], raw[want["lo"]:want["hi"]]))
+                    rows.append((want["bucket"], want["key"], did, rid, want["lo"], raw[want["lo"]:want["hi"]]))
                     size += want["hi"] - want["lo"] + 64
             if size > 4 << 20:
                 yield batch_of(rows)
@@ -265,26 +282,33 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, min_length: int = MIN_LENGTH, keep: str = "none",
-                   bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(_did, _rid, spans) of the rows of `keyed` documents with something to remove; spans may overlap."""
-    found = docs.select("_did", "_rid", "raw").mapInArrow(_fragment_rows(min_length), FRAGMENT)
+                   bucket_bytes: int = BUCKET_BYTES, group: str | None = None, gram: int = GRAM) -> DataFrame:
+    """(_did, _rid, spans) of the rows of `keyed` documents with something to remove; spans may overlap.
+
+    With `group` (a column of hashes), strings count as repeated if they occur in
+    different documents of one group (`keep="none"` only).
+    """
+    across = group is not None
+    own = F.col(group) if across else F.lit(0).cast("long")
+    found = docs.select("_did", "_rid", "raw", own.alias("_g")).mapInArrow(_fragment_rows(min_length, gram), FRAGMENT)
     # 2. keys that occur more than once
     often = (found.groupBy("key").agg(F.sum(F.when(F.col("alone"), 1).otherwise(2)).alias("n"))
              .filter(F.col("n") > 1).select("key"))
     found = common.stored(found.join(often, "key"), "fragments")
     # 3. one row for equal fragments
     length = F.col("first.hi") - F.col("first.lo")
-    equal = found.groupBy("key", "same").agg(F.count(F.lit(1)).alias("n"), F.min("alone").alias("alone"),
+    equal = found.groupBy("key", "same").agg(F.count(F.lit(1)).alias("n"), F.min("alone").alias("alone"), F.max("did").alias("last"),
                                              F.min(F.struct("did", "rid", "lo", "hi")).alias("first"))
     by_key = equal.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum(length).alias("bytes"))
     kinds = common.stored(
-        equal.join(by_key, "key").select("key", "same", "n", "first", (F.col("bytes") > 2 * bucket_bytes).alias("hot"),
+        equal.join(by_key, "key").select("key", "same", "n", "first", "last", (F.col("bytes") > 2 * bucket_bytes).alias("hot"),
                                          ((F.col("kinds") > 1) | ~F.col("alone")).alias("open")), "kinds")
     total = kinds.filter("open and not hot").agg(F.sum(length)).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
 
     at, first = F.struct("did", "rid", "lo"), F.struct("first.did", "first.rid", "first.lo")
-    whole = found.join(kinds.filter("n > 1").select("key", "same", "first"), ["key", "same"])
+    several = "n > 1 and first.did != last" if across else "n > 1"
+    whole = found.join(kinds.filter(several).select("key", "same", "first"), ["key", "same"])
     if keep == "first":
         whole = whole.filter(at != first)
     ask = kinds.filter("open").select(
@@ -296,15 +320,15 @@ def repeated_spans(docs: DataFrame, min_length: int = MIN_LENGTH, keep: str = "n
     wanted = docs.join(ask, ["_did", "_rid"])
     # 4. suffix arrays
     inside = (wanted.mapInArrow(_cut_out, CUT).groupBy("bucket")
-              .applyInArrow(_bucket_spans(min_length, keep), "did long, rid long, lo long, hi long"))
+              .applyInArrow(_bucket_spans(min_length, keep, across), "did long, rid long, lo long, hi long"))
     out = whole.select("did", "rid", "lo", "hi").union(inside)
     # 5. windows of keys that are too frequent for a bucket
     if kinds.filter("hot and open").limit(1).count():
         windows = common.stored(wanted.filter(F.exists("wants", lambda x: x["hot"]))
                                 .mapInArrow(_window_hashes(min_length), WINDOW), "windows")
-        several = (windows.groupBy("key", "window").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("first"))
-                   .filter("n > 1"))
-        hot = windows.join(several, ["key", "window"])
+        twice = (windows.groupBy("key", "window")
+                 .agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("first"), F.max("did").alias("last")).filter(several))
+        hot = windows.join(twice, ["key", "window"])
         if keep == "first":
             hot = hot.filter(at != F.col("first"))
         out = out.union(hot.select("did", "rid", "lo", (F.col("lo") + min_length).alias("hi")))
