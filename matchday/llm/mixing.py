@@ -1,9 +1,10 @@
 """Mixing to target weights (operator 4): soft membership, with Spark's own functions only.
 
 1. A classifier learned from the labelled table gives each document a
-   posterior for every domain: naive Bayes over the presence of hashed words
-   and of some traits of the text's structure. It is fitted on at most
-   `max_rows` labelled texts; evidence is shrunk towards none.
+   posterior for every domain: naive Bayes over the presence of hashed words,
+   beginnings of words and traits of the text's structure that tell a domain
+   from the first one; texts without any have the shares of such labelled
+   texts. It is fitted on at most `max_rows` labelled texts.
 2. Each document d gets a rate r_d >= 0, its expected number of copies. With
    tokens n_d (words), posteriors p_dk and W = sum of n_d, the expected share of
    domain k is sum_d n_d p_dk r_d / W. The rates minimise
@@ -18,7 +19,8 @@
    its mean is the rate.
 
 The domains are what the labels tell apart: `clean`, `low` (quality 0) and
-`toxic`. Targets are shares of all tokens.
+`toxic`. Targets are shares of all tokens; where the posteriors leave no rates
+that meet them, the fit comes as near as rates can.
 
 Defined results: a null text counts as empty (no tokens, judged by the priors);
 rows that agree in id and text get the same rate; a null `doc_id` is mixed like
@@ -31,6 +33,7 @@ rows; `resample` keeps the input's columns, whatever their names.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -39,11 +42,13 @@ from . import common
 from .common import bound
 
 DOMAINS = ("clean", "low", "toxic")
-TARGETS = {"clean": 0.985, "low": 0.01, "toxic": 0.005}
+TARGETS = {"clean": 0.95, "low": 0.02, "toxic": 0.03}
 MAX_ROWS = 20_000      # labelled texts the classifier is fitted on, at most
-BUCKETS = 1 << 14      # hashed features
+TELLING = 2000         # features the classifier keeps, at most
+SLOTS = 1 << 14        # places of its table
+BEGINNING = 5          # characters of a word's beginning
 SHRINK = 3.0           # pseudo-texts with a feature, per domain
-LEAST = 2.0            # weaker evidence counts as none
+LEAST = 2.5            # weaker evidence counts as none, as does evidence for the first domain
 STEPS = 40             # gradient steps, at most
 SEGMENT = 10           # steps after which the rates are written down
 LAM = 1e-3
@@ -59,15 +64,16 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(flat, " "), lambda w: w != "")
 
 
-def features(text: Column, words: Column, buckets: int = BUCKETS) -> Column:
-    """Hashed features of a text: its words, and traits of its structure; a word may come twice."""
+def features(text: Column, words: Column) -> Column:
+    """64-bit hashes of a text's features: its words, their beginnings, and traits of its structure; some come twice."""
     size, n = F.char_length(text), F.size(words)
     level = lambda share: F.floor(F.log2(share * 1000 + 1)).cast("string")
     traits = [F.concat(F.lit(f"\u0001{m}"), level((size - F.char_length(F.replace(text, F.lit(m), F.lit(""))))
                                                   / F.greatest(size, F.lit(1)))) for m in MARKS]
     traits.append(F.concat(F.lit("\u0001same"), F.floor(F.size(F.array_distinct(words)) * 10 / F.greatest(n, F.lit(1)))
                            .cast("string"), F.lit(":"), F.floor(F.log2(n + F.lit(1.0))).cast("string")))
-    return F.transform(F.concat(words, F.array(*traits)), lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
+    return F.concat(F.transform(F.concat(words, F.array(*traits)), lambda w: F.xxhash64(w)),
+                    F.transform(words, lambda w: F.xxhash64(F.lit(1), F.substring(w, 1, BEGINNING))))
 
 
 def domain_of(labels: DataFrame) -> DataFrame:
@@ -78,48 +84,67 @@ def domain_of(labels: DataFrame) -> DataFrame:
             .agg(F.when(toxic == 1, F.lit("toxic")).when(quality == 0, F.lit("low")).otherwise(F.lit("clean")).alias("domain")))
 
 
+@dataclass
+class Classifier:
+    """Telling features in a table of SLOTS places: the feature's hash at its place, and its evidence for each domain."""
+    priors: list[float]
+    hashes: list[int]
+    evidence: list[list[float]]
+
+
 def fit_classifier(docs: DataFrame, labels: DataFrame, domains=DOMAINS, max_rows: int = MAX_ROWS,
-                   buckets: int = BUCKETS) -> tuple[list[list[float]], list[float]] | None:
-    """(for each domain, the evidence of each feature for it against the first domain; log priors)."""
+                   kept: int = TELLING, slots: int = SLOTS) -> Classifier | None:
+    """Counts the features of a bounded sample of labelled texts by domain; keeps at most `kept` that tell most."""
     sample = domain_of(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     found = common.checkpointed(
         texts.join(F.broadcast(sample), "doc_id")                      # at most max_rows ids
-        .select("domain", bound(words_of(F.col("text")),
-                                lambda w: F.array_distinct(features(F.col("text"), w, buckets))).alias("f")))
+        .select("domain", bound(words_of(F.col("text")), lambda w: F.array_distinct(features(F.col("text"), w))).alias("f")))
     sizes = {r["domain"]: r["count"] for r in found.groupBy("domain").count().collect()}
     total = sum(sizes.values())
     if not total:
         return None
-    counts = (found.select("domain", F.explode("f").alias("b")).groupBy("b")
+    counts = (found.select("domain", F.explode("f").alias("h")).groupBy("h")
               .agg(*(F.sum((F.col("domain") == d).cast("double")).alias(d) for d in domains)))
-    share = (sum((F.col(d) for d in domains), F.lit(0.0)) + 1) / (total + 2)
+    every = sum((F.col(d) for d in domains), F.lit(0.0))
+    share = every / total
     score = {d: F.log((F.col(d) + SHRINK) / (sizes.get(d, 0) * share + SHRINK)) for d in domains}
-    weights = counts.select("b", *(
-        F.when(F.abs(score[d] - score[domains[0]]) >= LEAST, score[d] - score[domains[0]]).otherwise(0.0).alias(f"w{k}")
-        for k, d in enumerate(domains) if k))
+    against = [F.when(score[d] - score[domains[0]] >= LEAST, score[d] - score[domains[0]]).otherwise(0.0) for d in domains]
+    tells = F.greatest(F.lit(0.0), *against[1:]) * every
+    best = (counts.select("h", *(a.alias(f"w{k}") for k, a in enumerate(against)), tells.alias("tells"))
+            .filter(F.col("tells") > 0).orderBy(F.desc("tells"), "h").limit(kept).collect())
+    hashes, evidence = [0] * slots, [[0.0] * slots for _ in domains]
+    for r in best:                       # of two features with one place the more telling stays
+        at = r["h"] % slots
+        if not hashes[at]:
+            hashes[at] = r["h"]
+            for k in range(len(domains)):
+                evidence[k][at] = round(r[f"w{k}"], 3)
+    # what no telling feature says: the domains' shares among such texts
+    bare = F.forall("f", lambda h: F.get(_constant(hashes, "bigint"), F.pmod(h, F.lit(slots)).cast("int")) != h)
+    sizes = {r["domain"]: r["count"] for r in found.filter(bare).groupBy("domain").count().collect()}
+    total = sum(sizes.values())
     priors = [math.log((sizes.get(d, 0) + 0.5) / (total + 0.5 * len(domains))) for d in domains]
-    tables = [[0.0] * buckets for _ in domains]
-    for r in weights.filter(" or ".join(f"w{k} != 0" for k in range(1, len(domains)))).collect():   # `buckets` rows at most
-        for k in range(1, len(domains)):
-            tables[k][r["b"]] = round(r[f"w{k}"], 3)
-    return tables, priors
+    return Classifier(priors, hashes, evidence)
+
+
+def _constant(numbers: list, kind: str) -> Column:
+    """A constant array, made once when the plan is optimised."""
+    return F.split(F.lit(",".join(f"{x:g}" if kind == "double" else str(x) for x in numbers)), ",").cast(f"array<{kind}>")
 
 
-def judged(text: Column, model, domains=DOMAINS, buckets: int = BUCKETS) -> Column:
+def judged(text: Column, model: Classifier | None, domains=DOMAINS) -> Column:
     """Struct of a text's `tokens` (words) and the array `p` of its domains' probabilities."""
     text = F.coalesce(text, F.lit(""))
     even = F.array(*(F.lit(1.0 / len(domains)) for _ in domains))
     if model is None:
         return bound(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("tokens"), even.alias("p")))
-    weights, priors = model
-    # constant arrays, made once when the plan is optimised
-    constant = lambda numbers, kind: F.split(F.lit(",".join(numbers)), ",").cast(f"array<{kind}>")
-    telling = constant(["true" if any(w[b] for w in weights) else "false" for b in range(buckets)], "boolean")
+    place = lambda h: F.pmod(h, F.lit(len(model.hashes))).cast("int")
+    hashes = _constant(model.hashes, "bigint")
 
     def evidence(found: Column, k: int) -> Column:
-        w = constant([f"{x:g}" for x in weights[k]], "double")
-        return F.aggregate(found, F.lit(priors[k] - priors[0]), lambda a, i: a + F.get(w, i))
+        w = _constant(model.evidence[k], "double")
+        return F.aggregate(found, F.lit(model.priors[k] - model.priors[0]), lambda a, h: a + F.get(w, place(h)))
 
     def chances(found: Column) -> Column:
         odds = F.array(F.lit(1.0), *(F.exp(F.greatest(F.lit(-40.0), F.least(F.lit(40.0), evidence(found, k))))
@@ -127,7 +152,7 @@ def judged(text: Column, model, domains=DOMAINS, buckets: int = BUCKETS) -> Colu
         return bound(odds, lambda o: F.transform(o, lambda x: x / F.aggregate(o, F.lit(0.0), lambda a, y: a + y)))
 
     def of(words: Column) -> Column:
-        found = F.array_distinct(F.filter(features(text, words, buckets), lambda i: F.get(telling, i)))
+        found = F.array_distinct(F.filter(features(text, words), lambda h: F.get(hashes, place(h)) == h))
         return F.struct(F.size(words).cast("long").alias("tokens"), bound(found, chances).alias("p"))
     return bound(words_of(text), of)
 
