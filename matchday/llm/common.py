@@ -42,6 +42,28 @@ def bound(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def maybe_among(ids: DataFrame, column: str, bits: int = 1 << 21):
+    """A test `col -> Column` that is true for every value in `ids`, and for few others.
+
+    A Bloom filter of one hash and fixed size: `bits / 64` numbers reach the
+    driver and the plan, whatever the number of ids. Rows that fail it need no
+    join with `ids`; if there are many ids, most rows pass, and nothing is lost.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c, F.lit(5)), F.lit(bits))
+    rows = (ids.select(bit(F.col(column)).alias("b"))
+            .groupBy(F.shiftright("b", 6).cast("int").alias("at"))
+            .agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("word")).collect())
+    words = [0] * (bits // 64)
+    for r in rows:
+        words[r["at"]] = r["word"]
+    table = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+
+    def test(c: Column) -> Column:
+        b = bit(c)
+        return F.getbit(F.get(table, F.shiftright(b, 6).cast("int")), F.pmod(b, F.lit(64)).cast("int")) == 1
+    return test
+
+
 def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import common
 from .common import U64, byte_table, mix, run_hashes, text_buffer
@@ -386,8 +386,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(zip(*out), (pa.string(), pa.int32(), pa.int64(), pa.binary()))], names)
-    # 5. search
-    links = (rows.join(asked, "did").select("text", "wants").mapInArrow(bring, schema)
+    # 5. search; texts that no task asks for aren't shuffled
+    asked = common.stored(asked, "asked")
+    wanted = rows.filter(common.maybe_among(asked, "did")(F.col("did")))
+    links = (wanted.join(asked, "did").select("text", "wants").mapInArrow(bring, schema)
              .groupBy("task").applyInArrow(_search(percent), "a long, b long"))
     # 6. components
     label = components(links)
@@ -401,5 +403,25 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
                     F.when(F.col("label").isNull(), doc_id).otherwise(F.col("component_id")).alias("component_id")))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` without those that link, directly or not, with a row of smaller `doc_id`.
+
+    Rows with a null id all stay. Rows that share an id share their fate, and
+    of those that stay the one with the least text does.
+    """
+    found = common.stored(near_duplicates(docs).filter("doc_id is not null").groupBy("doc_id").agg(
+        F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "components")
+    drop = found.filter("component_id != doc_id").select(F.col("doc_id").alias("did"))
+    suspects = drop.union(found.filter("n > 1").select("doc_id"))
+    # only rows that may have to go are shuffled
+    did = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), did.alias("did"),
+                       common.maybe_among(suspects, "did")(did).alias("may"))
+    order = Window.partitionBy("did").orderBy(F.col("row.text").asc_nulls_first())
+    checked = (rows.filter("may").join(drop, "did", "left_anti").withColumn("place", F.row_number().over(order))
+               .filter((F.col("place") == 1) | (F.col("did") == _NO_ID)))
+    return rows.filter("not may").select("row.*").union(checked.select("row.*"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.documents(spark, sf_dir))
