@@ -2,7 +2,7 @@
 
 silver: <root>/bronze -> <root>/silver (merge per table)
 gold:   <root>/silver -> <root>/gold (+ JSON exports under <root>/export)
-Uses the session of `spark-submit`; without one, a local session.
+Master, partitions and other settings are those of `spark-submit` (or the defaults).
 """
 
 from __future__ import annotations
@@ -24,10 +24,7 @@ def main(argv=None) -> None:
     ap.add_argument("--parts", default=None,
                     help="comma list: silver parts (league,teams,players) or gold marts (default: all)")
     args = ap.parse_args(argv)
-    spark = SparkSession.getActiveSession()
-    if spark is None:
-        from .session import build_session
-        spark = build_session(master="local[*]")
+    spark = SparkSession.builder.getOrCreate()   # master and settings are the submitter's
     root = args.root.rstrip("/")
     parts = tuple(p for p in (args.parts or "").split(",") if p)
     if args.step == "silver":
