@@ -4,40 +4,50 @@ Parquet has no MERGE. A merge is the DataFrame composition
 
     result = latest(source) UNION ALL (target LEFT ANTI JOIN latest(source) ON keys)
 
-(computed as one keyed pass over both; see `upsert`), which is
+which is
 `whenMatchedUpdateAll + whenNotMatchedInsertAll`: matched target rows
 are replaced by the source row, unmatched source rows are inserted, other
 target rows are kept. Null keys never compare equal, so a null-key source
 row is always inserted and a null-key target row always kept, as with MERGE.
 
 A table is a directory of immutable snapshots `<path>/snapshot=<n>`; a merge
-reads snapshot n and writes n+1, so no job overwrites the files it reads, and
-a failed job leaves snapshot n intact. Readers take the highest snapshot;
-the partition filter prunes the others at planning time.
+reads snapshot n and writes n+1, so no job overwrites the files it reads.
+Readers take the highest snapshot with Spark's `_SUCCESS` marker: what a job
+left that died before its commit ended is never read, and written over later.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..errors import NoSnapshotError
+from ..errors import NoSnapshotError, UnknownColumnError
+from ..sources.snapshots import partition_folders, path_exists
 from .ranking import first_per_key
 
 SNAPSHOT_COL = "snapshot"
 
 
+def _latest_first(df: DataFrame, order_col: str, tiebreak: Sequence[str]) -> list:
+    """Newest first; the remaining columns make the order total, so that runs agree (Q14)."""
+    first = [order_col, *tiebreak]
+    rest = [f.name for f in df.schema.fields if f.name not in first]
+    # maps have no order of their own; their entries do
+    value = {f.name: F.array_sort(F.map_entries(f"`{f.name}`")) if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`")
+             for f in df.schema.fields}
+    return [value[c].desc_nulls_last() for c in [*first, *rest]]
+
+
 def dedupe_latest(df: DataFrame, keys: Sequence[str], order_col: str = "updated_at",
                   tiebreak: Sequence[str] = ()) -> DataFrame:
     """One row per key: the latest `order_col` wins (SNK4, SET1 with a defined row).
 
-    `tiebreak` columns (descending) settle rows with equal `order_col`.
+    `tiebreak` columns (descending), then all others, settle rows with equal `order_col`.
     """
-    order = [F.col(order_col).desc_nulls_last()] + [F.col(t).desc_nulls_last() for t in tiebreak]
-    return first_per_key(df, list(keys), order)
+    return first_per_key(df, list(keys), _latest_first(df, order_col, tiebreak))
 
 
 def _null_key_solo(keys: Sequence[str]):
@@ -54,7 +64,7 @@ def merge_source(source: DataFrame, keys: Sequence[str], order_col: str = "updat
     match under `=`, so each one is kept as its own insert, as MERGE does.
     A per-key top-1: a key with a third of the rows ships one row per map task."""
     keys = list(keys)
-    order = [F.col(order_col).desc_nulls_last()] + [F.col(t).desc_nulls_last() for t in tiebreak]
+    order = _latest_first(source, order_col, tiebreak)
     return (first_per_key(source.withColumn("_solo", _null_key_solo(keys)), keys + ["_solo"], order)
             .drop("_solo"))
 
@@ -64,38 +74,28 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
            dedupe: bool = True) -> DataFrame:
     """Update-all / insert-all merge of `source` into `target` on `keys` (SNK2, JN6, JN7, SET3).
 
-    One pass over `target UNION ALL source`, grouped by key: every source row
-    is kept (after the latest-wins de-duplication), a target row only when no
-    source row has its key (the anti-join). The target is shuffled once.
+    Every source row is kept (after the latest-wins de-duplication), a target row
+    only when no source row has its key. The keys of a small load are broadcast
+    by the planner's size check, and then the target isn't shuffled at all. Both
+    sides must have the same columns: nothing is filled with nulls.
     """
     keys = list(keys)
+    if set(source.columns) != set(target.columns):
+        raise UnknownColumnError(f"source and target differ in columns {sorted(set(source.columns) ^ set(target.columns))}")
     src = merge_source(source, keys, order_col, tiebreak) if dedupe else source
-    both = (src.withColumn("_src", F.lit(1))
-            .unionByName(target.withColumn("_src", F.lit(0)), allowMissingColumns=True)
-            .withColumn("_solo", _null_key_solo(keys)))
-    has_src = F.max("_src").over(Window.partitionBy(*keys, "_solo"))
-    return (both.withColumn("_has_src", has_src)
-            .filter((F.col("_src") == 1) | (F.col("_has_src") == 0))
-            .drop("_src", "_solo", "_has_src"))
+    loaded = source.select(*keys).distinct()
+    return src.unionByName(target.join(loaded, keys, "left_anti").select(*target.columns))
 
 
 # --- snapshot tables -------------------------------------------------------------------------
 
-def _read_all(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame | None:
-    try:
-        return spark.read.format(fmt).load(path)
-    except AnalysisException:
-        return None
-
-
 def latest_version(spark: SparkSession, path: str) -> int | None:
-    """Highest snapshot number, from the partition directory listing (no data scan)."""
-    from ..sources.snapshots import partition_values
-    df = _read_all(spark, path)
-    if df is None or SNAPSHOT_COL not in df.columns:
-        return None
-    vals = [int(v) for v in partition_values(df, SNAPSHOT_COL)]
-    return max(vals) if vals else None
+    """Highest committed snapshot number: only folder names are listed, not files."""
+    for n, folder in sorted(((int(v), f) for v, f in partition_folders(spark, path, SNAPSHOT_COL) if v.isdigit()),
+                            reverse=True):
+        if path_exists(spark, f"{folder}/_SUCCESS"):
+            return n
+    return None
 
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
@@ -115,19 +115,16 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return latest_version(spark, path) is not None
 
 
-def write_snapshot(df: DataFrame, path: str, version: int, keys: Sequence[str] | None = None) -> None:
+def write_snapshot(df: DataFrame, path: str, version: int) -> None:
     """Write one immutable snapshot (SNK1 full overwrite = a new snapshot).
 
-    With `keys` (a merge result) the rows go through a `REBALANCE` on the keys:
-    AQE then writes files of the advisory size (no swarm of small files after
-    merging a small load into a big table; a hot key's partition is split).
-    Without keys the plan's own partitioning is written as is, so an ordered
-    mart keeps its range-partitioned order.
-    The target directory is new: no reader uses a version until it holds
-    data, so a retried job may overwrite what a failed attempt left there.
+    The plan's own partitioning is written as is: an ordered mart keeps its
+    order, and a merge adds no shuffle of the target. No reader uses a version
+    before its `_SUCCESS` marker, so a retried job may overwrite what a failed
+    attempt left there.
     """
-    out = df.hint("rebalance", *keys) if keys else df
-    out.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{SNAPSHOT_COL}={version}")
+    (df.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true")
+     .parquet(f"{path.rstrip('/')}/{SNAPSHOT_COL}={version}"))
 
 
 def overwrite(spark: SparkSession, df: DataFrame, path: str) -> int:
@@ -150,35 +147,5 @@ def merge_into(spark: SparkSession, path: str, source: DataFrame, keys: Sequence
         target = read_version(spark, path, v)
         out = upsert(target, source, keys, order_col, tiebreak)
         nv = v + 1
-    write_snapshot(out, path, nv, list(keys))
+    write_snapshot(out, path, nv)
     return nv
-
-
-# --- Delta tables (optional) -----------------------------------------------------------------
-
-def delta_available() -> bool:
-    try:
-        import delta.tables  # noqa: F401
-    except ImportError:
-        return False
-    return True
-
-
-def merge_into_delta(spark: SparkSession, path: str, source: DataFrame, keys: Sequence[str],
-                     order_col: str = "updated_at", tiebreak: Sequence[str] = ()) -> None:
-    """Create-or-merge into a Delta table with Delta's own MERGE (SNK2, SNK3).
-
-    Needs the `delta-spark` package and its session extensions; the source is
-    made unique per key first (SNK4), so MERGE never sees two matches.
-    """
-    try:
-        from delta.tables import DeltaTable
-    except ImportError as e:  # pragma: no cover - delta is not installed here
-        raise RuntimeError("delta-spark is not installed; use merge_into (parquet snapshots)") from e
-    src = merge_source(source, keys, order_col, tiebreak)
-    if not DeltaTable.isDeltaTable(spark, path):
-        src.write.format("delta").mode("overwrite").save(path)
-        return
-    cond = " AND ".join(f"t.`{k}` = s.`{k}`" for k in keys)
-    (DeltaTable.forPath(spark, path).alias("t").merge(src.alias("s"), cond)
-     .whenMatchedUpdateAll().whenNotMatchedInsertAll().execute())

@@ -12,13 +12,38 @@ import datetime as dt
 import re
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import NoSnapshotError
 
 
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, in whatever file system it names."""
+    fs, place = _file_system(spark, path)
+    return fs.exists(place)
+
+
+def partition_folders(spark: SparkSession, path: str, col: str) -> list[tuple[str, str]]:
+    """(value, folder) of the folders `<path>/<col>=<value>`; lists one level, no files below it."""
+    fs, place = _file_system(spark, path.rstrip("/"))
+    if not fs.exists(place):
+        return []
+    out = []
+    for status in fs.listStatus(place):
+        name = status.getPath().getName()
+        if status.isDirectory() and name.startswith(f"{col}="):
+            out.append((unquote(name[len(col) + 1:]), status.getPath().toString()))
+    return out
+
+
 def partition_values(df: DataFrame, col: str) -> set[str]:
     """Values of a Hive-style partition column, from the file listing only.
 

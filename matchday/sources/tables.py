@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from ..errors import NoSnapshotError
+
 # Tables of the driver's test data (one parquet file each).
 DRIVER_TABLES = ("region nation customer supplier part orders lineitem events documents "
                  "embeddings pages benchmark labels conversations").split()
@@ -18,23 +20,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def optional_table(loader: Callable[[], DataFrame]) -> DataFrame | None:
-    """Run `loader`; a missing path gives None instead of an error (SRC7)."""
-    from ..errors import NoSnapshotError
+    """Run `loader`; a missing path or table gives None, any other error is raised (SRC7)."""
     try:
         return loader()
-    except (AnalysisException, NoSnapshotError):
+    except NoSnapshotError:
         return None
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def register_view(df: DataFrame, name: str) -> DataFrame:
     """Expose a DataFrame to `spark.sql` (SRC9)."""
     df.createOrReplaceTempView(name)
     return df
-
-
-def read_delta(spark: SparkSession, path: str) -> DataFrame:
-    """Current version of a Delta table (needs `delta-spark` on the session)."""
-    from ..operators.upsert import delta_available
-    if not delta_available():
-        raise RuntimeError("delta-spark is not installed; read parquet snapshots with upsert.read_latest")
-    return spark.read.format("delta").load(path)

@@ -63,3 +63,53 @@ def test_null_key_source_rows_all_insert(spark):
     target = spark.createDataFrame([("a", 1, T1)], SCHEMA)
     source = spark.createDataFrame([(None, 5, T2), (None, 6, T2), ("a", 2, T2), ("a", 3, T1)], SCHEMA)
     assert _rows(upsert.upsert(target, source, ["team"])) == [(None, 5), (None, 6), ("a", 2)]
+
+
+def test_half_written_snapshot_is_not_read(spark, tmp_path):
+    """A job that died before its commit leaves files without the marker."""
+    import os
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([("a", 1, 1), ("b", 2, 1)], "team string, v int, updated_at int")
+    assert upsert.merge_into(spark, path, rows, ["team"]) == 0
+    rows.limit(1).coalesce(1).write.parquet(f"{path}/snapshot=1")
+    os.remove(f"{path}/snapshot=1/_SUCCESS")
+    assert upsert.latest_version(spark, path) == 0
+    assert upsert.read_latest(spark, path).count() == 2
+    assert upsert.merge_into(spark, path, rows.withColumn("updated_at", F.lit(2)), ["team"]) == 1
+    assert upsert.read_latest(spark, path).count() == 2
+
+
+def test_missing_columns_raise(spark):
+    import pytest
+
+    from matchday.errors import UnknownColumnError
+    target = spark.createDataFrame([("a", 1, 1, 5)], "team string, v int, updated_at int, w int")
+    with pytest.raises(UnknownColumnError):
+        upsert.upsert(target, target.drop("w"), ["team"])
+
+
+def test_small_load_does_not_shuffle_the_target(spark, tmp_path):
+    from .conftest import plan_text
+    path = str(tmp_path / "big")
+    spark.range(10_000).selectExpr("id as team", "id as v", "1 as updated_at").write.parquet(path)
+    target = spark.read.parquet(path)
+    spark.createDataFrame([(1, 2, 3)], "team long, v long, updated_at int").write.parquet(str(tmp_path / "load"))
+    load = spark.read.parquet(str(tmp_path / "load"))
+    plan = plan_text(upsert.upsert(target, load, ["team"]))
+    assert "BroadcastHashJoin" in plan and "LeftAnti" in plan and "SortMergeJoin" not in plan
+
+
+def test_ties_are_settled_by_all_columns(spark):
+    rows = [("a", 1, 7, "p"), ("a", 1, 7, "q")]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "team string, updated_at int, x int, y string")
+        assert upsert.dedupe_latest(df, ["team"]).first().y == "q"
+
+
+def test_other_errors_are_not_absence(spark, tmp_path):
+    import pytest
+    from pyspark.errors import AnalysisException
+
+    from matchday.sources.tables import optional_table
+    with pytest.raises(AnalysisException):
+        optional_table(lambda: spark.range(3).select("nope"))
