@@ -1,43 +1,38 @@
 """JSON export of marts (SNK5-SNK8).
 
 Rows are written by the executors (JSON Lines, UTF-8, non-ASCII kept, null
-fields dropped), never collected to the driver. A single file is produced
-only for marts with a known small bound (league lists of 20 rows).
+fields dropped), never collected to the driver. One array or one document is
+made only of the first k rows of a mart, where k and the order are given.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from collections.abc import Sequence
 
-from .joins import has_at_most
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-SINGLE_FILE_MAX_ROWS = 10_000
 
 
-def export_json(df: DataFrame, path: str, drop_nulls: bool = True, single_file: bool = False) -> None:
-    """Write a mart as JSON Lines (SNK5, SNK6, SNK8)."""
-    out = df
-    if single_file:
-        if not has_at_most(df, SINGLE_FILE_MAX_ROWS):
-            raise ValueError("single-file export is for bounded marts only")
-        out = df.coalesce(1)
-    (out.write.mode("overwrite").option("ignoreNullFields", str(drop_nulls).lower())
+def export_json(df: DataFrame, path: str, drop_nulls: bool = True) -> None:
+    """Write a mart as JSON Lines, whatever its size (SNK5, SNK6, SNK8)."""
+    (df.write.mode("overwrite").option("ignoreNullFields", str(drop_nulls).lower())
      .option("encoding", "UTF-8").json(path))
 
 
-def export_json_array(df: DataFrame, path: str, drop_nulls: bool = True,
-                      max_rows: int = SINGLE_FILE_MAX_ROWS) -> None:
-    """Write a bounded mart as one file holding one JSON array (SNK5's API files).
+def first_rows(df: DataFrame, order: Sequence, k: int):
+    """The first k rows of `df` by `order` as one array column value, in that order."""
+    rank = F.row_number().over(Window.orderBy(*order))      # over k rows
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    ranked = df.orderBy(*order).limit(k).select(F.struct(rank.alias("at"), row.alias("row")).alias("r"))
+    return ranked.agg(F.transform(F.array_sort(F.collect_list("r"), lambda a, b: a["at"] - b["at"]),
+                                  lambda r: r["row"]).alias("rows"))
+
 
-    Row order is kept (`collect_list` over a single ordered partition); marts
-    above `max_rows` must use `export_json`.
-    """
-    if not has_at_most(df, max_rows):
-        raise ValueError("export_json_array is for bounded marts only")
-    rows = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    arr = F.to_json(F.collect_list(rows), {"ignoreNullFields": str(drop_nulls).lower()})
-    df.coalesce(1).agg(arr.alias("value")).write.mode("overwrite").text(path)
+def export_json_array(df: DataFrame, path: str, order: Sequence, k: int, drop_nulls: bool = True) -> None:
+    """Write the first k rows by `order` as one file holding one JSON array (SNK5's API files)."""
+    arr = F.to_json("rows", {"ignoreNullFields": str(drop_nulls).lower()})
+    first_rows(df, order, k).select(arr.alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
 def read_export(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -52,14 +47,12 @@ def stamp(df: DataFrame, extraction_timestamp: str, load_date: str, source: str)
                                                  F.lit(source).alias("source")))
 
 
-def wrap_rows(df: DataFrame, field: str = "data", max_rows: int = SINGLE_FILE_MAX_ROWS) -> DataFrame:
-    """All rows as one document `{<field>: [row, ...]}` (SNK7's list payloads,
-    e.g. a league table). Refused above `max_rows`: one document is one row."""
-    if not has_at_most(df, max_rows):
-        raise ValueError("wrap_rows is for bounded lists only")
-    return df.agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias(field))
+def wrap_rows(df: DataFrame, order: Sequence, k: int, field: str = "data") -> DataFrame:
+    """The first k rows by `order` as one document `{<field>: [row, ...]}` (SNK7's list payloads, e.g. a league table)."""
+    return first_rows(df, order, k).withColumnRenamed("rows", field)
 
 
 def write_bronze(df: DataFrame, path: str) -> None:
-    """Partitioned bronze write: `<path>/load_date=<d>/part-*.json` (SNK7)."""
-    df.write.mode("append").partitionBy("load_date").json(path)
+    """Partitioned bronze write: `<path>/load_date=<d>/part-*.json` (SNK7).
+    Writing a load again replaces it; other loads stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("load_date").json(path)

@@ -2,9 +2,7 @@
 
 Join strategy is left to Catalyst and AQE: with adaptive execution on, a side
 that turns out small at runtime becomes a broadcast, a big one stays a
-sort-merge join, and skewed partitions are split. An explicit broadcast hint
-is given only for a side with a bound known from the domain, or after
-`has_at_most` has counted it.
+sort-merge join, and skewed partitions are split. No side is forced to be broadcast.
 """
 
 from __future__ import annotations
@@ -16,10 +14,6 @@ from pyspark.sql import functions as F
 
 from ..errors import DuplicateKeyError
 
-# A dimension is broadcast only below this many rows (checked, not assumed).
-BROADCAST_MAX_ROWS = 100_000
-
-
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that occur more than once (aggregated with a map-side combine)."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
@@ -40,32 +34,15 @@ def left_enrich(base: DataFrame, side: DataFrame, keys: Sequence[str], check_uni
     return base.join(side, on=list(keys), how="left")
 
 
-def has_at_most(df: DataFrame, max_rows: int) -> bool:
-    """Bounded check: reads at most max_rows + 1 rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only for a side proven small; otherwise let AQE choose."""
-    return F.broadcast(df) if has_at_most(df, max_rows) else df
-
-
 def lookup(df: DataFrame, dim: DataFrame, left_key: str, dim_key: str, prefix: str,
-           columns: Sequence[str], dim_small: bool | None = None) -> DataFrame:
+           columns: Sequence[str]) -> DataFrame:
     """Attach `columns` of `dim` where `df.left_key = dim.dim_key`, renamed `prefix + col` (JN4).
 
     Call twice with different keys/prefixes for a dimension used in two roles
-    (badge of the team and badge of the opponent). `dim_small=True` states a
-    bound known from the domain (25 nations, a league's clubs) and broadcasts;
-    `None` leaves the choice to Spark's size checks (the planner's estimate
-    against `autoBroadcastJoinThreshold`, then AQE's runtime statistics);
-    `"check"` counts at most `BROADCAST_MAX_ROWS + 1` rows first.
+    (badge of the team and badge of the opponent). The strategy is Spark's choice
+    from the planner's estimates and AQE's runtime sizes.
     """
     d = dim.select(F.col(dim_key).alias(f"{prefix}_key"), *[F.col(c).alias(prefix + c) for c in columns])
-    if dim_small == "check":
-        d = maybe_broadcast(d)
-    elif dim_small:
-        d = F.broadcast(d)
     return df.join(d, df[left_key] == d[f"{prefix}_key"], "left").drop(f"{prefix}_key")
 
 

@@ -119,7 +119,13 @@ def upcoming_fixtures(fixtures: DataFrame, k: int = LIST_LENGTH, as_of: str | No
 
 MARTS = ("player_scoring_stats", "team_summary", "team_match_trends", "team_tactics",
          "league_recent_results", "league_upcoming_fixtures")
-ARRAY_EXPORTS = ("league_recent_results", "league_upcoming_fixtures")
+# exported as one JSON array each, in this order: their first LIST_LENGTH rows
+ARRAY_EXPORTS = {
+    "league_recent_results": lambda: [F.col("match_date").desc_nulls_last(), F.col("home_team").asc(),
+                                      F.col("away_team").asc()],
+    "league_upcoming_fixtures": lambda: [F.col("fixture_date").asc_nulls_last(), F.col("fixture_time").asc_nulls_last(),
+                                         F.col("home_team").asc(), F.col("away_team").asc()],
+}
 
 
 def run_gold(spark: SparkSession, silver_root: str, gold_root: str, export_root: str | None = None,
@@ -155,9 +161,8 @@ def run_gold(spark: SparkSession, silver_root: str, gold_root: str, export_root:
         for name in versions:
             mart = read_latest(spark, f"{g}/{name}")
             target = f"{export_root.rstrip('/')}/{name}"
-            # the league lists hold LIST_LENGTH rows by construction: one JSON array file each
             if name in ARRAY_EXPORTS:
-                export_json_array(mart, target)
+                export_json_array(mart, target, ARRAY_EXPORTS[name](), LIST_LENGTH)
             else:
                 export_json(mart, target)
     return versions

@@ -61,9 +61,8 @@ def league_table(summary: DataFrame, badges: DataFrame | None = None) -> DataFra
     out = (summary.withColumn("zone", metrics.zone("rank", F.lit(n_teams)))
            .withColumn("code", text.code3("team_name")))
     if badges is not None:
-        # one badge per club of the league: small by domain, counted before broadcasting
-        out = joins.lookup(out, badges, "team_name", "team", "team_", ["badge_url"], dim_small="check")
-        out = joins.lookup(out, badges, "next_opponent", "team", "opponent_", ["badge_url"], dim_small="check")
+        out = joins.lookup(out, badges, "team_name", "team", "team_", ["badge_url"])
+        out = joins.lookup(out, badges, "next_opponent", "team", "opponent_", ["badge_url"])
     return out
 
 
@@ -104,7 +103,7 @@ def similar_players(team_players: DataFrame, player: str, k: int = SIMILAR_LIMIT
     """Q-UI4: same position first (in list order), then others A-Z, self excluded, k rows (FLT10, SET2)."""
     df = team_players if file_order in team_players.columns else team_players.withColumn(
         file_order, F.monotonically_increasing_id())
-    me = df.filter(F.col("player_name") == player).select("position").first()
+    me = df.filter(F.col("player_name") == player).orderBy(file_order).select("position").first()
     pos = me["position"] if me else None
     return ranking.same_group_first(df, "position", pos, "player_name", player, file_order, "player_name", k)
 

@@ -266,11 +266,10 @@ def q_last3_chronological(spark, d):
 
 def q_opponent_lookup(spark, d):
     nation = read_table(spark, d, "nation").select("n_nationkey", "n_name")
-    # 25 nations: broadcast by a bound of the schema
     cust = joins.lookup(read_table(spark, d, "customer"), nation, "c_nationkey", "n_nationkey", "badge_",
-                        ["n_name"], dim_small=True).select("c_custkey", "badge_n_name")
+                        ["n_name"]).select("c_custkey", "badge_n_name")
     supp = joins.lookup(read_table(spark, d, "supplier"), nation, "s_nationkey", "n_nationkey", "badge_",
-                        ["n_name"], dim_small=True).select("s_suppkey", "badge_n_name")
+                        ["n_name"]).select("s_suppkey", "badge_n_name")
     # The team badge is attached on the orders side (a quarter of the line items),
     # so the line items are shuffled twice (order key, supplier key), not three times.
     orders = joins.lookup(read_table(spark, d, "orders").select("o_orderkey", "o_custkey"), cust,

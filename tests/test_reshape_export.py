@@ -53,7 +53,7 @@ def test_expand_struct_known_and_extra(spark):
 def test_export_roundtrip_utf8_and_nulls(spark, tmp_path):
     df = spark.createDataFrame([("Ødegaard", None, 3)], "name string, club string, goals int")
     path = str(tmp_path / "out")
-    export.export_json(df, path, single_file=True)
+    export.export_json(df.coalesce(1), path)
     files = [f for f in os.listdir(path) if f.endswith(".json")]
     assert len(files) == 1
     line = open(os.path.join(path, files[0]), encoding="utf-8").read().strip()
@@ -66,8 +66,13 @@ def test_export_roundtrip_utf8_and_nulls(spark, tmp_path):
 def test_bronze_stamp_partitioned(spark, tmp_path):
     df = spark.createDataFrame([("A",)], "team_name string")
     stamped = export.stamp(df, "2026-03-21 09:00:00", "2026-03-21", "test").withColumn("load_date", F.lit("2026-03-21"))
-    export.write_bronze(stamped, str(tmp_path / "b"))
+    path = str(tmp_path / "b")
+    export.write_bronze(stamped, path)
     assert os.path.isdir(str(tmp_path / "b" / "load_date=2026-03-21"))
+    # a rerun replaces its load and leaves the others
+    export.write_bronze(stamped.withColumn("load_date", F.lit("2026-03-28")), path)
+    export.write_bronze(stamped, path)
+    assert sorted(str(r.load_date) for r in spark.read.json(path).collect()) == ["2026-03-21", "2026-03-28"]
 
 
 def test_first_k_and_json_array_file(spark, tmp_path):
@@ -107,20 +112,19 @@ def test_orient_by_side(spark):
 
 def test_wrap_rows_into_one_document(spark, tmp_path):
     rows = spark.createDataFrame([("Arsenal", "u1"), ("Chelsea", "u2")], "Team string, URL string")
-    doc = export.wrap_rows(rows)
+    doc = export.wrap_rows(rows, [F.col("Team").desc()], 20)
     stamped = export.stamp(doc, "2026-03-21 09:00:00", "2026-03-21", "test").withColumn("load_date", F.lit("2026-03-21"))
     export.write_bronze(stamped, str(tmp_path / "league"))
     back = spark.read.json(str(tmp_path / "league")).first()
-    assert sorted(r.Team for r in back.data) == ["Arsenal", "Chelsea"] and back._metadata.source == "test"
-    import pytest
-    with pytest.raises(ValueError):
-        export.wrap_rows(spark.range(20), max_rows=10)
+    assert [r.Team for r in back.data] == ["Chelsea", "Arsenal"] and back._metadata.source == "test"
+    many = spark.range(50).repartition(7)
+    assert [r.id for r in export.wrap_rows(many, [F.col("id").desc()], 3).first().data] == [49, 48, 47]
 
 
 def test_export_json_array(spark, tmp_path):
     df = spark.createDataFrame([(1, "Ødegaard", None), (2, "Saka", 3)], "rank int, name string, goals int").orderBy("rank")
     path = str(tmp_path / "arr")
-    export.export_json_array(df, path)
+    export.export_json_array(df, path, [F.col("rank")], 20)
     files = [f for f in os.listdir(path) if f.startswith("part-")]
     doc = json.loads(open(os.path.join(path, files[0]), encoding="utf-8").read())
     assert doc == [{"rank": 1, "name": "Ødegaard"}, {"rank": 2, "name": "Saka", "goals": 3}]
