@@ -1,18 +1,19 @@
 """Name normalisation and string similarity (SC5, FZ3).
 
-Spark has no Unicode NFKD built-in, and no Ratcliff/Obershelp ratio, so these
-two are Arrow-batched pandas UDFs over Python's standard library. They run on
-executors in batches; callers prune candidates with native expressions first
-(see `operators.resolve`).
+Spark has no Unicode decomposition and no Ratcliff/Obershelp ratio. The first is
+one Arrow kernel over whole batches, the second a batched UDF over Python's
+standard library whose callers prune candidates natively first (see
+`operators.resolve`).
 """
 
 from __future__ import annotations
 
 import difflib
 import sys
-import unicodedata
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,45 +28,36 @@ except Exception:  # pragma: no cover - older cloudpickle
     pass
 
 
-def clean_name_py(name) -> str:
-    """Case fold, trim, NFKD, drop non-ASCII. Non-strings give `""`."""
-    if not isinstance(name, str):
-        return ""
-    folded = name.casefold().strip()
-    return unicodedata.normalize("NFKD", folded).encode("ascii", "ignore").decode("ascii")
-
-
 @F.pandas_udf(T.StringType())
-def _clean_name_udf(s: pd.Series) -> pd.Series:
-    return s.map(clean_name_py)
+def _decomposed(s: pd.Series) -> pd.Series:
+    """Compatibility decomposition of a whole batch, in Arrow."""
+    return pc.utf8_normalize(pa.Array.from_pandas(s, type=pa.string()), form="NFKD").to_pandas()
 
 
-def clean_name(c) -> Column:
-    """Join key for names: `  Martin Ødegaard ` -> `martin odegaard` (SC5, FZ1). Always the UDF."""
-    return _clean_name_udf(_col(c))
-
-
-# Python's str.strip() whitespace within ASCII: \t \n \x0b \x0c \r, \x1c-\x1f and space.
-_ASCII_WS = r"[\t\n\x0b\x0c\r\x1c-\x1f ]"
+# White space that may stand around a name: Unicode's, and the separators \x1c-\x1f.
+_AROUND = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
 def is_ascii(c) -> Column:
     return _col(c).rlike(r"^[\x00-\x7f]*$")
 
 
-def clean_name_ascii(c) -> Column:
-    """`clean_name` for ASCII-only text as a native expression: NFKD and the
-    ASCII filter are identities there, and case folding is `lower`."""
-    x = _col(c)
-    stripped = F.regexp_replace(x, f"^{_ASCII_WS}+|{_ASCII_WS}+$", "")
-    return F.when(x.isNull(), F.lit("")).otherwise(F.lower(stripped))
+def clean_name(c) -> Column:
+    """Join key for names: `  Martin Ødegaard ` -> `martin degaard` (SC5, FZ1).
+
+    Case folding and trimming are Spark's own functions; only text that is not
+    ASCII goes on to the decomposition, whose non-ASCII rest is dropped. Null
+    gives the empty key.
+    """
+    x = F.coalesce(_col(c), F.lit(""))
+    folded = F.regexp_replace(F.replace(F.lower(x), F.lit("ß"), F.lit("ss")), _AROUND, "")
+    other = F.when(~is_ascii(folded), folded)        # null where there is nothing to decompose
+    return F.when(is_ascii(folded), folded).otherwise(F.regexp_replace(_decomposed(other), r"[^\x00-\x7f]", ""))
 
 
 def clean_names(df: DataFrame, src: str, alias: str) -> DataFrame:
-    """Add `alias = clean_name(src)`; only non-ASCII rows go through the Python UDF."""
-    native = df.filter(is_ascii(src) | F.col(src).isNull()).withColumn(alias, clean_name_ascii(src))
-    other = df.filter(~is_ascii(src)).withColumn(alias, clean_name(src))
-    return native.unionByName(other)
+    """Add `alias = clean_name(src)`, in one pass."""
+    return df.withColumn(alias, clean_name(src))
 
 
 def similarity_py(choice: str, name: str) -> float:
