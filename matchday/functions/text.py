@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from .casts import _col
 
 
-def strip_suffix(c, suffix_pattern: str = r"(?<=\d)\s*[+-]\d+(\.\d+)?$") -> Column:
-    """Drop a superscript delta glued to a value, `0.54-0.12` -> `0.54`, then trim (SC6).
-    A plain signed value such as `-0.54` has nothing before its sign and is kept."""
-    return F.trim(F.regexp_replace(_col(c), suffix_pattern, ""))
+def strip_suffix(c, suffix) -> Column:
+    """Drop a given superscript glued to a value's end, `0.54-0.12` and `-0.12` -> `0.54`, then trim (SC6).
+    A value that doesn't end in it, or an empty or null superscript, leaves the value."""
+    value, sup = _col(c), F.coalesce(_col(suffix), F.lit(""))
+    cut = F.substring(value, F.lit(1), F.char_length(value) - F.char_length(sup))
+    return F.trim(F.when((sup != "") & value.endswith(sup), cut).otherwise(value))
 
 
 def drop_newlines(c) -> Column:

@@ -65,11 +65,10 @@ def find_column(df: DataFrame, needle: str) -> str:
 
 
 def suffix_collisions(left: DataFrame, right: DataFrame, keys: Sequence[str], suffix: str) -> DataFrame:
-    """Rename right-side columns that collide with left ones, pandas-style (PRJ15)."""
-    clash = (set(left.columns) & set(right.columns)) - set(keys)
-    for c in clash:
-        right = right.withColumnRenamed(c, c + suffix)
-    return right
+    """Rename right-side columns that collide with left ones, pandas-style (PRJ15).
+    Names are compared without case, as Spark does."""
+    taken, own = {c.lower() for c in left.columns}, {k.lower() for k in keys}
+    return right.toDF(*(c + suffix if c.lower() in taken - own else c for c in right.columns))
 
 
 def parse_json_text(c, schema: T.DataType | str) -> Column:

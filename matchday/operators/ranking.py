@@ -155,11 +155,10 @@ def same_group_first(df: DataFrame, group_col: str, group_value, self_col: str,
                      alias: str = "slot") -> DataFrame:
     """Rows of the same group first (in file order), then the rest by name, self
     excluded, first k (SET2, FLT10). One bounded top-k, no union."""
-    same = (F.col(group_col) == F.lit(group_value))
+    same = F.col(group_col).eqNullSafe(F.lit(group_value))     # missing equals missing
     bucket = F.when(same, 0).otherwise(1)
     # Same-group rows keep file order; others sort by name, then file order.
     within = F.when(same, F.lit(None).cast("string")).otherwise(F.col(name_col))
-    order = [bucket.asc(), within.asc_nulls_first(), F.col(file_order).asc()]
     cand = df.filter(~F.col(self_col).eqNullSafe(F.lit(self_value)))
     best = (cand.withColumn("_b", bucket).withColumn("_w", within)
             .orderBy(F.col("_b").asc(), F.col("_w").asc_nulls_first(), F.col(file_order).asc())

@@ -77,8 +77,9 @@ def team_statistics(docs: DataFrame) -> DataFrame:
     """Team documents -> one row per (team, load, situation); stat fields stay text.
     Known fields are fixed columns, unknown ones land in `extra` (PRJ5)."""
     rows = explode_records(docs, "statistics", "stat", keep=["team_name", "meta", "load_date"])
-    flat = expand_struct(rows, "stat", known=schemas.STAT_FIELDS, rest_alias="extra")
-    typed = flat.select("team_name", *schemas.STAT_FIELDS, "extra", *_stamp_cols())
+    known = [F.col("stat")[f].alias(f) for f in schemas.STAT_FIELDS]
+    extra = F.map_filter("stat", lambda k, v: ~k.isin(*schemas.STAT_FIELDS))
+    typed = rows.select("team_name", *known, extra.alias("extra"), *_stamp_cols())
     return merge_source(typed, schemas.KEYS["team_statistics"], "updated_at")
 
 

@@ -48,7 +48,8 @@ TEAM_DOC = T.StructType([
     T.StructField("url", S),
     T.StructField("results", T.ArrayType(_text_struct(*RESULT_FIELDS))),
     T.StructField("fixtures", T.ArrayType(_text_struct(*FIXTURE_FIELDS))),
-    T.StructField("statistics", T.ArrayType(_text_struct(*STAT_FIELDS))),
+    # a map, so that fields a page adds are read too
+    T.StructField("statistics", T.ArrayType(T.MapType(S, S))),
     T.StructField("roster", T.ArrayType(_text_struct(*ROSTER_FIELDS))),
     T.StructField("_metadata", META),
 ])
