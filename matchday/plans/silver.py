@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.casts import parse_match_date, parse_timestamp, to_double, to_int, to_int_truncated
-from ..operators.nested import cell, expand_struct, explode_records
+from ..operators.nested import cell, explode_records
 from ..operators.reshape import flatten_roster
 from ..operators.upsert import merge_into, merge_source, overwrite
 from ..sources.documents import read_documents
@@ -147,23 +147,24 @@ PARTS = ("league", "teams", "players")
 
 
 def run_silver(spark: SparkSession, bronze_root: str, silver_root: str,
-               parts: tuple[str, ...] = PARTS) -> dict[str, int]:
+               parts: tuple[str, ...] = PARTS, multiline: bool = True) -> dict[str, int]:
     """Read bronze, build the silver tables of `parts` and merge each into
     `<silver_root>/<table>`. Returns the snapshot version written per table.
 
     Teams and players use the newest load only; standings read every load and
     keep the newest per team. A requested part whose source is missing raises
-    `NoSnapshotError` (nothing is skipped silently).
+    `NoSnapshotError` (nothing is skipped silently). `multiline=False` reads
+    JSON Lines, as `export.write_bronze` writes them, instead of one document a file.
     """
     b, s = bronze_root.rstrip("/"), silver_root.rstrip("/")
     out: dict[str, int] = {}
     if "league" in parts:
-        league = read_documents(spark, f"{b}/league", schemas.LEAGUE_DOC)
+        league = read_documents(spark, f"{b}/league", schemas.LEAGUE_DOC, multiline=multiline)
         out["league_standings"] = merge_into(spark, f"{s}/league_standings", league_standings(league),
                                              schemas.KEYS["league_standings"], "load_date", ["updated_at"])
     if "teams" in parts:
         # each load's documents feed several tables: parse the JSON once, keep the rows
-        teams = materialize(latest_snapshot(read_documents(spark, f"{b}/teams", schemas.TEAM_DOC)))
+        teams = materialize(latest_snapshot(read_documents(spark, f"{b}/teams", schemas.TEAM_DOC, multiline=multiline)))
         out["team_matches"] = merge_into(spark, f"{s}/team_matches", team_matches(teams),
                                          schemas.KEYS["team_matches"], "load_date", ["updated_at"])
         out["team_statistics"] = merge_into(spark, f"{s}/team_statistics", team_statistics(teams),
@@ -171,7 +172,7 @@ def run_silver(spark: SparkSession, bronze_root: str, silver_root: str,
         # fixtures move between loads: replace the schedule instead of merging it
         out["team_fixtures"] = overwrite(spark, team_fixtures(teams), f"{s}/team_fixtures")
     if "players" in parts:
-        players = materialize(latest_snapshot(read_documents(spark, f"{b}/players", schemas.PLAYER_DOC)))
+        players = materialize(latest_snapshot(read_documents(spark, f"{b}/players", schemas.PLAYER_DOC, multiline=multiline)))
         out["player_seasons"] = merge_into(spark, f"{s}/player_seasons", player_seasons(players),
                                            schemas.KEYS["player_seasons"], "load_date", ["updated_at"])
         out["player_matches"] = merge_into(spark, f"{s}/player_matches", player_matches(players),

@@ -558,7 +558,7 @@ def q_gold_team_tactics(spark, d):
               "xG/Sh": txt("xg_per_shot"), "xGA/Sh": F.lit("")}
     docs = t.select(
         txt("team_key").alias("team_name"),
-        F.array(F.struct(*[fields[f].alias(f) for f in schemas.STAT_FIELDS])).alias("statistics"),
+        F.array(F.create_map(*[x for f in schemas.STAT_FIELDS for x in (F.lit(f), fields[f])])).alias("statistics"),
         F.struct(F.lit(f"{AS_OF} 00:00:00").alias("extraction_timestamp"), F.lit(AS_OF).alias("load_date"),
                  F.lit("lineitem").alias("source")).alias("meta"),
         F.lit(AS_OF).cast("date").alias("load_date"))

@@ -111,3 +111,14 @@ def test_oracle_rounding_matches_spark(spark):
 def pyspark_round(c, digits):
     from pyspark.sql import functions as F
     return F.round(F.col(c), digits)
+
+
+def test_real_path_against_duckdb(spark, duck):
+    """Documents to bronze, two loads into silver, and a mart, all written and read."""
+    from matchday.plans import lake
+    for name in ("pipeline_statistics", "pipeline_seasons", "pipeline_matches"):
+        got = entry.queries()[name](spark, SF)
+        cur = duck.execute(lake.ORACLE_SQL[name])
+        cols = [c[0] for c in cur.description]
+        want = sorted(map(repr, cur.fetchall()))
+        assert sorted(repr(tuple(r[c] for c in cols)) for r in got.collect()) == want, name
