@@ -26,4 +26,41 @@ QUERIES = {
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+# Repeated windows by their hashes, one row each: exact, but only for small tables.
+_OP1 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+w AS (SELECT doc_id, n, s, md5_number(substr(h, CAST(2 * s + 1 AS BIGINT), 400)) AS k
+      FROM (SELECT doc_id, n, h, unnest(range(n - 199)) AS s FROM d WHERE n >= 200)),
+hit AS (SELECT doc_id, s FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY k) AS c FROM w) WHERE c > 1),
+runs AS (SELECT doc_id, min(s) AS lo, max(s) + 200 AS hi
+         FROM (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS run
+               FROM (SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 200 THEN 0 ELSE 1 END AS new FROM hit))
+         GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, lo, hi, lead(lo) OVER (PARTITION BY doc_id ORDER BY lo) AS nxt,
+                row_number() OVER (PARTITION BY doc_id ORDER BY lo) AS i FROM runs),
+kept AS (SELECT g.doc_id, count(*) AS n_spans, sum(hi - lo) AS n_removed,
+                string_agg(CASE WHEN i = 1 THEN substr(h, 1, CAST(2 * lo AS BIGINT)) ELSE '' END
+                           || substr(h, CAST(2 * hi + 1 AS BIGINT), CAST(2 * (coalesce(nxt, n) - hi) AS BIGINT)), '' ORDER BY lo) AS rest
+         FROM gaps g JOIN d ON g.doc_id = d.doc_id GROUP BY g.doc_id)
+SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+# All pairs that share a shingle, then everything reachable.
+_OP3 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS shingle
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (SELECT p.x, p.y FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+                                GROUP BY a.doc_id, b.doc_id) p
+          JOIN n nx ON nx.doc_id = p.x JOIN n ny ON ny.doc_id = p.y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y)
+SELECT documents.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
+FROM documents LEFT JOIN n ON n.doc_id = documents.doc_id
+JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) c ON c.x = documents.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": _OP1, "op3_jaccard_join": _OP3}
