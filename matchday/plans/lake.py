@@ -112,6 +112,14 @@ def pipeline_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (pipeline_matches, pipeline_statistics, pipeline_trends, pipeline_seasons)}
 
+# what the written path of each query exercises
+COVERS = {
+    "pipeline_matches": "SRC1 SRC2 SRC3 SRC4 SRC5 SRC10 SNK2 SNK3 SNK4 SNK7 PRJ1 PRJ8 Q-MATCH",
+    "pipeline_statistics": "SRC1 SRC3 SRC4 SRC10 SNK3 PRJ5 Q-STATS",
+    "pipeline_trends": "SRC6 SNK1 SNK3 PRJ12 Q-MATCH Q-TREND",
+    "pipeline_seasons": "SRC1 SRC2 SRC4 SNK3 FLT1 PRJ6 PRJ7 Q-SEAS",
+}
+
 _LOADS_SQL = f"(VALUES (0, DATE '{LOADS[0][0]}'), (1, DATE '{LOADS[1][0]}')) AS l(ld, load_date)"
 _TEAM_ROWS = f"""
   SELECT CAST(o_custkey AS VARCHAR) AS team_name, CAST(o_orderdate AS DATE) AS match_date, o_orderpriority AS opponent,

@@ -630,16 +630,16 @@ GOLD_MARTS = ("gold_player_scoring", "gold_team_summary", "gold_team_match_trend
 
 # SURVEY §2 operator IDs each registered query exercises.
 COVERS: dict[str, str] = {
-    "player_scoring_stats": "SRC6 JN7 FLT3 AGG1 AGG2 AGG3 AGG4 AGG5 FLT5 PRJ6 PRJ7",
-    "team_form_last5": "WIN2 FLT6 AGG6 SC1 FLT2",
+    "player_scoring_stats": "SRC6 JN7 FLT3 AGG1 AGG2 AGG3 AGG4 AGG5 PRJ6 PRJ7",
+    "team_form_last5": "WIN2 FLT6 AGG6 SC1",
     "next_fixture": "WIN1 FLT6 ING2",
     "team_summary": "Q-SUM JN1 JN2 PRJ11 ORD1 WIN1 WIN2 AGG6 (rank: distributed row number)",
     "match_trends": "Q-TREND PRJ12 ORD2",
-    "tactics": "Q-TAC FLT2 PRJ11 SC16 AGG1 SC3",
+    "tactics": "Q-TAC PRJ11 SC16 AGG1 SC3",
     "recent_top20": "Q-REC FLT4 ORD3",
     "upcoming_top20": "Q-UP FLT4 ORD3",
-    "leaders_total_goals": "Q-API4 ORD4 WIN3 FLT9",
-    "leaders_xg_performance": "Q-API4 ORD4 WIN3 FLT9",
+    "leaders_total_goals": "Q-API4 ORD4 WIN3",
+    "leaders_xg_performance": "Q-API4 ORD4 WIN3",
     "squad_sorted": "Q-UI2 FLT7 ORD5",
     "profile_lookup": "Q-API3 FLT8 SC8 FLT11",
     "per90_metrics": "Q-UI3 SC12 SC13 SC3",
@@ -648,25 +648,25 @@ COVERS: dict[str, str] = {
     "similar_items": "Q-UI4 FLT10 SET2",
     "last3_chronological": "Q-UI2 WIN4 ORD6",
     "opponent_lookup": "Q-UI1 JN4",
-    "json_flatten": "SC20 PRJ2 PRJ6 SNK6",
+    "json_flatten": "SC20 PRJ2 PRJ6",
     "explode_tokens": "PRJ1 PRJ4 SC19",
     "safe_casts": "PRJ6 PRJ7 PRJ8 PRJ9 SC11",
     "upsert_latest": "SNK2 SNK4 SET1 SET3 JN6 JN7",
     "dedupe_latest": "SET1 SNK4",
-    "optional_source_default": "SRC7 SC17 JN2",
+    "optional_source_default": "SC17 JN2",
     "in_team": "JN8",
     "orient_sides": "ING1 ING2",
     "header_zip": "ING3 PRJ6 PRJ7",
-    "package_nested": "ING5 ING6 PRJ1",
+    "package_nested": "ING5 PRJ1",
     "name_resolution_contains": "FZ1 FZ2 FZ4 FZ5 JN5 SC5 SC22",
     "name_resolution_ratio": "FZ1 FZ3 FZ5 UDF1 SC5",
-    "export_roundtrip": "SNK5 SNK6 SNK8 SRC8",
+    "export_roundtrip": "SNK5",
     "summary_for_team": "Q-API2 FLT7 FLT11",
     "top_scorer_per_team": "AGG7",
-    "silver_team_matches": "Q-MATCH PRJ1 PRJ2 PRJ6 PRJ7 SC11 SNK4 SC20",
+    "silver_team_matches": "Q-MATCH PRJ1 PRJ2 PRJ6 PRJ7 SC11 SNK4",
     "gold_team_summary": "Q-STAND Q-MATCH Q-FIX Q-SUM PRJ4 PRJ8 JN1 JN2 WIN1 WIN2 AGG6 ORD1",
-    "gold_player_scoring": "Q-PM Q-PLAY FLT1 SET1 SNK4 PRJ6 PRJ7 AGG1 AGG2 AGG3 AGG4 AGG5 FLT3 FLT5 ORD1",
-    "gold_team_tactics": "Q-STATS Q-TAC PRJ5 FLT2 PRJ6 PRJ7 ORD2",
+    "gold_player_scoring": "Q-PM Q-PLAY SET1 SNK4 PRJ6 PRJ7 AGG1 AGG2 AGG3 AGG4 AGG5 FLT3 ORD1",
+    "gold_team_tactics": "Q-STATS Q-TAC PRJ5 PRJ6 PRJ7 ORD2",
     "gold_team_match_trends": "Q-MATCH Q-TREND PRJ12 ORD2 SC11",
     "gold_recent_results": "Q-MATCH Q-REC FLT4 ORD3 SC11",
     "gold_upcoming_fixtures": "Q-FIX Q-UP FLT4 ORD3 SC11",
