@@ -56,8 +56,13 @@ def clean_name(c) -> Column:
 
 
 def clean_names(df: DataFrame, src: str, alias: str) -> DataFrame:
-    """Add `alias = clean_name(src)`, in one pass."""
-    return df.withColumn(alias, clean_name(src))
+    """Add `alias = clean_name(src)`, in one pass.
+
+    The one-element `explode` keeps the planner from copying the kernel into a
+    filter that it derives from a join on `alias`, where it can't run.
+    """
+    kept = [c for c in df.columns if c.lower() != alias.lower()]
+    return df.select(*(f"`{c}`" for c in kept), F.explode(F.array(clean_name(src))).alias(alias))
 
 
 def similarity_py(choice: str, name: str) -> float:
