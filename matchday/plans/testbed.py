@@ -920,9 +920,11 @@ ORACLE_SQL: dict[str, str] = {
     "gold_player_scoring": _with(_PM, """docs AS (
   SELECT CAST(player_key AS VARCHAR) AS player_name,
          CAST(match_key AS VARCHAR) || '-' || CAST(line_no AS VARCHAR) AS url,
-         match_date, minutes, goals, assists, xg, xa
+         match_date, position, minutes, goals, assists, xg, xa
   FROM player_matches)""", """kept AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY player_name, match_date ORDER BY url DESC) AS rn
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY player_name, match_date ORDER BY url DESC,
+                   position DESC NULLS LAST, minutes DESC NULLS LAST, goals DESC NULLS LAST, assists DESC NULLS LAST,
+                   xg DESC NULLS LAST, xa DESC NULLS LAST) AS rn
                  FROM docs) x WHERE rn = 1)""", f"""totals AS (
   SELECT player_name, count(match_date) AS matches_played, CAST(sum(minutes) AS BIGINT) AS total_minutes,
          CAST(sum(goals) AS BIGINT) AS total_goals, CAST(sum(assists) AS BIGINT) AS total_assists,
