@@ -61,19 +61,6 @@ PROFILES = T.StructType([
     T.StructField("nationality", S), T.StructField("image_url", S),
 ])
 
-# Silver / gold column lists (types are set by the builders).
-STANDINGS_COLS = ("team_name", "team_url", "rank", "matches_played", "wins", "draws", "losses", "goals_for",
-                  "goals_against", "points", "xG_for", "xG_against", "updated_at", "load_date")
-TEAM_MATCH_COLS = ("team_name", "match_date", "opponent", "home_away", "result_status", "goals_scored",
-                   "goals_conceded", "xg_for", "xg_against", "updated_at", "load_date")
-FIXTURE_COLS = ("team_name", "fixture_date", "fixture_time", "opponent", "home_away", "updated_at", "load_date")
-PLAYER_SEASON_COLS = ("player_name", "player_url", "season_year", "team_name", "appearances", "minutes_played",
-                      "goals", "assists", "shots_per_90", "key_passes_per_90", "xg", "xa", "updated_at",
-                      "load_date")
-PLAYER_MATCH_COLS = ("player_name", "player_url", "match_date", "home_team", "away_team", "score", "position",
-                     "minutes_played", "shots", "goals", "key_passes", "assists", "xg", "xa", "updated_at",
-                     "load_date")
-
 # Merge keys of the silver tables.
 KEYS = {
     "league_standings": ("team_name",),

@@ -7,7 +7,6 @@ cluster's shared scratch location from `spark.checkpoint.dir`.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -87,10 +86,6 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def bench_cpus() -> int:
-    return int(os.environ.get("BENCH_CPUS", "8"))
-
-
 def materialize(df):
     """Write `df` to the shared checkpoint dir and read it back (eager `checkpoint`).
 

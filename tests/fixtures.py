@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 
+# The keys of all documents below are those of the source's files.
 STAMP_1 = {"extraction_timestamp": "2026-03-14 09:00:00", "load_date": "2026-03-14", "source": "test"}
 STAMP_2 = {"extraction_timestamp": "2026-03-21 09:00:00", "load_date": "2026-03-21", "source": "test"}
 
