@@ -11,10 +11,12 @@
 
        1/2 sum_k (share_k - target_k)^2 / mass_k + lam/2 sum_d n_d/W (r_d - 1)^2
 
-   over r >= 0, where mass_k is the share at rates of 1: projected gradient
-   steps, in which the cluster sums the shares and only one number per domain
-   reaches the driver. A document's rate follows from its posteriors and the
-   gradients so far, so it can be computed where the text is.
+   over r >= 0, where mass_k is the share at rates of 1. At the optimum
+   r_d = max(0, 1 - (p_d . g) / lam) with g_k = (share_k - target_k) / mass_k, so
+   only one number per domain is sought: some projected gradient steps give a
+   start, Newton steps on the convex dual in g end at the optimum. The cluster
+   sums, a few numbers per step reach the driver, and a document's rate follows
+   from its posteriors and g, so it can be computed where the text is.
 3. `copies` is the rate rounded down or up, by a hash of the document, so that
    its mean is the rate.
 
@@ -35,6 +37,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources.tables import read_table
@@ -52,6 +55,7 @@ LEAST = 2.5            # weaker evidence counts as none, as does evidence for th
 STEPS = 40             # gradient steps, at most
 SEGMENT = 10           # steps after which the rates are written down
 LAM = 1e-3
+CONVERGED = 1e-7       # no rate changes by more in the last Newton step
 CLOSE = 1e-4           # shares this near to their targets end the fit
 MARKS = "!|*%$#&"
 
@@ -194,6 +198,57 @@ def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS, lam: fl
     return done + pulls, now
 
 
+def best_rates(rows: DataFrame, targets: list[float], lam: float = LAM) -> tuple[list[list[float]], list[float]]:
+    """(one pull, shares reached) of the optimum for `rows(tokens, p)`."""
+    k = len(targets)
+    start, _ = fit_rates(rows, targets, SEGMENT, lam)
+    shares = [F.sum(F.col("tokens") * F.col("p")[i]).alias(f"s{i}") for i in range(k)]
+    first = rows.agg(F.sum("tokens").alias("all"), *shares).first()
+    if not first["all"]:
+        return [], [0.0] * k
+    mass, target = np.array([first[f"s{i}"] / first["all"] for i in range(k)]), np.array(targets)
+    on = mass > 1e-9                      # a domain without tokens has no pull
+    n, pairs = F.col("tokens") / F.lit(float(first["all"])), [(i, j) for i in range(k) for j in range(i, k)]
+
+    def at(g: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """Dual value, its gradient and second derivatives, and the shares."""
+        rate = rate_of(F.col("p"), [_pull(g, lam)], lam)
+        got = rows.select(n.alias("n"), "p", rate.alias("r")).agg(
+            F.coalesce(F.sum(F.col("n") * F.col("r") * F.col("r")), F.lit(0.0)),
+            *(F.sum(F.col("n") * F.col("r") * F.col("p")[i]) for i in range(k)),
+            *(F.sum(F.when(F.col("r") > 0, F.col("n") * F.col("p")[i] * F.col("p")[j]).otherwise(0.0)) for i, j in pairs)).first()
+        now, second = np.array(got[1:k + 1]), np.diag(mass)
+        for (i, j), x in zip(pairs, got[k + 1:]):
+            second[i, j] += x / lam
+            if i != j:
+                second[j, i] += x / lam
+        return (mass * g * g).sum() / 2 + g @ target + lam / 2 * got[0], mass * g + target - now, second, now
+
+    g = np.where(on, np.array(start[-1]), 0.0) if start else np.zeros(k)
+    value, slope, second, now = at(g)
+    while True:
+        step = np.zeros(k)
+        step[on] = np.linalg.solve(second[np.ix_(on, on)], slope[on])
+        if np.abs(step).max() / lam < CONVERGED:
+            break
+        part = 1.0
+        while True:                       # half as far until the dual falls
+            there = at(g - part * step)
+            if there[0] <= value - 1e-4 * part * (slope @ step) + 1e-16 or part < 1e-9:
+                break
+            part /= 2
+        if part < 1e-9:                   # rounding leaves nothing to gain
+            break
+        g = g - part * step
+        value, slope, second, now = there
+    return [_pull(g, lam)], now.tolist()
+
+
+def _pull(g: np.ndarray, lam: float) -> list[float]:
+    """The pull whose one step leads from rates of 1 to the rates that belong to `g`."""
+    return (g * (1 + lam) / lam).tolist()
+
+
 def rate_of(p: Column, pulls: list[list[float]], lam: float = LAM) -> Column:
     """A document's rate, step for step as it was fitted."""
     out = F.lit(1.0)
@@ -216,7 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"),
                        judged(F.col("text"), model, domains).alias("j"))
     rows = common.stored(rows.select("doc_id", "tie", "j.tokens", "j.p"), "judged")
-    pulls, reached = ([], []) if model is None else fit_rates(rows.select("tokens", "p"), [targets[d] for d in domains])
+    pulls, reached = ([], []) if model is None else best_rates(rows.select("tokens", "p"), [targets[d] for d in domains])
     return model, pulls, rows, reached
 
 

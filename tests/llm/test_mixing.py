@@ -32,11 +32,37 @@ def test_rates_equal_brute_force(spark):
     assert (got >= 0).all() and np.allclose(got, want, atol=1e-6)
 
 
+@pytest.mark.parametrize("soft,target", [([0.4, 0.2, 0.1], [0.7, 0.28, 0.02]), ([5.0, 2.0, 1.0], [0.9, 0.07, 0.03]),
+                                         ([20.0, 0.05, 0.02], [0.5, 0.3, 0.2]), ([3.0, 3.0, 3.0], [0.0, 0.0, 1.0])])
+def test_rates_are_the_optimum(spark, soft, target):
+    """Against a brute force run until no rate moves, on soft, skewed and rare domains."""
+    rng = np.random.default_rng(1)
+    p = rng.dirichlet(soft, 120)
+    n = rng.integers(1, 500, 120)
+    rows = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p)], "tokens long, p array<double>")
+    pulls, reached = mixing.best_rates(rows, target)
+    got = np.array([r[0] for r in rows.select(mixing.rate_of(F.col("p"), pulls)).collect()])
+    steps, want = 1000, brute_rates(n.astype(float), p, np.array(target), mixing.LAM, 1000)
+    while steps < 300_000:
+        steps, last = steps * 4, want
+        want = brute_rates(n.astype(float), p, np.array(target), mixing.LAM, steps)
+        if np.abs(want - last).max() < 1e-9:
+            break
+    assert np.allclose(got, want, atol=1e-5)
+    assert np.allclose(reached, ((n / n.sum() * want) @ p), atol=1e-7)
+
+
 @pytest.fixture(scope="module")
 def mixed(spark):
     return mixing.op4_mixing(spark, SF).toPandas()
 
 
+def test_op4_rates_are_the_optimum(mixed):
+    p, n = mixed[["p_clean", "p_low", "p_toxic"]].to_numpy(), mixed.tokens.to_numpy(float)
+    want = brute_rates(n, p, np.array([mixing.TARGETS[d] for d in mixing.DOMAINS]), mixing.LAM, 3000)
+    assert np.allclose(mixed.rate, want, atol=1e-5)
+
+
 def test_op4_meets_its_targets(mixed):
     assert len(mixed) == 10_000
     for d, t in mixing.TARGETS.items():
