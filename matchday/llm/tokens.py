@@ -3,7 +3,9 @@
 A pre-tokenizer never lets a token cross certain places (white space, a letter
 next to punctuation). Text is cut there with numpy, each distinct piece is
 encoded once by the library and looked up afterwards. Texts with white space
-outside ASCII, and tokenizers of another build, are encoded whole.
+outside ASCII or with an added token (such as `<|endoftext|>`, which the
+tokenizer takes out before it cuts), and tokenizers of another build, are
+encoded whole.
 """
 
 from __future__ import annotations
@@ -75,7 +77,6 @@ class PieceEncoder:
         self.path = tokenizer_path(name)
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(self.path)
-        self.tokenizer.encode_special_tokens = True
         with open(self.path, encoding="utf-8") as f:
             spec = json.load(f)
         norm, pre = spec.get("normalizer"), spec.get("pre_tokenizer") or {}
@@ -85,6 +86,10 @@ class PieceEncoder:
         elif norm and [x.get("type") for x in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] \
                 and [x.get("type") for x in pre.get("pretokenizers", [])] == ["Split", "ByteLevel"]:
             self.kind = "word"
+        self.added = [t["content"].encode() for t in spec.get("added_tokens") or [] if t["content"]]
+        if self.kind == "word" and any(not t.isascii() or set(t.lower()) & set(b"k;` \t\n\r\x0b\x0c") for t in self.added):
+            self.kind = "whole"      # the normalizer can make these out of other characters
+        self.added = [t.lower() if self.kind == "word" else t for t in self.added]
         table = byte_table(11)
         self.symbols = table[_LOWER] if self.kind == "word" else table
         self.model = self.tokenizer.model
@@ -104,6 +109,20 @@ class PieceEncoder:
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _added_at(self, buf: np.ndarray) -> np.ndarray:
+        """Positions of added tokens, in any case where the normalizer lowers it; none is missed."""
+        raw, at = (_LOWER[buf] if self.kind == "word" else buf).tobytes(), []
+        for token in self.added:
+            i = raw.find(token)
+            while i >= 0:
+                at.append(i)
+                i = raw.find(token, i + 1)
+        return np.array(sorted(at), np.int64)
+
+    def _apart(self, buf: np.ndarray) -> np.ndarray:
+        """Positions of what makes a text one to encode whole."""
+        return np.concatenate([_odd_space(buf), self._added_at(buf)])
+
     def _piece(self, piece: str) -> list[int]:
         """Ids of one piece; words of letters go straight to the merges."""
         if self.kind == "word":
@@ -219,7 +238,7 @@ class PieceEncoder:
                 ids, n = self._long(part)
             else:
                 ids, n = self._chunk(part, own)
-                odd = _odd_space(part)
+                odd = self._apart(part)
                 if len(odd):
                     ids, n = self._each(part, own, set(np.searchsorted(own, odd, side="right") - 1), ids, n)
             parts.append(ids)
@@ -243,7 +262,7 @@ class PieceEncoder:
 
     def _long(self, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A very long text, segment by segment, cut at a space between two ASCII letters."""
-        if len(_odd_space(buf)):
+        if len(self._apart(buf)):
             return self._each(buf, np.array([0, len(buf)]), {0})
         ok = np.flatnonzero((buf[1:-1] == 32) & _LETTER[buf[:-2]] & _LETTER[buf[2:]]) + 1
         cuts, at = [0], CHUNK

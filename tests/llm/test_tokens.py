@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from matchday.llm.common import text_buffer
-from matchday.llm.tokens import encoder, with_end
+from matchday.llm.tokens import encoder, tokenizer_path, with_end
 
 FILES = ["word_bpe_49k.json", "byte_bpe_50k.json"]
 HARD = ["", " ", "\n", "a", "a b", " a", "a ", "a  b", "a\nb", "a \n b", "a\n\n\nb ", "don't we'll 's x's", "A,b.c!d's", "  x",
@@ -44,3 +44,21 @@ def test_long_text_in_segments(monkeypatch):
 def test_end_ids():
     ids, off = with_end(np.array([5, 6, 7], np.uint32), np.array([0, 2, 2, 3]), 1)
     assert ids.tolist() == [5, 6, 1, 1, 7, 1] and off.tolist() == [0, 3, 4, 6]
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_added_tokens_as_a_fresh_tokenizer_has_them(name, monkeypatch):
+    import matchday.llm.tokens as t
+    from tokenizers import Tokenizer
+    fresh = Tokenizer.from_file(tokenizer_path(name))
+    texts = ["one two <|endoftext|> three", "plain words", "a<|endoftext|><|startoftext|>b ", "<|ENDOFTEXT|> x", "<|endof", "text|>",
+             "<|endoftext|>", None, "", "<|endoftext|>\n\n<|endoftext|>", *HARD]
+    want = [fresh.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert want[0] == {"word_bpe_49k.json": [637, 1237, 49407, 2097], "byte_bpe_50k.json": [505, 734, 220, 50256, 1115]}[name]
+    for long in (t.LONG_TEXT, 10):
+        monkeypatch.setattr(t, "LONG_TEXT", long)
+        for one_by_one in (False, True):
+            monkeypatch.setattr(t, "CHUNK", 1 if one_by_one else 1 << 20)
+            ids, off = encoder(name).encode(*text_buffer(pa.array(texts, pa.string())))
+            for i, w in enumerate(want):
+                assert ids[off[i]:off[i + 1]].tolist() == w, repr(texts[i])
