@@ -23,6 +23,7 @@ from ..sources.tables import read_table
 from . import gold, silver
 
 AS_OF = "2000-01-01"     # matches before it have a status
+PER_DOCUMENT = 10_000    # results of a team document, about, at most
 LOADS = (("2024-05-01", 0), ("2024-05-08", 1))
 
 
@@ -54,8 +55,12 @@ def team_documents(spark: SparkSession, sf_dir: str, date: str, load: int) -> Da
         "xG": F.lit(""), "Clearances": (F.col("n") * 2).cast("string")}.items() for x in (F.lit(f), v)])
     stats = o.groupBy("o_custkey", "o_orderstatus").agg(F.count(F.lit(1)).alias("n")).groupBy("o_custkey").agg(
         F.collect_list(stat).alias("statistics"))
-    # the orders of one customer are few
-    docs = o.groupBy("o_custkey").agg(F.collect_list(result).alias("results")).join(stats, "o_custkey")
+    # several documents per team, so that a customer with very many orders is no single row; one more holds its statistics
+    parts = F.lit(-(-o.count() // PER_DOCUMENT) or 1)
+    part = F.pmod(F.xxhash64("o_orderkey", "o_totalprice"), parts).alias("part")
+    results = o.groupBy("o_custkey", part).agg(F.collect_list(result).alias("results"))
+    docs = results.select("o_custkey", "results", F.array().cast(stats.schema["statistics"].dataType).alias("statistics")).union(
+        stats.select("o_custkey", F.array().cast(results.schema["results"].dataType), "statistics"))
     return _documents(docs.select(F.col("o_custkey").cast("string").alias("team_name"), "results", "statistics"), date)
 
 
