@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ball_tree import op11_ball_tree
 from .fingerprints import op5_fingerprints
 from .html_text import op2_html_text
 from .jaccard_join import op3_jaccard_join
@@ -12,6 +13,7 @@ from .quality import op8_quality
 from .sharding import op9_sharding
 from .suffix_dedup import op1_suffix_dedup
 from .vectors import op7_nearest
+from .whitening import op13_whitening
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_sharding": op9_sharding,
     "op10_packing": op10_packing,
+    "op11_ball_tree": op11_ball_tree,
+    "op13_whitening": op13_whitening,
 }
 
 # Repeated windows by their hashes, one row each: exact, but only for small tables.
@@ -63,4 +67,14 @@ FROM documents LEFT JOIN n ON n.doc_id = documents.doc_id
 JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) c ON c.x = documents.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": _OP1, "op3_jaccard_join": _OP3}
+# Every query against every vector.
+_OP11 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": _OP1, "op3_jaccard_join": _OP3, "op11_ball_tree": _OP11}
