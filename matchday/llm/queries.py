@@ -6,6 +6,7 @@ from .ball_tree import op11_ball_tree
 from .fingerprints import op5_fingerprints
 from .html_text import op2_html_text
 from .jaccard_join import op3_jaccard_join
+from .lexical import op12_lexical
 from .mixing import op4_mixing
 from .orc_tokens import op6_orc_tokens
 from .packing import op10_packing
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_packing": op10_packing,
     "op11_ball_tree": op11_ball_tree,
+    "op12_lexical": op12_lexical,
     "op13_whitening": op13_whitening,
 }
 
@@ -77,4 +79,22 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": _OP1, "op3_jaccard_join": _OP3, "op11_ball_tree": _OP11}
+# Every document that shares a term with an item.
+_OP12 = r"""
+WITH dt AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+                   lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS terms FROM documents),
+it AS (SELECT DISTINCT item_id, unnest(list_transform(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+              lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS term FROM benchmark),
+d AS (SELECT doc_id, CAST(len(terms) AS BIGINT) AS n, terms FROM dt WHERE len(terms) > 0),
+c AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS l FROM d),
+tf AS (SELECT doc_id, n, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT doc_id, n, unnest(terms) AS term FROM d) GROUP BY doc_id, n, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM df, c),
+s AS (SELECT it.item_id, tf.doc_id, CAST(sum(w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * (10 + (90 * tf.n * c.n_docs) // c.l)))) AS BIGINT) AS score
+      FROM it JOIN tf ON it.term = tf.term JOIN w ON w.term = it.term, c GROUP BY it.item_id, tf.doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": _OP1, "op3_jaccard_join": _OP3, "op11_ball_tree": _OP11,
+                              "op12_lexical": _OP12}
