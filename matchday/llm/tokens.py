@@ -19,7 +19,8 @@ import numpy as np
 from .common import U64, byte_table, mix, ragged, row_chunks, run_hashes
 
 CHUNK = 1 << 20          # bytes cut at a time
-MAX_PIECES = 1_200_000   # the cache is emptied beyond this
+CACHE_BYTES = 64 << 20   # the pieces' cache is emptied before it exceeds this
+TABLE_BITS = 20          # of its hash table, which is at most half full
 LONG_TEXT = 1 << 22      # longer texts are encoded in safe segments
 LONG_PIECE = 256         # longer pieces are not kept
 
@@ -96,15 +97,25 @@ class PieceEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.mask = (1 << 22) - 1
+        self.mask = (1 << TABLE_BITS) - 1
         self.keys = np.zeros(self.mask + 1, U64)
         self.slots = np.full(self.mask + 1, -1, np.int32)
         self.count = 0
-        self.starts = np.zeros(1 << 16, np.int64)
-        self.lengths = np.zeros(1 << 16, np.int64)
+        self.starts = np.zeros(1 << 16, np.int32)
+        self.lengths = np.zeros(1 << 16, np.int32)
         self.flat = np.zeros(1 << 18, np.uint32)
         self.used = 0
-        self.words: dict[str, list[int]] = {}
+        self.filled = 0                      # places of the table taken
+
+    def cache_bytes(self) -> int:
+        """Memory of the pieces that are kept."""
+        return sum(a.nbytes for a in (self.keys, self.slots, self.starts, self.lengths, self.flat))
+
+    def _full(self, pieces: int, size: int) -> bool:
+        """Whether `pieces` more of `size` bytes in all (an id for each at most) could exceed the cache's bounds."""
+        kept = lambda have, more: (max(have, 1) if more <= have else 1 << (more - 1).bit_length())
+        arrays = 8 * kept(len(self.starts), self.count + pieces) + 4 * kept(len(self.flat), self.used + size)
+        return 2 * (self.count + pieces) > self.mask or self.keys.nbytes + self.slots.nbytes + arrays > CACHE_BYTES
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -137,13 +148,8 @@ class PieceEncoder:
             if not body.isalpha():
                 return self.whole(piece)
             plain = False
-        ids = self.words.get(piece)
-        if ids is None:
-            shown = piece if plain else "".join(map(_ALPHABET.__getitem__, piece.encode()))
-            ids = [t.id for t in self.model.tokenize(shown)]
-            if len(piece) <= LONG_PIECE:
-                self.words[piece] = ids
-        return ids
+        shown = piece if plain else "".join(map(_ALPHABET.__getitem__, piece.encode()))
+        return [t.id for t in self.model.tokenize(shown)]
 
     def _add(self, ids: list[int]) -> int:
         k, n = self.count, len(ids)
@@ -171,11 +177,15 @@ class PieceEncoder:
         return out
 
     def _insert(self, h: np.ndarray, slots: np.ndarray) -> None:
-        for key, slot in zip(h.tolist(), slots.tolist()):
-            at = key & self.mask
-            while self.slots[at] >= 0:
-                at = (at + 1) & self.mask
-            self.keys[at], self.slots[at] = key, slot
+        """Put distinct new hashes into the table."""
+        todo, at = np.arange(len(h)), (h & U64(self.mask)).astype(np.int64)
+        while len(todo):
+            place, first = np.unique(at, return_index=True)       # one for each place, if it is free
+            free = self.slots[place] < 0
+            place, who = place[free], todo[first[free]]
+            self.keys[place], self.slots[place] = h[who], slots[who]
+            left = ~np.isin(todo, who)
+            todo, at = todo[left], (at[left] + 1) & self.mask
 
     def _cut(self, buf: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the pieces; `first` marks the first byte of each text."""
@@ -203,8 +213,6 @@ class PieceEncoder:
         n, texts = len(buf), len(offsets) - 1
         if n == 0:
             return np.zeros(0, np.uint32), np.zeros(texts, np.int64)
-        if self.count > MAX_PIECES:
-            self._reset()
         first = np.zeros(n + 1, bool)
         first[offsets] = True
         starts, ends = self._cut(buf, first)
@@ -213,14 +221,19 @@ class PieceEncoder:
         miss = np.flatnonzero(slots < 0)
         if len(miss):
             uniq, index, inverse = np.unique(h[miss], return_index=True, return_inverse=True)
+            if self.count and self._full(len(uniq), int((ends - starts)[miss[index]].sum())):
+                self._reset()                                     # what this chunk knew goes too
+                return self._chunk(buf, offsets)
             raw, new = buf.tobytes(), np.empty(len(uniq), np.int32)
             s, e = starts[miss[index]].tolist(), ends[miss[index]].tolist()
             for i in range(len(uniq)):
                 new[i] = self._add(self._piece(raw[s[i]:e[i]].decode("utf-8", "replace")))
             keep = (ends - starts)[miss[index]] <= LONG_PIECE
+            keep &= np.cumsum(keep) <= self.mask // 2 - self.filled
+            self.filled += int(keep.sum())
             self._insert(uniq[keep], new[keep])
             slots[miss] = new[inverse]
-        lengths = self.lengths[slots]
+        lengths = self.lengths[slots].astype(np.int64)
         ids = self.flat[ragged(self.starts[slots], lengths)]
         sums = np.concatenate([[0], np.cumsum(lengths)])
         bounds = sums[np.searchsorted(starts, offsets)]

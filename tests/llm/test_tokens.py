@@ -62,3 +62,25 @@ def test_added_tokens_as_a_fresh_tokenizer_has_them(name, monkeypatch):
             ids, off = encoder(name).encode(*text_buffer(pa.array(texts, pa.string())))
             for i, w in enumerate(want):
                 assert ids[off[i]:off[i + 1]].tolist() == w, repr(texts[i])
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_cache_stays_within_its_bytes(name, monkeypatch):
+    from matchday.llm import tokens
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 3 << 20)
+    monkeypatch.setattr(tokens, "TABLE_BITS", 15)
+    e = tokens.PieceEncoder(name)
+    rng, sizes = np.random.default_rng(0), []
+    for _ in range(6):
+        texts = [" ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(3, 9))) for _ in range(300)) for _ in range(20)]
+        texts += ["x" * 300 + " y" * 9, "The the THE tHe"]
+        ids, off = e.encode(*text_buffer(pa.array(texts)))
+        sizes.append(e.cache_bytes())
+        for i, t in enumerate(texts):
+            assert ids[off[i]:off[i + 1]].tolist() == e.whole(t)
+    assert max(sizes) <= 3 << 20 and 2 * e.filled <= e.mask + 1
+    # more distinct pieces in one text than the table holds
+    many = " ".join("".join(p) for p in rng.permutation(np.array([f"{a}{b}{c}" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"
+                                                                 for c in "abcdefghijklmnopqrstuvwxyzé"])))
+    ids, off = e.encode(*text_buffer(pa.array([many])))
+    assert ids.tolist() == e.whole(many)
