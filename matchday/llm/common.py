@@ -16,7 +16,20 @@ _P = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
 
+BATCH_BYTES = 8 << 20    # of an Arrow batch handed to Python, about
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes: 10,000 rows of long texts would be hundreds of megabytes for every worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or int(now.rstrip("b")) <= 0 or int(now.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The `documents` table, whose texts may be long."""
+    bounded_batches(spark)
     return read_table(spark, sf_dir, "documents")
 
 

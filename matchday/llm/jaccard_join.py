@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from . import common
 from .common import U64, byte_table, mix, run_hashes, text_buffer
@@ -46,7 +46,7 @@ SHARED = 12                   # shared shingles asked for in step 2
 SHORT_LIST = 32               # longer lists are tied, not paired
 HOT_LIST = 100                # shingles more frequent than this are put last in the order
 HOT_KEPT = 50_000             # as many of them, the most frequent (this bounds a broadcast, no result depends on it)
-BLOCK_SHINGLES = 3_000_000    # shingles of a block in a task
+BLOCK_SHINGLES = 1_500_000    # shingles of a block in a task
 PROBED = 3000                 # lists above this length are probed, not merged
 _NO_ID = -(1 << 63)
 _WS = np.zeros(256, bool)
@@ -220,6 +220,44 @@ def _pairs(short: int, percent: int):
     return run
 
 
+class Joined:
+    """Which places hang together: a forest of parents."""
+
+    def __init__(self, n: int):
+        self.parent, self.size = np.arange(n), np.ones(n, np.int64)
+
+    def roots(self, places: np.ndarray) -> np.ndarray:
+        out = self.parent[places]
+        while True:
+            up = self.parent[out]
+            if np.array_equal(up, out):
+                self.parent[places] = out
+                return out
+            out = up
+
+    def join(self, x: int, y: int) -> bool:
+        """False if they were joined already."""
+        a, b = self.roots(np.array([x, y])).tolist()
+        if a == b:
+            return False
+        a, b = (a, b) if self.size[a] >= self.size[b] else (b, a)
+        self.parent[b] = a
+        self.size[a] += self.size[b]
+        return True
+
+
+def _counted(owners: np.ndarray, n: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, count) of the places that occur `least` times or more, at the cost of the entries, not of all n places."""
+    if 8 * len(owners) < n:
+        who, count = np.unique(owners, return_counts=True)
+    else:
+        count = np.bincount(owners, minlength=n)
+        who = np.flatnonzero(count)
+        count = count[who]
+    enough = count >= least
+    return who[enough], count[enough]
+
+
 def occurrence_links(ids: np.ndarray, sets: list[np.ndarray], asked: np.ndarray, other: np.ndarray,
                      percent: int = PERCENT, probed: int = PROBED) -> list[tuple[int, int]]:
     """Links between the sets `asked` and the sets `other` (places), as many as join what is linked.
@@ -228,7 +266,7 @@ def occurrence_links(ids: np.ndarray, sets: list[np.ndarray], asked: np.ndarray,
     its short lists, probes the long ones and keeps who reaches T.
     """
     sizes = np.array([len(s) for s in sets])
-    label = np.arange(len(ids))
+    joined = Joined(len(ids))
     if not len(asked) or not len(other):
         return []
     flat = np.concatenate([sets[i] for i in other])
@@ -248,11 +286,10 @@ def occurrence_links(ids: np.ndarray, sets: list[np.ndarray], asked: np.ndarray,
         place = place[np.argsort(length[place], kind="stable")]
         n_long = min(need - 1, int((length[place] > probed).sum()))
         short, long = place[:len(place) - n_long], place[len(place) - n_long:]
-        count = np.bincount(owner[common.ragged(at[short], length[short])], minlength=len(ids))
-        who = np.flatnonzero(count >= max(1, need - n_long))
-        who = who[label[who] != label[x]]
-        who = who[np.minimum(sizes[who], n) * 100 >= np.maximum(sizes[who], n) * percent]
-        got = count[who]
+        who, got = _counted(owner[common.ragged(at[short], length[short])], len(ids), max(1, need - n_long))
+        may = joined.roots(who) != joined.roots(np.array([x]))
+        may &= np.minimum(sizes[who], n) * 100 >= np.maximum(sizes[who], n) * percent
+        who, got = who[may], got[may]
         for k in long.tolist():
             if not len(who):
                 break
@@ -260,9 +297,8 @@ def occurrence_links(ids: np.ndarray, sets: list[np.ndarray], asked: np.ndarray,
             got = got + (row[np.minimum(np.searchsorted(row, who), len(row) - 1)] == who)
         linked = who[100 * got >= percent * (n + sizes[who] - got)]
         for y in linked.tolist():
-            if label[y] != label[x]:
+            if joined.join(x, y):
                 out.append((int(ids[x]), int(ids[y])))
-                label[label == label[y]] = label[x]
     return out
 
 
@@ -318,9 +354,12 @@ def _tasks(nodes: DataFrame, block: int, percent: int) -> DataFrame:
     return own.union(cut)
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, shared: int = SHARED,
-                    short: int = SHORT_LIST, block: int = BLOCK_SHINGLES) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row of `docs(doc_id, text)`."""
+def labelled(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, shared: int = SHARED,
+             short: int = SHORT_LIST, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """(did, class, size, label) of each row of `docs(doc_id, text)`: its set's hash and size, and its component's label.
+
+    Null without shingles; `did` is `_NO_ID` for a null id.
+    """
     if words != WORDS:
         raise ValueError("shingles have five words")
     spark = docs.sparkSession
@@ -395,7 +434,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     label = components(links)
     joined = classes.join(label.select(F.col("node").alias("class"), "label"), "class", "left").withColumn(
         "label", F.coalesce("label", "class"))
-    joined = common.checkpointed(joined)
+    return common.checkpointed(joined)
+
+
+def near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row of `docs(doc_id, text)`; parameters as for `labelled`."""
+    joined = labelled(docs, **parameters)
     doc_id = F.when(F.col("did") != _NO_ID, F.col("did"))
     least = joined.filter("label is not null").groupBy("label").agg(F.min(doc_id).alias("component_id"))
     return (joined.join(least, "label", "left")
@@ -403,24 +447,40 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
                     F.when(F.col("label").isNull(), doc_id).otherwise(F.col("component_id")).alias("component_id")))
 
 
+def _with_class(column: int):
+    """Adds to each row the hash of its set, null without shingles."""
+    def run(batches):
+        for batch, sets in _batches(batches, column):
+            own = pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, own], [*batch.schema.names, "class"])
+    return run
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` without those that link, directly or not, with a row of smaller `doc_id`.
+    """One row of each component of `docs`: the one with the least `doc_id`.
 
-    Rows with a null id all stay. Rows that share an id share their fate, and
-    of those that stay the one with the least text does.
+    It goes by rows, not by ids: rows that share an id but don't link all stay, and
+    of linked rows one stays even if their ids are null (null ids come last). Of
+    rows with one id and one set of shingles that with the least text stays. Rows
+    without shingles link with nothing and stay.
     """
-    found = common.stored(near_duplicates(docs).filter("doc_id is not null").groupBy("doc_id").agg(
-        F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "components")
-    drop = found.filter("component_id != doc_id").select(F.col("doc_id").alias("did"))
-    suspects = drop.union(found.filter("n > 1").select("doc_id"))
-    # only rows that may have to go are shuffled
+    found = labelled(docs).filter("label is not null")
+    key = F.struct(F.when(F.col("did") == _NO_ID, 1).otherwise(0).alias("last"), F.col("did"), F.col("class"))
+    groups = found.groupBy("label").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    fate = common.stored(found.select("did", "class", "label").distinct().join(groups, "label").select(
+        "did", "class", ((F.col("did") == F.col("first.did")) & (F.col("class") == F.col("first.class"))).alias("stays")), "fate")
+    # only rows that may have to go are looked at again and shuffled
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), did.alias("did"),
-                       common.maybe_among(suspects, "did")(did).alias("may"))
-    order = Window.partitionBy("did").orderBy(F.col("row.text").asc_nulls_first())
-    checked = (rows.filter("may").join(drop, "did", "left_anti").withColumn("place", F.row_number().over(order))
-               .filter((F.col("place") == 1) | (F.col("did") == _NO_ID)))
-    return rows.filter("not may").select("row.*").union(checked.select("row.*"))
+                       common.maybe_among(fate, "did")(did).alias("may"))
+    suspects = rows.filter("may").select("row", "did", F.col("row.text").alias("text"))
+    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in suspects.schema.fields[1:])
+    schema = T.StructType([suspects.schema["row"], *T.StructType.fromDDL(names + ", class long").fields])
+    checked = suspects.mapInArrow(_with_class(2), schema).join(fate, ["did", "class"], "left")
+    first = Window.partitionBy("did", "class").orderBy(F.col("text").asc_nulls_first())
+    kept = (checked.filter("stays").withColumn("place", F.row_number().over(first)).filter("place = 1").select("row.*")
+            .union(checked.filter("stays is null").select("row.*")))
+    return rows.filter("not may").select("row.*").union(kept)
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,6 +94,27 @@ def test_occurrence_search_equals_brute_force(probed):
             assert (find(i) == find(j)) == (want[i] == want[j])
 
 
+def test_many_small_sets_cost_their_entries():
+    owners = np.array([7, 7, 90_000, 7, 3])
+    for n in (100_000, 90_001):
+        who, count = jj._counted(owners, n, 2)
+        assert who.tolist() == [7] and count.tolist() == [3]
+    assert jj._counted(np.array([1, 1, 0]), 3, 1)[0].tolist() == [0, 1]
+    # a chain of unions and one star
+    joined = jj.Joined(30_000)
+    assert all(joined.join(i, i + 1) for i in range(29_999)) and not joined.join(0, 29_999)
+    assert len(set(joined.roots(np.arange(30_000)).tolist())) == 1
+    # pairs of near copies of small sets: 40,000 sets in one block
+    rng = np.random.default_rng(1)
+    base = rng.integers(1, 1 << 60, (20_000, 10), dtype=np.uint64)
+    near = base.copy()
+    near[:, 0] += np.uint64(1)
+    sets = [np.sort(s) for s in np.concatenate([base, near])]
+    every = np.arange(len(sets))
+    links = jj.occurrence_links(every, sets, every, every)
+    assert sorted(tuple(sorted(x)) for x in links) == [(i, i + 20_000) for i in range(20_000)]
+
+
 @pytest.mark.parametrize("block,short,hot", [(2_000_000, 32, 100), (400, 4, 10)])
 def test_components_equal_brute_force(spark, monkeypatch, block, short, hot):
     monkeypatch.setattr(jj, "HOT_LIST", hot)

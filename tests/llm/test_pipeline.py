@@ -65,7 +65,13 @@ def test_one_of_each_with_odd_ids(spark):
     text = "one two three four five six seven"
     rows = [(5, text, "a"), (3, text + " ", "b"), (None, text, "c"), (7, "alone", "d"), (7, "again", "e"), (None, None, "f"), (8, "", "g")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, may string")
-    assert sorted(r.may for r in jaccard_join.one_of_each(docs).collect()) == ["b", "c", "e", "f", "g"]
+    assert sorted(r.may for r in jaccard_join.one_of_each(docs).collect()) == ["b", "d", "e", "f", "g"]
+    # of rows with one id only the linked one goes; of linked rows with null ids one stays, after all others
+    other = "uno dos tres cuatro cinco seis siete"
+    rows = [(1, text, "a"), (7, text, "b"), (7, "alone", "c"), (None, other, "d"), (None, other, "e"), (None, other + " .", "f"),
+            (9, "x y", "g"), (9, "x y", "h"), (9, "X  y", "i"), (None, "solo", "j")]
+    kept = {r.may for r in jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, may string").repartition(3)).collect()}
+    assert {"a", "c", "j", "i", "f"} <= kept and len(kept & {"d", "e"}) == 1 and len(kept) == 6 and "b" not in kept
     assert jaccard_join.one_of_each(docs.limit(0)).count() == 0
 
 
