@@ -1,7 +1,8 @@
 """Command-line runner: `python -m matchday silver|gold --root <lake>`.
 
 silver: <root>/bronze -> <root>/silver (merge per table)
-gold:   <root>/silver -> <root>/gold (+ JSON exports under <root>/export)
+gold:   <root>/silver -> <root>/gold (+ JSON exports under <root>/export), enriched
+        from the arrays in <root>/bronze/profiles and <root>/bronze/badges, if any
 Master, partitions and other settings are those of `spark-submit` (or the defaults).
 """
 
@@ -31,7 +32,7 @@ def main(argv=None) -> None:
         out = silver.run_silver(spark, f"{root}/bronze", f"{root}/silver", parts or silver.PARTS)
     else:
         out = gold.run_gold(spark, f"{root}/silver", f"{root}/gold", f"{root}/export",
-                            season_start=args.season_start, as_of=args.as_of, marts=parts or gold.MARTS)
+                            season_start=args.season_start, as_of=args.as_of, marts=parts or gold.MARTS, bronze_root=f"{root}/bronze")
     print(json.dumps(out))
 
 

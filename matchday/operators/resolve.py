@@ -28,8 +28,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import DuplicateKeyError
 from ..functions.names import clean_names, similarity
 from ..session import materialize
+from ..sources.documents import POSITION
 
 Q = 3
 RATIO_CUTOFF = 0.7  # fixed value: `get_close_matches(..., n=1, cutoff=0.7)`
@@ -50,8 +52,9 @@ def containment_candidates(names: DataFrame, choices: DataFrame) -> DataFrame:
     q-grams, and a pattern keyed by its rarest q-gram (itself when shorter
     than q). One equi-join on the gram gives every containing pair.
     """
+    place = choices.schema["position"].dataType
     strings = (names.select(F.col("name").alias("s"), F.lit(0).alias("side"),
-                            F.lit(None).cast("long").alias("position"))
+                            F.lit(None).cast(place).alias("position"))
                .unionByName(choices.select(F.col("choice").alias("s"), F.lit(1).alias("side"), "position")))
     s = F.col("s")
     allg = F.array_distinct(F.flatten(F.array(_grams(s, 1), _grams(s, 2), _grams(s, Q))))
@@ -112,13 +115,14 @@ def resolve_keys(names: DataFrame, choices: DataFrame, cutoff: float | None = RA
     """Resolve distinct cleaned names against ordered choices (FZ2-FZ5).
 
     names:   column `name` (cleaned, any duplicates)
-    choices: columns `choice` (cleaned), `position` (file order)
+    choices: columns `choice` (cleaned), `position` (file order: a number or any ordered value)
     returns: name, resolved, rule (`contains` | `ratio` | `none`), score
     `cutoff=None` applies rule 1 and rule 3 only.
     """
     # the distinct name and choice sets feed every branch below: compute them once (one job)
     both = materialize(
-        names.select(F.col("name").alias("s"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("position"))
+        names.select(F.col("name").alias("s"), F.lit(0).alias("side"),
+                     F.lit(None).cast(choices.schema["position"].dataType).alias("position"))
         .distinct()
         .unionByName(choices.filter(F.length("choice") > 0)
                      .groupBy("choice").agg(F.min("position").alias("position"))
@@ -150,26 +154,33 @@ def resolve_keys(names: DataFrame, choices: DataFrame, cutoff: float | None = RA
 
 
 def enrich(left: DataFrame, left_name: str, right: DataFrame, right_name: str,
-           suffix: str, unique: str = "raise") -> DataFrame:
+           suffix: str, unique: str = "raise", position: str = POSITION, cutoff: float | None = RATIO_CUTOFF) -> DataFrame:
     """Left-join `right` onto `left` through resolved names (FZ1, FZ5, FZ6, JN3, PRJ13, PRJ15).
 
-    `unique`: what to do when two right rows share a cleaned key (Q11):
-    `raise`, or `first` (keep the first in file order). Output keeps every
-    left row exactly once.
+    `position` is the column of `right` that holds the file order, as `read_rows`
+    gives it; it is not part of the result. Without such a column rows count in
+    the order the DataFrame happens to have (small literal lists, not files). `unique`: what to
+    do when two right rows share a cleaned key (Q11): `raise`, or `first` (keep the
+    first in order). Output keeps every left row exactly once.
     """
-    from .joins import assert_unique
     from .nested import suffix_collisions
 
-    # number the right side in its order once: every branch below must see the same positions
-    r = materialize(clean_names(right.withColumn("_pos", F.monotonically_increasing_id()), right_name, "_key"))
-    if unique == "first":
-        r = r.withColumn("_k", F.row_number().over(Window.partitionBy("_key").orderBy("_pos"))).filter("_k = 1").drop("_k")
+    r = clean_names(right, right_name, "_key")
+    if position not in r.columns:
+        r = r.withColumn(position, F.monotonically_increasing_id())
+    kept = [c for c in r.columns if c not in (position, "_key")]
+    row = F.struct(*(F.col(f"`{c}`") for c in kept))
+    # one row per key: the first in file order, all columns settling rows of one place
+    r = r.groupBy("_key").agg(F.min(F.struct(F.col(f"`{position}`").alias("at"), row.alias("row"))).alias("first"),
+                              F.count(F.lit(1)).alias("n"))
+    r = materialize(r.select("_key", "first.at", "first.row", "n"))
+    if unique == "raise":
+        again = r.filter("n > 1").select("_key").first()
+        if again:
+            raise DuplicateKeyError(f"enrichment side not unique: {again[0]!r}")
     l = clean_names(left, left_name, "_name")
     keys = resolve_keys(l.select(F.col("_name").alias("name")),
-                        r.select(F.col("_key").alias("choice"), F.col("_pos").alias("position")))
+                        r.select(F.col("_key").alias("choice"), F.col("at").alias("position")), cutoff)
     l = l.join(keys.select(F.col("name").alias("_name"), F.col("resolved").alias("_key")), "_name", "left")
-    r = r.drop("_pos")
-    if unique == "raise":
-        assert_unique(r, ["_key"], "enrichment side")
-    r = suffix_collisions(l, r, ["_key"], suffix)
+    r = suffix_collisions(l, r.select("_key", "row.*"), ["_key"], suffix)
     return l.join(r, "_key", "left").drop("_key", "_name")

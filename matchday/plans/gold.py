@@ -12,6 +12,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions.casts import to_double, to_int
 from ..functions.metrics import difference
 from ..operators.aggregates import scoring_totals
@@ -19,8 +20,10 @@ from ..operators.export import export_json, export_json_array
 from ..operators.joins import left_enrich
 from ..operators.ranking import first_per_key, ordered_array, top_k
 from ..operators.upsert import overwrite, read_latest
+from ..sources.documents import read_rows
 from ..sources.snapshots import latest_per_key
 from ..sources.tables import optional_table
+from .enrich import enrich_players, enrich_teams
 
 # Fixed values of the marts.
 SEASON_START = "2025-08-01"
@@ -117,6 +120,18 @@ def upcoming_fixtures(fixtures: DataFrame, k: int = LIST_LENGTH, as_of: str | No
                        F.col("home_team").asc(), F.col("away_team").asc()], k)
 
 
+def enriched(spark: SparkSession, bronze_root: str, mart: str, base: DataFrame) -> DataFrame | None:
+    """`base` with the columns of `<bronze>/profiles` or `<bronze>/badges` (Q-ENR); None without such a folder."""
+    folder, schema, add = ENRICHED[mart]
+    right = optional_table(lambda: read_rows(spark, f"{bronze_root.rstrip('/')}/{folder}", schema))
+    return None if right is None else add(base, right)
+
+
+# mart -> (bronze folder of JSON arrays, its schema, how it is added)
+ENRICHED = {"enriched_players": ("profiles", schemas.PROFILES, enrich_players),
+            "enriched_teams": ("badges", schemas.BADGES, enrich_teams)}
+ENRICHED_FROM = {"enriched_players": "player_scoring_stats", "enriched_teams": "team_summary"}
+
 MARTS = ("player_scoring_stats", "team_summary", "team_match_trends", "team_tactics",
          "league_recent_results", "league_upcoming_fixtures")
 # exported as one JSON array each, in this order: their first LIST_LENGTH rows
@@ -130,11 +145,13 @@ ARRAY_EXPORTS = {
 
 def run_gold(spark: SparkSession, silver_root: str, gold_root: str, export_root: str | None = None,
              season_start: str = SEASON_START, as_of: str | dt.date | None = None,
-             marts: tuple[str, ...] = MARTS) -> dict[str, int]:
+             marts: tuple[str, ...] = MARTS, bronze_root: str | None = None) -> dict[str, int]:
     """Build, write and (optionally) export the requested marts. Returns versions written.
 
     The league's upcoming fixtures are skipped when there is no fixtures table
-    (as the source does); any other missing input raises.
+    (as the source does); any other missing input raises. With `bronze_root`, the
+    players' and teams' marts are also written enriched, from the lists of profiles
+    and badges that lie there; a list that doesn't exist is skipped.
     """
     s, g = silver_root.rstrip("/"), gold_root.rstrip("/")
     as_of = as_of.isoformat() if isinstance(as_of, dt.date) else as_of
@@ -157,6 +174,11 @@ def run_gold(spark: SparkSession, silver_root: str, gold_root: str, export_root:
         if name == "league_upcoming_fixtures" and fixtures is None:
             continue
         versions[name] = overwrite(spark, builders[name](), f"{g}/{name}")
+    for name, base in ENRICHED_FROM.items():
+        if bronze_root and base in versions:
+            mart = enriched(spark, bronze_root, name, read_latest(spark, f"{g}/{base}"))
+            if mart is not None:
+                versions[name] = overwrite(spark, mart, f"{g}/{name}")
     if export_root:
         for name in versions:
             mart = read_latest(spark, f"{g}/{name}")

@@ -22,18 +22,25 @@ from ..functions.casts import parse_match_date, parse_timestamp, to_double, to_i
 from ..operators.nested import cell, explode_records
 from ..operators.reshape import flatten_roster
 from ..operators.upsert import merge_into, merge_source, overwrite
-from ..sources.documents import read_documents
+from ..sources.documents import POSITION, read_documents, read_rows, split_broken
 from ..session import materialize
 from ..sources.snapshots import latest_snapshot
+from ..sources.tables import optional_table
+from .enrich import alias_groups, conform
 
 STAMP = "meta.extraction_timestamp"
 
 
+def _conformed(df: DataFrame, cols: tuple[str, ...], aliases: DataFrame | None) -> DataFrame:
+    """Names in one spelling before any key is compared (Q7)."""
+    return df if aliases is None else conform(df, cols, aliases)
+
+
 def _stamp_cols():
     return [parse_timestamp(STAMP).alias("updated_at"), F.col("load_date")]
 
 
-def league_standings(bronze: DataFrame, truncate_xg: bool = False) -> DataFrame:
+def league_standings(bronze: DataFrame, truncate_xg: bool = False, aliases: DataFrame | None = None) -> DataFrame:
     """League documents of any number of loads -> one row per team, newest load wins."""
     rows = explode_records(bronze, "data", "t", keep=[F.col(STAMP).alias("_ts"), "load_date"])
     d = F.col("t.Data")
@@ -53,10 +60,10 @@ def league_standings(bronze: DataFrame, truncate_xg: bool = False) -> DataFrame:
         xg(cell(d, 11)).alias("xG_against"),
         parse_timestamp("_ts").alias("updated_at"),
         F.col("load_date"))
-    return merge_source(typed, schemas.KEYS["league_standings"], "load_date", ["updated_at"])
+    return merge_source(_conformed(typed, ("team_name",), aliases), schemas.KEYS["league_standings"], "load_date", ["updated_at"])
 
 
-def team_matches(docs: DataFrame) -> DataFrame:
+def team_matches(docs: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """Team documents -> one row per (team, date, opponent) result."""
     rows = explode_records(docs, "results", "m", keep=["team_name", "meta", "load_date"])
     typed = rows.select(
@@ -70,20 +77,20 @@ def team_matches(docs: DataFrame) -> DataFrame:
         to_double("m.team_xg").alias("xg_for"),
         to_double("m.opponent_xg").alias("xg_against"),
         *_stamp_cols())
-    return merge_source(typed, schemas.KEYS["team_matches"], "load_date", ["updated_at"])
+    return merge_source(_conformed(typed, ("team_name", "opponent"), aliases), schemas.KEYS["team_matches"], "load_date", ["updated_at"])
 
 
-def team_statistics(docs: DataFrame) -> DataFrame:
+def team_statistics(docs: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """Team documents -> one row per (team, load, situation); stat fields stay text.
     Known fields are fixed columns, unknown ones land in `extra` (PRJ5)."""
     rows = explode_records(docs, "statistics", "stat", keep=["team_name", "meta", "load_date"])
     known = [F.col("stat")[f].alias(f) for f in schemas.STAT_FIELDS]
     extra = F.map_filter("stat", lambda k, v: ~k.isin(*schemas.STAT_FIELDS))
     typed = rows.select("team_name", *known, extra.alias("extra"), *_stamp_cols())
-    return merge_source(typed, schemas.KEYS["team_statistics"], "updated_at")
+    return merge_source(_conformed(typed, ("team_name",), aliases), schemas.KEYS["team_statistics"], "updated_at")
 
 
-def team_fixtures(docs: DataFrame) -> DataFrame:
+def team_fixtures(docs: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """Team documents -> upcoming fixtures, one per (team, date, opponent)."""
     rows = explode_records(docs, "fixtures", "f", keep=["team_name", "meta", "load_date"])
     typed = rows.select(
@@ -93,7 +100,7 @@ def team_fixtures(docs: DataFrame) -> DataFrame:
         F.col("f.opponent").alias("opponent"),
         F.col("f.side").alias("home_away"),
         *_stamp_cols())
-    return merge_source(typed, schemas.KEYS["team_fixtures"], "load_date", ["updated_at"])
+    return merge_source(_conformed(typed, ("team_name", "opponent"), aliases), schemas.KEYS["team_fixtures"], "load_date", ["updated_at"])
 
 
 def team_rosters(docs: DataFrame) -> DataFrame:
@@ -101,7 +108,7 @@ def team_rosters(docs: DataFrame) -> DataFrame:
     return flatten_roster(docs, "team_name", "roster")
 
 
-def player_seasons(docs: DataFrame) -> DataFrame:
+def player_seasons(docs: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """Player documents -> season rows; the blank totals row is dropped (FLT1)."""
     rows = explode_records(docs, "seasonal_performance", "s",
                            keep=["player_name", "player_url", "meta", "load_date"])
@@ -118,7 +125,7 @@ def player_seasons(docs: DataFrame) -> DataFrame:
         to_double("s.xG").alias("xg"),
         to_double("s.xA").alias("xa"),
         *_stamp_cols())
-    return merge_source(typed, schemas.KEYS["player_seasons"], "load_date", ["updated_at"])
+    return merge_source(_conformed(typed, ("team_name",), aliases), schemas.KEYS["player_seasons"], "load_date", ["updated_at"])
 
 
 def player_matches(docs: DataFrame) -> DataFrame:
@@ -144,36 +151,58 @@ def player_matches(docs: DataFrame) -> DataFrame:
 
 
 PARTS = ("league", "teams", "players")
+ALIASES = "aliases"          # bronze folder of {name, canonical} arrays, optional
+QUARANTINE = "quarantine"    # silver table of the documents that didn't parse
+
+
+def read_aliases(spark: SparkSession, bronze_root: str, glob: str | None = "*.json") -> DataFrame | None:
+    """The alias table from `<bronze>/aliases`, connected groups of its pairs; None without such a folder."""
+    rows = optional_table(lambda: read_rows(spark, f"{bronze_root.rstrip('/')}/{ALIASES}", schemas.ALIASES, glob))
+    if rows is None:
+        return None
+    preferred = rows.select(F.col("canonical").alias("name"), POSITION)
+    return materialize(alias_groups(rows.select(F.col("name").alias("a"), F.col("canonical").alias("b")), preferred))
 
 
 def run_silver(spark: SparkSession, bronze_root: str, silver_root: str,
-               parts: tuple[str, ...] = PARTS, multiline: bool = True) -> dict[str, int]:
+               parts: tuple[str, ...] = PARTS, multiline: bool = True, glob: str | None = "*.json") -> dict[str, int]:
     """Read bronze, build the silver tables of `parts` and merge each into
     `<silver_root>/<table>`. Returns the snapshot version written per table.
 
     Teams and players use the newest load only; standings read every load and
     keep the newest per team. A requested part whose source is missing raises
-    `NoSnapshotError` (nothing is skipped silently). `multiline=False` reads
+    `NoSnapshotError` (nothing is skipped silently). A document that doesn't parse
+    goes to the table `quarantine`, one row per file and text. Names of teams are
+    conformed by `<bronze>/aliases`, if there is such a folder (Q7). `multiline=False` reads
     JSON Lines, as `export.write_bronze` writes them, instead of one document a file.
     """
     b, s = bronze_root.rstrip("/"), silver_root.rstrip("/")
     out: dict[str, int] = {}
+    aliases = read_aliases(spark, b, glob)
+
+    def whole(part: str, schema, newest: bool) -> DataFrame:
+        """The part's documents, parsed once and stored; those that don't parse go to the quarantine table."""
+        docs = read_documents(spark, f"{b}/{part}", schema, glob=glob, multiline=multiline, broken="keep")
+        good, bad = split_broken(materialize(latest_snapshot(docs) if newest else docs))
+        bad = bad.withColumn("part", F.lit(part))
+        if not bad.isEmpty():
+            out[QUARANTINE] = merge_into(spark, f"{s}/{QUARANTINE}", bad, schemas.KEYS[QUARANTINE], "load_date")
+        return good
     if "league" in parts:
-        league = read_documents(spark, f"{b}/league", schemas.LEAGUE_DOC, multiline=multiline)
-        out["league_standings"] = merge_into(spark, f"{s}/league_standings", league_standings(league),
+        league = whole("league", schemas.LEAGUE_DOC, newest=False)
+        out["league_standings"] = merge_into(spark, f"{s}/league_standings", league_standings(league, aliases=aliases),
                                              schemas.KEYS["league_standings"], "load_date", ["updated_at"])
     if "teams" in parts:
-        # each load's documents feed several tables: parse the JSON once, keep the rows
-        teams = materialize(latest_snapshot(read_documents(spark, f"{b}/teams", schemas.TEAM_DOC, multiline=multiline)))
-        out["team_matches"] = merge_into(spark, f"{s}/team_matches", team_matches(teams),
+        teams = whole("teams", schemas.TEAM_DOC, newest=True)
+        out["team_matches"] = merge_into(spark, f"{s}/team_matches", team_matches(teams, aliases),
                                          schemas.KEYS["team_matches"], "load_date", ["updated_at"])
-        out["team_statistics"] = merge_into(spark, f"{s}/team_statistics", team_statistics(teams),
+        out["team_statistics"] = merge_into(spark, f"{s}/team_statistics", team_statistics(teams, aliases),
                                             schemas.KEYS["team_statistics"], "updated_at")
         # fixtures move between loads: replace the schedule instead of merging it
-        out["team_fixtures"] = overwrite(spark, team_fixtures(teams), f"{s}/team_fixtures")
+        out["team_fixtures"] = overwrite(spark, team_fixtures(teams, aliases), f"{s}/team_fixtures")
     if "players" in parts:
-        players = materialize(latest_snapshot(read_documents(spark, f"{b}/players", schemas.PLAYER_DOC, multiline=multiline)))
-        out["player_seasons"] = merge_into(spark, f"{s}/player_seasons", player_seasons(players),
+        players = whole("players", schemas.PLAYER_DOC, newest=True)
+        out["player_seasons"] = merge_into(spark, f"{s}/player_seasons", player_seasons(players, aliases),
                                            schemas.KEYS["player_seasons"], "load_date", ["updated_at"])
         out["player_matches"] = merge_into(spark, f"{s}/player_matches", player_matches(players),
                                            schemas.KEYS["player_matches"], "load_date", ["updated_at", "player_url"])

@@ -61,8 +61,12 @@ PROFILES = T.StructType([
     T.StructField("nationality", S), T.StructField("image_url", S),
 ])
 
+# Pairs of spellings of one name; the canonical ones in order of preference.
+ALIASES = _text_struct("name", "canonical")
+
 # Merge keys of the silver tables.
 KEYS = {
+    "quarantine": ("part", "source_file", "document"),
     "league_standings": ("team_name",),
     "team_matches": ("team_name", "match_date", "opponent"),
     "team_statistics": ("team_name", "load_date", "Situation"),

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -86,6 +88,27 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def ship_library(spark: SparkSession) -> None:
+    """Give the executors this package, for clusters that have no install of it.
+
+    Once per application: the package's sources go out as an archive through
+    Spark's own file distribution (`addPyFile`).
+    """
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="matchday-code-")) / "matchday-code.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))     # copied to Spark's file server; executors fetch it from there
+    _SHIPPED.add(application)
+
+
+_SHIPPED: set[str] = set()
+
+
 def materialize(df):
     """Write `df` to the shared checkpoint dir and read it back (eager `checkpoint`).
 

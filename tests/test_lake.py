@@ -17,3 +17,65 @@ def test_a_hot_team_has_several_documents(spark, tmp_path, monkeypatch):
     assert max(r.n for r in sizes) <= 100 and sum(r.n for r in sizes) == n
     assert sum(r.n for r in sizes if r.team_name == "2") == n // 3
     assert sum(r.s for r in sizes if r.team_name == "2") == 2
+
+
+def test_every_key_is_in_the_first_load(spark):
+    sf = "/root/testdata/sf0.001"
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    docs = lake.team_documents(spark, sf, *lake.LOADS[0])
+    assert docs.select(F.sum(F.size("results"))).first()[0] == orders.count()
+    assert docs.select("team_name").distinct().count() == orders.select("o_custkey").distinct().count()
+
+
+def test_broken_documents_are_kept_apart(spark, tmp_path):
+    import json
+
+    import pytest
+
+    from matchday import schemas
+    from matchday.operators.upsert import read_latest
+    from matchday.plans import silver
+    from matchday.sources.documents import read_documents
+    folder = tmp_path / "bronze" / "league" / "load_date=2026-03-21"
+    folder.mkdir(parents=True)
+    data = ["1", "Ñu", "u", "2", "1", "1", "0", "3", "1", "4", "2.5", "", "x"]
+    doc = {"data": [{"Team": "Ñu", "URL": "u", "Data": data}], "_metadata": {"extraction_timestamp": "2026-03-21 09:00:00"}}
+    (folder / "a.json").write_text(json.dumps(doc, indent=1, ensure_ascii=False), encoding="utf-8")
+    (folder / "b.json").write_text(json.dumps(doc, indent=1)[:60], encoding="utf-8")
+    (folder / "c.json").write_text("not json", encoding="utf-8")
+    for _ in range(2):       # a rerun quarantines nothing twice
+        silver.run_silver(spark, str(tmp_path / "bronze"), str(tmp_path / "silver"), ("league",))
+    assert [r.team_name for r in read_latest(spark, f"{tmp_path}/silver/league_standings").collect()] == ["Ñu"]
+    bad = read_latest(spark, f"{tmp_path}/silver/quarantine").collect()
+    assert sorted(r.source_file[-6:] for r in bad) == ["b.json", "c.json"]
+    assert {r.document[:8] for r in bad if r.source_file.endswith("c.json")} == {"not json"}
+    with pytest.raises(Exception, match="MALFORMED|malformed|Malformed"):
+        read_documents(spark, str(tmp_path / "bronze" / "league"), schemas.LEAGUE_DOC).collect()
+
+
+def test_file_order_decides_not_size_or_split(spark, tmp_path):
+    import json
+
+    from matchday import schemas
+    from matchday.plans.enrich import enrich_players
+    from matchday.sources.documents import POSITION, read_rows
+    # the later file is the larger one; names contain one another
+    (tmp_path / "a.json").write_text(json.dumps([{"name": "Ayo Ràmos Neto", "club": "first"}, {"name": "Ayo Ramos", "club": "second"}]), "utf-8")
+    (tmp_path / "b.json").write_text(json.dumps([{"name": "Ayo", "club": "third"}] + [{"name": f"pad {i}", "club": "x" * 50} for i in range(400)]), "utf-8")
+    rows = read_rows(spark, str(tmp_path), schemas.PROFILES)
+    assert rows.select(POSITION).distinct().count() == rows.count() == 403
+    players = spark.createDataFrame([("AYO RAMOS", 1), ("Ayo", 2), ("Éva", 3), (None, 4)], "player_name string, total_goals int")
+    got = {r.total_goals: r for r in enrich_players(players, rows.repartition(5)).collect()}
+    assert [got[i].club for i in (1, 2, 3, 4)] == ["first", "first", None, None] and POSITION not in got[1].asDict()
+
+
+def test_alias_chains_are_one_name(spark):
+    from matchday.plans.enrich import alias_groups, conform
+    links = [(f"n{i}", f"n{i + 1}") for i in range(30)] + [("Brighton", "Brighton & Hove"), ("B&HA", "Brighton & Hove"), ("x", "x"), (None, "y")]
+    preferred = spark.createDataFrame([("Brighton & Hove", 2), ("B&HA", 5), ("n17", 9)], "name string, file_position int")
+    aliases = alias_groups(spark.createDataFrame(links, "a string, b string"), preferred)
+    got = {r.name: r.canonical for r in aliases.collect()}
+    assert {got[f"n{i}"] for i in range(31)} == {"n17"} and got["x"] == "x" and "y" not in got
+    assert got["Brighton"] == got["B&HA"] == got["Brighton & Hove"] == "Brighton & Hove"
+    df = spark.createDataFrame([("Brighton", "n3", 1), (None, "other", 2)], "team string, opponent string, name int")
+    assert {tuple(r) for r in conform(df, ["team", "opponent"], aliases).collect()} == {(None, "other", 2), ("Brighton & Hove", "n17", 1)}
