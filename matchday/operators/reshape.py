@@ -56,12 +56,15 @@ def split_played(df: DataFrame, result_col: str) -> tuple[DataFrame, DataFrame]:
 
 def zip_headers(headers, cells, overflow_prefix: str = OVERFLOW_PREFIX) -> Column:
     """Map header -> cell; a cell beyond the headers gets `<overflow_prefix><i>`,
-    i its 0-based position in the row (ING3)."""
+    i its 0-based position in the row (ING3). Of a repeated header the last cell counts."""
     h = F.col(headers) if isinstance(headers, str) else headers
     c = F.col(cells) if isinstance(cells, str) else cells
     names = F.transform(F.sequence(F.lit(1), F.greatest(F.size(c), F.lit(1))),
                         lambda i: F.coalesce(F.get(h, i - 1), F.concat(F.lit(overflow_prefix), (i - 1).cast("string"))))
-    return F.map_from_arrays(F.slice(names, 1, F.size(c)), c)
+    names = F.slice(names, 1, F.size(c))
+    last = lambda n: F.size(names) - F.array_position(F.reverse(names), n)     # 0-based
+    distinct = F.array_distinct(names)
+    return F.map_from_arrays(distinct, F.transform(distinct, lambda n: F.get(c, last(n).cast("int"))))
 
 
 def row_record(cells) -> Column:
@@ -80,6 +83,33 @@ def nest_by(df: DataFrame, key: str, part: str, fields: Sequence[str], order: Se
     return out
 
 
+def part_rows(df: DataFrame, key: str, **parts: Column) -> DataFrame:
+    """Rows of a tagged union: the key, and one record column for each part, null where a row isn't of that part."""
+    return df.select(F.col(key).alias("key"), *[c.alias(name) for name, c in parts.items()])
+
+
+def package_parts(rows: Sequence[DataFrame], order: dict[str, Sequence[str]], salt: int = 1) -> DataFrame:
+    """One document per key with an ordered array for each part (ING5), after a single shuffle.
+
+    `rows` are frames made by `part_rows`; `order` names every part and the fields
+    that order its array (all fields settle ties). A key without rows of a part has
+    an empty array. A key with very many rows makes a document, and a group, as
+    large; with `salt` > 1 its records are dealt to as many documents (`part` 0, 1,
+    ...) by their hash.
+    """
+    union = rows[0]
+    for more in rows[1:]:
+        union = union.unionByName(more, allowMissingColumns=True)
+    parts = list(order)
+    union = union.withColumn("part", F.pmod(F.xxhash64(*parts), F.lit(salt)).cast("int") if salt > 1 else F.lit(0))
+    arrays = []
+    for p in parts:
+        first = F.struct(*[F.col(f"{p}.{f}").alias(f"o{i}") for i, f in enumerate(order[p])])
+        entry = F.when(F.col(p).isNotNull(), F.struct(first.alias("at"), F.col(p).alias("record")))
+        arrays.append(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["record"]).alias(p))
+    return union.groupBy("key", "part").agg(*arrays)
+
+
 def flatten_roster(df: DataFrame, team_col: str, roster_col: str, name: str = "Player",
                    url: str = "Player_URL") -> DataFrame:
     """(player, url, team) for roster entries that have a URL (ING6)."""

@@ -69,6 +69,20 @@ def merge_source(source: DataFrame, keys: Sequence[str], order_col: str = "updat
             .drop("_solo"))
 
 
+def strict_source(source: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`source` as it is, if no two rows share a key; else the job that reads it fails (SNK4 as MERGE has it).
+
+    The check is part of the plan, one aggregate on the keys; no job of its own
+    runs. Rows with a null key never match anything and may repeat.
+    """
+    keys, row = list(keys), F.struct(*(F.col(f"`{c}`") for c in source.columns))
+    solo = source.withColumn("_solo", _null_key_solo(keys))
+    text = F.concat(F.lit("several source rows for one key: "), F.to_json(F.struct(*keys)))
+    one = F.when(F.col("n") > 1, F.raise_error(text).cast(source.schema)).otherwise(F.col("row"))
+    return (solo.groupBy(*keys, "_solo").agg(F.any_value(row).alias("row"), F.count(F.lit(1)).alias("n"))
+            .select(one.alias("row")).select("row.*"))
+
+
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
            order_col: str = "updated_at", tiebreak: Sequence[str] = (),
            dedupe: bool = True) -> DataFrame:
@@ -136,9 +150,12 @@ def overwrite(spark: SparkSession, df: DataFrame, path: str) -> int:
 
 
 def merge_into(spark: SparkSession, path: str, source: DataFrame, keys: Sequence[str],
-               order_col: str = "updated_at", tiebreak: Sequence[str] = ()) -> int:
+               order_col: str = "updated_at", tiebreak: Sequence[str] = (), strict: bool = False) -> int:
     """Create-or-merge (SNK3): first load writes the de-duplicated source, later
-    loads upsert into the current snapshot. Returns the version written."""
+    loads upsert into the current snapshot. Returns the version written.
+    `strict`: a source with two rows for one key fails, and nothing is written."""
+    if strict:
+        source = strict_source(source, keys)
     v = latest_version(spark, path)
     if v is None:
         out = merge_source(source, keys, order_col, tiebreak)
@@ -149,3 +166,31 @@ def merge_into(spark: SparkSession, path: str, source: DataFrame, keys: Sequence
         nv = v + 1
     write_snapshot(out, path, nv)
     return nv
+
+
+# --- lookup marts ----------------------------------------------------------------------------
+
+LOOKUP_COL = "lookup_key"
+
+
+def write_lookup(spark: SparkSession, df: DataFrame, path: str, key) -> int:
+    """A mart for lookups by `key` (a column expression), as a new snapshot.
+
+    Rows are sorted by the key and its column has Parquet Bloom filters, so that a
+    lookup reads one file's row group, if any (FLT8, Q-API2, Q-API3). The hash of
+    the row joins the range, so that one key with very many rows fills several files.
+    """
+    v = latest_version(spark, path)
+    nv = 0 if v is None else v + 1
+    row = F.xxhash64(*(F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, T.MapType)))
+    keyed = df.withColumn(LOOKUP_COL, key)
+    (keyed.repartitionByRange(F.col(LOOKUP_COL), row).sortWithinPartitions(LOOKUP_COL)
+     .write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true")
+     .option(f"parquet.bloom.filter.enabled#{LOOKUP_COL}", "true")
+     .parquet(f"{path.rstrip('/')}/{SNAPSHOT_COL}={nv}"))
+    return nv
+
+
+def lookup(spark: SparkSession, path: str, value: str) -> DataFrame:
+    """The rows of a lookup mart with this key; the comparison reaches the scan."""
+    return read_latest(spark, path).filter(F.col(LOOKUP_COL) == value).drop(LOOKUP_COL)

@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.casts import to_double, to_int
 from ..functions.metrics import difference
+from ..functions.text import name_lookup_key
 from ..operators.aggregates import scoring_totals
 from ..operators.export import export_json, export_json_array
 from ..operators.joins import left_enrich
 from ..operators.ranking import first_per_key, ordered_array, top_k
-from ..operators.upsert import overwrite, read_latest
+from ..operators.upsert import overwrite, read_latest, write_lookup
 from ..sources.documents import read_rows
 from ..sources.snapshots import latest_per_key
 from ..sources.tables import optional_table
@@ -130,6 +131,7 @@ def enriched(spark: SparkSession, bronze_root: str, mart: str, base: DataFrame)
 # mart -> (bronze folder of JSON arrays, its schema, how it is added)
 ENRICHED = {"enriched_players": ("profiles", schemas.PROFILES, enrich_players),
             "enriched_teams": ("badges", schemas.BADGES, enrich_teams)}
+PLAYERS_BY_NAME = "players_by_name"      # the players again, sorted by name, for profile lookups
 ENRICHED_FROM = {"enriched_players": "player_scoring_stats", "enriched_teams": "team_summary"}
 
 MARTS = ("player_scoring_stats", "team_summary", "team_match_trends", "team_tactics",
@@ -179,8 +181,13 @@ def run_gold(spark: SparkSession, silver_root: str, gold_root: str, export_root:
             mart = enriched(spark, bronze_root, name, read_latest(spark, f"{g}/{base}"))
             if mart is not None:
                 versions[name] = overwrite(spark, mart, f"{g}/{name}")
+    if "player_scoring_stats" in versions:
+        players = read_latest(spark, f"{g}/{'enriched_players' if 'enriched_players' in versions else 'player_scoring_stats'}")
+        versions[PLAYERS_BY_NAME] = write_lookup(spark, players, f"{g}/{PLAYERS_BY_NAME}", name_lookup_key("player_name"))
     if export_root:
         for name in versions:
+            if name == PLAYERS_BY_NAME:
+                continue
             mart = read_latest(spark, f"{g}/{name}")
             target = f"{export_root.rstrip('/')}/{name}"
             if name in ARRAY_EXPORTS:

@@ -13,7 +13,8 @@ from ..functions import metrics, text
 from ..functions.casts import format_match_date
 from ..operators import joins, ranking
 from ..operators.aggregates import top_by
-from ..operators.upsert import read_latest
+from ..operators.upsert import lookup, read_latest
+from .gold import PLAYERS_BY_NAME
 
 # Fixed values of the UI.
 LEADERS_LIMIT = 10
@@ -50,6 +51,18 @@ def player_profile(players: DataFrame, slug: str) -> DataFrame:
     return ranking.top_k(hit, [F.col("player_name").asc()], 1)
 
 
+def profile(spark: SparkSession, gold_root: str, slug: str) -> DataFrame:
+    """Q-API3 over the written lookup mart: only row groups that may hold the name are read (FLT8).
+    Of players with one name the first by all columns; nobody is an empty result (FLT11)."""
+    hit = lookup(spark, f"{gold_root.rstrip('/')}/{PLAYERS_BY_NAME}", text.slug_to_name(slug))
+    return ranking.top_k(hit, [F.col(f"`{f.name}`").asc_nulls_last() for f in hit.schema.fields], 1)
+
+
+def leaders_of_all(players: DataFrame, measures: list[str], k: int = LEADERS_LIMIT) -> DataFrame:
+    """Q-API4 for every measure of the front page at once: one scan of the mart (ORD4)."""
+    return ranking.leaders_of_all(players, measures, "player_name", k)
+
+
 def leaders(players: DataFrame, stat: str, k: int = LEADERS_LIMIT) -> DataFrame:
     """Q-API4: top k players by any numeric measure, nulls out, ranked 1..k (ORD4, WIN3)."""
     return ranking.leaders(players, stat, "player_name", k)
