@@ -17,10 +17,12 @@ from ..functions.casts import to_double, to_int
 from ..functions.metrics import difference
 from ..functions.text import name_lookup_key
 from ..operators.aggregates import scoring_totals
+from ..operators.buckets import BUCKETS, merge_buckets, read_buckets
 from ..operators.export import export_json, export_json_array
 from ..operators.joins import left_enrich
 from ..operators.ranking import first_per_key, ordered_array, top_k
 from ..operators.upsert import overwrite, read_latest, write_lookup
+from ..session import materialize
 from ..sources.documents import read_rows
 from ..sources.snapshots import latest_per_key
 from ..sources.tables import optional_table
@@ -45,6 +47,24 @@ def player_scoring_stats(player_matches: DataFrame, season_start: str = SEASON_S
     return totals.orderBy(F.col("total_goals").desc_nulls_last(), F.col("player_name").asc())
 
 
+def refresh_player_scoring(spark: SparkSession, matches_path: str, mart_path: str, load: DataFrame,
+                           season_start: str = SEASON_START, buckets: int = BUCKETS) -> tuple[int, int]:
+    """Merge `load` (typed match rows) into the bucketed matches and bring the scoring mart up to date.
+
+    Both tables are bucketed by player. Only buckets that hold the load's players
+    are read and written, and only these players are added up again; a player who
+    no longer has a row in the mart leaves it. Rows without a player name are
+    merged, but not counted. Returns the snapshots written.
+    """
+    by = ["player_name"]
+    changed = materialize(load.filter("player_name is not null").select(*by).distinct())
+    first = merge_buckets(spark, matches_path, load, schemas.KEYS["player_matches"], "load_date", ["updated_at", "player_url"],
+                          buckets, bucket_by=by)
+    rows = read_buckets(spark, matches_path, by, changed).join(changed, by, "left_semi")
+    mart = player_scoring_stats(rows, season_start)
+    return first, merge_buckets(spark, mart_path, mart, by, "total_minutes", buckets=buckets, replace=changed)
+
+
 def team_form(matches: DataFrame, k: int = FORM_LENGTH) -> DataFrame:
     """Per team, the last k results newest first: `form_array` of W/D/L (WIN2, AGG6, SC1)."""
     played = matches.filter(F.col("result_status").isNotNull())

@@ -18,6 +18,7 @@ from . import gold, serve
 
 AS_OF = "1999-01-01"
 FIRST_MATCHES = 5
+SEASON = "1994-08-01"
 SLUGS = ("customer-000000007", "CUSTOMER-000000042", "customer-nobody", "")
 
 
@@ -88,12 +89,34 @@ def api_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (package_documents, merge_in_buckets, leaders_all_measures, api_profile)}
+def _player_rows(spark: SparkSession, sf_dir: str, load: int) -> DataFrame:
+    """Orders as a player's matches, typed; the second load has some customers' again, with a goal more and fewer minutes."""
+    o = read_table(spark, sf_dir, "orders")
+    minutes = F.when(F.col("o_custkey") % 50 == 7, F.lit(90 if load == 0 else 0)).otherwise(90)
+    return o.filter(F.lit(True) if load == 0 else F.col("o_custkey") % 25 == 7).groupBy(
+        F.concat(F.lit("player "), F.col("o_custkey")).alias("player_name"), F.to_date("o_orderdate").alias("match_date"), "o_custkey").agg(
+        F.max(F.col("o_orderkey") % 4 + load).cast("int").alias("goals"), F.max("o_orderkey").alias("k")).select(
+        "player_name", F.lit("/p").alias("player_url"), "match_date", minutes.alias("minutes_played"), "goals",
+        (F.col("k") % 3).cast("int").alias("assists"), (F.col("k") % 8 / 4).alias("xg"), F.lit(0.25).alias("xa"),
+        F.lit(f"2024-05-0{load + 1}").cast("date").alias("load_date"), F.lit(f"2024-05-0{load + 1} 09:00:00").cast("timestamp").alias("updated_at"))
+
+
+def refresh_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scoring mart after a second load, of which only the changed players are added up again."""
+    root = shared_dir(spark, "refresh")
+    for load in (0, 1):
+        gold.refresh_player_scoring(spark, f"{root}/player_matches", f"{root}/player_scoring_stats", _player_rows(spark, sf_dir, load),
+                                    season_start=SEASON)
+    return read_buckets(spark, f"{root}/player_scoring_stats")
+
+
+QUERIES = {f.__name__: f for f in (package_documents, merge_in_buckets, leaders_all_measures, api_profile, refresh_scoring)}
 
 COVERS = {
     "package_documents": "ING2 ING4 ING5 ING6 ING7 ORD7 PRJ1",
     "merge_in_buckets": "SNK2 SNK3 SNK4 JN6 JN7 SET3",
     "leaders_all_measures": "Q-API4 ORD4 WIN3 FLT9",
+    "refresh_scoring": "SNK2 SNK3 Q-PLAY AGG1 AGG2 AGG3 AGG4 AGG5 FLT3 FLT5",
     "api_profile": "Q-API3 FLT8 FLT11 SRC6 SNK1",
 }
 
@@ -124,6 +147,15 @@ ORACLE_SQL = {
       SELECT 'matches' AS measure, player_name AS name, CAST(matches AS DOUBLE) AS value FROM ({_TOTALS})
       UNION ALL SELECT 'best', player_name, best FROM ({_TOTALS}) UNION ALL SELECT 'worst', player_name, worst FROM ({_TOTALS})
       UNION ALL SELECT 'best_drawn', player_name, best_drawn FROM ({_TOTALS})) WHERE value IS NOT NULL) WHERE position <= {serve.LEADERS_LIMIT}""",
+    "refresh_scoring": f"""
+  WITH m AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS d, max(o_orderkey % 4) AS g, max(o_orderkey) AS k FROM orders GROUP BY ALL),
+  s AS (SELECT o_custkey, count(*) AS n, sum(CASE WHEN o_custkey % 50 = 7 THEN 0 ELSE 90 END) AS minutes,
+               sum(CASE WHEN o_custkey % 25 = 7 THEN g + 1 ELSE g END) AS goals, sum(k % 3) AS assists, sum(k % 8) / 4 AS xg
+        FROM m WHERE d >= DATE '{SEASON}' GROUP BY o_custkey)
+  SELECT 'player ' || o_custkey AS player_name, CAST(n AS BIGINT) AS matches_played, CAST(minutes AS BIGINT) AS total_minutes,
+         CAST(goals AS BIGINT) AS total_goals, CAST(assists AS BIGINT) AS total_assists, CAST(xg AS DOUBLE) AS total_xg,
+         CAST(n / 4 AS DOUBLE) AS total_xa, CAST(goals - xg AS DOUBLE) AS xg_performance
+  FROM s WHERE minutes > 0""",
     "api_profile": f"""
   SELECT slug, player_name, matches, best FROM (VALUES {', '.join(f"('{x}')" for x in SLUGS)}) AS s(slug)
   LEFT JOIN ({_TOTALS}) ON lower(replace(player_name, '#', ' ')) = lower(replace(slug, '-', ' '))""",

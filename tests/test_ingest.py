@@ -83,6 +83,40 @@ def test_merge_rewrites_touched_buckets_only(spark, tmp_path):
         buckets.read_buckets(spark, str(tmp_path / "none"))
 
 
+def test_replaced_keys_leave_even_an_emptied_bucket(spark, tmp_path):
+    path, by = str(tmp_path / "t"), ["k"]
+    rows = spark.createDataFrame([(i, g, "v", 0) for i in range(6) for g in "ab"], KV)
+    buckets.merge_buckets(spark, path, rows, ["k", "g"], "t", buckets=64, bucket_by=by)
+    gone = spark.createDataFrame([(2,), (3,)], "k long")
+    source = spark.createDataFrame([(3, "c", "w", 1)], KV)
+    # a dead job that named another bucket changes nothing
+    (tmp_path / "t" / "buckets=64" / "touched=1" / "bucket=9").mkdir(parents=True)
+    buckets.merge_buckets(spark, path, source, ["k", "g"], "t", bucket_by=by, replace=gone)
+    got = sorted((r.k, r.g) for r in buckets.read_buckets(spark, path).collect())
+    assert got == sorted([(i, g) for i in (0, 1, 4, 5) for g in "ab"] + [(3, "c")])
+    # all rows gone, then back
+    every = spark.range(6).withColumnRenamed("id", "k")
+    buckets.merge_buckets(spark, path, source.limit(0), ["k", "g"], "t", bucket_by=by, replace=every)
+    assert buckets.bucket_folders(spark, path) == {}
+    buckets.merge_buckets(spark, path, source, ["k", "g"], "t", bucket_by=by)
+    assert buckets.read_buckets(spark, path).count() == 1
+
+
+def test_refresh_reads_the_changed_players_buckets(spark, tmp_path):
+    from matchday.plans import gold
+    rows = ingest._player_rows(spark, SF, 0)
+    where = [f"{tmp_path}/matches", f"{tmp_path}/mart"]
+    gold.refresh_player_scoring(spark, *where, rows, ingest.SEASON)
+    before = [buckets.bucket_folders(spark, p) for p in where]
+    load = rows.filter("player_name = 'player 7'").withColumn("goals", F.lit(9))
+    gold.refresh_player_scoring(spark, *where, load, ingest.SEASON)
+    after = [buckets.bucket_folders(spark, p) for p in where]
+    assert [sum(a[b] != f for b, f in x.items()) for x, a in zip(before, after)] == [1, 1]
+    full = gold.player_scoring_stats(buckets.read_buckets(spark, where[0]), ingest.SEASON)
+    mart = buckets.read_buckets(spark, where[1])
+    assert full.exceptAll(mart).isEmpty() and mart.exceptAll(full).isEmpty()
+
+
 def test_strict_sources_fail_in_their_own_plan(spark, tmp_path):
     good = spark.createDataFrame([(1, "a", "x", 0), (2, "a", "y", 0), (None, "a", "z", 0), (None, "a", "z", 0)], KV)
     assert sorted(map(str, strict_source(good, ["k"]).collect())) == sorted(map(str, good.collect()))
