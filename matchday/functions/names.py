@@ -14,18 +14,19 @@ import sys
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .casts import _col
 
-# Ship this module's UDF bodies by value, so executors need no copy of the package.
-try:
-    from pyspark import cloudpickle as _cp
-    _cp.register_pickle_by_value(sys.modules[__name__])
-except Exception:  # pragma: no cover - older cloudpickle
-    pass
+def ship_by_value(module: str) -> None:
+    """Pickle the module's functions by value, so that executors need no copy of the package for them."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
+ship_by_value(__name__)
 
 
 @F.pandas_udf(T.StringType())

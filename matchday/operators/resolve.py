@@ -10,7 +10,8 @@ An empty name matches nothing (Q10); empty choices are ignored likewise.
 No name x choice cross product is formed. Both rules get candidates from
 exact filters expressed as equi-joins:
 
-* containment, q-gram blocking: if s is inside t and |s| >= q, every q-gram of
+* containment, for rule 1: `automaton.first_containing`, one automaton per block of
+  strings. All containing pairs (`containment_candidates`), q-gram blocking: if s is inside t and |s| >= q, every q-gram of
   s occurs in t; s is keyed on its rarest q-gram, t on all of its q-grams
   (and on its 1- and 2-grams, for strings shorter than q). Names and choices
   share one gram index, so both directions cost one join. Each candidate is
@@ -32,6 +33,7 @@ from ..errors import DuplicateKeyError
 from ..functions.names import clean_names, similarity
 from ..session import materialize
 from ..sources.documents import POSITION
+from .automaton import first_containing
 
 Q = 3
 RATIO_CUTOFF = 0.7  # fixed value: `get_close_matches(..., n=1, cutoff=0.7)`
@@ -131,8 +133,8 @@ def resolve_keys(names: DataFrame, choices: DataFrame, cutoff: float | None = RA
     nonempty = nm.filter(F.length("name") > 0)
     ch = both.filter(F.col("side") == 1).select(F.col("s").alias("choice"), "position")
     # rule 1: first containing choice in file order
-    r1 = (containment_candidates(nonempty, ch)
-          .groupBy("name").agg(F.min_by("choice", F.struct("position", "choice")).alias("resolved"))
+    r1 = (first_containing(both.filter(F.length("s") > 0))
+          .select("name", F.col("choice").alias("resolved"))
           .withColumn("rule", F.lit("contains")).withColumn("score", F.lit(None).cast("double")))
     if cutoff is None:
         return (nm.join(r1, "name", "left")
