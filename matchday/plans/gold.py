@@ -173,7 +173,8 @@ def run_gold(spark: SparkSession, silver_root: str, gold_root: str, export_root:
     The league's upcoming fixtures are skipped when there is no fixtures table
     (as the source does); any other missing input raises. With `bronze_root`, the
     players' and teams' marts are also written enriched, from the lists of profiles
-    and badges that lie there; a list that doesn't exist is skipped.
+    and badges that lie there (a list that doesn't exist is skipped), and the players
+    once more, sorted by name for lookups.
     """
     s, g = silver_root.rstrip("/"), gold_root.rstrip("/")
     as_of = as_of.isoformat() if isinstance(as_of, dt.date) else as_of
@@ -201,7 +202,7 @@ def run_gold(spark: SparkSession, silver_root: str, gold_root: str, export_root:
             mart = enriched(spark, bronze_root, name, read_latest(spark, f"{g}/{base}"))
             if mart is not None:
                 versions[name] = overwrite(spark, mart, f"{g}/{name}")
-    if "player_scoring_stats" in versions:
+    if bronze_root and "player_scoring_stats" in versions:
         players = read_latest(spark, f"{g}/{'enriched_players' if 'enriched_players' in versions else 'player_scoring_stats'}")
         versions[PLAYERS_BY_NAME] = write_lookup(spark, players, f"{g}/{PLAYERS_BY_NAME}", name_lookup_key("player_name"))
     if export_root:

@@ -157,3 +157,34 @@ def test_leaders_of_all_measures_scan_once(spark, tmp_path):
     assert sorted(map(tuple, out.collect())) == [("x", 1, "b", 3.0), ("x", 2, "c", 3.0), ("y", 1, "a", 2.0), ("y", 2, "c", 1.0)]
     with pytest.raises(UnknownColumnError):
         ranking.leaders_of_all(df, ["nope"], "n", 2)
+
+
+def test_gold_run_enriches_and_serves_profiles(spark, tmp_path):
+    import json
+
+    from matchday.operators.upsert import read_latest
+    from matchday.plans import gold, serve, silver
+
+    from . import fixtures
+    root = str(tmp_path)
+    bronze = fixtures.write_bronze(root)
+    for name, rows in (("profiles", fixtures.PROFILES), ("badges", fixtures.BADGES),
+                       ("aliases", [{"name": "Brighton", "canonical": "Brighton and Hove Albion"}, {"name": "BHA", "canonical": "Brighton"}])):
+        os.makedirs(f"{bronze}/{name}")
+        with open(f"{bronze}/{name}/list.json", "w", encoding="utf-8") as f:
+            json.dump(rows, f, ensure_ascii=False)
+    silver.run_silver(spark, bronze, f"{root}/silver")
+    versions = gold.run_gold(spark, f"{root}/silver", f"{root}/gold", f"{root}/export", as_of="2026-03-21", bronze_root=bronze)
+    assert {"enriched_players", "enriched_teams", gold.PLAYERS_BY_NAME} <= set(versions)
+    # both spellings are one team before the joins, so its form is found
+    teams = {r.team_name: r for r in read_latest(spark, f"{root}/gold/enriched_teams").collect()}
+    brighton = teams["Brighton and Hove Albion"]
+    assert "Brighton" not in teams and brighton.form_array == ["D"] and brighton.badge_url == "b/brighton.png" and len(teams) == 4
+    players = {r.player_name: r for r in read_latest(spark, f"{root}/gold/enriched_players").collect()}
+    assert players["Ayo Ràmos"].club == "Northside" and players["Ben Oduya"].position == "DF"
+    assert serve.profile(spark, f"{root}/gold", "ayo-ràmos").first().club == "Northside"
+    assert serve.profile(spark, f"{root}/gold", "no-body").isEmpty()
+    # nulls are left out of the export, names keep their accents
+    lines = [json.loads(x) for f in glob.glob(f"{root}/export/enriched_players/part-*") for x in open(f, encoding="utf-8")]
+    by = {r["player_name"]: r for r in lines}
+    assert by["Ayo Ràmos"]["image_url"].startswith("i/") and "image_url" not in by["Ben Oduya"]
