@@ -24,7 +24,7 @@ from ..operators.reshape import flatten_roster
 from ..operators.upsert import merge_into, merge_source, overwrite
 from ..sources.documents import POSITION, read_documents, read_rows, split_broken
 from ..session import materialize
-from ..sources.snapshots import latest_snapshot
+from ..sources.snapshots import newest_load
 from ..sources.tables import optional_table
 from .enrich import alias_groups, conform
 
@@ -182,8 +182,11 @@ def run_silver(spark: SparkSession, bronze_root: str, silver_root: str,
 
     def whole(part: str, schema, newest: bool) -> DataFrame:
         """The part's documents, parsed once and stored; those that don't parse go to the quarantine table."""
+        load = newest_load(spark, f"{b}/{part}")
         docs = read_documents(spark, f"{b}/{part}", schema, glob=glob, multiline=multiline, broken="keep")
-        good, bad = split_broken(materialize(latest_snapshot(docs) if newest else docs))
+        if newest:
+            docs = docs.filter(F.col("load_date") == F.lit(load).cast("date"))
+        good, bad = split_broken(materialize(docs))
         bad = bad.withColumn("part", F.lit(part))
         if not bad.isEmpty():
             out[QUARANTINE] = merge_into(spark, f"{s}/{QUARANTINE}", bad, schemas.KEYS[QUARANTINE], "load_date")

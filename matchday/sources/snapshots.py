@@ -55,6 +55,18 @@ def partition_values(df: DataFrame, col: str) -> set[str]:
     return {unquote(m.group(1)) for f in df.inputFiles() for m in [pat.search(f)] if m}
 
 
+def newest_load(spark: SparkSession, path: str, col: str = "load_date") -> str:
+    """Value of the newest folder `<path>/<col>=<value>`, by name (ISO dates sort as text).
+
+    One level of names is listed, whatever the number of files. A source without a
+    load folder, or without a folder at all, raises `NoSnapshotError` (SRC5).
+    """
+    found = [v for v, _ in partition_folders(spark, path, col)]
+    if not found:
+        raise NoSnapshotError(f"no `{col}` load under {path}")
+    return max(found)
+
+
 def _typed(v: str, dtype: T.DataType):
     if isinstance(dtype, T.DateType):
         return dt.date.fromisoformat(v)

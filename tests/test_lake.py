@@ -79,3 +79,17 @@ def test_alias_chains_are_one_name(spark):
     assert got["Brighton"] == got["B&HA"] == got["Brighton & Hove"] == "Brighton & Hove"
     df = spark.createDataFrame([("Brighton", "n3", 1), (None, "other", 2)], "team string, opponent string, name int")
     assert {tuple(r) for r in conform(df, ["team", "opponent"], aliases).collect()} == {(None, "other", 2), ("Brighton & Hove", "n17", 1)}
+
+
+def test_newest_load_by_folder_names_and_empty_sources(spark, tmp_path):
+    import pytest
+
+    from matchday.errors import NoSnapshotError
+    from matchday.plans import silver
+    from matchday.sources.snapshots import newest_load
+    for d in ("2026-03-09", "2026-03-21", "2025-12-31"):
+        (tmp_path / "players" / f"load_date={d}").mkdir(parents=True)
+    assert newest_load(spark, str(tmp_path / "players")) == "2026-03-21"
+    for part in ("league", "teams"):
+        with pytest.raises(NoSnapshotError):
+            silver.run_silver(spark, str(tmp_path), str(tmp_path / "silver"), (part,))
