@@ -69,15 +69,21 @@ def words_of(text: Column) -> Column:
 
 
 def features(text: Column, words: Column) -> Column:
-    """64-bit hashes of a text's features: its words, their beginnings, and traits of its structure; some come twice."""
-    size, n = F.char_length(text), F.size(words)
+    """64-bit hashes of a text's features: its distinct words, their beginnings, and traits of its structure; some come twice."""
+    n = F.size(words)
     level = lambda share: F.floor(F.log2(share * 1000 + 1)).cast("string")
-    traits = [F.concat(F.lit(f"\u0001{m}"), level((size - F.char_length(F.replace(text, F.lit(m), F.lit(""))))
-                                                  / F.greatest(size, F.lit(1)))) for m in MARKS]
-    traits.append(F.concat(F.lit("\u0001same"), F.floor(F.size(F.array_distinct(words)) * 10 / F.greatest(n, F.lit(1)))
-                           .cast("string"), F.lit(":"), F.floor(F.log2(n + F.lit(1.0))).cast("string")))
-    return F.concat(F.transform(F.concat(words, F.array(*traits)), lambda w: F.xxhash64(w)),
-                    F.transform(words, lambda w: F.xxhash64(F.lit(1), F.substring(w, 1, BEGINNING))))
+    # a mark is one byte, so that bytes count it; a lambda's body is not searched for common parts: lengths are bound once
+    lengths = F.struct(F.octet_length(text).alias("bytes"), F.greatest(F.char_length(text), F.lit(1)).alias("chars"))
+    marks = bound(lengths, lambda x: F.array(*(
+        F.concat(F.lit(f"\u0001{m}"), level((x["bytes"] - F.octet_length(F.replace(text, F.lit(m), F.lit("")))) / x["chars"]))
+        for m in MARKS)))
+
+    def of(distinct: Column) -> Column:
+        same = F.concat(F.lit("\u0001same"), F.floor(F.size(distinct) * 10 / F.greatest(n, F.lit(1))).cast("string"),
+                        F.lit(":"), F.floor(F.log2(n + F.lit(1.0))).cast("string"))
+        return F.concat(F.transform(distinct, lambda w: F.xxhash64(w)), F.transform(F.array_append(marks, same), lambda w: F.xxhash64(w)),
+                        F.transform(distinct, lambda w: F.xxhash64(F.lit(1), F.substring(w, 1, BEGINNING))))
+    return bound(F.array_distinct(words), of)
 
 
 def domain_of(labels: DataFrame) -> DataFrame:
