@@ -185,19 +185,18 @@ def search(vectors: DataFrame, queries, k: int = K, lists: int | None = None, pr
                 [b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)), pa.array(near, pa.int32()),
                  pa.array(block, pa.int32())], ["query_id", "q", "list", "block"])
 
-    asked = (listed.filter(queries(F.col("vec_id"))).select("vec_id", "v")
-             .mapInArrow(probe, "query_id long, q array<double>, list int, block int"))
-    # queries of a list beyond `block_queries` are dealt to parts, each of which meets the whole block
-    per_list = {r["list"]: r["count"] for r in listed.filter(queries(F.col("vec_id"))).groupBy("list").count().collect()}
-    parts = max(1, -(-sum(per_list.values()) // block_queries))
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
-    n_blocks = F.element_at(F.array(*(F.lit(int(b)) for b in blocks)), F.col("list") + 1) if lists <= 256 else None
-    if n_blocks is None:
-        table = spark.createDataFrame([(i, int(b)) for i, b in enumerate(blocks)], "list int, blocks int")
-        listed = listed.join(F.broadcast(table), "list")     # MAX_LISTS rows
-        n_blocks = F.col("blocks")
-    cut = listed.select("vec_id", "v", "list", F.pmod(F.xxhash64("vec_id"), n_blocks).cast("int").alias("block"),
-                        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    asked = common.checkpointed(listed.filter(queries(F.col("vec_id"))).select("vec_id", "v")
+                                .mapInArrow(probe, "query_id long, q array<double>, list int, block int"))
+    # queries that ask a list beyond `block_queries` are dealt to parts, each of which meets the list's whole block
+    parts = np.ones(lists, np.int64)
+    for r in asked.filter("block = 0").groupBy("list").count().collect():      # one row per list
+        parts[r["list"]] = -(-r["count"] // block_queries)
+    table = spark.createDataFrame([(i, int(b), int(p)) for i, (b, p) in enumerate(zip(blocks, parts))], "list int, blocks int, parts int")
+    table = F.broadcast(table)                                # MAX_LISTS rows
+    asked = asked.join(table, "list").select("query_id", "q", "list", "block",
+                                             F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int").alias("part"))
+    cut = listed.join(table, "list").select("vec_id", "v", "list", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"),
+                                            F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
 
     def scan(key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         rows = []

@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import pytest
+
 from matchday.llm import sharding
 
 
@@ -74,6 +76,46 @@ def test_edges_and_clashing_names(spark):
     assert {r.shard for r in sharding.shard(df, capacity=4).collect()} >= {0, 1}
 
 
+@pytest.mark.parametrize("capacity", [500, 3000, 200_000])
+def test_no_shard_exceeds_its_capacity(spark, capacity):
+    rng = random.Random(2)
+    docs = ([(i, "y" * rng.randint(0, 450) + str(i % 700)) for i in range(2000)] + [(5000 + i, "copies " * 9) for i in range(900)]
+            + [(7, "same id") for _ in range(300)] + [(None, None)] * 400)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    rows = sharding.shard(df, capacity=capacity).collect()
+    shards = max(r.shard for r in rows) + 1
+    load = check(rows, docs, shards, whole=False)
+    assert min(load) > 0 and max(load) <= capacity
+    assert shards <= 1.12 * sum(load) / capacity + 1
+    bytes_of, places = {}, {}
+    for r in rows:
+        key = (r.size, r.text_crc32)
+        bytes_of[key] = bytes_of.get(key, 0) + r.size
+        places.setdefault(key, set()).add(r.shard)
+    assert all(len(places[k]) == 1 for k, n in bytes_of.items() if n <= capacity)
+
+
+def test_ranges_and_strings_of_groups(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RANGE", 4)
+    monkeypatch.setattr(sharding, "WINDOW_ROWS", 100)
+    docs = [(i, f"{i} " + "z" * (i % 90)) for i in range(1500)] + [(i, "hot text") for i in range(700)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = sharding.shard(df, capacity=2000).collect()
+    shards = max(r.shard for r in rows) + 1
+    load = check(rows, docs, shards, whole=False)
+    assert max(load) <= 2000 and shards <= 1.4 * sum(load) / 2000
+
+
+def test_a_row_above_the_capacity_is_alone(spark):
+    docs = [(1, "a" * 100), (2, "a" * 100), (3, ""), (4, "b")]
+    rows = sharding.shard(spark.createDataFrame(docs, "doc_id long, text string"), capacity=10).collect()
+    by = {r.doc_id: r.shard for r in rows}
+    assert by[1] != by[2] and by[3] == by[4] not in (by[1], by[2])
+    assert sharding.shard(spark.createDataFrame([], "doc_id long, text string"), capacity=10).count() == 0
+    with pytest.raises(ValueError):
+        sharding.shard(spark.createDataFrame(docs, "doc_id long, text string"), capacity=0)
+
+
 def test_op9(spark):
     rows = sharding.op9_sharding(spark, "/root/testdata/sf0.01").collect()
     load = [0] * 16
