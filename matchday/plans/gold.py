@@ -21,6 +21,7 @@ from ..operators.buckets import BUCKETS, merge_buckets, read_buckets
 from ..operators.export import export_json, export_json_array
 from ..operators.joins import left_enrich
 from ..operators.ranking import first_per_key, ordered_array, top_k
+from ..operators.resolve import RATIO_CUTOFF
 from ..operators.upsert import overwrite, read_latest, write_lookup
 from ..session import materialize
 from ..sources.documents import read_rows
@@ -141,11 +142,12 @@ def upcoming_fixtures(fixtures: DataFrame, k: int = LIST_LENGTH, as_of: str | No
                        F.col("home_team").asc(), F.col("away_team").asc()], k)
 
 
-def enriched(spark: SparkSession, bronze_root: str, mart: str, base: DataFrame) -> DataFrame | None:
+def enriched(spark: SparkSession, bronze_root: str, mart: str, base: DataFrame, glob: str | None = "*.json",
+             cutoff: float | None = RATIO_CUTOFF) -> DataFrame | None:
     """`base` with the columns of `<bronze>/profiles` or `<bronze>/badges` (Q-ENR); None without such a folder."""
     folder, schema, add = ENRICHED[mart]
-    right = optional_table(lambda: read_rows(spark, f"{bronze_root.rstrip('/')}/{folder}", schema))
-    return None if right is None else add(base, right)
+    right = optional_table(lambda: read_rows(spark, f"{bronze_root.rstrip('/')}/{folder}", schema, glob))
+    return None if right is None else add(base, right, cutoff=cutoff)
 
 
 # mart -> (bronze folder of JSON arrays, its schema, how it is added)
@@ -167,14 +169,15 @@ ARRAY_EXPORTS = {
 
 def run_gold(spark: SparkSession, silver_root: str, gold_root: str, export_root: str | None = None,
              season_start: str = SEASON_START, as_of: str | dt.date | None = None,
-             marts: tuple[str, ...] = MARTS, bronze_root: str | None = None) -> dict[str, int]:
+             marts: tuple[str, ...] = MARTS, bronze_root: str | None = None,
+             glob: str | None = "*.json", cutoff: float | None = RATIO_CUTOFF) -> dict[str, int]:
     """Build, write and (optionally) export the requested marts. Returns versions written.
 
     The league's upcoming fixtures are skipped when there is no fixtures table
     (as the source does); any other missing input raises. With `bronze_root`, the
     players' and teams' marts are also written enriched, from the lists of profiles
     and badges that lie there (a list that doesn't exist is skipped), and the players
-    once more, sorted by name for lookups.
+    once more, sorted by name for lookups. `glob` selects the lists' files; `cutoff=None` leaves out the ratio rule of names.
     """
     s, g = silver_root.rstrip("/"), gold_root.rstrip("/")
     as_of = as_of.isoformat() if isinstance(as_of, dt.date) else as_of
@@ -199,7 +202,7 @@ def run_gold(spark: SparkSession, silver_root: str, gold_root: str, export_root:
         versions[name] = overwrite(spark, builders[name](), f"{g}/{name}")
     for name, base in ENRICHED_FROM.items():
         if bronze_root and base in versions:
-            mart = enriched(spark, bronze_root, name, read_latest(spark, f"{g}/{base}"))
+            mart = enriched(spark, bronze_root, name, read_latest(spark, f"{g}/{base}"), glob, cutoff)
             if mart is not None:
                 versions[name] = overwrite(spark, mart, f"{g}/{name}")
     if bronze_root and "player_scoring_stats" in versions:

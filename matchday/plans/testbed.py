@@ -456,79 +456,101 @@ def q_silver_team_matches(spark, d):
                       "goals_conceded", "xg_for", "xg_against", "load_date")
 
 
-def _match_documents(tm: DataFrame, part: str, fields: dict) -> DataFrame:
+def as_text(c: str):
+    return F.col(c).cast("string")
+
+
+def _stamped(source: str):
+    return (F.struct(F.lit(f"{AS_OF} 00:00:00").alias("extraction_timestamp"), F.lit(AS_OF).alias("load_date"),
+                     F.lit(source).alias("source")).alias("meta"), F.lit(AS_OF).cast("date").alias("load_date"))
+
+
+def _match_documents(tm: DataFrame, part: str, fields: dict, name=as_text) -> DataFrame:
     """One bronze-style team document per match: `{team_name, <part>: [one struct], meta, load_date}`."""
     from .. import schemas
     names = schemas.RESULT_FIELDS if part == "results" else schemas.FIXTURE_FIELDS
     return tm.select(
-        F.col("team_key").cast("string").alias("team_name"),
-        F.array(F.struct(*[fields[f].alias(f) for f in names])).alias(part),
-        F.struct(F.lit(f"{AS_OF} 00:00:00").alias("extraction_timestamp"), F.lit(AS_OF).alias("load_date"),
-                 F.lit("orders").alias("source")).alias("meta"),
-        F.lit(AS_OF).cast("date").alias("load_date"))
+        name("team_key").alias("team_name"),
+        F.array(F.struct(*[fields[f].alias(f) for f in names])).alias(part), *_stamped("orders"))
 
 
-def q_gold_team_summary(spark, d):
-    """The gold team summary builder over silver tables built from bronze-style
-    documents: one league document per team (cells as text, rank from the
-    distributed league rank), one result / fixture document per order."""
-    from . import gold, silver
+def result_documents(spark, d, name=as_text) -> DataFrame:
+    return _match_documents(results(spark, d), "results", {
+        "date": casts.format_match_date("match_date"), "opponent": name("match_key"), "side": F.col("home_away"),
+        "result": F.col("result_status"), "team_score": as_text("goals_scored"), "opponent_score": as_text("goals_conceded"),
+        "team_xg": as_text("xg_for"), "opponent_xg": as_text("xg_against"), "match_link": F.lit("")}, name)
+
+
+def fixture_documents(spark, d, name=as_text) -> DataFrame:
+    return _match_documents(fixtures(spark, d), "fixtures", {
+        "date": casts.format_match_date("match_date"), "time": F.col("kickoff"), "opponent": name("match_key"),
+        "side": F.col("home_away")}, name)
+
+
+def league_documents(spark, d, name=as_text) -> DataFrame:
+    """One league document per team: cells as text, rank from the distributed league rank."""
     st = ranking.global_row_number(
         standings(spark, d), [F.col("points").desc(), F.col("goal_difference").desc(),
                               F.col("goals_for").desc(), F.col("team_key").asc()], "rank")
-    txt = lambda c: F.col(c).cast("string")
-    cells = F.array(txt("rank"), txt("team_key"), F.lit(""), txt("matches_played"), txt("wins"), txt("draws"),
-                    txt("losses"), txt("goals_for"), txt("goals_against"), txt("points"), F.lit(""), F.lit(""),
-                    F.lit(""))
-    league = st.select(
-        F.array(F.struct(txt("team_key").alias("Team"), F.lit("").alias("URL"), cells.alias("Data"))).alias("data"),
-        F.struct(F.lit(f"{AS_OF} 00:00:00").alias("extraction_timestamp"), F.lit(AS_OF).alias("load_date"),
-                 F.lit("orders").alias("source")).alias("meta"),
-        F.lit(AS_OF).cast("date").alias("load_date"))
-    silver_matches, silver_fixtures = _silver_from_orders(spark, d)
-    summary = gold.team_summary(silver.league_standings(league), silver_matches, silver_fixtures)
-    return summary.select("rank", "team_name", "matches_played", "wins", "draws", "losses", "points", "goals_for",
-                          "goals_against", "goal_difference", F.array_join("form_array", "").alias("form"),
-                          "next_opponent", "next_home_away")
+    cells = F.array(as_text("rank"), name("team_key"), F.lit(""), *(as_text(c) for c in (
+        "matches_played", "wins", "draws", "losses", "goals_for", "goals_against", "points")), F.lit(""), F.lit(""), F.lit(""))
+    return st.select(
+        F.array(F.struct(name("team_key").alias("Team"), F.lit("").alias("URL"), cells.alias("Data"))).alias("data"),
+        *_stamped("orders"))
 
 
-def q_gold_player_scoring(spark, d):
-    """The silver player-match builder and the gold scoring mart over player
-    documents made from line items (ISO dates, numbers as text, `""` for a
-    missing xG); several lines of one supplier on one day collapse to the
-    latest-wins row, as in the silver merge key (player, date)."""
+def player_documents(spark, d, name=as_text) -> DataFrame:
+    """One player document per line item: ISO dates, numbers as text, `""` for a missing xG."""
     from .. import schemas
-    from . import gold, silver
-    pm = player_matches(spark, d)
-    txt = lambda c: F.col(c).cast("string")
+    txt = as_text
     fields = {
         "№": F.lit("1"), "Date": F.date_format("match_date", "yyyy-MM-dd"), "Home": txt("team_key"),
         "Score": F.lit(""), "Away": F.lit(""), "Pos": F.col("position"), "Min": txt("minutes"), "Sh": F.lit(""),
         "G": txt("goals"), "KP": F.lit(""), "A": txt("assists"), "xG": F.coalesce(txt("xg"), F.lit("")),
         "xA": txt("xa")}
-    docs = pm.select(
-        txt("player_key").alias("player_name"),
+    return player_matches(spark, d).select(
+        name("player_key").alias("player_name"),
         F.concat(txt("match_key"), F.lit("-"), txt("line_no")).alias("player_url"),
         F.lit(None).cast(schemas.PLAYER_DOC["seasonal_performance"].dataType).alias("seasonal_performance"),
         F.array(F.struct(*[fields[f].alias(f) for f in schemas.MATCH_FIELDS])).alias("match_performance"),
-        F.struct(F.lit(f"{AS_OF} 00:00:00").alias("extraction_timestamp"), F.lit(AS_OF).alias("load_date"),
-                 F.lit("lineitem").alias("source")).alias("meta"),
-        F.lit(AS_OF).cast("date").alias("load_date"))
-    return gold.player_scoring_stats(silver.player_matches(docs), SEASON_START)
+        *_stamped("lineitem"))
+
+
+def statistics_documents(spark, d, name=as_text) -> DataFrame:
+    """One document per team and play type, every figure as text."""
+    from .. import schemas
+    txt = as_text
+    fields = {"№": F.lit("1"), "Situation": F.col("play_type"), "Sh": txt("total_shots"), "G": txt("goals_scored"),
+              "ShA": F.lit(""), "GA": F.lit(""), "xG": txt("expected_goals"), "xGA": F.lit(""), "xGD": F.lit(""),
+              "xG/Sh": txt("xg_per_shot"), "xGA/Sh": F.lit("")}
+    return q_tactics(spark, d).select(
+        name("team_key").alias("team_name"),
+        F.array(F.create_map(*[x for f in schemas.STAT_FIELDS for x in (F.lit(f), fields[f])])).alias("statistics"),
+        *_stamped("lineitem"))
+
+
+def q_gold_team_summary(spark, d):
+    """The gold team summary builder over silver tables built from bronze-style documents."""
+    from . import gold, silver
+    silver_matches, silver_fixtures = _silver_from_orders(spark, d)
+    summary = gold.team_summary(silver.league_standings(league_documents(spark, d)), silver_matches, silver_fixtures)
+    return summary.select("rank", "team_name", "matches_played", "wins", "draws", "losses", "points", "goals_for",
+                          "goals_against", "goal_difference", F.array_join("form_array", "").alias("form"),
+                          "next_opponent", "next_home_away")
+
+
+def q_gold_player_scoring(spark, d):
+    """The silver player-match builder and the gold scoring mart over player documents;
+    several lines of one supplier on one day collapse to the latest-wins row, as in the
+    silver merge key (player, date)."""
+    from . import gold, silver
+    return gold.player_scoring_stats(silver.player_matches(player_documents(spark, d)), SEASON_START)
 
 
 def _silver_from_orders(spark, d):
     """Silver team results and fixtures built from per-order documents (see `_match_documents`)."""
     from . import silver
-    txt = lambda c: F.col(c).cast("string")
-    res_docs = _match_documents(results(spark, d), "results", {
-        "date": casts.format_match_date("match_date"), "opponent": txt("match_key"), "side": F.col("home_away"),
-        "result": F.col("result_status"), "team_score": txt("goals_scored"), "opponent_score": txt("goals_conceded"),
-        "team_xg": txt("xg_for"), "opponent_xg": txt("xg_against"), "match_link": F.lit("")})
-    fix_docs = _match_documents(fixtures(spark, d), "fixtures", {
-        "date": casts.format_match_date("match_date"), "time": F.col("kickoff"), "opponent": txt("match_key"),
-        "side": F.col("home_away")})
-    return silver.team_matches(res_docs), silver.team_fixtures(fix_docs)
+    return silver.team_matches(result_documents(spark, d)), silver.team_fixtures(fixture_documents(spark, d))
 
 
 def q_gold_recent_results(spark, d):
@@ -547,22 +569,9 @@ def q_gold_team_match_trends(spark, d):
 
 
 def q_gold_team_tactics(spark, d):
-    """Statistics documents (one per team and play type, every figure as text)
-    through the silver statistics builder and the gold tactics mart."""
-    from .. import schemas
+    """Statistics documents through the silver statistics builder and the gold tactics mart."""
     from . import gold, silver
-    t = q_tactics(spark, d)
-    txt = lambda c: F.col(c).cast("string")
-    fields = {"№": F.lit("1"), "Situation": F.col("play_type"), "Sh": txt("total_shots"), "G": txt("goals_scored"),
-              "ShA": F.lit(""), "GA": F.lit(""), "xG": txt("expected_goals"), "xGA": F.lit(""), "xGD": F.lit(""),
-              "xG/Sh": txt("xg_per_shot"), "xGA/Sh": F.lit("")}
-    docs = t.select(
-        txt("team_key").alias("team_name"),
-        F.array(F.create_map(*[x for f in schemas.STAT_FIELDS for x in (F.lit(f), fields[f])])).alias("statistics"),
-        F.struct(F.lit(f"{AS_OF} 00:00:00").alias("extraction_timestamp"), F.lit(AS_OF).alias("load_date"),
-                 F.lit("lineitem").alias("source")).alias("meta"),
-        F.lit(AS_OF).cast("date").alias("load_date"))
-    return gold.team_tactics(silver.team_statistics(docs))
+    return gold.team_tactics(silver.team_statistics(statistics_documents(spark, d)))
 
 
 def q_top_scorer_per_team(spark, d):
