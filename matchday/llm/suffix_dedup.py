@@ -14,7 +14,8 @@ starts elsewhere, in the same text or another. Finding these strings:
 4. The bytes of those whose key has several different fragments are put into
    buckets by key. In each bucket a suffix array is built, and from it, by the
    previous and next smaller positions in suffix order, whether each window has
-   an earlier match (its longest previous factor reaches `min_length`).
+   an earlier match (its longest previous factor reaches `min_length`) and where
+   that lies: a window has a copy if it has such a match or is one.
 5. Keys with too many bytes for one bucket (a frequent line among always other
    neighbours) are decided by counting hashes of their windows instead, with
    partial counts before the shuffle; there is no limit to their number.
@@ -178,14 +179,17 @@ def repeated_windows(pieces: list[bytes], min_length: int, part: np.ndarray | No
     # in suffix order counts as far as both lie in one run of suffixes that agree in min_length bytes
     before = _smaller_before(order)
     after = len(order) - 1 - _smaller_before(order[::-1])[::-1]
-    earlier, several = np.zeros(len(text), bool), np.zeros(len(text), bool)
-    earlier[order] = (before >= 0) & (r[before] == r)
-    ok = after < len(order)
-    earlier[order[ok]] |= r[after[ok]] == r[ok]
-    edge = np.concatenate([[True], r[1:] != r[:-1], [True]])
-    several[order] = ~(edge[:-1] & edge[1:])
+    to_before = (before >= 0) & (r[before] == r)
+    to_after = after < len(order)
+    to_after[to_after] = r[after[to_after]] == r[to_after]
+    earlier = np.zeros(len(text), bool)
+    earlier[order] = to_before | to_after
+    # of equal windows only the first has no earlier match; another's match lies at it
+    several = earlier.copy()
+    several[order[before[to_before]]] = True
+    several[order[after[to_after]]] = True
     if page is not None and len(order):
-        run = np.flatnonzero(edge[:-1])
+        run = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
         at = page[owner[order]]
         several[order] = np.repeat(np.minimum.reduceat(at, run) != np.maximum.reduceat(at, run),
                                    np.diff(np.append(run, len(order))))
