@@ -1,7 +1,8 @@
 """Document fingerprints (operator 5): closed syncmers, with Spark's own functions only.
 
-A text is the sequence of its words (parted by spaces, tabs and line ends). A
-run of five words is a closed syncmer when the least hash among its four inner
+A text is the sequence of its words (parted by spaces, tabs and line ends); a
+word of more than 24 characters counts as its characters, and so does a text of
+fewer than five words, so that texts without spaces have runs too. A run of five words is a closed syncmer when the least hash among its four inner
 pairs of words lies at its first or its last pair. That depends on the run
 alone: where a passage is copied, the same runs are chosen, whatever stands
 around it. Half of all runs are chosen.
@@ -12,6 +13,11 @@ eight hexadecimal digits each. The likeness of two fingerprints is the share of
 common hashes among the 64 least of both together, an estimate of the
 similarity of the two sets of syncmers.
 
+Each kept hash is an anchor: it comes with the place of its first run in the text.
+Positional matching lines two texts up by the anchors they share: `aligned` gives
+the shift (place in the second less place in the first) on which most of them
+agree, and how many do; a passage that was moved as a whole keeps one shift.
+
 Defined results: a null text counts as empty; the fingerprint of a text without
 words is the empty string, and two of these have likeness 1; equal texts have
 equal fingerprints; texts follow each other by (`doc_id`, hash of the text),
@@ -28,6 +34,7 @@ from . import common
 RUN = 5       # words of a run
 INNER = 2     # words of an inner substring
 KEPT = 64     # hashes of a fingerprint
+LONG_WORD = 24    # characters; a longer word counts character by character
 _NO_ID = -(1 << 63)
 
 
@@ -40,7 +47,16 @@ def word_hashes(text: Column) -> Column:
     """64-bit hash of each word of a text."""
     one_space = F.replace(F.replace(F.replace(text, F.lit("\n"), F.lit(" ")), F.lit("\t"), F.lit(" ")),
                           F.lit("\r"), F.lit(" "))
-    return F.transform(F.filter(F.split(one_space, " "), lambda w: w != ""), lambda w: F.xxhash64(w))
+    long = lambda w: F.char_length(w) > LONG_WORD
+    parts = lambda a: F.flatten(F.transform(a, lambda w: F.when(long(w), F.split(w, "")).otherwise(F.array(w))))
+    words = _bound(F.filter(F.split(one_space, " "), lambda w: w != ""), lambda a: F.when(F.exists(a, long), parts(a)).otherwise(a))
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def symbols(text: Column, run: int = RUN) -> Column:
+    """Hashes of a text's words, or of its characters (white space left out) if there are fewer words than a run has."""
+    letters = F.transform(F.filter(F.split(text, ""), lambda c: ~c.isin("", " ", "\t", "\n", "\r")), lambda c: F.xxhash64(c))
+    return _bound(word_hashes(text), lambda h: F.when(F.size(h) >= run, h).otherwise(letters))
 
 
 def syncmers(words: Column, run: int = RUN, inner: int = INNER) -> Column:
@@ -63,13 +79,39 @@ def syncmers(words: Column, run: int = RUN, inner: int = INNER) -> Column:
     return _bound(words, lambda h: F.when(F.size(h) >= run, choose(h)).otherwise(empty))
 
 
+def anchors(text: Column, run: int = RUN, inner: int = INNER, kept: int = KEPT) -> Column:
+    """The least distinct syncmer hashes of a text, ascending, each with the place of its first run."""
+    def first(a: Column) -> Column:
+        return F.filter(a, lambda x, i: (i == 0) | (F.get(a, i - 1)["hash"] != x["hash"]))
+
+    def least(h: Column) -> Column:
+        found = F.transform(syncmers(h, run, inner), lambda x: F.struct(x["hash"].alias("hash"), x["place"].alias("place")))
+        whole = F.array(F.struct(F.hash(h).alias("hash"), F.lit(0).alias("place")))
+        return _bound(F.slice(_bound(F.sort_array(found), first), 1, kept),
+                      lambda a: F.when((F.size(a) == 0) & (F.size(h) > 0), whole).otherwise(a))
+    return _bound(symbols(F.coalesce(text, F.lit("")), run), least)
+
+
+def hashes_of(found: Column) -> Column:
+    """The hashes of anchors, the sketch of a text."""
+    return F.transform(found, lambda x: x["hash"])
+
+
 def sketch(text: Column, run: int = RUN, inner: int = INNER, kept: int = KEPT) -> Column:
     """The least distinct syncmer hashes of a text, ascending."""
-    def least(h: Column) -> Column:
-        found = F.transform(syncmers(h, run, inner), lambda x: x["hash"])
-        return _bound(F.slice(F.sort_array(F.array_distinct(found)), 1, kept),
-                      lambda a: F.when((F.size(a) == 0) & (F.size(h) > 0), F.array(F.hash(h))).otherwise(a))
-    return _bound(word_hashes(F.coalesce(text, F.lit(""))), least)
+    return hashes_of(anchors(text, run, inner, kept))
+
+
+def aligned(a: Column, b: Column) -> Column:
+    """Struct of the shift on which most common anchors agree (the least by size, then value) and their number; null and 0 without any."""
+    def shifts(of: Column) -> Column:
+        return F.filter(F.transform(a, lambda x: F.try_element_at(of, x["hash"]) - x["place"]), lambda s: s.isNotNull())
+
+    def most(s: Column) -> Column:
+        votes = F.transform(F.array_distinct(s), lambda v: F.struct(
+            F.size(F.filter(s, lambda w: w == v)).alias("n"), (-F.abs(v)).alias("near"), (-v).alias("back")))
+        return _bound(F.array_max(votes), lambda m: F.struct((-m["back"]).alias("shift"), F.coalesce(m["n"], F.lit(0)).alias("anchors")))
+    return _bound(_bound(F.map_from_arrays(hashes_of(b), F.transform(b, lambda x: x["place"])), shifts), most)
 
 
 def as_text(a: Column) -> Column:
@@ -121,7 +163,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text, and of it with its second half taken from the next text; their likeness."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("did"), F.xxhash64(text).alias("tie"),
-                       text.alias("body"), sketch(text).alias("own"))
+                       text.alias("body"), anchors(text).alias("own"))
     n = F.char_length("body").cast("long")
     half = F.floor(n / 2).cast("int")
     rows = with_next(rows, ["body", "own"])
@@ -131,10 +173,13 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
                  F.substring(F.col("next.body"), F.lit(1), half)).alias("edited"),
         F.col("next.own").alias("next_own"))
     rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-                       F.struct("own", sketch(F.col("edited")).alias("changed"), "next_own").alias("s"))
-    # the sketches are computed once and bound
-    out = _bound(F.col("s"), lambda s: F.struct(
+                       F.struct("own", anchors(F.col("edited")).alias("changed"), "next_own").alias("s"))
+    # the anchors are computed once and bound, and so are the sketches
+    sketches = lambda s: F.struct(hashes_of(s["own"]).alias("own"), hashes_of(s["changed"]).alias("changed"),
+                                  hashes_of(s["next_own"]).alias("next_own"), aligned(s["own"], s["changed"]).alias("at"))
+    out = _bound(_bound(F.col("s"), sketches), lambda s: F.struct(
         as_text(s["own"]).alias("fingerprint"), as_text(s["changed"]).alias("edited_fingerprint"),
-        likeness(s["own"], s["changed"]).alias("near_edited"), likeness(s["own"], s["next_own"]).alias("near_next")))
+        likeness(s["own"], s["changed"]).alias("near_edited"), likeness(s["own"], s["next_own"]).alias("near_next"),
+        s["at"]["shift"].alias("shift_edited"), s["at"]["anchors"].alias("aligned_edited")))
     return rows.select("doc_id", "n_chars", "edited_sha256", out.alias("o")).select(
         "doc_id", "n_chars", "edited_sha256", "o.*")

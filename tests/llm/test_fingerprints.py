@@ -81,6 +81,49 @@ def test_same_ids_and_nulls(spark):
     assert fp.edited_fingerprints(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_texts_without_spaces_have_anchors(spark):
+    rng = random.Random(5)
+    signs = ["".join(chr(rng.randint(0x4E00, 0x9F00)) for _ in range(400)) for _ in range(6)] + ["🙂é" * 40, "短い文です"]
+    df = spark.createDataFrame(list(enumerate(signs)), "doc_id long, text string")
+    got = {r.doc_id: r for r in fp.edited_fingerprints(df).collect()}
+    assert all(0.15 < got[i].near_edited < 0.6 and got[i].near_next == 0 for i in range(6))
+    assert all(got[i].shift_edited == 0 and got[i].aligned_edited > 8 for i in range(6))
+    assert [r.n for r in df.select(F.size(fp.word_hashes("text")).alias("n")).orderBy("doc_id").collect()][:7] == [400] * 6 + [80]
+
+
+def test_anchors_line_moved_passages_up(spark):
+    """Against brute force: shared hashes by place, the shift that most of them have."""
+    base, other = prose(11, 300), prose(12, 300)
+    texts = [" ".join(x) for x in (base, prose(13, 37) + base[40:], other, base[150:] + base[:150], [], base[:3])]
+    rows = rows_of(spark, texts).select("i", fp.anchors(F.col("text")).alias("a"), fp.sketch(F.col("text")).alias("s"))
+    rows = rows.select(F.col("i"), "a", "s").collect()
+    places = {r.i: {x.hash: x.place for x in r.a} for r in rows}
+    assert all([x.hash for x in r.a] == r.s == sorted(set(r.s)) for r in rows)
+    pairs = [(i, j) for i in places for j in places]
+    a = rows_of(spark, texts).select(F.col("i"), fp.anchors(F.col("text")).alias("a"))
+    b = a.select(F.col("i").alias("j"), F.col("a").alias("b"))
+    both = spark.createDataFrame(pairs, "i long, j long").join(a, "i").join(b, "j")
+    for r in both.select("i", "j", fp.aligned(F.col("a"), F.col("b")).alias("at")).collect():
+        votes = [places[r.j][h] - places[r.i][h] for h in places[r.i] if h in places[r.j]]
+        best = max(set(votes), key=lambda v: (votes.count(v), -abs(v), -v), default=None)
+        assert (r["at"]["shift"], r["at"]["anchors"]) == (best, votes.count(best)), (r.i, r.j)
+        if (r.i, r.j) == (0, 1):
+            assert best == -3 and votes.count(best) > 30
+
+
+def test_likeness_equals_brute_force(spark):
+    texts = [" ".join(prose(i, 40 + 30 * i)) for i in range(5)]
+    texts += [texts[4][:300], " ".join(texts[:2]), "", "x", None]
+    got = {r.i: r.s for r in rows_of(spark, texts).select("i", fp.sketch(F.col("text")).alias("s")).collect()}
+    a = rows_of(spark, texts).select("i", fp.sketch(F.col("text")).alias("a"))
+    b = a.select(F.col("i").alias("j"), F.col("a").alias("b"))
+    pairs = spark.createDataFrame([(i, j) for i in got for j in got], "i long, j long").join(a, "i").join(b, "j")
+    for r in pairs.select("i", "j", fp.likeness(F.col("a"), F.col("b")).alias("near")).collect():
+        least = sorted(set(got[r.i]) | set(got[r.j]))[:fp.KEPT]
+        common = set(got[r.i]) & set(got[r.j]) & set(least)
+        assert r.near == (len(common) / len(least) if least else 1.0)
+
+
 def test_plan_has_no_python(spark):
     import contextlib
     import io
