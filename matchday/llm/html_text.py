@@ -10,7 +10,9 @@ cells are white space). Its markup puts each block into a zone:
   page has no other article or main element, one inside (or of) an element that
   is dropped for such a name is kept, unless the name is that of comments;
 - main: inside `article`, else `main`, else an element named as content;
-- open: everything else, such as all the text of a page without such marks.
+- open: what a `main` holds beside its articles, what lies beside an element that
+  is only named as content, and all the text of a page without such marks;
+- dropped too: what lies outside the `article` or `main` of a page that has one.
 
 What lies outside the main zone goes into the page's stream. The streams of a
 host's pages are searched together for long strings that occur in different
@@ -199,7 +201,8 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
     if not any(r >= 2 and not d for _, d, r in found):
         found = [(t, KEPT if d == HELD else d, r) for t, d, r in found]
     best = max((r for _, d, r in found if not d), default=0)
-    return [(t, DROPPED if d else MAIN if best and r >= best else DROPPED if best else OPEN) for t, d, r in found]
+    beside = 0 if best < 2 else 2         # least rank of the text beside the best container that may be part of the article
+    return [(t, DROPPED if d else MAIN if best and r >= best else OPEN if r >= beside else DROPPED) for t, d, r in found]
 
 
 def _key(string: bytes, host: int) -> int:

@@ -100,3 +100,18 @@ def test_layout_names_around_an_article():
         assert text(f"<article><p>one</p><div class='{name}'>two</div></article>") == "one", name
     assert text("<article><div class='share'>tweet</div></article>") == ""
     assert text("<section class='comments'><article class='comment'><p>first!</p></article></section>") == ""
+
+
+def test_text_beside_a_container(spark):
+    """What a `main` has beside its article, and what lies beside an element that is only named as content, is open."""
+    assert text("<main><h1>Head</h1><article><p>one</p></article></main><p>out</p>") == "Head\n\none"
+    assert text("<div class='story'><p>lead</p></div><p>rest</p><nav>menu</nav>") == "lead\n\nrest"
+    assert text("<div class='content'><article><p>one</p></article><p>x</p></div>") == "one"
+    line = "Read more of our stories on the following pages"
+    own = ["A first story about a river.", "The second one is of mountains.", "Now something on the sea."]
+    pages = [(i, f"http://m.example/{i}", f"<main><h1>Head {t}</h1><article><p>{t}</p></article><p>{line}</p></main>") for i, t in enumerate(own)]
+    pages += [(10 + i, f"http://n.example/{i}", f"<div class='story'><p>{t}</p></div><p>{line}</p><p>rest {i}</p>") for i, t in enumerate(own)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in ht.extract(df).collect()}
+    for i, t in enumerate(own):
+        assert got[i] == f"Head {t}\n\n{t}" and got[10 + i] == f"{t}\n\nrest {i}"
