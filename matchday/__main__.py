@@ -24,12 +24,13 @@ def main(argv=None) -> None:
     ap.add_argument("--as-of", default=None, help="run date; fixtures before it are ignored")
     ap.add_argument("--parts", default=None,
                     help="comma list: silver parts (league,teams,players) or gold marts (default: all)")
+    ap.add_argument("--only-new", action="store_true", help="silver: leave out parts whose loads were merged already")
     args = ap.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()   # master and settings are the submitter's
     root = args.root.rstrip("/")
     parts = tuple(p for p in (args.parts or "").split(",") if p)
     if args.step == "silver":
-        out = silver.run_silver(spark, f"{root}/bronze", f"{root}/silver", parts or silver.PARTS)
+        out = silver.run_silver(spark, f"{root}/bronze", f"{root}/silver", parts or silver.PARTS, only_new=args.only_new)
     else:
         out = gold.run_gold(spark, f"{root}/silver", f"{root}/gold", f"{root}/export",
                             season_start=args.season_start, as_of=args.as_of, marts=parts or gold.MARTS, bronze_root=f"{root}/bronze")

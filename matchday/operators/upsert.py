@@ -7,8 +7,9 @@ Parquet has no MERGE. A merge is the DataFrame composition
 which is
 `whenMatchedUpdateAll + whenNotMatchedInsertAll`: matched target rows
 are replaced by the source row, unmatched source rows are inserted, other
-target rows are kept. Null keys never compare equal, so a null-key source
-row is always inserted and a null-key target row always kept, as with MERGE.
+target rows are kept. Null keys never compare equal, so null-key rows are
+inserted and kept like rows with keys of their own; but a target row that equals
+such a source row in every column is that row, so that a rerun adds nothing.
 
 A table is a directory of immutable snapshots `<path>/snapshot=<n>`; a merge
 reads snapshot n and writes n+1, so no job overwrites the files it reads.
@@ -19,8 +20,9 @@ left that died before its commit ended is never read, and written over later.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,12 +52,28 @@ def dedupe_latest(df: DataFrame, keys: Sequence[str], order_col: str = "updated_
     return first_per_key(df, list(keys), _latest_first(df, order_col, tiebreak))
 
 
+def _any_null(keys: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a | b, (F.col(f"`{k}`").isNull() for k in keys))
+
+
 def _null_key_solo(keys: Sequence[str]):
     """A group id of its own for rows with a null key (they never match under `=`)."""
-    any_null = F.lit(False)
-    for k in keys:
-        any_null = any_null | F.col(k).isNull()
-    return F.when(any_null, F.monotonically_increasing_id())
+    return F.when(_any_null(keys), F.monotonically_increasing_id())
+
+
+def not_replaced(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The target rows that no source row replaces (JN6): an anti-join on the source's distinct keys.
+
+    Rows with a null key also carry their whole text to the comparison, so that they
+    are replaced by equal rows only; for others that text is null and costs nothing.
+    """
+    row = F.to_json(F.struct(*(F.col(f"`{c}`") for c in target.columns)), {"ignoreNullFields": "false"})
+    whole = F.when(_any_null(keys), row)
+    named = {f"_k{i}": F.col(f"`{k}`") for i, k in enumerate(keys)}
+    loaded = source.select(*(c.alias(n) for n, c in named.items()), whole.alias("_whole")).distinct()
+    same = reduce(lambda a, b: a & b, (c.eqNullSafe(F.col(n)) for n, c in named.items()))
+    rows = target.withColumn("_row", whole)
+    return rows.join(loaded, same & F.col("_row").eqNullSafe(F.col("_whole")), "left_anti").select(*target.columns)
 
 
 def merge_source(source: DataFrame, keys: Sequence[str], order_col: str = "updated_at",
@@ -97,8 +115,7 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
     if set(source.columns) != set(target.columns):
         raise UnknownColumnError(f"source and target differ in columns {sorted(set(source.columns) ^ set(target.columns))}")
     src = merge_source(source, keys, order_col, tiebreak) if dedupe else source
-    loaded = source.select(*keys).distinct()
-    return src.unionByName(target.join(loaded, keys, "left_anti").select(*target.columns))
+    return src.unionByName(not_replaced(target, source, keys))
 
 
 # --- snapshot tables -------------------------------------------------------------------------

@@ -23,15 +23,17 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators.export import stamp, write_bronze
-from ..operators.upsert import read_latest
+from ..operators import ledger
+from ..operators.upsert import overwrite, read_latest
 from ..session import shared_dir
-from ..sources.documents import read_rows
-from ..sources.tables import read_table
-from . import enrich, gold, silver
+from ..sources.documents import read_documents, read_rows
+from ..sources.tables import read_table, register_view
+from . import enrich, gold, silver, testbed
 
 AS_OF = "2000-01-01"     # matches before it have a status
 PER_DOCUMENT = 10_000    # results of a team document, about, at most
 LOADS = (("2024-05-01", 0), ("2024-05-08", 1))
+RERUN_COLUMNS = ("team_name", "match_date", "opponent", "home_away", "result_status", "goals_scored", "goals_conceded", "load_date")
 
 
 PROFILE_LISTS = 8        # files of profiles
@@ -51,11 +53,15 @@ def _fields(names, values: dict):
     return F.struct(*[values.get(n, F.lit("")).cast("string").alias(n) for n in names])
 
 
-def team_documents(spark: SparkSession, sf_dir: str, date: str, load: int) -> DataFrame:
+UNDATED = 13             # every so many matches of `pipeline_rerun` has no date that parses
+
+
+def team_documents(spark: SparkSession, sf_dir: str, date: str, load: int, undated: int = 0) -> DataFrame:
+    """Team documents of a load; every `undated`-th match has a text instead of its date (0: none)."""
     o = read_table(spark, sf_dir, "orders").filter(_in_load(F.col("o_custkey"), load))
-    goals = F.floor(F.col("o_totalprice") / 50_000) + load
+    goals, day = F.floor(F.col("o_totalprice") / 50_000) + load, F.date_format("o_orderdate", "MMM d, yyyy")
     result = _fields(schemas.RESULT_FIELDS, {
-        "date": F.date_format("o_orderdate", "MMM d, yyyy"), "opponent": F.col("o_orderpriority"),
+        "date": F.when(F.col("o_orderkey") % undated == 0, "postponed").otherwise(day) if undated else day, "opponent": F.col("o_orderpriority"),
         "side": F.when(F.col("o_orderkey") % 2 == 0, "h").otherwise("a"),
         # no status: the field is left out of the document
         "result": F.when(F.col("o_orderdate") < F.lit(AS_OF).cast("timestamp_ntz"), F.lower("o_orderstatus")),
@@ -144,17 +150,28 @@ def _league(spark: SparkSession, sf_dir: str, root: str) -> None:
     silver.run_silver(spark, f"{root}/bronze", f"{root}/silver", ("league",), glob=None)
 
 
+def _reruns(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """One load merged three times over, in part without keys; another one lies there and isn't merged yet."""
+    (date, load), (later, after) = LOADS
+    write_bronze(team_documents(spark, sf_dir, date, load, UNDATED), f"{root}/bronze/teams")
+    for only_new in (False, False, True):
+        silver.run_silver(spark, f"{root}/bronze", f"{root}/silver", ("teams",), multiline=False, glob=None, only_new=only_new)
+    write_bronze(team_documents(spark, sf_dir, later, after), f"{root}/bronze/teams")
+
+
 _BUILT: dict[tuple, str] = {}
 
 
 def build(spark: SparkSession, sf_dir: str, part: str) -> str:
-    """Write and load both loads of `part` (league, teams or players); the lake's folder."""
+    """Write and load both loads of `part` (league, teams or players), or the reruns; the lake's folder."""
     key = (spark.sparkContext.applicationId, sf_dir, part)
     if key in _BUILT:
         return _BUILT[key]
     root = shared_dir(spark, f"lake-{part}")
     if part == "league":
         _league(spark, sf_dir, root)
+    elif part == "reruns":
+        _reruns(spark, sf_dir, root)
     else:
         make = {"teams": team_documents, "players": player_documents}[part]
         for date, load in LOADS:
@@ -214,6 +231,31 @@ def pipeline_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def pipeline_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches after reruns of their load: rows whose date doesn't parse have no key, and are there once."""
+    return read_latest(spark, f"{build(spark, sf_dir, 'reruns')}/silver/team_matches").select(*RERUN_COLUMNS)
+
+
+def pipeline_load_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of each part's loads, with the number of teams in them."""
+    root = build(spark, sf_dir, "reruns")
+    docs = read_documents(spark, f"{root}/bronze/teams", schemas.TEAM_DOC, glob=None, multiline=False)
+    teams = docs.groupBy(F.lit("teams").alias("part"), F.col("load_date").cast("string").alias("load_date")).agg(
+        F.countDistinct("team_name").alias("teams"))
+    return (ledger.states(spark, f"{root}/bronze", f"{root}/silver", silver.PARTS).join(teams, ["part", "load_date"], "left")
+            .select("part", "load_date", "state", F.coalesce("teams", F.lit(0)).alias("teams")))
+
+
+def summary_without_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written summary mart where no fixtures table was ever written: the upcoming list is skipped, next matches have the default."""
+    root = shared_dir(spark, "no-fixtures")
+    overwrite(spark, silver.league_standings(testbed.league_documents(spark, sf_dir)), f"{root}/silver/league_standings")
+    overwrite(spark, silver.team_matches(testbed.result_documents(spark, sf_dir)), f"{root}/silver/team_matches")
+    gold.run_gold(spark, f"{root}/silver", f"{root}/gold", marts=("team_summary", "league_upcoming_fixtures"))
+    mart = register_view(read_latest(spark, f"{root}/gold/team_summary"), "written_summary")
+    return mart.sparkSession.sql("SELECT rank, team_name, points, next_opponent, next_home_away FROM written_summary")
+
+
 def enrich_teams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The written summary mart with badges from a JSON array: the first badge in file order whose name contains the team's."""
     root = build(spark, sf_dir, "league")
@@ -245,7 +287,8 @@ def enrich_players(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (pipeline_matches, pipeline_statistics, pipeline_trends, pipeline_seasons, pipeline_standings,
-                                   pipeline_quarantine, enrich_teams, enrich_players)}
+                                   pipeline_quarantine, pipeline_rerun, pipeline_load_states, summary_without_fixtures,
+                                   enrich_teams, enrich_players)}
 
 # what the written path of each query exercises
 COVERS = {
@@ -254,6 +297,9 @@ COVERS = {
     "pipeline_trends": "SRC6 SNK1 SNK3 PRJ12 Q-MATCH Q-TREND",
     "pipeline_standings": "SRC1 SRC2 SRC8 SNK2 SNK3 SNK4 PRJ1 PRJ4 PRJ6 PRJ7 Q-STAND (Q7: conformed names)",
     "pipeline_quarantine": "SRC1 SNK2",
+    "pipeline_rerun": "SRC3 SRC4 SNK2 SNK3 SNK4 JN6 PRJ8 Q-MATCH",
+    "pipeline_load_states": "SRC4 SRC5 SRC6",
+    "summary_without_fixtures": "SRC7 SRC9 SNK1 Q-SUM",
     "enrich_teams": "SRC8 FZ1 FZ2 FZ4 FZ5 FZ6 JN3 JN5 SC5 PRJ14 PRJ15 Q-ENR",
     "enrich_players": "SRC8 FZ1 FZ2 FZ4 FZ5 FZ6 JN3 JN5 SC4 SC5 Q-ENR",
     "pipeline_seasons": "SRC4 SNK3 FLT1 PRJ6 PRJ7 Q-SEAS",
@@ -273,6 +319,8 @@ _MATCHES = f"""
     SELECT *, row_number() OVER (PARTITION BY team_name, match_date, opponent ORDER BY load_date DESC, home_away DESC,
       result_status DESC NULLS LAST, goals_scored DESC, goals_conceded DESC, xg_for DESC NULLS LAST) AS rn
     FROM ({_TEAM_ROWS})) WHERE rn = 1"""
+_UNDATED = _TEAM_ROWS.replace("ld = 0 OR o_custkey % 3 <> 0", "ld = 0").replace(
+    "CAST(o_orderdate AS DATE) AS match_date", f"CASE WHEN o_orderkey % {UNDATED} <> 0 THEN CAST(o_orderdate AS DATE) END AS match_date")
 # statistics keep one row per load (their key holds the time of the load)
 _STATISTICS = f"""
   SELECT CAST(o_custkey AS VARCHAR) AS team_name, o_orderstatus AS situation, CAST(count(*) AS VARCHAR) AS shots,
@@ -308,6 +356,16 @@ ORACLE_SQL = {
   SELECT 'league' AS part, DATE '{LOADS[1][0]}' AS load_date, CAST(1 AS BIGINT) AS documents, CAST(1 AS BIGINT) AS texts
   UNION ALL SELECT 'teams', load_date, count(DISTINCT o_custkey), count(DISTINCT o_custkey) FROM orders, {_LOADS_SQL}
   WHERE (ld = 0 OR o_custkey % 3 <> 0) AND o_custkey % {BROKEN} = 0 GROUP BY load_date""",
+    "pipeline_rerun": f"""
+  SELECT {", ".join(RERUN_COLUMNS)} FROM ({_UNDATED}) WHERE match_date IS NULL
+  UNION ALL SELECT {", ".join(RERUN_COLUMNS)} FROM ({_MATCHES.replace(_TEAM_ROWS, _UNDATED)}) WHERE match_date IS NOT NULL""",
+    "pipeline_load_states": f"""
+  SELECT 'teams' AS part, '{LOADS[0][0]}' AS load_date, '{ledger.MERGED}' AS state, count(DISTINCT o_custkey) AS teams FROM orders
+  UNION ALL SELECT 'teams', '{LOADS[1][0]}', '{ledger.NEW}', count(DISTINCT o_custkey) FROM orders WHERE o_custkey % 3 <> 0
+  UNION ALL SELECT x, NULL, '{ledger.NO_LOAD}', 0 FROM (VALUES ('league'), ('players')) AS v(x)""",
+    "summary_without_fixtures": f"""
+  SELECT rank, team_name, points, '{gold.NO_FIXTURE_OPPONENT}' AS next_opponent, '{gold.NO_FIXTURE_SIDE}' AS next_home_away
+  FROM ({testbed.ORACLE_SQL["gold_team_summary"]})""",
     "enrich_players": f"""
   SELECT player_name, appearances, ' PLÁYER ' || s_suppkey AS profile, 'club ' || s_suppkey AS club,
          CASE WHEN s_suppkey % 2 = 0 THEN 'FW' END AS position, CAST(NULL AS VARCHAR) AS nationality

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.casts import parse_match_date, parse_timestamp, to_double, to_int, to_int_truncated
+from ..operators import ledger
 from ..operators.nested import cell, explode_records
 from ..operators.reshape import flatten_roster
 from ..operators.upsert import merge_into, merge_source, overwrite
@@ -165,7 +166,8 @@ def read_aliases(spark: SparkSession, bronze_root: str, glob: str | None = "*.js
 
 
 def run_silver(spark: SparkSession, bronze_root: str, silver_root: str,
-               parts: tuple[str, ...] = PARTS, multiline: bool = True, glob: str | None = "*.json") -> dict[str, int]:
+               parts: tuple[str, ...] = PARTS, multiline: bool = True, glob: str | None = "*.json",
+               only_new: bool = False) -> dict[str, int]:
     """Read bronze, build the silver tables of `parts` and merge each into
     `<silver_root>/<table>`. Returns the snapshot version written per table.
 
@@ -175,11 +177,17 @@ def run_silver(spark: SparkSession, bronze_root: str, silver_root: str,
     goes to the table `quarantine`, one row per file and text. Names of teams are
     conformed by `<bronze>/aliases`, if there is such a folder (Q7). `multiline=False` reads
     JSON Lines, as `export.write_bronze` writes them, instead of one document a file.
+    The loads of each part are noted in `<silver_root>/loads` (`operators.ledger`);
+    `only_new` leaves out the parts whose loads were merged already as they are.
     """
     b, s = bronze_root.rstrip("/"), silver_root.rstrip("/")
     out: dict[str, int] = {}
     aliases = read_aliases(spark, b, glob)
 
+    found = {p: ledger.marks(spark, b, p, newest=p != "league") for p in parts}     # listed before anything is read
+    if only_new:
+        parts = tuple(p for p in parts if not ledger.all_merged(spark, s, found[p]))
+
     def whole(part: str, schema, newest: bool) -> DataFrame:
         """The part's documents, parsed once and stored; those that don't parse go to the quarantine table."""
         load = newest_load(spark, f"{b}/{part}")
@@ -195,6 +203,7 @@ def run_silver(spark: SparkSession, bronze_root: str, silver_root: str,
         league = whole("league", schemas.LEAGUE_DOC, newest=False)
         out["league_standings"] = merge_into(spark, f"{s}/league_standings", league_standings(league, aliases=aliases),
                                              schemas.KEYS["league_standings"], "load_date", ["updated_at"])
+        ledger.record(spark, s, found["league"])
     if "teams" in parts:
         teams = whole("teams", schemas.TEAM_DOC, newest=True)
         out["team_matches"] = merge_into(spark, f"{s}/team_matches", team_matches(teams, aliases),
@@ -203,10 +212,12 @@ def run_silver(spark: SparkSession, bronze_root: str, silver_root: str,
                                             schemas.KEYS["team_statistics"], "updated_at")
         # fixtures move between loads: replace the schedule instead of merging it
         out["team_fixtures"] = overwrite(spark, team_fixtures(teams, aliases), f"{s}/team_fixtures")
+        ledger.record(spark, s, found["teams"])
     if "players" in parts:
         players = whole("players", schemas.PLAYER_DOC, newest=True)
         out["player_seasons"] = merge_into(spark, f"{s}/player_seasons", player_seasons(players, aliases),
                                            schemas.KEYS["player_seasons"], "load_date", ["updated_at"])
         out["player_matches"] = merge_into(spark, f"{s}/player_matches", player_matches(players),
                                            schemas.KEYS["player_matches"], "load_date", ["updated_at", "player_url"])
+        ledger.record(spark, s, found["players"])
     return out
