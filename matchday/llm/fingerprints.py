@@ -81,14 +81,19 @@ def syncmers(words: Column, run: int = RUN, inner: int = INNER) -> Column:
 
 def anchors(text: Column, run: int = RUN, inner: int = INNER, kept: int = KEPT) -> Column:
     """The least distinct syncmer hashes of a text, ascending, each with the place of its first run."""
+    # one long holds hash and place, so that numbers are sorted
+    hash_of = lambda x: F.shiftright(x, 32)
+
     def first(a: Column) -> Column:
-        return F.filter(a, lambda x, i: (i == 0) | (F.get(a, i - 1)["hash"] != x["hash"]))
+        return F.filter(a, lambda x, i: (i == 0) | (hash_of(F.get(a, i - 1)) != hash_of(x)))
 
     def least(h: Column) -> Column:
-        found = F.transform(syncmers(h, run, inner), lambda x: F.struct(x["hash"].alias("hash"), x["place"].alias("place")))
-        whole = F.array(F.struct(F.hash(h).alias("hash"), F.lit(0).alias("place")))
-        return _bound(F.slice(_bound(F.sort_array(found), first), 1, kept),
-                      lambda a: F.when((F.size(a) == 0) & (F.size(h) > 0), whole).otherwise(a))
+        found = F.transform(syncmers(h, run, inner), lambda x: F.shiftleft(x["hash"].cast("long"), 32).bitwiseOR(x["place"].cast("long")))
+        whole = F.array(F.shiftleft(F.hash(h).cast("long"), 32))
+        packed = _bound(F.slice(_bound(F.sort_array(found), first), 1, kept),
+                        lambda a: F.when((F.size(a) == 0) & (F.size(h) > 0), whole).otherwise(a))
+        return F.transform(packed, lambda x: F.struct(hash_of(x).cast("int").alias("hash"),
+                                                      x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("place")))
     return _bound(symbols(F.coalesce(text, F.lit("")), run), least)
 
 
@@ -127,9 +132,11 @@ def likeness(a: Column, b: Column, kept: int = KEPT) -> Column:
     return _bound(F.slice(F.sort_array(F.array_union(a, b)), 1, kept), share)
 
 
-def with_next(rows: DataFrame, carried: list[str]) -> DataFrame:
+def with_next(rows: DataFrame, carried: list[str], computed: dict[str, Column]) -> DataFrame:
     """`rows(did, tie, ...)` with `next`, a struct of the `carried` columns of the row that follows by (did, tie).
 
+    The `computed` columns are added once the guests are found, so that each row's are computed once.
+
     Rows are dealt to ranges of `did` and ordered inside each; the first row of
     every range is also placed after the last row of the range before. The
     number of ranges follows the number of shuffle partitions.
@@ -149,7 +156,7 @@ def with_next(rows: DataFrame, carried: list[str]) -> DataFrame:
     guests = (rows.join(F.broadcast(firsts), ["range", "did", "tie"])
               .dropDuplicates(["range", "did", "tie"]).withColumn("range", F.col("before")).drop("before")
               .withColumn("guest", F.lit(1)))
-    every = rows.withColumn("guest", F.lit(0)).unionByName(guests)
+    every = rows.withColumn("guest", F.lit(0)).unionByName(guests).withColumns(computed)
     follow = Window.partitionBy("range").orderBy("guest", "did", "tie")
     return (every.withColumn("next", F.lead(F.struct(*carried)).over(follow)).filter("guest = 0")
             .drop("guest", "range"))
@@ -163,10 +170,10 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text, and of it with its second half taken from the next text; their likeness."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("did"), F.xxhash64(text).alias("tie"),
-                       text.alias("body"), anchors(text).alias("own"))
+                       text.alias("body"))
     n = F.char_length("body").cast("long")
     half = F.floor(n / 2).cast("int")
-    rows = with_next(rows, ["body", "own"])
+    rows = with_next(rows, ["body", "own"], {"own": anchors(F.col("body"))})
     rows = rows.select(
         F.when(F.col("did") != _NO_ID, F.col("did")).alias("doc_id"), n.alias("n_chars"), "own",
         F.concat(F.substring(F.col("body"), F.lit(1), n.cast("int") - half),
