@@ -8,8 +8,8 @@ which is
 `whenMatchedUpdateAll + whenNotMatchedInsertAll`: matched target rows
 are replaced by the source row, unmatched source rows are inserted, other
 target rows are kept. Null keys never compare equal, so null-key rows are
-inserted and kept like rows with keys of their own; but a target row that equals
-such a source row in every column is that row, so that a rerun adds nothing.
+inserted and kept like rows with keys of their own; but in a merge a target row that
+equals such a source row in every column is that row, so that a rerun adds nothing.
 
 A table is a directory of immutable snapshots `<path>/snapshot=<n>`; a merge
 reads snapshot n and writes n+1, so no job overwrites the files it reads.
@@ -61,19 +61,25 @@ def _null_key_solo(keys: Sequence[str]):
     return F.when(_any_null(keys), F.monotonically_increasing_id())
 
 
-def not_replaced(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
+def has_null_keys(source: DataFrame, keys: Sequence[str]) -> bool:
+    return not source.filter(_any_null(keys)).isEmpty()
+
+
+def not_replaced(target: DataFrame, source: DataFrame, keys: Sequence[str], null_keys: bool) -> DataFrame:
     """The target rows that no source row replaces (JN6): an anti-join on the source's distinct keys.
 
-    Rows with a null key also carry their whole text to the comparison, so that they
-    are replaced by equal rows only; for others that text is null and costs nothing.
+    With `null_keys` (the source has rows with a null key) the target's rows with a
+    null key are compared with these as a whole, in a branch of their own, so that
+    the keyed rows keep their partitioning.
     """
-    row = F.to_json(F.struct(*(F.col(f"`{c}`") for c in target.columns)), {"ignoreNullFields": "false"})
-    whole = F.when(_any_null(keys), row)
-    named = {f"_k{i}": F.col(f"`{k}`") for i, k in enumerate(keys)}
-    loaded = source.select(*(c.alias(n) for n, c in named.items()), whole.alias("_whole")).distinct()
-    same = reduce(lambda a, b: a & b, (c.eqNullSafe(F.col(n)) for n, c in named.items()))
-    rows = target.withColumn("_row", whole)
-    return rows.join(loaded, same & F.col("_row").eqNullSafe(F.col("_whole")), "left_anti").select(*target.columns)
+    keys = list(keys)
+    kept = target.join(source.select(*keys).distinct(), keys, "left_anti").select(*target.columns)
+    if not null_keys:
+        return kept
+    row = F.to_json(F.struct(*(F.col(f"`{c}`") for c in target.columns)), {"ignoreNullFields": "false"}).alias("_row")
+    lone = target.filter(_any_null(keys)).select(*target.columns, row)
+    again = source.filter(_any_null(keys)).select(row).distinct()
+    return kept.filter(~_any_null(keys)).unionByName(lone.join(again, "_row", "left_anti").select(*target.columns))
 
 
 def merge_source(source: DataFrame, keys: Sequence[str], order_col: str = "updated_at",
@@ -103,19 +109,20 @@ def strict_source(source: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
            order_col: str = "updated_at", tiebreak: Sequence[str] = (),
-           dedupe: bool = True) -> DataFrame:
+           dedupe: bool = True, null_keys: bool = False) -> DataFrame:
     """Update-all / insert-all merge of `source` into `target` on `keys` (SNK2, JN6, JN7, SET3).
 
     Every source row is kept (after the latest-wins de-duplication), a target row
     only when no source row has its key. The keys of a small load are broadcast
     by the planner's size check, and then the target isn't shuffled at all. Both
-    sides must have the same columns: nothing is filled with nulls.
+    sides must have the same columns: nothing is filled with nulls. `null_keys`: the
+    source has rows with a null key, and target rows that equal one are replaced by it.
     """
     keys = list(keys)
     if set(source.columns) != set(target.columns):
         raise UnknownColumnError(f"source and target differ in columns {sorted(set(source.columns) ^ set(target.columns))}")
     src = merge_source(source, keys, order_col, tiebreak) if dedupe else source
-    return src.unionByName(not_replaced(target, source, keys))
+    return src.unionByName(not_replaced(target, source, keys, null_keys))
 
 
 # --- snapshot tables -------------------------------------------------------------------------
@@ -179,7 +186,7 @@ def merge_into(spark: SparkSession, path: str, source: DataFrame, keys: Sequence
         nv = 0
     else:
         target = read_version(spark, path, v)
-        out = upsert(target, source, keys, order_col, tiebreak)
+        out = upsert(target, source, keys, order_col, tiebreak, null_keys=has_null_keys(source, keys))
         nv = v + 1
     write_snapshot(out, path, nv)
     return nv
