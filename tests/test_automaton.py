@@ -50,3 +50,24 @@ def test_rule_one_explodes_no_grams(spark):
     out = resolve.resolve_keys(names, choices, cutoff=None)
     assert "Generate explode(filter" not in plan_text(out) and "FlatMapCoGroupsInArrow" in plan_text(out)
     assert [tuple(r) for r in out.collect()] == [("ramos", "ayo ramos", "contains", None)]
+
+
+def test_long_strings_short_names_and_hot_buckets_equal_brute_force(spark):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    long = [word(rng.randint(33, 70)) for _ in range(30)]
+    names = sorted({"a", "b", "abc", *(x[rng.randint(0, 5):rng.randint(28, 60)] for x in long[:20]), *long[:3], *(word(5) for _ in range(40))})
+    choices = [(c, p) for p, c in enumerate(rng.sample(sorted({*long, *(word(rng.randint(1, 40)) for _ in range(60)), *("x" * 40 + w for w in long)}), 100))]
+    for block in (50, 700):
+        got = {r.name: (r.choice, r.position) for r in automaton.first_containing(frame(spark, names, choices), block).collect()}
+        assert got == brute(names, choices)
+
+
+def test_what_is_dealt_grows_with_the_strings(spark):
+    """Four times the strings in blocks of the same size: four times the rows, not sixteen."""
+    def rows(n):
+        df = frame(spark, [f"team {i:09d}" for i in range(n)], [(f"team {i:09d}", i) for i in range(0, n, 2)])
+        return automaton.dealt(df, n // 50)[1].count()
+    assert 0 < rows(800) <= 4 * rows(200)
+    df = frame(spark, [f"team {i:09d}" for i in range(800)], [(f"team {i:09d}", i) for i in range(0, 800, 2)])
+    assert automaton.first_containing(df, 700).count() == 400
