@@ -146,6 +146,13 @@ class Model:
 def fit(f: Features, labels: np.ndarray, bits: int = BITS, factors: int = FACTORS, steps: int = STEPS,
         rate: float = 0.3, decay: float = 1e-5, batch: int = 256, seed: int = 0) -> Model:
     """Logistic loss by Adagrad over mini-batches; the order of rows is drawn from `seed`."""
+    at = np.searchsorted(f.rows, np.arange(len(labels) + 1))
+    return _fit(at[:-1], np.diff(at), f.buckets, f.values, f.stats, labels, bits, factors, steps, rate, decay, batch, seed)
+
+
+def _fit(starts: np.ndarray, counts: np.ndarray, buckets: np.ndarray, values: np.ndarray, stats: np.ndarray, labels: np.ndarray, bits: int,
+         factors: int, steps: int, rate: float = 0.3, decay: float = 1e-5, batch: int = 256, seed: int = 0) -> Model:
+    """`fit` on rows whose words lie at `starts`, in any order; only a mini-batch of them is copied."""
     n, k, m = len(labels), 1 << bits, len(STATS)
     rng = np.random.default_rng(seed)
     prior = (labels.sum() + 1) / (n + 1)
@@ -154,19 +161,18 @@ def fit(f: Features, labels: np.ndarray, bits: int = BITS, factors: int = FACTOR
     if n == 0 or labels.min() == labels.max():
         model.v[:] = 0
         return model
-    model.mean, model.scale = f.stats.mean(0), f.stats.std(0) + 1e-6
-    x = model.dense(f.stats)
-    at = np.searchsorted(f.rows, np.arange(n + 1))
+    model.mean, model.scale = stats.mean(0), stats.std(0) + 1e-6
+    x = model.dense(stats)
     gw, gv, g0 = np.full(k + m, 1e-2), np.full((k + m, factors), 1e-2), 1e-2
     for _ in range(-(-steps // -(-n // batch))):
         order = rng.permutation(n)
         for lo in range(0, n, batch):
             rows = order[lo:lo + batch]
             b = len(rows)
-            length = at[rows + 1] - at[rows]
-            pos = common.ragged(at[rows], length)
+            length = counts[rows]
+            pos = common.ragged(starts[rows], length)
             local = np.repeat(np.arange(b), length)
-            bucket, value, dense = f.buckets[pos], f.values[pos], x[rows]
+            bucket, value, dense = buckets[pos].astype(np.int64), values[pos].astype(np.float64), x[rows]
             vw, vd = model.v[bucket] * value[:, None], model.v[k:]
             s = np.stack([np.bincount(local, weights=vw[:, j], minlength=b) for j in range(factors)], 1) + dense @ vd
             q = np.stack([np.bincount(local, weights=vw[:, j] ** 2, minlength=b) for j in range(factors)], 1) \
@@ -230,21 +236,24 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     rows = texts.join(F.broadcast(sample), "doc_id")       # at most max_rows ids
     # an id that occurs often counts once
     rows = rows.dropDuplicates(["doc_id"]).select("label", "text")
-    got = rows.mapInArrow(_feature_rows(bits), FEATURE_SCHEMA).toArrow().combine_chunks()
-    y = got.column("label").to_numpy()
-    lists = got.column("buckets")
-    counts = np.array([len(x) for c in lists.chunks for x in c], np.int64) if len(y) else np.zeros(0, np.int64)
-
-    def flat(name):
-        return got.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False) if len(y) else np.zeros(0)
-    f = Features(np.repeat(np.arange(len(y)), counts), flat("buckets").astype(np.int64),
-                 flat("weights").astype(np.float64), flat("stats").reshape(len(y), len(STATS)))
+    # the driver has these columns once, in the types they come in: ids and weights take 8 bytes together
+    got = rows.mapInArrow(_feature_rows(bits), FEATURE_SCHEMA).toArrow()
+    y, stats = got.column("label").to_numpy(), np.zeros((0, len(STATS)))
+    if len(y):
+        stats = np.concatenate([c.flatten().to_numpy() for c in got.column("stats").chunks]).reshape(len(y), len(STATS))
     # the order that rows arrive in must not matter
-    order = np.lexsort((f.stats[:, 0], f.stats[:, len(_CLASSES)], y)) if len(y) else np.zeros(0, np.int64)
-    at = np.concatenate([[0], np.cumsum(counts)])
-    pos = common.ragged(at[order], counts[order])
-    f = Features(np.repeat(np.arange(len(y)), counts[order]), f.buckets[pos], f.values[pos], f.stats[order])
-    return fit(f, y[order], bits, factors, steps)
+    order = np.lexsort((stats[:, 0], stats[:, len(_CLASSES)], y)) if len(y) else np.zeros(0, np.int64)
+    at, buckets, values = [np.zeros(1, np.int64)], [], []
+    for c in got.column("buckets").chunks:
+        at.append(at[-1][-1] + np.cumsum(c.value_lengths().to_numpy(zero_copy_only=False)))
+        buckets.append(c.flatten().to_numpy())
+    for c in got.column("weights").chunks:
+        values.append(c.flatten().to_numpy())
+    at = np.concatenate(at)
+    buckets = np.concatenate(buckets) if buckets else np.zeros(0, np.int32)
+    values = np.concatenate(values) if values else np.zeros(0, np.float32)
+    del got
+    return _fit(at[:-1][order], np.diff(at)[order], buckets, values, stats[order], y[order], bits, factors, steps)
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:

@@ -72,3 +72,18 @@ def test_sample_is_bounded_and_leaves_out_the_held_out(spark):
     labels = spark.range(2000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
     got = [r.doc_id for r in quality.labelled_sample(labels, max_rows=100).collect()]
     assert len(got) == 100 and all(zlib.crc32(str(d).encode()) % 4 != 2 for d in got)
+
+
+def test_rows_are_fitted_where_they_lie_in_the_types_they_come_in():
+    texts = [f"{'good words here' if i % 2 else 'BAD | bad'} {i % 7}" for i in range(300)]
+    f, y = features(texts), np.arange(300) % 2 * 1.0
+    f.values = f.values.astype(np.float32).astype(np.float64)
+    want = quality.fit(f, y, bits=8, steps=20)
+    # the same rows, stored backwards, as numbers of 4 bytes
+    at = np.searchsorted(f.rows, np.arange(301))
+    counts = np.diff(at)[::-1]
+    pos = quality.common.ragged(at[:-1][::-1], counts)
+    starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+    got = quality._fit(starts[::-1], counts[::-1], f.buckets[pos].astype(np.int32), f.values[pos].astype(np.float32), f.stats, y, 8,
+                       quality.FACTORS, 20)
+    assert got.w0 == want.w0 and np.array_equal(got.w, want.w) and np.array_equal(got.v, want.v)
