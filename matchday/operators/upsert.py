@@ -79,7 +79,8 @@ def not_replaced(target: DataFrame, source: DataFrame, keys: Sequence[str], null
     row = F.to_json(F.struct(*(F.col(f"`{c}`") for c in target.columns)), {"ignoreNullFields": "false"}).alias("_row")
     lone = target.filter(_any_null(keys)).select(*target.columns, row)
     again = source.filter(_any_null(keys)).select(row).distinct()
-    return kept.filter(~_any_null(keys)).unionByName(lone.join(again, "_row", "left_anti").select(*target.columns))
+    # whole rows as text are small when compressed and large once broadcast: they stay where they lie
+    return kept.filter(~_any_null(keys)).unionByName(lone.join(again.hint("merge"), "_row", "left_anti").select(*target.columns))
 
 
 def merge_source(source: DataFrame, keys: Sequence[str], order_col: str = "updated_at",
@@ -174,19 +175,20 @@ def overwrite(spark: SparkSession, df: DataFrame, path: str) -> int:
 
 
 def merge_into(spark: SparkSession, path: str, source: DataFrame, keys: Sequence[str],
-               order_col: str = "updated_at", tiebreak: Sequence[str] = (), strict: bool = False) -> int:
+               order_col: str = "updated_at", tiebreak: Sequence[str] = (), strict: bool = False, latest: bool = False) -> int:
     """Create-or-merge (SNK3): first load writes the de-duplicated source, later
     loads upsert into the current snapshot. Returns the version written.
-    `strict`: a source with two rows for one key fails, and nothing is written."""
+    `strict`: a source with two rows for one key fails, and nothing is written.
+    `latest`: the source comes from `merge_source` with the same arguments, and isn't de-duplicated (and shuffled) again."""
     if strict:
         source = strict_source(source, keys)
     v = latest_version(spark, path)
     if v is None:
-        out = merge_source(source, keys, order_col, tiebreak)
+        out = source if latest else merge_source(source, keys, order_col, tiebreak)
         nv = 0
     else:
         target = read_version(spark, path, v)
-        out = upsert(target, source, keys, order_col, tiebreak, null_keys=has_null_keys(source, keys))
+        out = upsert(target, source, keys, order_col, tiebreak, dedupe=not latest, null_keys=has_null_keys(source, keys))
         nv = v + 1
     write_snapshot(out, path, nv)
     return nv

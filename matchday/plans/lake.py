@@ -25,7 +25,7 @@ from .. import schemas
 from ..operators.export import stamp, write_bronze
 from ..operators import ledger
 from ..operators.upsert import overwrite, read_latest
-from ..session import shared_dir
+from ..session import materialize, shared_dir
 from ..sources.documents import read_documents, read_rows
 from ..sources.tables import read_table, register_view
 from . import enrich, gold, silver, testbed
@@ -59,24 +59,30 @@ UNDATED = 13             # every so many matches of `pipeline_rerun` has no date
 def team_documents(spark: SparkSession, sf_dir: str, date: str, load: int, undated: int = 0) -> DataFrame:
     """Team documents of a load; every `undated`-th match has a text instead of its date (0: none)."""
     o = read_table(spark, sf_dir, "orders").filter(_in_load(F.col("o_custkey"), load))
-    goals, day = F.floor(F.col("o_totalprice") / 50_000) + load, F.date_format("o_orderdate", "MMM d, yyyy")
-    result = _fields(schemas.RESULT_FIELDS, {
-        "date": F.when(F.col("o_orderkey") % undated == 0, "postponed").otherwise(day) if undated else day, "opponent": F.col("o_orderpriority"),
-        "side": F.when(F.col("o_orderkey") % 2 == 0, "h").otherwise("a"),
-        # no status: the field is left out of the document
-        "result": F.when(F.col("o_orderdate") < F.lit(AS_OF).cast("timestamp_ntz"), F.lower("o_orderstatus")),
-        "team_score": goals.cast("string"), "opponent_score": (F.col("o_orderkey") % 5).cast("string"),
-        # blank for every seventh
-        "team_xg": F.when(F.col("o_orderkey") % 7 == 0, "").otherwise((F.col("o_orderkey") % 100 / 4).cast("string"))})
+    raw = ("o_orderkey", "o_orderdate", "o_totalprice", "o_orderstatus", "o_orderpriority")
+
+    def result(o):
+        key, goals, day = o["o_orderkey"], F.floor(o["o_totalprice"] / 50_000) + load, F.date_format(o["o_orderdate"], "MMM d, yyyy")
+        return _fields(schemas.RESULT_FIELDS, {
+            "date": F.when(key % undated == 0, "postponed").otherwise(day) if undated else day, "opponent": o["o_orderpriority"],
+            "side": F.when(key % 2 == 0, "h").otherwise("a"),
+            # no status: the field is left out of the document
+            "result": F.when(o["o_orderdate"] < F.lit(AS_OF).cast("timestamp_ntz"), F.lower(o["o_orderstatus"])),
+            "team_score": goals.cast("string"), "opponent_score": (key % 5).cast("string"),
+            # blank for every seventh
+            "team_xg": F.when(key % 7 == 0, "").otherwise((key % 100 / 4).cast("string"))})
     stat = F.create_map(*[x for f, v in {
         "№": F.lit("1"), "Situation": F.col("o_orderstatus"), "Sh": F.col("n").cast("string"), "G": (F.col("n") + load).cast("string"),
         "xG": F.lit(""), "Clearances": (F.col("n") * 2).cast("string")}.items() for x in (F.lit(f), v)])
     stats = o.groupBy("o_custkey", "o_orderstatus").agg(F.count(F.lit(1)).alias("n")).groupBy("o_custkey").agg(
         F.collect_list(stat).alias("statistics"))
-    # several documents per team, so that a customer with very many orders is no single row; one more holds its statistics
-    parts = F.lit(-(-o.count() // PER_DOCUMENT) or 1)
-    part = F.pmod(F.xxhash64("o_orderkey", "o_totalprice"), parts).alias("part")
-    results = o.groupBy("o_custkey", part).agg(F.collect_list(result).alias("results"))
+    # several documents for a team with very many orders, so that it is no single row; one more holds its statistics
+    hot = o.groupBy(F.col("o_custkey").alias("hot")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PER_DOCUMENT).select(
+        "hot", (F.ceil(F.col("n") / PER_DOCUMENT) * 3).alias("parts"))
+    part = F.pmod(F.xxhash64("o_orderkey", "o_totalprice"), F.coalesce("parts", F.lit(1))).alias("part")
+    # a row of `hot` for so many orders at least
+    results = o.join(F.broadcast(hot), F.col("o_custkey").eqNullSafe(F.col("hot")), "left").groupBy("o_custkey", part).agg(
+        F.collect_list(F.struct(*raw)).alias("raw")).select("o_custkey", F.transform("raw", result).alias("results"))    # texts come last: they are wide
     docs = results.select("o_custkey", "results", F.array().cast(stats.schema["statistics"].dataType).alias("statistics")).union(
         stats.select("o_custkey", F.array().cast(results.schema["results"].dataType), "statistics"))
     return _documents(docs.select(F.col("o_custkey").cast("string").alias("team_name"), "results", "statistics"), date)
@@ -108,7 +114,8 @@ def league_documents(spark: SparkSession, sf_dir: str, load: int) -> DataFrame:
     o = read_table(spark, sf_dir, "orders").groupBy("o_custkey").agg(      # customers are joined to sums, not to orders
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("w"),
         F.count_if(F.col("o_orderstatus") == "O").alias("d"))
-    c = read_table(spark, sf_dir, "customer").join(o, F.col("c_custkey") == F.col("o_custkey")).groupBy("c_nationkey").agg(
+    # as many sums as customers: they are joined where they lie, not sent to the driver
+    c = read_table(spark, sf_dir, "customer").join(o.hint("merge"), F.col("c_custkey") == F.col("o_custkey")).groupBy("c_nationkey").agg(
         *[F.sum(x).alias(x) for x in ("n", "w", "d")])
     t = nation.join(c, nation.n_nationkey == c.c_nationkey).join(region, nation.n_regionkey == region.r_regionkey)
     name = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("Équipe "), F.initcap("n_name"))).otherwise(F.col("n_name"))
@@ -123,7 +130,8 @@ def league_documents(spark: SparkSession, sf_dir: str, load: int) -> DataFrame:
 
 
 def _write_text(df: DataFrame, path: str) -> None:
-    """One file per row of `df(name, value)`: small sets of documents as they lie on disk."""
+    """One file per row of `df(name, value)`: small sets of documents as they lie on disk. `df` is computed once."""
+    df = materialize(df)
     for r in df.select(df.columns[0]).distinct().collect():
         one = df.filter(F.col(df.columns[0]) == r[0]).select("value").coalesce(1)
         one.write.mode("append").option("lineSep", "\n").text(path)
@@ -153,10 +161,10 @@ def _league(spark: SparkSession, sf_dir: str, root: str) -> None:
 def _reruns(spark: SparkSession, sf_dir: str, root: str) -> None:
     """One load merged three times over, in part without keys; another one lies there and isn't merged yet."""
     (date, load), (later, after) = LOADS
-    write_bronze(team_documents(spark, sf_dir, date, load, UNDATED), f"{root}/bronze/teams")
+    write_bronze(team_documents(spark, sf_dir, date, load, UNDATED), f"{root}/bronze/teams", "gzip")
     for only_new in (False, False, True):
         silver.run_silver(spark, f"{root}/bronze", f"{root}/silver", ("teams",), multiline=False, glob=None, only_new=only_new)
-    write_bronze(team_documents(spark, sf_dir, later, after), f"{root}/bronze/teams")
+    write_bronze(team_documents(spark, sf_dir, later, after), f"{root}/bronze/teams", "gzip")
 
 
 _BUILT: dict[tuple, str] = {}
@@ -176,7 +184,7 @@ def build(spark: SparkSession, sf_dir: str, part: str) -> str:
         make = {"teams": team_documents, "players": player_documents}[part]
         for date, load in LOADS:
             docs = make(spark, sf_dir, date, load)
-            write_bronze(docs, f"{root}/bronze/{part}")
+            write_bronze(docs, f"{root}/bronze/{part}", "gzip")
             if part == "teams":
                 cut_off(docs).write.mode("append").partitionBy("load_date").text(f"{root}/bronze/{part}")
             silver.run_silver(spark, f"{root}/bronze", f"{root}/silver", (part,), multiline=False, glob=None)

@@ -60,7 +60,7 @@ def build(spark: SparkSession, sf_dir: str) -> str:
         make(spark, sf_dir, team) for make in (testbed.result_documents, testbed.fixture_documents, testbed.statistics_documents)))
     for part, docs in (("league", testbed.league_documents(spark, sf_dir, team)), ("teams", teams),
                        ("players", testbed.player_documents(spark, sf_dir, player))):
-        write_bronze(docs.withColumnRenamed(META_RENAMED, META_COL), f"{bronze}/{part}")
+        write_bronze(docs.withColumnRenamed(META_RENAMED, META_COL), f"{bronze}/{part}", "gzip")
     _lists(read_table(spark, sf_dir, "customer").filter("c_custkey % 5 <> 4"), "c_custkey",
            F.struct(team("c_custkey").alias("team"), F.concat(F.lit("b/"), F.col("c_custkey"), F.lit(".png")).alias("badge_url")),
            f"{bronze}/badges")

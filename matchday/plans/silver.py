@@ -24,7 +24,7 @@ from ..operators.nested import cell, explode_records
 from ..operators.reshape import flatten_roster
 from ..operators.upsert import merge_into, merge_source, overwrite
 from ..sources.documents import POSITION, read_documents, read_rows, split_broken
-from ..session import materialize
+from ..session import materialize, stored
 from ..sources.snapshots import newest_load
 from ..sources.tables import optional_table
 from .enrich import alias_groups, conform
@@ -194,7 +194,7 @@ def run_silver(spark: SparkSession, bronze_root: str, silver_root: str,
         docs = read_documents(spark, f"{b}/{part}", schema, glob=glob, multiline=multiline, broken="keep")
         if newest:
             docs = docs.filter(F.col("load_date") == F.lit(load).cast("date"))
-        good, bad = split_broken(materialize(docs))
+        good, bad = split_broken(stored(docs, f"documents-{part}"))
         bad = bad.withColumn("part", F.lit(part))
         if not bad.isEmpty():
             out[QUARANTINE] = merge_into(spark, f"{s}/{QUARANTINE}", bad, schemas.KEYS[QUARANTINE], "load_date")
@@ -202,22 +202,22 @@ def run_silver(spark: SparkSession, bronze_root: str, silver_root: str,
     if "league" in parts:
         league = whole("league", schemas.LEAGUE_DOC, newest=False)
         out["league_standings"] = merge_into(spark, f"{s}/league_standings", league_standings(league, aliases=aliases),
-                                             schemas.KEYS["league_standings"], "load_date", ["updated_at"])
+                                             schemas.KEYS["league_standings"], "load_date", ["updated_at"], latest=True)
         ledger.record(spark, s, found["league"])
     if "teams" in parts:
         teams = whole("teams", schemas.TEAM_DOC, newest=True)
         out["team_matches"] = merge_into(spark, f"{s}/team_matches", team_matches(teams, aliases),
-                                         schemas.KEYS["team_matches"], "load_date", ["updated_at"])
+                                         schemas.KEYS["team_matches"], "load_date", ["updated_at"], latest=True)
         out["team_statistics"] = merge_into(spark, f"{s}/team_statistics", team_statistics(teams, aliases),
-                                            schemas.KEYS["team_statistics"], "updated_at")
+                                            schemas.KEYS["team_statistics"], "updated_at", latest=True)
         # fixtures move between loads: replace the schedule instead of merging it
         out["team_fixtures"] = overwrite(spark, team_fixtures(teams, aliases), f"{s}/team_fixtures")
         ledger.record(spark, s, found["teams"])
     if "players" in parts:
         players = whole("players", schemas.PLAYER_DOC, newest=True)
         out["player_seasons"] = merge_into(spark, f"{s}/player_seasons", player_seasons(players, aliases),
-                                           schemas.KEYS["player_seasons"], "load_date", ["updated_at"])
+                                           schemas.KEYS["player_seasons"], "load_date", ["updated_at"], latest=True)
         out["player_matches"] = merge_into(spark, f"{s}/player_matches", player_matches(players),
-                                           schemas.KEYS["player_matches"], "load_date", ["updated_at", "player_url"])
+                                           schemas.KEYS["player_matches"], "load_date", ["updated_at", "player_url"], latest=True)
         ledger.record(spark, s, found["players"])
     return out

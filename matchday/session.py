@@ -109,6 +109,17 @@ def ship_library(spark: SparkSession) -> None:
 _SHIPPED: set[str] = set()
 
 
+def stored(df, name: str):
+    """`df` written once as Parquet into the shared folder and read again.
+
+    For wide rows that repeat themselves (documents): a checkpoint keeps every row as
+    it lies in memory, Parquet a small part of that, and later scans read the columns they use.
+    """
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df):
     """Write `df` to the shared checkpoint dir and read it back (eager `checkpoint`).
 

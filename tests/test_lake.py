@@ -93,3 +93,37 @@ def test_newest_load_by_folder_names_and_empty_sources(spark, tmp_path):
     for part in ("league", "teams"):
         with pytest.raises(NoSnapshotError):
             silver.run_silver(spark, str(tmp_path), str(tmp_path / "silver"), (part,))
+
+
+def test_a_team_with_few_matches_has_one_document_of_them(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lake, "PER_DOCUMENT", 100)
+    rows = [(i, None if i % 5 == 4 else i % 200, "F", 1000.0, dt.datetime(1995, 1, 1), "1-URGENT") for i in range(2000)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+                                "o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    docs = lake.team_documents(spark, str(tmp_path), *lake.LOADS[0]).filter(F.size("results") > 0)
+    per_team = {r.team_name: (r.docs, r.n) for r in docs.groupBy("team_name").agg(
+        F.count(F.lit(1)).alias("docs"), F.sum(F.size("results")).alias("n")).collect()}
+    assert sum(n for _, n in per_team.values()) == 2000
+    assert all(d == 1 for t, (d, _) in per_team.items() if t is not None) and per_team[None][0] > 1
+
+
+def test_league_documents_are_computed_once_and_sums_stay_where_they_lie(spark, tmp_path):
+    from .conftest import plan_text
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(i):
+        seen.add(1)
+        return f"document {i}"
+    lake._write_text(spark.range(5).select(F.format_string("r%d", "id").alias("name"), text("id").alias("value")), f"{tmp_path}/docs")
+    assert seen.value == 5 and spark.read.text(f"{tmp_path}/docs").count() == 5
+    plan = plan_text(lake.league_documents(spark, "/root/testdata/sf0.001", 0))
+    assert "SortMergeJoin" in plan and not any("BroadcastHashJoin" in x and "custkey" in x for x in plan.split("\n\n"))
+
+
+def test_packed_documents_are_read_as_they_were(spark, tmp_path):
+    from matchday.operators.export import write_bronze
+    df = spark.createDataFrame([("Ñu", "2024-05-01"), ("b", "2024-05-01")], "a string, load_date string")
+    write_bronze(df, f"{tmp_path}/b", "gzip")
+    assert all(p.name.endswith(".json.gz") for p in tmp_path.glob("b/load_date=2024-05-01/part-*"))
+    assert {r.a for r in spark.read.schema("a string").json(f"{tmp_path}/b").collect()} == {"Ñu", "b"}

@@ -113,3 +113,26 @@ def test_other_errors_are_not_absence(spark, tmp_path):
     from matchday.sources.tables import optional_table
     with pytest.raises(AnalysisException):
         optional_table(lambda: spark.range(3).select("nope"))
+
+
+def test_a_source_of_latest_rows_is_shuffled_once(spark, tmp_path, monkeypatch):
+    from .conftest import plan_text
+    keys = ["k", "d"]
+    rows = [(i % 50, None if i % 7 == 0 else i % 3, i, i % 11) for i in range(400)]
+    df = spark.createDataFrame(rows, "k long, d long, updated_at long, v long")
+    plans, write = [], upsert.write_snapshot
+    monkeypatch.setattr(upsert, "write_snapshot", lambda out, path, version: (plans.append(plan_text(out)), write(out, path, version)))
+    for name, latest in (("again", False), ("once", True)):
+        for load in (df, df.withColumn("updated_at", F.col("updated_at") + 1000).filter("k < 20").unionByName(df.filter("k < 5"))):
+            upsert.merge_into(spark, f"{tmp_path}/{name}", upsert.merge_source(load, keys), keys, latest=latest)
+    got = [sorted(map(str, upsert.read_latest(spark, f"{tmp_path}/{n}").collect())) for n in ("again", "once")]
+    assert got[0] == got[1]
+    assert plans[2].count("Exchange hashpartitioning") + plans[2].count("hashpartitioning(k") < plans[0].count("Exchange hashpartitioning") + plans[0].count("hashpartitioning(k")
+
+
+def test_rows_without_a_key_are_not_sent_to_the_driver(spark):
+    from .conftest import plan_text
+    df = spark.createDataFrame([(1, 1), (None, 2)], "k long, v long")
+    left = upsert.not_replaced(df, df, ["k"], null_keys=True)
+    assert "_row" not in "".join(x for x in plan_text(left).split("\n\n") if "BroadcastHashJoin" in x)
+    assert left.collect() == []
