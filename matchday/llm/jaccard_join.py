@@ -6,8 +6,9 @@ Two texts link when `100 * intersection >= percent * union`. A linked text must
 hold at least T = ceil(percent * size) shingles of the other.
 
 1. Texts with equal sets are one class from here on.
-2. All shingles get one order, frequent ones last. Linked classes share at
-   least `SHARED` shingles among the first `size - T + SHARED` of each. These
+2. All shingles get one order, frequent ones last, the most frequent at the end
+   (as a sample of the rows has them; no result depends on it). Linked classes share
+   at least `SHARED` shingles among the first `size - T + SHARED` of each. These
    shingles are the keys of inverted lists; a list of one class is dropped.
 3. Pairs in short lists are counted; pairs that can't reach `SHARED` go. Classes
    in a long list are tied to its least class instead of to each other. What
@@ -44,8 +45,10 @@ WORDS = 5
 PERCENT = 80
 SHARED = 12                   # shared shingles asked for in step 2
 SHORT_LIST = 32               # longer lists are tied, not paired
-HOT_LIST = 100                # shingles more frequent than this are put last in the order
-HOT_KEPT = 50_000             # as many of them, the most frequent (this bounds a broadcast, no result depends on it)
+SAMPLE = 8                    # one row in so many is counted for the order of shingles
+HOT_LIST = 32                 # shingles more frequent than this, by the sample, are put last in the order
+HOT_KEPT = 1_000_000          # as many of them, the most frequent (nine bytes each in a broadcast)
+RANGES = 1024                 # of hashes, counted apart
 BLOCK_SHINGLES = 1_500_000    # shingles of a block in a task
 PROBED = 3000                 # lists above this length are probed, not merged
 _NO_ID = -(1 << 63)
@@ -113,52 +116,94 @@ def _batches(batches: Iterator[pa.RecordBatch], column: int):
             yield batch.slice(a, b - a), shingle_sets(buf[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
 
 
-def _classes(percent: int):
-    """Rows of kind 0: (did, class, size) of each text; of kind 1: a shingle that occurs often in this partition."""
-    def run(batches):
-        held, size = [], 0
-
-        def frequent():
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            many = counts > 1
-            k = int(many.sum())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.array(keys[many].view(np.int64)),
-                 pa.array(counts[many])], ["kind", "did", "class", "size"])
-        for batch, sets in _batches(batches, 1):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(len(sets), np.int32)), batch.column(0),
-                 pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
-                 pa.array([len(s) for s in sets], pa.int64())], ["kind", "did", "class", "size"])
-            for s in sets:
-                part = s[:len(s) - least_overlap(len(s), percent) + 1]
-                held.append(part)
-                size += len(part)
-            if size > 2_000_000:
-                yield frequent()
-                held, size = [], 0
-        if held:
-            yield frequent()
+def _classes(batches):
+    """(did, class, size) of each text."""
+    for batch, sets in _batches(batches, 1):
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
+             pa.array([len(s) for s in sets], pa.int64())], ["did", "class", "size"])
+
+
+def cells_of(shingles: np.ndarray) -> np.ndarray:
+    """The upper 42 bits of hashes: what is counted (range, and 32 bits in it)."""
+    return shingles >> U64(22)
+
+
+def _sampled(batches):
+    """(range, cells, many, times): the cells of a range, four bytes each, and which of them came more than once."""
+    def dealt(held):
+        cells, times = np.unique(cells_of(np.concatenate(held)), return_counts=True)
+        at = np.searchsorted(cells, np.arange(RANGES + 1, dtype=U64) << U64(32)).tolist()
+        low, times = cells.astype("<u4"), times.astype("<u4")
+        rows = []
+        for r, (i, j) in enumerate(zip(at, at[1:])):
+            if i < j:
+                many = times[i:j] > 1
+                rows.append((r, low[i:j].tobytes(), low[i:j][many].tobytes(), times[i:j][many].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 3))],
+                                          ["range", "cells", "many", "times"])
+    held, size = [], 0
+    for _, sets in _batches(batches, 0):
+        held.extend(sets)
+        size += sum(map(len, sets))
+        if size > 2_000_000:
+            yield dealt(held)
+            held, size = [], 0
+    if size:
+        yield dealt(held)
+
+
+def _counted_cells(least: int):
+    """(cell, grade) of the cells of a range that occur more than `least` times by the sample; the grade grows with the logarithm."""
+    def run(table: pa.Table) -> pa.Table:
+        cells, many, times = (np.frombuffer(b"".join(table[c].to_pylist()), "<u4") for c in ("cells", "many", "times"))
+        low, n = np.unique(cells, return_counts=True)
+        np.add.at(n, np.searchsorted(low, many), times.astype(np.int64) - 1)
+        often = n * SAMPLE > least
+        grade = np.minimum(255, 1 + 8 * np.log2(n[often] * SAMPLE / least)).astype(np.int32)
+        start = U64(table["range"][0].as_py()) << U64(32)
+        return pa.table({"cell": (low[often].astype(U64) + start).view(np.int64), "grade": grade})
     return run
 
 
-def _postings(hot, percent: int, shared: int):
-    """(shingle, class, size, hot) of the shingles that come first in each set."""
+def frequent_cells(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(cells, grades) of the most frequent shingles of `rows(text)`, `HOT_KEPT` at most, in order of cell."""
+    sample = rows.filter(F.pmod(F.monotonically_increasing_id(), F.lit(SAMPLE)) == 0).select("text")
+    found = common.stored(sample.mapInArrow(_sampled, "range int, cells binary, many binary, times binary")
+                          .groupBy("range").applyInArrow(_counted_cells(HOT_LIST), "cell long, grade int"), "frequent")
+    left, least = HOT_KEPT, 256
+    for grade, n in sorted(map(tuple, found.groupBy("grade").agg(F.count(F.lit(1))).collect()), reverse=True):     # 255 rows at most
+        left -= n
+        if left < 0:
+            break
+        least = grade
+    kept = found.filter(F.col("grade") >= least).toArrow()
+    cells, grades = kept["cell"].to_numpy().view(U64), kept["grade"].to_numpy().astype(np.uint8)
+    order = np.argsort(cells)
+    return cells[order], grades[order]
+
+
+def _postings(frequent, percent: int, shared: int):
+    """(shingle, class, size, hot) of the shingles that come first in each set; hot: among the frequent ones."""
     def run(batches):
-        last = hot.value
+        cells, grades = frequent.value
         for _, sets in _batches(batches, 0):
             keys, owner, sizes, flags = [], [], [], []
+            flat = np.concatenate(sets)
+            every = np.zeros(len(flat), np.uint8)
+            if len(cells):
+                at = np.minimum(np.searchsorted(cells, cells_of(flat)), len(cells) - 1)
+                every = np.where(cells[at] == cells_of(flat), grades[at], 0)
+            stop = 0
             for s in sets:
                 n = len(s)
+                grade, stop = every[stop:stop + n], stop + n
                 if not n:
                     continue
                 k = min(n, n - least_overlap(n, percent) + shared)
-                flag = np.zeros(n, bool)
-                if len(last):
-                    at = np.minimum(np.searchsorted(last, s), len(last) - 1)
-                    flag = last[at] == s
+                flag = grade > 0
                 cold = s[~flag][:k]
-                end = s[flag][:k - len(cold)]
+                end = s[flag][np.argsort(grade[flag], kind="stable")][:k - len(cold)]
                 keys.extend((cold, end))
                 owner.append(np.full(k, class_of(s)))
                 sizes.append(np.full(k, n))
@@ -364,27 +409,27 @@ def labelled(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, shared
         raise ValueError("shingles have five words")
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("did"), "text")
-    # 1. classes of equal sets, and what is frequent
-    scan = common.stored(rows.mapInArrow(_classes(percent), "kind int, did long, class long, size long"), "classes")
-    classes = scan.filter("kind = 0").select("did", "class", "size")
-    frequent = (scan.filter("kind = 1").groupBy("class").agg(F.sum("size").alias("n")).filter(F.col("n") > HOT_LIST)
-                .orderBy(F.desc("n"), "class").limit(HOT_KEPT).select("class"))
-    hot = np.sort(np.array([r[0] for r in frequent.collect()], np.int64).view(U64))
+    # 1. classes of equal sets
+    classes = common.stored(rows.mapInArrow(_classes, "did long, class long, size long"), "classes")
     # 2. inverted lists
-    postings = rows.select("text").mapInArrow(_postings(spark.sparkContext.broadcast(hot), percent, shared),
-                                              "shingle long, class long, size int, hot boolean")
+    frequent = spark.sparkContext.broadcast(frequent_cells(rows))
+    postings = rows.select("text").mapInArrow(_postings(frequent, percent, shared), "shingle long, class long, size int, hot boolean")
+    # frequent shingles that come first in few sets have short lists all the same
+    hot_rows = common.stored(postings.filter("hot").select("shingle", "class", "size").distinct(), "hot")
+    lists = hot_rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("class", "size")).alias("least"))
+    long = F.broadcast(common.stored(lists.filter(F.col("n") > short).select("shingle", "least"), "long"))    # a row for more than `short` rows
+    hot_long = hot_rows.join(long, "shingle")
     cold = (postings.filter("not hot").select("shingle", "class", "size")
+            .union(hot_rows.join(long, "shingle", "left_anti"))
             .repartition(common.shuffle_partitions(spark), "shingle").sortWithinPartitions("shingle", "class"))
     # 3. pairs and ties
     met = common.stored(cold.mapInArrow(_pairs(short, percent), PAIR)
                         .groupBy("a", "b", "na", "nb", "tied").agg(F.count(F.lit(1)).alias("n")), "pairs")
-    hot_rows = common.stored(postings.filter("hot").select("shingle", "class", "size").distinct(), "hot")
-    leaders = hot_rows.groupBy("shingle").agg(F.min(F.struct("class", "size")).alias("least"))   # HOT_KEPT rows at most
-    hot_ties = hot_rows.join(F.broadcast(leaders), "shingle").select(
+    hot_ties = hot_long.select(
         F.col("class").alias("a"), F.col("least.class").alias("b"), F.col("size").alias("na"), F.col("least.size").alias("nb"))
     ties = met.filter("tied")
     # places of a class in long lists: shared shingles that weren't counted
-    hidden = (hot_rows.select("class", F.lit(1).alias("n"))
+    hidden = (hot_long.select("class", F.lit(1).alias("n"))
               .union(ties.select(F.col("a").alias("class"), "n"))
               .groupBy("class").agg(F.sum("n").alias("n")))
     need = F.least(F.lit(shared), F.ceil(F.greatest("na", "nb") * percent / 100))

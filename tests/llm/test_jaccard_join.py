@@ -143,3 +143,38 @@ def test_op3(spark):
     got = {tuple(r) for r in jj.op3_jaccard_join(spark, "/root/testdata/sf0.01").collect()}
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
     assert got == set(brute(rows))
+
+
+def test_frequent_shingles_are_found_over_many_partitions(spark, monkeypatch):
+    """Lines that are frequent in all, but come once in a partition, tie no texts together that have enough words of their own."""
+    monkeypatch.setattr(jj, "HOT_LIST", 10)
+    rng = random.Random(3)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    prose = lambda k: [rng.choice(vocab) for _ in range(k)]
+    lines = [prose(30) for _ in range(40)]
+    texts = [" ".join(prose(60) + sum(rng.sample(lines, 2), [])) for _ in range(800)]
+    rows = [*enumerate(texts), *((800 + i, texts[i] + " end") for i in range(0, 800, 80))]
+    groups, tasks = [], jj._tasks
+
+    def seen(nodes, *args):
+        groups.extend(r["count"] for r in nodes.groupBy("label").count().collect())
+        return tasks(nodes, *args)
+    monkeypatch.setattr(jj, "_tasks", seen)
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 100), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jj.near_duplicates(df, short=4).collect()}
+    assert got == {i: i for i in range(800)} | {800 + i: i for i in range(0, 800, 80)}
+    assert max(groups) < 200
+
+
+def test_frequent_cells(spark, monkeypatch):
+    texts = ["a b c d e f", *(f"own{i} a b c d e{i % 4}" for i in range(100))]
+    df = spark.createDataFrame([(t,) for t in texts for _ in range(jj.SAMPLE)], "text string").coalesce(1)
+    cells, grades = jj.frequent_cells(df)
+    sets = jj.shingle_sets(*text_buffer(pa.array(texts)))
+    every, n = np.unique(jj.cells_of(np.concatenate(sets)), return_counts=True)
+    want = every[n * jj.SAMPLE > jj.HOT_LIST]
+    assert cells.tolist() == want.tolist()
+    counts = n[n * jj.SAMPLE > jj.HOT_LIST]
+    assert all((grades[i] < grades[j]) == (counts[i] < counts[j]) for i in range(len(want)) for j in range(len(want)))
+    monkeypatch.setattr(jj, "HOT_KEPT", 2)
+    assert len(jj.frequent_cells(df)[0]) <= 2
