@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..errors import NoSnapshotError, UnknownColumnError
 from ..session import materialize
 from ..sources.snapshots import _file_system, partition_folders, path_exists
-from .upsert import SNAPSHOT_COL, has_null_keys, merge_source, not_replaced, strict_source
+from .upsert import SNAPSHOT_COL, key_facts, merge_source, not_replaced, strict_source
 
 BUCKETS = 64
 BUCKET_COL = "bucket"
@@ -111,7 +111,7 @@ def merge_buckets(spark: SparkSession, path: str, source: DataFrame, keys: Seque
         target = read_buckets(spark, path, only=touched)
         if set(source.columns) != set(target.columns):
             raise UnknownColumnError(f"source and target differ in columns {sorted(set(source.columns) ^ set(target.columns))}")
-        kept = not_replaced(target, src, keys, has_null_keys(src, keys)) if replace is None else target.join(gone, gone.columns, "left_anti")
+        kept = not_replaced(target, src, keys, *key_facts(src, keys)) if replace is None else target.join(gone, gone.columns, "left_anti")
         out = src.unionByName(kept.select(*src.columns))
     version = done[0][0] + 1 if done else 0
     _write(out, by, base, n, version, touched)

@@ -136,3 +136,28 @@ def test_rows_without_a_key_are_not_sent_to_the_driver(spark):
     left = upsert.not_replaced(df, df, ["k"], null_keys=True)
     assert "_row" not in "".join(x for x in plan_text(left).split("\n\n") if "BroadcastHashJoin" in x)
     assert left.collect() == []
+
+
+def test_many_keys_are_not_broadcast_whatever_the_planner_takes_them_for(spark, tmp_path, monkeypatch):
+    """A load packed so well that its estimated size is under the broadcast limit."""
+    from .conftest import plan_text
+    plans, write = [], upsert.write_snapshot
+    monkeypatch.setattr(upsert, "write_snapshot", lambda out, path, version: (plans.append(plan_text(out)), write(out, path, version)))
+    for n, joined in ((100_000, "SortMergeJoin"), (100, "BroadcastHashJoin")):
+        path = f"{tmp_path}/t{n}"
+        for load in (0, 1):
+            rows = spark.range(load * n // 2, n + load * n // 2).selectExpr("id as k", f"id + {load} as v", f"{load} as updated_at")
+            upsert.merge_into(spark, path, rows, ["k"])
+        assert joined in plans[-1] and "LeftAnti" in plans[-1]
+        assert len({"SortMergeJoin", "BroadcastHashJoin"} & set(plans[-1].replace("(", " ").split())) == 1
+        got = upsert.read_latest(spark, path).agg(F.count(F.lit(1)), F.countDistinct("k"), F.sum("v") - F.sum("k")).first()
+        assert tuple(got) == (n + n // 2, n + n // 2, n)
+
+
+def test_facts_about_keys(spark):
+    df = spark.createDataFrame([("a", 1, 5), (None, 1, 5), ("c", None, 5)], "k string, d int, v int")
+    assert upsert.key_facts(df, ["k", "d"]) == (True, False)
+    assert upsert.key_facts(df.filter("k is not null and d is not null"), ["k", "d"]) == (False, False)
+    assert upsert.key_facts(df.filter("false"), ["k"]) == (False, False)
+    # few rows with long keys
+    assert upsert.key_facts(df.selectExpr("repeat('x', 2000000) as k"), ["k"]) == (False, True)
