@@ -161,3 +161,15 @@ def test_facts_about_keys(spark):
     assert upsert.key_facts(df.filter("false"), ["k"]) == (False, False)
     # few rows with long keys
     assert upsert.key_facts(df.selectExpr("repeat('x', 2000000) as k"), ["k"]) == (False, True)
+
+
+def test_reruns_of_many_rows_without_a_key_broadcast_nothing(spark, tmp_path, monkeypatch):
+    from .conftest import plan_text
+    plans, write = [], upsert.write_snapshot
+    monkeypatch.setattr(upsert, "write_snapshot", lambda out, path, version: (plans.append(plan_text(out)), write(out, path, version)))
+    load = spark.range(100_000).selectExpr("id as k", "if(id % 13 = 0, null, id % 7) as d", "id % 5 as v", "1 as updated_at")
+    for _ in range(3):
+        upsert.merge_into(spark, f"{tmp_path}/t", load, ["k", "d"])
+    assert not any("BroadcastHashJoin" in p for p in plans) and plans[-1].count("LeftAnti") >= 2
+    got = upsert.read_latest(spark, f"{tmp_path}/t").agg(F.count(F.lit(1)), F.countDistinct("k"), F.sum("v")).first()
+    assert tuple(got) == (100_000, 100_000, 200_000)
